@@ -2,10 +2,18 @@
 
 from pyspark.sql import functions as F
 
-from . import exact_dedup, mixing, sharding, url_filter
+from . import exact_dedup, mixing, near_vectors, packing, quality, sharding, url_filter
 from .common import table
 
 SHARDS = 24
+
+
+def tokenizer_path():
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
 URL_RULES = [("com", "/en/", "block"), ("example.com", "/en/7", "allow"), ("net", "/de/", "allow"), ("example.net", "/de/8", "block"), ("org", "/es/", "block")]
 
 
@@ -26,4 +34,16 @@ def op4_source_mixing(spark, sf_dir):
     return mixing.mix(table(spark, sf_dir, "documents")).drop("source")
 
 
-QUERIES = {f.__name__: f for f in (op1_kk_sharding, op2_exact_dedup, op3_url_filter, op4_source_mixing)}
+def op5_quality_gam(spark, sf_dir):
+    return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op6_near_vectors(spark, sf_dir):
+    return near_vectors.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
+def op7_packing(spark, sf_dir):
+    return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path())
+
+
+QUERIES = {f.__name__: f for f in (op1_kk_sharding, op2_exact_dedup, op3_url_filter, op4_source_mixing, op5_quality_gam, op6_near_vectors, op7_packing)}
