@@ -10,8 +10,11 @@ from pyspark.sql import functions as F
 
 from .common import HEAVY_KEYS, ascii_lower, cut, having, join_groups, scratch_path
 
-ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+#: The state is kept on disk, without preallocated files: there is a store for each shuffle partition.
+STATE = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
+}
 
 
 def keyed_state(digests: DataFrame) -> DataFrame:
@@ -24,12 +27,14 @@ def keyed_state(digests: DataFrame) -> DataFrame:
         .groupBy("digest")
         .agg(F.max("doc_id").alias("keep_id"), F.max_by("locator", "doc_id").alias("locator"), F.count("*").alias("n"))
     )
-    before = spark.conf.get(PROVIDER)
-    spark.conf.set(PROVIDER, ROCKSDB)
+    before = {k: spark.conf.get(k, None) for k in STATE}
+    for k, v in STATE.items():
+        spark.conf.set(k, v)
     try:
         stream.writeStream.format("noop").outputMode("update").trigger(availableNow=True).option("checkpointLocation", state).start().awaitTermination()
     finally:
-        spark.conf.set(PROVIDER, before)
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
     if digests.isEmpty():
         return spark.createDataFrame([], "digest binary, keep_id long, locator string, n long")
     return spark.read.format("statestore").load(state).selectExpr("key.digest AS digest", "value.*").toDF("digest", "keep_id", "locator", "located", "n").drop("located")
