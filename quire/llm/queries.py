@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from . import exact_dedup, mixing, near_vectors, packing, quality, sharding, url_filter
+from . import exact_dedup, jaccard, mixing, near_vectors, packing, quality, sharding, url_filter
 from .common import table
 
 SHARDS = 24
@@ -46,4 +46,8 @@ def op7_packing(spark, sf_dir):
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
-QUERIES = {f.__name__: f for f in (op1_kk_sharding, op2_exact_dedup, op3_url_filter, op4_source_mixing, op5_quality_gam, op6_near_vectors, op7_packing)}
+def op10_jaccard_join(spark, sf_dir):
+    return jaccard.jaccard_components(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_kk_sharding, op2_exact_dedup, op3_url_filter, op4_source_mixing, op5_quality_gam, op6_near_vectors, op7_packing, op10_jaccard_join)}
