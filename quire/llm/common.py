@@ -83,3 +83,43 @@ def having(rows: DataFrame, ids: DataFrame, key: str) -> DataFrame:
     """The rows whose key is among ids (one column, distinct). A short list is broadcast, a long one is joined by shuffle."""
     n = ids.limit(BROADCAST_IDS + 1).count()
     return rows.join(F.broadcast(ids) if n <= BROADCAST_IDS else ids, key, "left_semi")
+
+
+def grouped(rows: DataFrame, keys: list[str], work, schema: str) -> DataFrame:
+    """Rows that agree in the keys (long or int), as a dictionary of Arrow columns for each group, through work(columns), which
+    gives a tuple of arrays for the schema or None. Groups must be small enough for a task's memory; they follow each
+    other in sorted batches, so many small groups cost little."""
+    import numpy as np
+    import pyarrow as pa
+
+    names = [x.strip().split()[0] for x in schema.split(",")]
+
+    def over(batches):
+        rest = None
+        for batch in batches:
+            now = pa.Table.from_batches([batch])
+            now = now if rest is None else pa.concat_tables([rest, now]).combine_chunks()
+            columns = [now.column(k).to_numpy() for k in keys]
+            new = np.zeros(max(0, len(now) - 1), bool)
+            for c in columns:
+                new |= c[1:] != c[:-1]
+            starts = [0, *(np.flatnonzero(new) + 1).tolist()]
+            yield from made(now, starts)
+            rest = now.slice(starts[-1])
+        if rest is not None and len(rest):
+            yield from made(rest, [0, len(rest)])
+
+    def made(t, starts):
+        out = [got for a, b in zip(starts[:-1], starts[1:], strict=True) if (got := work({n: t.column(n).slice(a, b - a) for n in t.column_names})) is not None]
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], names=names)
+
+    return rows.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(over, schema)
+
+
+def list_arrays(column):
+    """The rows of an Arrow list column as NumPy arrays."""
+    column = column.combine_chunks() if hasattr(column, "combine_chunks") else column
+    flat = column.flatten().to_numpy(zero_copy_only=False)
+    ends = column.value_lengths().to_numpy(zero_copy_only=False).cumsum()
+    return [flat[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)]

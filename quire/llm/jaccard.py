@@ -1,20 +1,19 @@
 """Exact Jaccard join of shingle sets, with skipping by the relations between sets.
 
-Documents with equal sets are one class. A class is listed under the tokens of its prefix, with its position there; of a
-token's list only the first class, the leader, meets all others: every pair that shares a prefix token is then in its
-leader's cluster, so a cluster stands for all lists that it leads. In a cluster, classes are sorted by size, blocks whose
-sizes or positions rule a link out are skipped, and each class is compared by its difference from the leader: its
-overlap with another one follows from the leader's and the differences'. Pairs that are connected already are skipped.
+Documents with equal sets are one class. A class is listed under the tokens of its prefix, long enough that linked sets
+share not one of them but many. The first class of a token's list leads it, and all lists that a class leads form its
+cluster, so every pair that shares a prefix token meets in a cluster. There, classes are sorted by size; blocks of them are
+skipped by size and by the number of prefix tokens they share; what remains is compared by its difference from one set:
+the overlap of two sets follows from that set's size and the differences. Pairs that are connected already are skipped.
 """
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import cut, having, join_groups
+from .common import cut, grouped, having, join_groups, list_arrays
 from .graph import components
 from .near_vectors import Forest
 from .words import chunks, mix, shingles, words
@@ -49,6 +48,11 @@ def prefix_length(n, percent: int):
     return n - -(-percent * n // 100) + 1
 
 
+def shared_length(n, percent: int):
+    """Tokens that linked sets of at least n tokens share if prefixes are longer by one less than that."""
+    return prefix_length(n, percent) // 2 + 1
+
+
 def _digest(s: np.ndarray) -> bytes:
     with np.errstate(over="ignore"):
         return np.array([s.sum(dtype=np.uint64), mix(s ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64)]).tobytes()
@@ -62,10 +66,10 @@ def _sketch(k: int, percent: int):
             n, digest, tokens = [], [], []
             for _, _, data, bounds in chunks(batch.column(1)):
                 for s in token_sets(data, bounds, k):
-                    p = prefix_length(len(s), percent)
+                    p = prefix_length(len(s), percent) + shared_length(len(s), percent)
                     n.append(len(s))
                     digest.append(_digest(s))
-                    tokens.append(s[: p + p // 2 + 16].view(np.int64) if len(s) else np.zeros(0, np.int64))
+                    tokens.append(s[: p + p // 4 + 16].view(np.int64) if len(s) else np.zeros(0, np.int64))
             lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, tokens)]), pa.int32()), pa.array(np.concatenate(tokens) if tokens else np.zeros(0, np.int64)))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(digest, pa.binary()), lists], names=["doc_id", "n_shingles", "digest", "tokens"])
 
@@ -93,7 +97,7 @@ def _prefixes(frequent: np.ndarray, percent: int, whole: bool):
             ends = np.cumsum(sets.value_lengths().to_numpy(zero_copy_only=False))
             out = []
             for a, b, n in zip([0, *ends[:-1]], ends, batch.column(batch.schema.get_field_index("n")).to_pylist(), strict=True):
-                s, late, p = flat[a:b], often[a:b], prefix_length(n, percent)
+                s, late, p = flat[a:b], often[a:b], prefix_length(n, percent) + shared_length(n, percent) - 1
                 rare = s[~late]
                 out.append(rare[:p] if len(rare) >= p else np.concatenate([rare, s[late]])[:p] if whole or len(s) == n else None)
             yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(c)) for c in ("digest", "rep", "n")), pa.array(out, pa.list_(pa.int64()))], names=["digest", "rep", "n", "tokens"])
@@ -101,15 +105,51 @@ def _prefixes(frequent: np.ndarray, percent: int, whole: bool):
     return over
 
 
+def _near_prefixes(percent: int):
+    """The classes of a cluster whose prefix shares enough tokens with another one's: (leader, rep)."""
+
+    def work(g):
+        n, part = g["n"].to_numpy(), g["block"].to_numpy()
+        sets, reps, m = list_arrays(g["tokens"]), g["rep"].to_numpy(), len(n)
+        order = np.argsort(n, kind="stable")
+        n, part, reps, sets = n[order], part[order], reps[order], [sets[i] for i in order]
+        need = np.array([shared_length(int(x), percent) for x in n])
+        near = np.zeros(m, bool)
+        if m == 2:
+            near[:] = n[0] * 100 >= percent * n[1] and len(np.intersect1d(sets[0], sets[1], assume_unique=True)) >= need[0]
+        elif m > 2:
+            rows = np.repeat(np.arange(m), [len(s) for s in sets])
+            for top, low, both in _products([_Sparse(rows, np.concatenate(sets), m)], n, percent, lambda top, low: near[top].all() and near[low].all()):
+                found = (both >= np.minimum(need[top, None], need[None, low])) & (np.arange(m)[top, None] < np.arange(m)[None, low]) & (n[top, None] * 100 >= percent * n[None, low])
+                near[top] |= found.any(axis=1)
+                near[low] |= found.any(axis=0)
+        return (np.full(near.sum(), g["leader"][0].as_py()), reps[near]) if near.any() else None
+
+    return work
+
+
+def _products(parts, n, percent: int, skip):
+    """(rows, columns, summed products) of blocks of sets that are sorted by size; blocks too far apart in size are not visited."""
+    m = len(n)
+    step = max(1, min(512, CELLS // max(1, sum(p.shape[1] for p in parts))))
+    for i in range(0, m, step):
+        top = slice(i, min(i + step, m))
+        for j in range(i, m, step):
+            low = slice(j, min(j + step, m))
+            if n[top].max() * 100 < percent * n[low].min():
+                break
+            if not skip(top, low):
+                yield top, low, sum(p.product(top, low) for p in parts)
+
+
 def _cluster(percent: int):
     """The links among a cluster's sets, or between two blocks of it, as a forest (a, b)."""
 
-    def work(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["n", "rep"]).reset_index(drop=True)
-        sets = [np.asarray(x, np.int64) for x in pdf["tokens"]]
-        n, m = pdf["n"].to_numpy(np.int64), len(pdf)
-        reach = pdf["reach"].to_numpy(np.int64)
-        part = pdf["block"].to_numpy(np.int64)
+    def work(g):
+        n, part = g["n"].to_numpy(), g["block"].to_numpy()
+        sets, reps, m = list_arrays(g["tokens"]), g["rep"].to_numpy(), len(n)
+        order = np.lexsort((reps, n))
+        n, part, reps, sets = n[order], part[order], reps[order], [sets[i] for i in order]
         cross = len(np.unique(part)) > 1
         forest = Forest(m)
         if m == 2:
@@ -117,39 +157,30 @@ def _cluster(percent: int):
             if 100 * both >= percent * (n[0] + n[1] - both):
                 forest.add(np.array([0]), np.array([1]))
         elif m > 2:
-            # the leader's tokens, and the others by how they differ from it
+            # the first class's tokens, and the others by how they differ from it
             names, at = np.unique(np.concatenate(sets), return_inverse=True)
             rows = np.repeat(np.arange(m), n)
-            base = sets[int(np.argmin(pdf["rep"].to_numpy()))]
+            base = sets[int(np.argmin(reps))]
             lead = np.zeros(len(names), bool)
             lead[np.searchsorted(names, base)] = True
-            held = np.bincount(rows[lead[at]], minlength=m)  # of the leader's tokens
-            if held.sum() * 2 < len(base) * m:  # the leader tells little of them
+            held = np.bincount(rows[lead[at]], minlength=m)
+            if held.sum() * 2 < len(base) * m:  # it tells little of them
                 base, lead, held = base[:0], np.zeros(len(names), bool), np.zeros(m, np.int64)
-            extra, miss = _incidence(rows, at, lead, m, len(names))
-            step = max(1, min(512, CELLS // max(1, extra.shape[1] + miss.shape[1])))
-            for i in range(0, m, step):
-                top = slice(i, min(i + step, m))
-                for j in range(i, m, step):
-                    low = slice(j, min(j + step, m))
-                    if n[top].max() * 100 < percent * n[low].min():
-                        break  # sorted by size: no later block is nearer
-                    if reach[top].max() < n[low].min():
-                        break  # no list holds tokens so early that these could link
-                    if len(np.unique(forest.root[[*range(*top.indices(m)), *range(*low.indices(m))]])) == 1:
-                        continue  # all of them are connected already
-                    # |x & y| = |L| - |L - x| - |L - y| + |(L - x) & (L - y)| + |(x - L) & (y - L)|
-                    gone = len(base) - held
-                    both = len(base) - gone[top, None] - gone[None, low] + miss.product(top, low) + extra.product(top, low)
-                    near = 100 * both >= percent * (n[top, None] + n[None, low] - both)
-                    if cross:
-                        near &= part[top, None] != part[None, low]
-                    r, c = np.nonzero(near)
-                    keep = r + i < c + j
-                    forest.add(r[keep] + i, c[keep] + j)
-        reps = pdf["rep"].to_numpy(np.int64)
+            gone = len(base) - held
+
+            def connected(top, low):
+                return len(np.unique(forest.root[np.r_[top, low]])) == 1
+
+            for top, low, both in _products(_differences(rows, at, lead, m), n, percent, connected):
+                # |x & y| = |L| - |L - x| - |L - y| + |(L - x) & (L - y)| + |(x - L) & (y - L)|
+                both = both + len(base) - gone[top, None] - gone[None, low]
+                near = 100 * both >= percent * (n[top, None] + n[None, low] - both)
+                if cross:
+                    near &= part[top, None] != part[None, low]
+                r, c = np.nonzero(near & (np.arange(m)[top, None] < np.arange(m)[None, low]))
+                forest.add(r + top.start, c + low.start)
         other = forest.root != np.arange(m)
-        return pd.DataFrame({"a": reps[other], "b": reps[forest.root[other]]})
+        return (reps[other], reps[forest.root[other]]) if other.any() else None
 
     return work
 
@@ -177,7 +208,7 @@ class _Sparse:
         return np.rint(self.dense(top) @ self.dense(low).T).astype(np.int64) if self.shape[1] else np.zeros((top.stop - top.start, low.stop - low.start), np.int64)
 
 
-def _incidence(rows, at, lead, m, names):
+def _differences(rows, at, lead, m):
     """Matrices of what each set has besides the leader's tokens, and of what it lacks of them."""
     out = ~lead[at]
     extra = _Sparse(rows[out], at[out], m)
@@ -186,7 +217,7 @@ def _incidence(rows, at, lead, m, names):
     inside = lead[at]
     has[rows[inside], np.searchsorted(ids, at[inside])] = True
     r, c = np.nonzero(~has)
-    return extra, _Sparse(r, ids[c], m)
+    return [extra, _Sparse(r, ids[c], m)]
 
 
 def jaccard_components(docs: DataFrame, k: int = 3, percent: int = 90) -> DataFrame:
@@ -213,19 +244,23 @@ def jaccard_components(docs: DataFrame, k: int = 3, percent: int = 90) -> DataFr
     shown = cut(classes.mapInArrow(_prefixes(frequent, percent, False), kind))
     lacking = shown.filter("tokens IS NULL").select("digest", "rep", "n")
     late = _full_sets(docs, lacking, k).mapInArrow(_prefixes(frequent, percent, True), kind)
-    index = cut(shown.filter("tokens IS NOT NULL").unionByName(late)).select("rep", "n", F.posexplode("tokens").alias("pos", "token"))
-
-    # a list's leader stands for the list; a position tells how large a set can be that links over this token
-    leaders = index.groupBy("token").agg(F.min("rep").alias("leader"), F.count("*").alias("df")).filter("df > 1")
-    reach = F.floor((F.col("n") - F.col("pos")) * (100 + percent) / percent) - F.col("n")
-    members = join_groups(index.select("token", "rep", reach.alias("reach")), leaders, "token", "df", max(1, listed))
-    members = cut(members.groupBy("leader", "rep").agg(F.max("reach").alias("reach")))
-    sizes = members.groupBy("leader").agg(F.count("*").alias("members")).filter("members > 1")
-    sets = cut(_full_sets(docs, classes.join(members.select("rep").distinct(), "rep", "left_semi").select("digest", "rep", "n"), k))
-    dealt = join_groups(members, sizes, "leader", "members", max(1, members.count())).withColumn("blocks", F.ceil(F.col("members") / BLOCK).cast("int"))
-    dealt = dealt.withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("leader", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "rep", "reach")
-    edges = cut(dealt.join(sets.select("rep", "n", "tokens"), "rep").groupBy("leader", "lo", "hi").applyInPandas(_cluster(percent), "a long, b long"))
+    index = cut(shown.filter("tokens IS NOT NULL").unionByName(late))
+    listed_all = index.select("rep", F.explode("tokens").alias("token"))
+    late_token = F.broadcast(often.withColumn("often", F.lit(True)))
+    few = W.partitionBy("token")  # of a token that is not frequent
+    rare = listed_all.join(late_token, "token", "left_anti").select("rep", F.min("rep").over(few).alias("leader"), F.count("*").over(few).alias("df")).filter("df > 1")
+    many = listed_all.join(late_token, "token", "left_semi")
+    leaders = many.groupBy("token").agg(F.min("rep").alias("leader"), F.count("*").alias("df")).filter("df > 1")
+    many = join_groups(many, leaders, "token", "df", max(1, listed)).select("rep", "leader", "df")
+    shared = cut(rare.unionByName(many).groupBy("leader", "rep").agg(F.count("*").alias("tokens_led")))
+
+    # of all its prefix tokens, a class that links shares as many as the smallest set it can link with asks for
+    least = prefix_column(F.ceil(F.col("n") * percent / 100), percent)
+    able = shared.groupBy("rep").agg(F.sum("tokens_led").alias("held")).join(index.select("rep", "n").distinct(), "rep").filter(F.col("held") > F.floor(least / 2)).select("rep")
+    members = cut(shared.select("leader", "rep").join(able, "rep"))
+    near = cut(grouped(_deal(members, index, listed), ["leader", "lo", "hi"], _near_prefixes(percent), "leader long, rep long").distinct())
+    sets = cut(_full_sets(docs, classes.join(near.select("rep").distinct(), "rep", "left_semi").select("digest", "rep", "n"), k))
+    edges = cut(grouped(_deal(near, sets, listed), ["leader", "lo", "hi"], _cluster(percent), "a long, b long"))
     found = components(edges).withColumnRenamed("id", "rep")
     named = classes.select("digest", "rep", "copies").join(found, "rep", "left").select("digest", "copies", F.coalesce("component", "rep").alias("component_id"))
     out = join_groups(sketches.filter("n_shingles > 0").select("doc_id", "n_shingles", "digest"), named, "digest", "copies", max(1, rows)).select("doc_id", "n_shingles", "component_id")
@@ -233,6 +268,15 @@ def jaccard_components(docs: DataFrame, k: int = 3, percent: int = 90) -> DataFr
     return out.unionByName(empty).unionByName(rest)
 
 
+def _deal(members: DataFrame, sets: DataFrame, total: int) -> DataFrame:
+    """The classes (rep, n, tokens) of each cluster (leader, rep), those of a large one by pairs of blocks (lo, hi)."""
+    sizes = members.groupBy("leader").agg(F.count("*").alias("members")).filter("members > 1")
+    dealt = join_groups(members, sizes, "leader", "members", max(1, total)).withColumn("blocks", F.ceil(F.col("members") / BLOCK).cast("int"))
+    dealt = dealt.withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.select("leader", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "rep")
+    return dealt.join(sets.select("rep", "n", "tokens"), "rep")
+
+
 def prefix_column(n, percent: int):
     return n - F.ceil(n * percent / 100) + 1
 
