@@ -105,24 +105,44 @@ def _prefixes(frequent: np.ndarray, percent: int, whole: bool):
     return over
 
 
-def _near_prefixes(percent: int):
-    """The classes of a cluster whose prefix shares enough tokens with another one's: (leader, rep)."""
+def _near_prefixes(frequent: np.ndarray, percent: int):
+    """The classes of a cluster whose prefix agrees so far with another one's that the sets can still link: (leader, rep).
+
+    Linked sets differ in few tokens altogether, so in few up to the place where the shorter of both prefixes ends.
+    """
 
     def work(g):
         n, part = g["n"].to_numpy(), g["block"].to_numpy()
         sets, reps, m = list_arrays(g["tokens"]), g["rep"].to_numpy(), len(n)
         order = np.argsort(n, kind="stable")
         n, part, reps, sets = n[order], part[order], reps[order], [sets[i] for i in order]
+        sizes = np.array([len(s) for s in sets])
+        rows = np.repeat(np.arange(m), sizes)
+        names, at = np.unique(np.concatenate(sets), return_inverse=True)
+        place = np.empty(len(names), np.int64)
+        place[np.lexsort((names.view(np.uint64), np.isin(names, frequent)))] = np.arange(len(names))
+        at = place[at]
+        ends = np.cumsum(sizes)
+        places = [at[a:b] for a, b in zip(ends - sizes, ends, strict=True)]  # rising, as tokens are in that order
+        last = np.where(sizes < n, [p[-1] if len(p) else -1 for p in places], len(names))  # a whole set has no end
         need = np.array([shared_length(int(x), percent) for x in n])
         near = np.zeros(m, bool)
-        if m == 2:
-            near[:] = n[0] * 100 >= percent * n[1] and len(np.intersect1d(sets[0], sets[1], assume_unique=True)) >= need[0]
-        elif m > 2:
-            rows = np.repeat(np.arange(m), [len(s) for s in sets])
-            for top, low, both in _products([_Sparse(rows, np.concatenate(sets), m)], n, percent, lambda top, low: near[top].all() and near[low].all()):
-                found = (both >= np.minimum(need[top, None], need[None, low])) & (np.arange(m)[top, None] < np.arange(m)[None, low]) & (n[top, None] * 100 >= percent * n[None, low])
-                near[top] |= found.any(axis=1)
-                near[low] |= found.any(axis=0)
+        for top, low, both in _products([_Sparse(rows, at, m)], n, percent, lambda top, low: near[top].all() and near[low].all()):
+            r, c = np.nonzero((both >= np.minimum(need[top, None], need[None, low])) & (np.arange(m)[top, None] < np.arange(m)[None, low]) & (n[top, None] * 100 >= percent * n[None, low]))
+            shared, r, c = both[r, c], r + top.start, c + low.start
+            within = np.empty(len(c), np.int64)  # tokens of c up to the end of r's prefix
+            for j in np.unique(c):
+                of = c == j
+                within[of] = np.searchsorted(places[j], last[r[of]], "right")
+            back = last[r] > last[c]
+            inside = np.where(back, 0, sizes[r] + within)
+            for i in np.unique(r[back]):
+                of = back & (r == i)
+                inside[of] = sizes[c[of]] + np.searchsorted(places[i], last[c[of]], "right")
+            total = n[r] + n[c]
+            can = inside - 2 * shared <= total - 2 * -(-percent * total // (100 + percent))
+            near[r[can]] = True
+            near[c[can]] = True
         return (np.full(near.sum(), g["leader"][0].as_py()), reps[near]) if near.any() else None
 
     return work
@@ -258,7 +278,7 @@ def jaccard_components(docs: DataFrame, k: int = 3, percent: int = 90) -> DataFr
     least = prefix_column(F.ceil(F.col("n") * percent / 100), percent)
     able = shared.groupBy("rep").agg(F.sum("tokens_led").alias("held")).join(index.select("rep", "n").distinct(), "rep").filter(F.col("held") > F.floor(least / 2)).select("rep")
     members = cut(shared.select("leader", "rep").join(able, "rep"))
-    near = cut(grouped(_deal(members, index, listed), ["leader", "lo", "hi"], _near_prefixes(percent), "leader long, rep long").distinct())
+    near = cut(grouped(_deal(members, index, listed), ["leader", "lo", "hi"], _near_prefixes(frequent, percent), "leader long, rep long").distinct())
     sets = cut(_full_sets(docs, classes.join(near.select("rep").distinct(), "rep", "left_semi").select("digest", "rep", "n"), k))
     edges = cut(grouped(_deal(near, sets, listed), ["leader", "lo", "hi"], _cluster(percent), "a long, b long"))
     found = components(edges).withColumnRenamed("id", "rep")
