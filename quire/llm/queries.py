@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from . import exact_dedup, jaccard, mixing, near_vectors, packing, quality, sharding, suffixes, url_filter
+from . import exact_dedup, jaccard, mixing, near_vectors, packing, passages, quality, sharding, suffixes, url_filter
 from .common import table
 
 SHARDS = 24
@@ -46,6 +46,10 @@ def op7_packing(spark, sf_dir):
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op8_near_passages(spark, sf_dir):
+    return passages.near_passages(table(spark, sf_dir, "documents"))
+
+
 def op9_suffix_array(spark, sf_dir):
     return suffixes.repeated_spans(table(spark, sf_dir, "documents")).drop("runs")
 
@@ -54,4 +58,4 @@ def op10_jaccard_join(spark, sf_dir):
     return jaccard.jaccard_components(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_kk_sharding, op2_exact_dedup, op3_url_filter, op4_source_mixing, op5_quality_gam, op6_near_vectors, op7_packing, op9_suffix_array, op10_jaccard_join)}
+QUERIES = {f.__name__: f for f in (op1_kk_sharding, op2_exact_dedup, op3_url_filter, op4_source_mixing, op5_quality_gam, op6_near_vectors, op7_packing, op8_near_passages, op9_suffix_array, op10_jaccard_join)}
