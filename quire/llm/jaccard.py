@@ -95,20 +95,22 @@ def _prefixes(frequent: np.ndarray, percent: int, whole: bool):
             flat = sets.flatten().to_numpy(zero_copy_only=False)
             often = np.isin(flat, frequent)
             ends = np.cumsum(sets.value_lengths().to_numpy(zero_copy_only=False))
-            out = []
+            out, light = [], []
             for a, b, n in zip([0, *ends[:-1]], ends, batch.column(batch.schema.get_field_index("n")).to_pylist(), strict=True):
                 s, late, p = flat[a:b], often[a:b], prefix_length(n, percent) + shared_length(n, percent) - 1
                 rare = s[~late]
+                light.append(min(len(rare), p))
                 out.append(rare[:p] if len(rare) >= p else np.concatenate([rare, s[late]])[:p] if whole or len(s) == n else None)
-            yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(c)) for c in ("digest", "rep", "n")), pa.array(out, pa.list_(pa.int64()))], names=["digest", "rep", "n", "tokens"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(c)) for c in ("digest", "rep", "n")), pa.array(out, pa.list_(pa.int64())), pa.array(light, pa.int64())], names=["digest", "rep", "n", "tokens", "light"])
 
     return over
 
 
-def _near_prefixes(frequent: np.ndarray, percent: int):
+def _near_prefixes(percent: int):
     """The classes of a cluster whose prefix agrees so far with another one's that the sets can still link: (leader, rep).
 
-    Linked sets differ in few tokens altogether, so in few up to the place where the shorter of both prefixes ends.
+    Linked sets differ in few tokens altogether, so in few up to the place where the shorter of both prefixes ends. Tokens
+    come as their upper 32 bits, the frequent ones last; where two coincide, a pair may pass that need not, but none fails.
     """
 
     def work(g):
@@ -118,29 +120,28 @@ def _near_prefixes(frequent: np.ndarray, percent: int):
         n, part, reps, sets = n[order], part[order], reps[order], [sets[i] for i in order]
         sizes = np.array([len(s) for s in sets])
         rows = np.repeat(np.arange(m), sizes)
-        names, at = np.unique(np.concatenate(sets), return_inverse=True)
-        place = np.empty(len(names), np.int64)
-        place[np.lexsort((names.view(np.uint64), np.isin(names, frequent)))] = np.arange(len(names))
-        at = place[at]
+        light = g["light"].to_numpy()[order]
+        late = (np.arange(len(rows)) - np.repeat(np.cumsum(sizes) - sizes, sizes)) >= np.repeat(light, sizes)
+        names, at = np.unique(np.concatenate(sets).astype(np.uint32).astype(np.int64) + (late.astype(np.int64) << 32), return_inverse=True)
         ends = np.cumsum(sizes)
         places = [at[a:b] for a, b in zip(ends - sizes, ends, strict=True)]  # rising, as tokens are in that order
         last = np.where(sizes < n, [p[-1] if len(p) else -1 for p in places], len(names))  # a whole set has no end
         need = np.array([shared_length(int(x), percent) for x in n])
         near = np.zeros(m, bool)
         for top, low, both in _products([_Sparse(rows, at, m)], n, percent, lambda top, low: near[top].all() and near[low].all()):
-            r, c = np.nonzero((both >= np.minimum(need[top, None], need[None, low])) & (np.arange(m)[top, None] < np.arange(m)[None, low]) & (n[top, None] * 100 >= percent * n[None, low]))
+            r, c = np.nonzero((both + 1 >= np.minimum(need[top, None], need[None, low])) & (np.arange(m)[top, None] < np.arange(m)[None, low]) & (n[top, None] * 100 >= percent * n[None, low]))
             shared, r, c = both[r, c], r + top.start, c + low.start
             within = np.empty(len(c), np.int64)  # tokens of c up to the end of r's prefix
             for j in np.unique(c):
                 of = c == j
-                within[of] = np.searchsorted(places[j], last[r[of]], "right")
+                within[of] = np.searchsorted(places[j], last[r[of]], "left")
             back = last[r] > last[c]
             inside = np.where(back, 0, sizes[r] + within)
             for i in np.unique(r[back]):
                 of = back & (r == i)
-                inside[of] = sizes[c[of]] + np.searchsorted(places[i], last[c[of]], "right")
+                inside[of] = sizes[c[of]] + np.searchsorted(places[i], last[c[of]], "left")
             total = n[r] + n[c]
-            can = inside - 2 * shared <= total - 2 * -(-percent * total // (100 + percent))
+            can = inside - 2 * (shared + 1) <= total - 2 * -(-percent * total // (100 + percent))
             near[r[can]] = True
             near[c[can]] = True
         return (np.full(near.sum(), g["leader"][0].as_py()), reps[near]) if near.any() else None
@@ -162,12 +163,13 @@ def _products(parts, n, percent: int, skip):
                 yield top, low, sum(p.product(top, low) for p in parts)
 
 
-def _cluster(percent: int):
+def _cluster(k: int, percent: int):
     """The links among a cluster's sets, or between two blocks of it, as a forest (a, b)."""
 
     def work(g):
         n, part = g["n"].to_numpy(), g["block"].to_numpy()
-        sets, reps, m = list_arrays(g["tokens"]), g["rep"].to_numpy(), len(n)
+        sets = [x.view(np.int64) for _, _, data, bounds in chunks(pa.array(g["text"].to_pylist(), pa.large_string())) for x in token_sets(data, bounds, k)]
+        sets, reps, m = [np.sort(x) for x in sets], g["rep"].to_numpy(), len(n)
         order = np.lexsort((reps, n))
         n, part, reps, sets = n[order], part[order], reps[order], [sets[i] for i in order]
         cross = len(np.unique(part)) > 1
@@ -251,8 +253,8 @@ def jaccard_components(docs: DataFrame, k: int = 3, percent: int = 90) -> DataFr
     sketches = cut(docs.select("doc_id", "text").mapInArrow(_sketch(k, percent), "doc_id long, n_shingles long, digest binary, tokens array<long>"))
     rows = sketches.count()
     empty = sketches.filter("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
-    classes = sketches.filter("n_shingles > 0").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("n_shingles").alias("n"))
-    classes = cut(classes.join(sketches.filter("n_shingles > 0").groupBy("digest").agg(F.first("tokens").alias("tokens")), "digest").filter("rep IS NOT NULL"))
+    classes = sketches.filter("n_shingles > 0").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("n_shingles").alias("n"), F.first("tokens").alias("tokens"))
+    classes = cut(classes.filter("rep IS NOT NULL"))
 
     # the prefixes in the order of the hashes, frequent tokens moved to the end
     size = prefix_column(F.col("n"), percent)
@@ -260,11 +262,13 @@ def jaccard_components(docs: DataFrame, k: int = 3, percent: int = 90) -> DataFr
     listed = classes.agg(F.sum(size)).first()[0] or 0
     often = counts.filter(F.col("df") > max(FREQUENT, listed * FREQUENT_SHARE)).select("token")
     frequent = np.sort(often.toPandas()["token"].to_numpy(np.int64))  # under 1 / FREQUENT_SHARE of them
-    kind = "digest binary, rep long, n long, tokens array<long>"
+    kind = "digest binary, rep long, n long, tokens array<long>, light long"
     shown = cut(classes.mapInArrow(_prefixes(frequent, percent, False), kind))
     lacking = shown.filter("tokens IS NULL").select("digest", "rep", "n")
-    late = _full_sets(docs, lacking, k).mapInArrow(_prefixes(frequent, percent, True), kind)
-    index = cut(shown.filter("tokens IS NOT NULL").unionByName(late))
+    late = cut(_full_sets(docs, lacking, k).mapInArrow(_prefixes(frequent, percent, True), kind))
+    index = shown.filter("tokens IS NOT NULL").unionByName(late)
+
+    # a list's first class leads it
     listed_all = index.select("rep", F.explode("tokens").alias("token"))
     late_token = F.broadcast(often.withColumn("often", F.lit(True)))
     few = W.partitionBy("token")  # of a token that is not frequent
@@ -278,9 +282,10 @@ def jaccard_components(docs: DataFrame, k: int = 3, percent: int = 90) -> DataFr
     least = prefix_column(F.ceil(F.col("n") * percent / 100), percent)
     able = shared.groupBy("rep").agg(F.sum("tokens_led").alias("held")).join(index.select("rep", "n").distinct(), "rep").filter(F.col("held") > F.floor(least / 2)).select("rep")
     members = cut(shared.select("leader", "rep").join(able, "rep"))
-    near = cut(grouped(_deal(members, index, listed), ["leader", "lo", "hi"], _near_prefixes(frequent, percent), "leader long, rep long").distinct())
-    sets = cut(_full_sets(docs, classes.join(near.select("rep").distinct(), "rep", "left_semi").select("digest", "rep", "n"), k))
-    edges = cut(grouped(_deal(near, sets, listed), ["leader", "lo", "hi"], _cluster(percent), "a long, b long"))
+    upper = F.transform("tokens", lambda x: F.shiftright(x, 32).cast("int")).alias("tokens")
+    near = cut(grouped(_deal(members, index.select("rep", "n", upper, "light"), listed), ["leader", "lo", "hi"], _near_prefixes(percent), "leader long, rep long").distinct())
+    texts = _texts(docs, classes.join(near.select("rep").distinct(), "rep", "left_semi").select("digest", "rep", "n"), k)
+    edges = cut(grouped(_deal(near, texts, listed), ["leader", "lo", "hi"], _cluster(k, percent), "a long, b long"))
     found = components(edges).withColumnRenamed("id", "rep")
     named = classes.select("digest", "rep", "copies").join(found, "rep", "left").select("digest", "copies", F.coalesce("component", "rep").alias("component_id"))
     out = join_groups(sketches.filter("n_shingles > 0").select("doc_id", "n_shingles", "digest"), named, "digest", "copies", max(1, rows)).select("doc_id", "n_shingles", "component_id")
@@ -289,12 +294,12 @@ def jaccard_components(docs: DataFrame, k: int = 3, percent: int = 90) -> DataFr
 
 
 def _deal(members: DataFrame, sets: DataFrame, total: int) -> DataFrame:
-    """The classes (rep, n, tokens) of each cluster (leader, rep), those of a large one by pairs of blocks (lo, hi)."""
+    """The classes (rep and more columns) of each cluster (leader, rep), those of a large one by pairs of blocks (lo, hi)."""
     sizes = members.groupBy("leader").agg(F.count("*").alias("members")).filter("members > 1")
     dealt = join_groups(members, sizes, "leader", "members", max(1, total)).withColumn("blocks", F.ceil(F.col("members") / BLOCK).cast("int"))
     dealt = dealt.withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = dealt.select("leader", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "rep")
-    return dealt.join(sets.select("rep", "n", "tokens"), "rep")
+    return dealt.join(sets, "rep")
 
 
 def prefix_column(n, percent: int):
@@ -308,6 +313,18 @@ def _full_sets(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
     return made.join(wanted, "digest").groupBy("digest", "rep", "n").agg(F.first("tokens").alias("tokens"))
 
 
+def _texts(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
+    """(rep, n, text) of the wanted classes (digest, rep, n)."""
+
+    def over(batches):
+        for batch in batches:
+            made = [_digest(x) for _, _, data, bounds in chunks(batch.column(0)) for x in token_sets(data, bounds, k)]
+            yield pa.RecordBatch.from_arrays([pa.array(made, pa.binary()), batch.column(0)], names=["digest", "text"])
+
+    texts = having(docs.select("doc_id", "text"), wanted.select(F.col("rep").alias("doc_id")).distinct(), "doc_id").select("text").mapInArrow(over, "digest binary, text string")
+    return texts.join(wanted, "digest").dropDuplicates(["digest"]).select("rep", "n", "text")
+
+
 def one_of_each(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """docs without near copies: of each component the rows with its smallest doc_id. Columns stay; rows without doc_id stay."""
     gone = jaccard_components(docs, k, percent).filter("doc_id <> component_id").select("doc_id").distinct()
