@@ -1,0 +1,13 @@
+"""Boxes and points."""
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+
+def topmost(spark: SparkSession, boxes: DataFrame, points: list[tuple[float, float]], order: str) -> DataFrame:
+    """For each of the given points the box (x0, x1, y0, y1) with the largest `order` that holds it, or null: (x, y, order)."""
+    at = spark.createDataFrame([(int(x), float(y)) for x, y in points], "x int, y double")
+    held = (F.col("x") >= F.col("x0")) & (F.col("x") <= F.col("x1")) & (F.col("y") >= F.col("y0")) & (F.col("y") <= F.col("y1"))
+    # the points are a literal of the query, and a box holds few of them: boxes are scanned once, without a shuffle of them
+    found = boxes.join(F.broadcast(at), held).groupBy("x", "y").agg(F.max(order).alias(order))
+    return at.join(found, ["x", "y"], "left").select("x", "y", order)
