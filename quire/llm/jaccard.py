@@ -107,7 +107,7 @@ def _prefixes(frequent: np.ndarray, percent: int, whole: bool):
 
 
 def _near_prefixes(percent: int):
-    """The classes of a cluster whose prefix agrees so far with another one's that the sets can still link: (leader, rep).
+    """Which classes of a cluster have prefixes that agree so far that the sets can still link, as a forest (a, b).
 
     Linked sets differ in few tokens altogether, so in few up to the place where the shorter of both prefixes ends. Tokens
     come as their upper 32 bits, the frequent ones last; where two coincide, a pair may pass that need not, but none fails.
@@ -127,8 +127,8 @@ def _near_prefixes(percent: int):
         places = [at[a:b] for a, b in zip(ends - sizes, ends, strict=True)]  # rising, as tokens are in that order
         last = np.where(sizes < n, [p[-1] if len(p) else -1 for p in places], len(names))  # a whole set has no end
         need = np.array([shared_length(int(x), percent) for x in n])
-        near = np.zeros(m, bool)
-        for top, low, both in _products([_Sparse(rows, at, m)], n, percent, lambda top, low: near[top].all() and near[low].all()):
+        forest = Forest(m)
+        for top, low, both in _products([_Sparse(rows, at, m)], n, percent, lambda top, low: len(np.unique(forest.root[np.r_[top, low]])) == 1):
             r, c = np.nonzero((both + 1 >= np.minimum(need[top, None], need[None, low])) & (np.arange(m)[top, None] < np.arange(m)[None, low]) & (n[top, None] * 100 >= percent * n[None, low]))
             shared, r, c = both[r, c], r + top.start, c + low.start
             within = np.empty(len(c), np.int64)  # tokens of c up to the end of r's prefix
@@ -142,9 +142,9 @@ def _near_prefixes(percent: int):
                 inside[of] = sizes[c[of]] + np.searchsorted(places[i], last[c[of]], "left")
             total = n[r] + n[c]
             can = inside - 2 * (shared + 1) <= total - 2 * -(-percent * total // (100 + percent))
-            near[r[can]] = True
-            near[c[can]] = True
-        return (np.full(near.sum(), g["leader"][0].as_py()), reps[near]) if near.any() else None
+            forest.add(r[can], c[can])
+        other = forest.root != np.arange(m)
+        return (reps[other], reps[forest.root[other]]) if other.any() else None
 
     return work
 
@@ -283,7 +283,8 @@ def jaccard_components(docs: DataFrame, k: int = 3, percent: int = 90) -> DataFr
     able = shared.groupBy("rep").agg(F.sum("tokens_led").alias("held")).join(index.select("rep", "n").distinct(), "rep").filter(F.col("held") > F.floor(least / 2)).select("rep")
     members = cut(shared.select("leader", "rep").join(able, "rep"))
     upper = F.transform("tokens", lambda x: F.shiftright(x, 32).cast("int")).alias("tokens")
-    near = cut(grouped(_deal(members, index.select("rep", "n", upper, "light"), listed), ["leader", "lo", "hi"], _near_prefixes(percent), "leader long, rep long").distinct())
+    maybe = cut(grouped(_deal(members, index.select("rep", "n", upper, "light"), listed), ["leader", "lo", "hi"], _near_prefixes(percent), "a long, b long"))
+    near = cut(components(maybe).select(F.col("component").alias("leader"), F.col("id").alias("rep")))  # each class once
     texts = _texts(docs, classes.join(near.select("rep").distinct(), "rep", "left_semi").select("digest", "rep", "n"), k)
     edges = cut(grouped(_deal(near, texts, listed), ["leader", "lo", "hi"], _cluster(k, percent), "a long, b long"))
     found = components(edges).withColumnRenamed("id", "rep")
