@@ -16,7 +16,12 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+#: Rows of an Arrow batch: texts are long, and a worker holds a batch more than once.
+BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch", "1000"
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    spark.conf.set(*BATCH)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
