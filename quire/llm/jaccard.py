@@ -278,10 +278,14 @@ def jaccard_components(docs: DataFrame, k: int = 3, percent: int = 90) -> DataFr
     many = join_groups(many, leaders, "token", "df", max(1, listed)).select("rep", "leader", "df")
     shared = cut(rare.unionByName(many).groupBy("leader", "rep").agg(F.count("*").alias("tokens_led")))
 
-    # of all its prefix tokens, a class that links shares as many as the smallest set it can link with asks for
-    least = prefix_column(F.ceil(F.col("n") * percent / 100), percent)
-    able = shared.groupBy("rep").agg(F.sum("tokens_led").alias("held")).join(index.select("rep", "n").distinct(), "rep").filter(F.col("held") > F.floor(least / 2)).select("rep")
-    members = cut(shared.select("leader", "rep").join(able, "rep"))
+    # A class that links shares with its partner as many prefix tokens as the smallest set it can link with asks for. If each
+    # of both leaves lists with less than half of these, they still meet in one; so a class leaves its shortest lists, as
+    # many as that allows, and takes part at all only if it has that many tokens in lists.
+    own = W.partitionBy("rep")  # as many rows as a prefix has tokens, at most
+    least = F.floor(prefix_column(F.ceil(F.col("n") * percent / 100), percent) / 2) + 1
+    held = shared.withColumn("held", F.sum("tokens_led").over(own)).withColumn("upto", F.sum("tokens_led").over(own.orderBy("tokens_led", "leader").rowsBetween(W.unboundedPreceding, 0)))
+    able = held.join(index.select("rep", "n").distinct(), "rep").filter((F.col("held") >= least) & (F.col("upto") > F.floor((least - 1) / 2)))
+    members = cut(able.select("leader", "rep"))
     upper = F.transform("tokens", lambda x: F.shiftright(x, 32).cast("int")).alias("tokens")
     maybe = cut(grouped(_deal(members, index.select("rep", "n", upper, "light"), listed), ["leader", "lo", "hi"], _near_prefixes(percent), "a long, b long"))
     near = cut(components(maybe).select(F.col("component").alias("leader"), F.col("id").alias("rep")))  # each class once
