@@ -19,7 +19,7 @@ from .words import _power, chunks, mix
 
 WIDTH, GRAM = 400, 64
 #: Strings that one suffix array sorts; successive small groups share one.
-STRINGS = 200_000
+STRINGS = 64_000
 #: An anchor with more regions than this leaves the suffix arrays: its strings are counted by 128-bit fingerprint in a shuffle.
 MOST_REGIONS = 16_384
 #: Bytes of a long text that are looked at together, under 2 ** 24.
@@ -67,9 +67,39 @@ def anchors(data: np.ndarray, bounds: np.ndarray, width: int = WIDTH, gram: int
     return tuple(np.concatenate(c) for c in zip(*parts, strict=True)) if parts else (np.zeros(0, np.int64),) * 4
 
 
+def sort_directly(text: np.ndarray, at: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """The starts `at` in the order of the bytes from each on to its end; what ends sooner goes before what it begins.
+
+    Eight bytes are compared at once, and only starts that agree so far are looked at further, so no string is copied.
+    """
+    padded = np.concatenate([text, np.zeros(8, np.uint8)])
+    word = np.zeros(len(text) + 1, np.uint64)
+    for i in range(8):
+        word = (word << np.uint64(8)) | padded[i : i + len(text) + 1]
+    mask = np.array([0, *(((1 << 8 * r) - 1) << 8 * (8 - r) for r in range(1, 9))], np.uint64)
+    size = ends - at
+    order = np.argsort(size, kind="stable")
+    at, size = at[order], size[order]
+    slots, group = np.arange(len(at)), np.zeros(len(at), np.int64)
+    for depth in range(0, int(size.max(initial=0)), 8):
+        key = word[np.minimum(at[slots] + depth, len(text))] & mask[np.clip(size[slots] - depth, 0, 8)]
+        inside = group[1:] == group[:-1]
+        mixed = np.zeros(int(group.max(initial=0)) + 1, bool)
+        mixed[group[1:][inside & (key[1:] != key[:-1])]] = True
+        some = mixed[group]
+        if some.any():
+            by, own = np.lexsort((key[some], group[some])), slots[some]
+            at[own], size[own], key[some] = at[own][by], size[own][by], key[some][by]
+        group = np.cumsum(np.r_[False, (key[1:] != key[:-1]) | ~inside])
+        tied = np.bincount(group)[group] > 1
+        slots, group = slots[tied], group[tied]
+        if not len(slots):
+            break
+    return at
+
+
 def two_stage(text: np.ndarray, spans: list[tuple[int, int]], width: int) -> np.ndarray:
     """The starts in `spans` (first, end of the starts; each followed by width - 1 more bytes) in the order of the `width` bytes from them on."""
-    body = text.tobytes()
     n = len(text)
     step = np.sign(np.diff(text.astype(np.int16), append=256)).astype(np.int8)
     # equal bytes go as the next unequal ones do
@@ -91,11 +121,10 @@ def two_stage(text: np.ndarray, spans: list[tuple[int, int]], width: int) -> np.
         wanted[a:b] = True
         first[a] = True
     direct = np.flatnonzero(member & rises)
-    ends = np.empty(n, np.int64)
+    ends = np.empty(n, np.int32)
     for a, b in spans:
         ends[a : min(n, b + width - 1)] = b + width - 1
-    keys = [body[i:j] for i, j in zip(direct.tolist(), np.minimum(direct + width, ends[direct]).tolist(), strict=True)]
-    direct = direct[np.array(sorted(range(len(keys)), key=keys.__getitem__), np.int64)]
+    direct = sort_directly(text, direct, np.minimum(direct + width, ends[direct]))
     own = text[direct]
     order = np.argsort(own, kind="stable")
     direct, own = direct[order], own[order]

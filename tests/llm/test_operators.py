@@ -142,6 +142,15 @@ def test_passages(spark, none):
     assert all(r.n_words >= 60 and r.similarity >= 0.8 for r in rows) and not passages.near_passages(none).collect()
 
 
+def test_direct_sorting():
+    for trial in range(100):
+        text = np.frombuffer(bytes(random.choice(b"\0a" if trial % 2 else b"ab\xff") for _ in range(random.randint(0, 200))), np.uint8)
+        at = np.array(random.sample(range(len(text)), len(text) // 2), np.int64)
+        ends = np.minimum(at + random.choice([1, 8, 9, 40]), len(text))
+        string = {int(a): text[a:b].tobytes() for a, b in zip(at, ends)}
+        assert [string[int(a)] for a in suffixes.sort_directly(text, at, ends)] == sorted(string.values())
+
+
 def test_two_stage_sorting_finds_repeats():
     for trial in range(200):
         width = random.choice([3, 5, 8])
