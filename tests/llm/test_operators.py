@@ -142,6 +142,30 @@ def test_passages(spark, none):
     assert all(r.n_words >= 60 and r.similarity >= 0.8 for r in rows) and not passages.near_passages(none).collect()
 
 
+def test_passages_of_a_pair():
+    dice = np.random.default_rng(11)
+    fresh = lambda n: dice.integers(1, 1 << 62, n).astype(np.uint64)
+    runs = lambda n: np.repeat(fresh(n), dice.integers(1, 40, n))
+    for case in range(40):
+        part = (fresh(int(dice.integers(46, 400))), np.concatenate([fresh(30), runs(3), fresh(30)]), np.tile(fresh(7), 20), np.concatenate([fresh(5), runs(1), fresh(50), runs(2)]))[case % 4]
+        side = (fresh, runs)[case // 4 % 2]
+        at = int(dice.integers(0, 3))
+        a, b = np.concatenate([side(9), part, side(5)]), np.concatenate([*[side(6)] * at, part, side(8), part[:20]])
+        signatures = np.concatenate([np.intersect1d(passages._signature(a, i), passages._signature(b, i)) for i in range(len(passages.SEEDS))])
+        found = passages.passages(a, b, signatures)
+        start = next(i for i in range(len(a)) if np.array_equal(a[i : i + len(part)], part))
+        inside = np.zeros(len(a), bool)
+        for x0, x1, y0, y1, like in found:
+            one, two = set(a[x0:x1].tolist()), set(b[y0:y1].tolist())
+            assert like >= 0.8 and like == len(one & two) / len(one | two)
+            inside[x0:x1] = True
+        assert inside[start : start + len(part)].mean() > 0.9, case
+    junk = [np.concatenate([np.repeat(fresh(1), 32) for _ in range(8)]) for _ in range(2)]
+    junk[1][:32] = junk[0][:32]
+    assert passages.passages(*junk, passages._signature(junk[0][:1], 0)) == []
+    assert passages.passages(fresh(10), fresh(100), np.zeros(0, np.int64)) == []
+
+
 def test_direct_sorting():
     for trial in range(100):
         text = np.frombuffer(bytes(random.choice(b"\0a" if trial % 2 else b"ab\xff") for _ in range(random.randint(0, 200))), np.uint8)
