@@ -22,8 +22,6 @@ WIDTH = PASSAGE_WORDS - SHINGLE + 1
 SEEDS = tuple(np.uint64(x) for x in (0x243F6A8885A308D3, 0x13198A2E03707344, 0xA4093822299F31D0))
 #: Words by which a passage may shift against its copy, one way or the other.
 SHIFT = 8
-#: Hash functions out of these that must agree on a pair of texts for it to be looked at.
-ENOUGH = 2
 #: Tokens on both sides of a shared signature that are compared at first; more where the passage goes on.
 REACH = 128
 #: A list's texts that do not agree with its first one form a list of their own, so often.
@@ -225,8 +223,6 @@ def near_passages(docs: DataFrame) -> DataFrame:
     for _ in range(ROUNDS):
         leaders = windows.groupBy("value").agg(F.min("cid").alias("leader"), F.count("*").alias("df")).filter("df > 1")
         met = cut(join_groups(windows, leaders, "value", "df", total).filter("cid <> leader").groupBy("leader", "cid").agg(F.collect_list("value").alias("signatures")))
-        enough = F.size(F.array_distinct(F.transform("signatures", lambda x: x.bitwiseAND(F.lit(3))))) >= ENOUGH
-        met, few = met.filter(enough), met.filter(~enough)
         sizes = met.groupBy("leader").agg(F.count("*").alias("members")).withColumn("parts", F.ceil(F.col("members") / MEMBERS).cast("int"))
         part = join_groups(met, sizes, "leader", "members", total).select("leader", F.pmod(F.xxhash64("cid"), F.col("parts")).cast("int").alias("part"), "cid", "signatures")
         first = sizes.select("leader", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("leader").alias("cid"), F.array().cast("array<long>").alias("signatures"))
@@ -235,7 +231,7 @@ def near_passages(docs: DataFrame) -> DataFrame:
         texts = having(keyed, ids, "doc_id").select("cid", "text").dropDuplicates(["cid"])
         found = cut(grouped(every.join(texts, "cid"), ["leader", "part"], _verify, "leader long, cid long, a0 long, a1 long, b0 long, b1 long, similarity double"))
         verified = found if verified is None else verified.unionByName(found)
-        apart = met.join(found.select("leader", "cid").distinct(), ["leader", "cid"], "left_anti").unionByName(few)
+        apart = met.join(found.select("leader", "cid").distinct(), ["leader", "cid"], "left_anti")
         windows = cut(apart.select("cid", F.explode("signatures").alias("value")))
     plus = SHINGLE - 1
     name = classes.select("cid", "rep")

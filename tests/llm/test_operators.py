@@ -142,6 +142,30 @@ def test_passages(spark, none):
     assert all(r.n_words >= 60 and r.similarity >= 0.8 for r in rows) and not passages.near_passages(none).collect()
 
 
+def _found(spark, texts):
+    rows = passages.near_passages(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()
+    return {r.doc_id: r.component_id for r in rows}
+
+
+def _fresh(n, seed):
+    dice = random.Random(seed)
+    return [f"v{dice.randrange(10**9)}" for _ in range(n)]
+
+
+def test_passages_of_pairs_that_agree_in_one_hash(spark):
+    changed, at = {}, 0
+    for seed in range(4000):  # pairs with one word changed whose windows agree under one function only
+        a = _fresh(50, seed)
+        b = [*a[:24], "other", *a[25:]]
+        own = [passages._tokens(" ".join(x)) for x in (a, b)]
+        if sum(len(np.intersect1d(*(t[passages.nodes(t, np.ones(len(t), bool), s, passages.WIDTH)] for t in own))) for s in passages.SEEDS) == 1:
+            changed |= {at: " ".join(a), at + 1: " ".join(b)}
+            at += 2
+        if at == 8:
+            break
+    assert at == 8 and _found(spark, changed) == {i: i // 2 * 2 for i in range(8)}
+
+
 def test_passages_of_a_pair():
     dice = np.random.default_rng(11)
     fresh = lambda n: dice.integers(1, 1 << 62, n).astype(np.uint64)
