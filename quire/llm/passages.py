@@ -190,8 +190,22 @@ def _jaccard(a: set, b: set) -> float:
     return both / max(1, len(a) + len(b) - both)
 
 
+def _settled(tokens: np.ndarray, signatures: np.ndarray, found: list[tuple]) -> list[int]:
+    """Those of the signatures whose every place in a pair's second text lies in one of the passages found."""
+    done = np.zeros(len(tokens), bool)
+    for p in found:
+        done[p[2] : p[3]] = True
+    out = []
+    for i in range(len(SEEDS)):
+        at = nodes(tokens, np.ones(len(tokens), bool), SEEDS[i], WIDTH)
+        value = _signature(tokens[at], i)
+        out.extend(np.setdiff1d(np.intersect1d(signatures[signatures & 3 == i], value), value[~done[at]]).tolist())
+    return out
+
+
 def _verify(g):
-    """A list's first text against its others: (leader, cid, spans of both, similarity)."""
+    """A leader against others: (leader, cid, spans of both, similarity, 0) for each passage, and (leader, cid, zeros, value) for
+    each signature of cid that needs no other partner."""
     texts, cids, signatures = g["text"].to_pylist(), g["cid"].to_pylist(), g["signatures"].to_pylist()
     leader = g["leader"][0].as_py()
     if leader not in cids:
@@ -199,7 +213,11 @@ def _verify(g):
     base, out = _tokens(texts[cids.index(leader)]), []
     for text, cid, s in zip(texts, cids, signatures, strict=True):
         if cid != leader:
-            out.extend((leader, cid, *p) for p in passages(base, _tokens(text), np.array(s, np.int64)))
+            own, s = _tokens(text), np.array(s, np.int64)
+            found = passages(base, own, s)
+            out.extend((leader, cid, *p, 0) for p in found)
+            if found:
+                out.extend((leader, cid, 0, 0, 0, 0, 0.0, v) for v in _settled(own, s, found))
     return tuple(np.array(c) for c in zip(*out, strict=True)) if out else None
 
 
@@ -229,10 +247,11 @@ def near_passages(docs: DataFrame) -> DataFrame:
         every = part.unionByName(first)
         ids = classes.join(every.select("cid").distinct(), "cid", "left_semi").select(F.col("rep").alias("doc_id")).distinct()
         texts = having(keyed, ids, "doc_id").select("cid", "text").dropDuplicates(["cid"])
-        found = cut(grouped(every.join(texts, "cid"), ["leader", "part"], _verify, "leader long, cid long, a0 long, a1 long, b0 long, b1 long, similarity double"))
+        found = cut(grouped(every.join(texts, "cid"), ["leader", "part"], _verify, "leader long, cid long, a0 long, a1 long, b0 long, b1 long, similarity double, value long"))
         verified = found if verified is None else verified.unionByName(found)
-        apart = met.join(found.select("leader", "cid").distinct(), ["leader", "cid"], "left_anti")
-        windows = cut(apart.select("cid", F.explode("signatures").alias("value")))
+        open_ = met.select("leader", "cid", F.explode("signatures").alias("value"))
+        windows = cut(open_.join(found.filter("a1 = 0").select("leader", "cid", "value"), ["leader", "cid", "value"], "left_anti").select("cid", "value"))
+    verified = verified.filter("a1 > 0")
     plus = SHINGLE - 1
     name = classes.select("cid", "rep")
     there = verified.select("cid", F.col("b0").alias("first_word"), (F.col("b1") - F.col("b0") + plus).alias("n_words"), F.col("leader").alias("near"), F.col("a0").alias("near_first_word"), (F.col("a1") - F.col("a0") + plus).alias("near_n_words"), "similarity")

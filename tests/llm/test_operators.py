@@ -166,6 +166,17 @@ def test_passages_of_pairs_that_agree_in_one_hash(spark):
     assert at == 8 and _found(spark, changed) == {i: i // 2 * 2 for i in range(8)}
 
 
+def test_a_signature_outside_a_passage_stays_open():
+    token = np.random.default_rng(3).integers(1, 1 << 62, 400).astype(np.uint64)
+    ones = lambda t: np.concatenate([passages._signature(t[passages.nodes(t, np.ones(len(t), bool), s, passages.WIDTH)], i) for i, s in enumerate(passages.SEEDS)])
+    whole = ones(token)
+    inside = np.setdiff1d(ones(token[:150]), ones(token[150:]))
+    got = passages._settled(token, whole, [(0, 150, 0, 150, 1.0)])
+    at = {int(passages._signature(token[x : x + 1], i)[0]): x for x in range(400) for i in range(3)}
+    assert got and all(at[v] < 150 for v in got) and set(got) >= {v for v in inside.tolist() if v in whole and at[v] < 150}
+    assert any(at[v] >= 150 for v in whole.tolist())
+
+
 def test_passages_of_a_pair():
     dice = np.random.default_rng(11)
     fresh = lambda n: dice.integers(1, 1 << 62, n).astype(np.uint64)
