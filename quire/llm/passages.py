@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, grouped, having, join_groups
+from .common import cut, grouped, having, join_groups, list_arrays
 from .graph import components
 from .suffixes import _minima
 from .words import chunks, mix, shingles, words
@@ -24,8 +24,12 @@ SEEDS = tuple(np.uint64(x) for x in (0x243F6A8885A308D3, 0x13198A2E03707344, 0xA
 SHIFT = 8
 #: Tokens on both sides of a shared signature that are compared at first; more where the passage goes on.
 REACH = 128
-#: A list's texts that do not agree with its first one form a list of their own, so often.
+#: Rounds in which a list's texts are compared with one of them, before those that are left are compared with each other.
 ROUNDS = 2
+#: Tokens that a passage has in common with its copy, at least, and how far from a shared one they are counted.
+NEED, AROUND = -(-2 * PERCENT * WIDTH // (100 + PERCENT)), 2 * WIDTH
+#: Windows of a list whose surroundings one task compares with those of as many others.
+BLOCK = 512
 #: Texts that one task compares with a list's first.
 MEMBERS = 256
 
@@ -221,6 +225,70 @@ def _verify(g):
     return tuple(np.array(c) for c in zip(*out, strict=True)) if out else None
 
 
+def _near_rows(batches):
+    """(value, label, cid, tokens near it) of each different place of a text's signatures; rows are cid, text and (value, label)s."""
+    for batch in batches:
+        out = ([], [], [], [])
+        for cid, text, own in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+            tokens, label = _tokens(text), {x["value"]: x["label"] for x in own}
+            for i in range(len(SEEDS)):
+                at = nodes(tokens, np.ones(len(tokens), bool), SEEDS[i], WIDTH)
+                seen = set()
+                for x, v in zip(at.tolist(), _signature(tokens[at], i).tolist(), strict=True):
+                    near = tokens[max(0, x - AROUND) : x + AROUND + 1].view(np.int64)
+                    if v in label and (v, near.tobytes()) not in seen:
+                        seen.add((v, near.tobytes()))
+                        for column, y in zip(out, (v, label[v], cid, near), strict=True):
+                            column.append(y)
+        if out[0]:
+            ends = pa.array(np.cumsum([0, *map(len, out[3])]), pa.int32())
+            yield pa.RecordBatch.from_arrays([*(pa.array(x, pa.int64()) for x in out[:3]), pa.ListArray.from_arrays(ends, pa.array(np.concatenate(out[3])))], names=["value", "label", "cid", "near"])
+
+
+def _alike(g):
+    """(cid, cid, value) of the windows of a list that have NEED tokens in common at least and different labels."""
+    near, label, cid = list_arrays(g["near"]), g["label"].to_numpy(), g["cid"].to_numpy()
+    names, at = np.unique(np.concatenate(near), return_inverse=True)
+    both, times = np.unique(np.repeat(np.arange(len(near)), [len(x) for x in near]) * len(names) + at, return_counts=True)
+    row, token = np.divmod(both, len(names))
+    shared = np.bincount(token)[token] > 1
+    kept, token = np.unique(token[shared], return_inverse=True)
+    count = np.zeros((len(near), len(kept)), np.float32)
+    count[row[shared], token] = times[shared]
+    hits = count @ (count > 0).astype(np.float32).T
+    i, j = np.nonzero((np.maximum(hits, hits.T) >= NEED) & (label[:, None] != label) & (cid[:, None] < cid))
+    return (cid[i], cid[j], np.repeat(g["value"][0].as_py(), len(i))) if len(i) else None
+
+
+def _compared(keyed: DataFrame, met: DataFrame, total: int) -> DataFrame:
+    """What _verify finds between the pairs (leader, cid, signatures)."""
+    sizes = met.groupBy("leader").agg(F.count("*").alias("members")).withColumn("parts", F.ceil(F.col("members") / MEMBERS).cast("int"))
+    part = join_groups(met, sizes, "leader", "members", total).select("leader", F.pmod(F.xxhash64("cid"), F.col("parts")).cast("int").alias("part"), "cid", "signatures")
+    first = sizes.select("leader", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("leader").alias("cid"), F.array().cast("array<long>").alias("signatures"))
+    every = part.unionByName(first)
+    texts = having(keyed, every.select("cid").distinct(), "cid").select("cid", "text").dropDuplicates(["cid"])
+    return cut(grouped(every.join(texts, "cid"), ["leader", "part"], _verify, "leader long, cid long, a0 long, a1 long, b0 long, b1 long, similarity double, value long"))
+
+
+def _left(keyed: DataFrame, met: DataFrame, verified: DataFrame, total: int) -> DataFrame:
+    """Pairs (leader, cid, signatures) that the rounds left open: those of a list whose surroundings have enough tokens in
+    common for a passage, other than two that are settled and connected already. A list's first leader was compared with all."""
+    linked = components(verified.filter("a1 > 0").select(F.col("leader").alias("a"), F.col("cid").alias("b"))).select(F.col("id").alias("cid"), "component")
+    settled = verified.filter("a1 = 0").select("value", "cid").distinct().join(linked, "cid")
+    entries = met.select("cid", F.explode("signatures").alias("value"))
+    named = cut(entries.join(settled, ["value", "cid"], "left").select("value", "cid", F.coalesce("component", F.xxhash64("cid", F.lit(1))).alias("label")))
+    lists = named.groupBy("value").agg(F.min("label").alias("least"), F.max("label").alias("most"), F.count("*").alias("df")).filter("least <> most").select("value", "df")
+    wanted = cut(join_groups(named, lists, "value", "df", total).groupBy("cid").agg(F.collect_list(F.struct("value", "label")).alias("own")))
+    texts = having(keyed, wanted.select("cid"), "cid").select("cid", "text").dropDuplicates(["cid"])
+    places = cut(texts.join(wanted, "cid").select("cid", "text", "own").mapInArrow(_near_rows, "value long, label long, cid long, near array<long>"))
+    sizes = places.groupBy("value").agg(F.count("*").alias("df"))
+    dealt = join_groups(places, sizes, "value", "df", total).withColumn("blocks", F.ceil(F.col("df") / BLOCK).cast("int"))
+    dealt = dealt.withColumn("block", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.select("value", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "label", "cid", "near")
+    pairs = grouped(dealt, ["value", "lo", "hi"], _alike, "leader long, cid long, value long")
+    return cut(pairs.groupBy("leader", "cid").agg(F.collect_set("value").alias("signatures")))
+
+
 def near_passages(docs: DataFrame) -> DataFrame:
     """The near-duplicate passages of all documents: (doc_id, first_word, n_words, near_doc_id, near_first_word, near_n_words,
     similarity, component_id).
@@ -237,20 +305,17 @@ def near_passages(docs: DataFrame) -> DataFrame:
     total = max(1, rows.count())
     classes = cut(rows.groupBy("cid").agg(F.min("doc_id").alias("rep"), F.max("doc_id").alias("other"), F.count("*").alias("copies"), F.first("n_words").alias("n_words"), F.first("signatures").alias("signatures")))
     windows = classes.select("cid", F.explode("signatures").alias("value"))
-    verified = None
-    for _ in range(ROUNDS):
-        leaders = windows.groupBy("value").agg(F.min("cid").alias("leader"), F.count("*").alias("df")).filter("df > 1")
+    verified = first_met = None
+    for n in range(ROUNDS):
+        leader = F.min("cid") if n == 0 else F.min_by("cid", F.xxhash64("cid", F.lit(n)))
+        leaders = windows.groupBy("value").agg(leader.alias("leader"), F.count("*").alias("df")).filter("df > 1")
         met = cut(join_groups(windows, leaders, "value", "df", total).filter("cid <> leader").groupBy("leader", "cid").agg(F.collect_list("value").alias("signatures")))
-        sizes = met.groupBy("leader").agg(F.count("*").alias("members")).withColumn("parts", F.ceil(F.col("members") / MEMBERS).cast("int"))
-        part = join_groups(met, sizes, "leader", "members", total).select("leader", F.pmod(F.xxhash64("cid"), F.col("parts")).cast("int").alias("part"), "cid", "signatures")
-        first = sizes.select("leader", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("leader").alias("cid"), F.array().cast("array<long>").alias("signatures"))
-        every = part.unionByName(first)
-        ids = classes.join(every.select("cid").distinct(), "cid", "left_semi").select(F.col("rep").alias("doc_id")).distinct()
-        texts = having(keyed, ids, "doc_id").select("cid", "text").dropDuplicates(["cid"])
-        found = cut(grouped(every.join(texts, "cid"), ["leader", "part"], _verify, "leader long, cid long, a0 long, a1 long, b0 long, b1 long, similarity double, value long"))
+        first_met = first_met or met
+        found = _compared(keyed, met, total)
         verified = found if verified is None else verified.unionByName(found)
         open_ = met.select("leader", "cid", F.explode("signatures").alias("value"))
         windows = cut(open_.join(found.filter("a1 = 0").select("leader", "cid", "value"), ["leader", "cid", "value"], "left_anti").select("cid", "value"))
+    verified = verified.unionByName(_compared(keyed, _left(keyed, first_met, verified, total), total))
     verified = verified.filter("a1 > 0")
     plus = SHINGLE - 1
     name = classes.select("cid", "rep")

@@ -166,6 +166,21 @@ def test_passages_of_pairs_that_agree_in_one_hash(spark):
     assert at == 8 and _found(spark, changed) == {i: i // 2 * 2 for i in range(8)}
 
 
+def test_passages_in_lists_led_by_strays(spark):
+    # many texts hold the minimal shingle of all windows of a passage that only two others share, and nothing else of it
+    share = _fresh(50, 1)
+    tokens = passages._tokens(" ".join(share))
+    at = [int(passages.nodes(tokens, np.ones(len(tokens), bool), s, passages.WIDTH)[0]) for s in passages.SEEDS]
+    strays = {}
+    for i in range(400):
+        own = _fresh(300, 100 + i)
+        for k, x in enumerate(at):
+            own[50 + 90 * k : 55 + 90 * k] = share[x : x + 5]
+        strays[i] = " ".join(own)
+    docs = strays | {1000: " ".join(share), 1001: " ".join([*share, *_fresh(60, 2)])}
+    assert _found(spark, docs) == {1000: 1000, 1001: 1000}
+
+
 def test_a_signature_outside_a_passage_stays_open():
     token = np.random.default_rng(3).integers(1, 1 << 62, 400).astype(np.uint64)
     ones = lambda t: np.concatenate([passages._signature(t[passages.nodes(t, np.ones(len(t), bool), s, passages.WIDTH)], i) for i, s in enumerate(passages.SEEDS)])
