@@ -12,6 +12,9 @@ HEAVY_KEYS = 1000
 #: Ids that may be broadcast to select rows; beyond it the selection is a shuffled join.
 BROADCAST_IDS = 1_000_000
 
+#: Vertices from here on stand for texts that have no doc_id.
+NAMELESS = 1 << 62
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -63,6 +66,11 @@ def ascii_lower(text):
     return F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))
 
 
+def nameless(key):
+    """The vertex of a text without doc_id, by the text's key; it comes after all doc_ids."""
+    return F.xxhash64(key).bitwiseAND(F.lit(NAMELESS - 1)) + F.lit(NAMELESS)
+
+
 def word_count(text):
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import cut, grouped, having, join_groups, list_arrays
+from .common import NAMELESS, cut, grouped, having, join_groups, list_arrays, nameless
 from .graph import components
 from .near_vectors import Forest
 from .words import chunks, mix, shingles, words
@@ -248,13 +248,13 @@ def jaccard_components(docs: DataFrame, k: int = 3, percent: int = 90) -> DataFr
     Words are runs of non-white-space after lower-casing A-Z. Documents link when 100 * intersection >= percent * union of
     their sets of k-word shingles; texts of fewer words have one shingle, null and blank texts none and no link. The
     component is the smallest doc_id that links reach. Rows with the same doc_id are one vertex. A null doc_id takes part and
-    has its own null as component. Shingles are 64-bit hashes.
+    has its own null as component; doc_ids lie under NAMELESS. Shingles are 64-bit hashes.
     """
     sketches = cut(docs.select("doc_id", "text").mapInArrow(_sketch(k, percent), "doc_id long, n_shingles long, digest binary, tokens array<long>"))
     rows = sketches.count()
     empty = sketches.filter("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
-    classes = sketches.filter("n_shingles > 0").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("n_shingles").alias("n"), F.first("tokens").alias("tokens"))
-    classes = cut(classes.filter("rep IS NOT NULL"))
+    classes = sketches.filter("n_shingles > 0").groupBy("digest").agg(F.min(F.coalesce("doc_id", nameless(F.col("digest")))).alias("rep"), F.count("*").alias("copies"), F.first("n_shingles").alias("n"), F.first("tokens").alias("tokens"))
+    classes = cut(classes)
 
     # the prefixes in the order of the hashes, frequent tokens moved to the end
     size = prefix_column(F.col("n"), percent)
@@ -292,10 +292,9 @@ def jaccard_components(docs: DataFrame, k: int = 3, percent: int = 90) -> DataFr
     texts = _texts(docs, classes.join(near.select("rep").distinct(), "rep", "left_semi").select("digest", "rep", "n"), k)
     edges = cut(grouped(_deal(near, texts, listed), ["leader", "lo", "hi"], _cluster(k, percent), "a long, b long"))
     found = components(edges).withColumnRenamed("id", "rep")
-    named = classes.select("digest", "rep", "copies").join(found, "rep", "left").select("digest", "copies", F.coalesce("component", "rep").alias("component_id"))
-    out = join_groups(sketches.filter("n_shingles > 0").select("doc_id", "n_shingles", "digest"), named, "digest", "copies", max(1, rows)).select("doc_id", "n_shingles", "component_id")
-    rest = sketches.filter("n_shingles > 0 AND doc_id IS NULL").join(named.select("digest"), "digest", "left_anti").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
-    return out.unionByName(empty).unionByName(rest)
+    named = classes.select("digest", "rep", "copies").join(found, "rep", "left").select("digest", "rep", "copies", F.coalesce("component", "rep").alias("component_id"))
+    out = join_groups(sketches.filter("n_shingles > 0").select("doc_id", "n_shingles", "digest"), named, "digest", "copies", max(1, rows)).select("doc_id", "n_shingles", F.when(F.col("rep") < NAMELESS, F.col("component_id")).alias("component_id"))
+    return out.unionByName(empty)
 
 
 def _deal(members: DataFrame, sets: DataFrame, total: int) -> DataFrame:
@@ -311,9 +310,15 @@ def prefix_column(n, percent: int):
     return n - F.ceil(n * percent / 100) + 1
 
 
+def _standing(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The rows (doc_id, text) among which are the texts of the wanted classes: those of their reps, and those without doc_id."""
+    rows = docs.select("doc_id", "text")
+    return having(rows, wanted.select(F.col("rep").alias("doc_id")).distinct(), "doc_id").unionByName(rows.filter("doc_id IS NULL"))
+
+
 def _full_sets(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
     """(digest, rep, n, tokens) of the wanted classes (digest, rep, n), from the texts of the rows that stand for them."""
-    texts = having(docs.select("doc_id", "text"), wanted.select(F.col("rep").alias("doc_id")).distinct(), "doc_id")
+    texts = _standing(docs, wanted)
     made = texts.mapInArrow(_sets(k), "digest binary, tokens array<long>")
     return made.join(wanted, "digest").groupBy("digest", "rep", "n").agg(F.first("tokens").alias("tokens"))
 
@@ -326,7 +331,7 @@ def _texts(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
             made = [_digest(x) for _, _, data, bounds in chunks(batch.column(0)) for x in token_sets(data, bounds, k)]
             yield pa.RecordBatch.from_arrays([pa.array(made, pa.binary()), batch.column(0)], names=["digest", "text"])
 
-    texts = having(docs.select("doc_id", "text"), wanted.select(F.col("rep").alias("doc_id")).distinct(), "doc_id").select("text").mapInArrow(over, "digest binary, text string")
+    texts = _standing(docs, wanted).select("text").mapInArrow(over, "digest binary, text string")
     return texts.join(wanted, "digest").dropDuplicates(["digest"]).select("rep", "n", "text")
 
 

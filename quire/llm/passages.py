@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, grouped, having, join_groups, list_arrays
+from .common import NAMELESS, cut, grouped, having, join_groups, list_arrays, nameless
 from .graph import components
 from .suffixes import _minima
 from .words import chunks, mix, shingles, words
@@ -297,13 +297,13 @@ def near_passages(docs: DataFrame) -> DataFrame:
     similarity of at least PERCENT percent of their 5-word shingles, and where that one has it. A document without such
     a passage has no row; one whose whole text, of that length, stands in other rows too has a row for it. component_id is the
     smallest doc_id that passages connect. Null and short texts have none; texts are told apart by a 64-bit digest. Rows
-    with the same doc_id are one document.
+    with the same doc_id are one document. A text without doc_id takes part and links others; doc_ids lie under NAMELESS.
     """
     body = F.coalesce(F.col("text"), F.lit(""))
     keyed = docs.select("doc_id", F.xxhash64(F.sha2(body.cast("binary"), 256)).alias("cid"), body.alias("text"))
     rows = cut(keyed.mapInArrow(_windows(WIDTH), "doc_id long, cid long, n_words long, signatures array<long>"))
     total = max(1, rows.count())
-    classes = cut(rows.groupBy("cid").agg(F.min("doc_id").alias("rep"), F.max("doc_id").alias("other"), F.count("*").alias("copies"), F.first("n_words").alias("n_words"), F.first("signatures").alias("signatures")))
+    classes = cut(rows.groupBy("cid").agg(F.min("doc_id").alias("rep"), F.min(F.coalesce("doc_id", nameless(F.col("cid")))).alias("vertex"), F.max("doc_id").alias("other"), F.count("*").alias("copies"), F.first("n_words").alias("n_words"), F.first("signatures").alias("signatures")))
     windows = classes.select("cid", F.explode("signatures").alias("value"))
     verified = first_met = None
     for n in range(ROUNDS):
@@ -326,9 +326,10 @@ def near_passages(docs: DataFrame) -> DataFrame:
     zero = F.lit(0).cast("long")
     whole = classes.filter((F.col("copies") > 1) & (F.col("n_words") >= PASSAGE_WORDS)).select("cid", F.struct(zero.alias("first_word"), "n_words", F.col("rep").alias("near_doc_id"), zero.alias("near_first_word"), F.col("n_words").alias("near_n_words"), F.lit(1.0).alias("similarity")).alias("s"))
     listed = cut(spans.unionByName(whole).groupBy("cid").agg(F.collect_list("s").alias("spans")))
-    edges = verified.select("leader", "cid").distinct().join(name.toDF("leader", "a"), "leader").join(name.toDF("cid", "b"), "cid").select("a", "b")
-    found = components(edges).withColumnRenamed("id", "rep")
-    known = classes.select("cid", "rep", "other", "copies").join(listed, "cid").join(found, "rep", "left")
+    vertex = classes.select("cid", "vertex")
+    edges = verified.select("leader", "cid").distinct().join(vertex.toDF("leader", "a"), "leader").join(vertex.toDF("cid", "b"), "cid").select("a", "b")
+    found = components(edges).withColumnRenamed("id", "vertex").withColumn("component", F.when(F.col("component") < NAMELESS, F.col("component")))
+    known = classes.select("cid", "rep", "vertex", "other", "copies").join(listed, "cid").join(found, "vertex", "left")
     out = join_groups(rows.select("doc_id", "cid"), known, "cid", "copies", total).select("doc_id", "other", F.coalesce("component", "rep").alias("component_id"), F.explode("spans").alias("s"))
     near = F.when(F.col("s.near_doc_id") == F.col("doc_id"), F.col("other")).otherwise(F.col("s.near_doc_id"))
     return out.select("doc_id", "s.first_word", "s.n_words", near.alias("near_doc_id"), "s.near_first_word", "s.near_n_words", "s.similarity", "component_id")

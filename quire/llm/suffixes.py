@@ -298,12 +298,11 @@ def repeated_spans(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, most_r
     rows = cut(keyed.mapInArrow(_anchor_rows(width, gram), "doc_id long, sha binary, n_bytes long, anchor array<long>, first array<int>, last array<int>")).withColumn("tk", short)
     keyed = keyed.withColumn("tk", short)
     total = rows.count()
-    classes = cut(rows.groupBy("tk").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("n_bytes").alias("n_bytes"), F.first(F.arrays_zip("anchor", "first", "last")).alias("strings")))
+    classes = cut(rows.groupBy("tk").agg(F.count("*").alias("copies"), F.first("n_bytes").alias("n_bytes"), F.first(F.arrays_zip("anchor", "first", "last")).alias("strings")))
     runs = classes.select("tk", F.explode("strings").alias("s")).select("tk", "s.*")
     met = runs.groupBy("anchor").agg(F.count("*").alias("regions")).filter("regions > 1")
     hits = cut(join_groups(runs, met, "anchor", "regions", max(1, total)).groupBy("tk").agg(F.collect_list(F.struct("anchor", "first", "last", "regions")).alias("hits")))
-    reps = classes.select("tk", "rep")
-    texts = having(keyed, hits.join(reps, "tk").select(F.col("rep").alias("doc_id")).distinct(), "doc_id")
+    texts = having(keyed, hits.select("tk"), "tk")
     found = texts.join(hits, "tk").dropDuplicates(["tk"])
     kind = "anchor long, tk binary, first int, body binary"
     plain = found.select("tk", "text", F.filter("hits", lambda h: h["regions"] <= most_regions).alias("hits")).mapInArrow(_region_rows(width), kind)
@@ -313,7 +312,7 @@ def repeated_spans(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, most_r
         twice = strings.groupBy("f", "h").agg(F.count("*").alias("times")).filter("times > 1").select("f", "h")
         spans = spans.unionByName(strings.join(twice, ["f", "h"]).select("tk", F.col("at").alias("lo"), (F.col("at") + width).alias("hi")))
     each = cut(spans.groupBy("tk").agg(F.collect_list(F.struct("lo", "hi")).alias("spans")))
-    again = having(keyed, each.join(reps, "tk").select(F.col("rep").alias("doc_id")).distinct(), "doc_id").join(each, "tk").dropDuplicates(["tk"])
+    again = having(keyed, each.select("tk"), "tk").join(each, "tk").dropDuplicates(["tk"])
     left = again.select("tk", "text", "spans").mapInArrow(_removed(), "tk binary, n_removed long, n_spans long, kept_sha256 string, runs array<struct<lo:long,hi:long>>")
     whole = (F.col("copies") > 1) & (F.col("n_bytes") >= width)
     zero = F.lit(0).cast("long")

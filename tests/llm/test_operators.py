@@ -181,6 +181,20 @@ def test_passages_in_lists_led_by_strays(spark):
     assert _found(spark, docs) == {1000: 1000, 1001: 1000}
 
 
+def test_texts_without_doc_id_take_part(spark):
+    a, b = _fresh(80, 21), _fresh(80, 22)
+    both = spark.createDataFrame([(None, " ".join([*a, *b])), (1, " ".join(a)), (2, " ".join(b)), (3, " ".join(_fresh(90, 23)))], "doc_id long, text string")
+    rows = passages.near_passages(both).collect()
+    assert {(r.doc_id, r.component_id) for r in rows} == {(None, 1), (1, 1), (2, 1)}
+    assert {r.doc_id: r.n_removed > 400 for r in suffixes.repeated_spans(both).collect()} == {None: True, 1: True, 2: True, 3: False}
+
+
+def test_sets_without_doc_id_link_others(spark):
+    w = _fresh(152, 24)
+    sets = spark.createDataFrame([(1, " ".join(w[:144])), (None, " ".join(w[4:148])), (2, " ".join(w[8:]))], "doc_id long, text string")
+    assert {r.doc_id: r.component_id for r in jaccard.jaccard_components(sets).collect()} == {1: 1, None: None, 2: 1}
+
+
 def test_a_signature_outside_a_passage_stays_open():
     token = np.random.default_rng(3).integers(1, 1 << 62, 400).astype(np.uint64)
     ones = lambda t: np.concatenate([passages._signature(t[passages.nodes(t, np.ones(len(t), bool), s, passages.WIDTH)], i) for i, s in enumerate(passages.SEEDS)])
