@@ -4,6 +4,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..scratch import cut
+
 
 def newest(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """One row for each key, the last in the order; partial maxima meet, so a frequent key is no burden."""
@@ -20,7 +22,7 @@ def offsets(rows: DataFrame, keys: list[str], order: list[str], size: str, name:
 
 def number(rows: DataFrame, order: list[str], name: str) -> DataFrame:
     """rows numbered from 0 in the order of distinct keys: sorted over all partitions, counted in each, and shifted by the counts before."""
-    placed = rows.repartitionByRange(*order).withColumn("quire_part", F.spark_partition_id()).persist()
+    placed = cut(rows.repartitionByRange(*order).withColumn("quire_part", F.spark_partition_id()))
     counts = placed.groupBy("quire_part").agg(F.count("*").alias("n"))  # one row a partition
     start = counts.select("quire_part", (F.sum("n").over(W.orderBy("quire_part")) - F.col("n")).alias("quire_start"))
     inside = placed.withColumn("quire_nth", F.row_number().over(W.partitionBy("quire_part").orderBy(*order)) - 1)
