@@ -1,12 +1,10 @@
 """What several operators of this package share."""
 
-import atexit
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..scratch import cut, scratch_path, shared_folder  # noqa: F401
+
 #: A key is heavy if it has more than a thousandth of all rows, so there are fewer than this many.
 HEAVY_KEYS = 1000
 #: Ids that may be broadcast to select rows; beyond it the selection is a shuffled join.
@@ -19,48 +17,18 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-#: Rows of an Arrow batch: texts are long, and a worker holds a batch more than once.
-BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch", "1000"
+#: Rows of an Arrow batch, at most: texts are long, and a worker holds a batch more than once.
+BATCH_OPTION, BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", 1000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    spark.conf.set(*BATCH)
+    """One table of a scale-factor folder. The session's Arrow batches are lowered to BATCH_ROWS where they are larger: the plans
+    that these queries return run later, so the setting stays."""
+    if not 0 < int(spark.conf.get(BATCH_OPTION)) <= BATCH_ROWS:
+        spark.conf.set(BATCH_OPTION, str(BATCH_ROWS))
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; one of this machine where that is unset, as in tests."""
-    found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
-    if not found:
-        found = tempfile.mkdtemp(prefix="quire-")
-        spark.sparkContext.setCheckpointDir(found)
-    return found.rstrip("/")
-
-
-def scratch_path(spark: SparkSession) -> str:
-    """A new folder's name in the shared folder; the folder goes when the application ends."""
-    path = f"{shared_folder(spark)}/quire-{uuid.uuid4().hex}"
-    atexit.register(_remove, spark, path)
-    return path
-
-
-def _remove(spark: SparkSession, path: str) -> None:
-    try:
-        if spark.sparkContext._jsc is not None:
-            jvm = spark.sparkContext._jvm
-            where = jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
-    except Exception:  # noqa: BLE001  the session may be gone already
-        pass
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """df written to the shared folder and read back: its lineage ends there, and a lost executor costs no recomputation."""
-    path = scratch_path(df.sparkSession)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def ascii_lower(text):
     """A-Z lower-cased and no other letter."""
     return F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))
