@@ -2,7 +2,7 @@
 
 Vectors are dealt to blocks, and each pair of blocks is one tile. In a tile all products of the int8 vectors are taken;
 with each vector's own quantisation error they bound every cosine, and only pairs that may reach the threshold are
-computed again in double precision. A tile returns counts of links and a forest of them, not the pairs.
+computed again in double precision. A tile returns counts of links and a forest of them, not the pairs. Vectors keep their precision, float or double.
 """
 
 import numpy as np
@@ -72,23 +72,28 @@ class Forest:
                 self.root = up
 
 
-def _pack(pdf: pd.DataFrame) -> pd.DataFrame:
-    pdf = pdf.sort_values("rep")
-    return pd.DataFrame({"dim": pdf["dim"].iloc[:1], "block": pdf["block"].iloc[:1], "reps": [pdf["rep"].to_numpy(np.int64).tobytes()], "copies": [pdf["copies"].to_numpy(np.int64).tobytes()], "vectors": [np.stack(pdf["embedding"].to_numpy()).astype(np.float32).tobytes()]})
+def _pack(kind: str):
+    def pack(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("cid")
+        return pd.DataFrame({"dim": pdf["dim"].iloc[:1], "block": pdf["block"].iloc[:1], "cids": [pdf["cid"].to_numpy(np.int64).tobytes()], "copies": [pdf["copies"].to_numpy(np.int64).tobytes()], "vectors": [np.stack(pdf["embedding"].to_numpy()).astype(kind).tobytes()]})
 
+    return pack
 
-def _tile(threshold: float):
+
+def _tile(threshold: float, kind: str):
     def tile(pdf: pd.DataFrame) -> pd.DataFrame:
+        if pdf["lo"].iloc[0] != pdf["hi"].iloc[0] and len(pdf) < 2:  # the other block has no vector of this length
+            return pd.DataFrame({"cid": [], "links": [], "root": []}).astype("int64")
         pdf = pdf.sort_values("block")
-        reps = [np.frombuffer(x, np.int64) for x in pdf["reps"]]
+        cids = [np.frombuffer(x, np.int64) for x in pdf["cids"]]
         copies = np.concatenate([np.frombuffer(x, np.int64) for x in pdf["copies"]])
         units = []
         for x in pdf["vectors"]:
-            v = np.frombuffer(x, np.float32).reshape(-1, int(pdf["dim"].iloc[0])).astype(np.float64)
+            v = np.frombuffer(x, kind).reshape(-1, int(pdf["dim"].iloc[0])).astype(np.float64)
             v = v / np.abs(v).max(axis=1, keepdims=True)  # so that squares neither overflow nor vanish
             units.append(v / np.linalg.norm(v, axis=1, keepdims=True))
-        shift = len(reps[0]) if len(reps) == 2 else 0
-        ids = np.concatenate(reps)
+        shift = len(cids[0]) if len(cids) == 2 else 0
+        ids = np.concatenate(cids)
         count, forest = np.zeros(len(ids), np.int64), Forest(len(ids))
         for r, c in links(units[0], units[-1], threshold):
             c = c + shift
@@ -99,10 +104,7 @@ def _tile(threshold: float):
                 count += np.bincount(c, copies[r], len(ids)).astype(np.int64)
             forest.add(r, c)
         has = count > 0
-        # reps are sorted within a block, not over two: the smallest id of each tree
-        low = np.full(len(ids), np.iinfo(np.int64).max)
-        np.minimum.at(low, forest.root, ids)
-        return pd.DataFrame({"rep": ids[has], "links": count[has], "root": low[forest.root][has]})
+        return pd.DataFrame({"cid": ids[has], "links": count[has], "root": ids[forest.root][has]})
 
     return tile
 
@@ -112,36 +114,28 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.9, block: int = BLOCK)
 
     Two vectors link if their cosine, in double precision, is at least the threshold. Vectors that are null, empty or zero, or
     that hold null or non-finite components, link with nothing; vectors of different length do not link with each other.
-    Equal vectors are compared once. Rows with the same vec_id count as vectors of their own; their links and component join.
+    Equal vectors are compared once. Rows with the same vec_id are vectors of their own. A vector without vec_id takes part
+    and connects others; component_id is the smallest vec_id in a component, null where no vector of it has one, and kept
+    tells whether it is the row's own, also null. An empty table gives an empty result; other columns are not read.
     """
     value = F.col("embedding").cast("array<double>")
     odd = F.exists(value, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     fit = F.col("embedding").isNotNull() & ~F.coalesce(odd, F.lit(True)) & F.coalesce(F.exists(value, lambda x: x != 0), F.lit(False))
-    rows = cut(vectors.select("vec_id", F.when(fit, F.col("embedding").cast("array<float>")).alias("embedding")).withColumn("vkey", F.when(F.col("embedding").isNotNull(), F.sha2(F.to_json(F.struct("embedding")).cast("binary"), 256))))
-    classes = cut(rows.filter("vkey IS NOT NULL").groupBy("vkey").agg(F.min("vec_id").alias("rep"), F.first("embedding").alias("embedding"), F.count("*").alias("copies")))
+    kind, stored = ("<f4", "array<float>") if "float" in vectors.schema["embedding"].dataType.simpleString() else ("<f8", "array<double>")
+    rows = cut(vectors.select("vec_id", F.when(fit, F.col("embedding").cast(stored)).alias("embedding")).withColumn("vkey", F.when(F.col("embedding").isNotNull(), F.sha2(F.to_json(F.struct("embedding")).cast("binary"), 256))))
+    classes = rows.filter("vkey IS NOT NULL").groupBy("vkey").agg(F.min("vec_id").alias("rep"), F.first("embedding").alias("embedding"), F.count("*").alias("copies"))
+    classes = cut(classes.withColumn("cid", F.monotonically_increasing_id()))  # the numbers hold once they are written
     n = classes.count()
     blocks = max(1, -(-n // block))
-    dealt = classes.select("rep", "embedding", "copies", F.size("embedding").alias("dim"), F.pmod(F.xxhash64("vkey"), F.lit(blocks)).cast("int").alias("block"))
-    packed = cut(dealt.groupBy("dim", "block").applyInPandas(_pack, "dim int, block int, reps binary, copies binary, vectors binary"))
+    dealt = classes.select("cid", "embedding", "copies", F.size("embedding").alias("dim"), F.pmod(F.xxhash64("vkey"), F.lit(blocks)).cast("int").alias("block"))
+    packed = cut(dealt.groupBy("dim", "block").applyInPandas(_pack(kind), "dim int, block int, cids binary, copies binary, vectors binary"))
     tiles = packed.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).withColumn("lo", F.least("block", "other")).withColumn("hi", F.greatest("block", "other"))
-    whole = F.col("lo") == F.col("hi")
-    both = tiles.select("dim", "block", "reps", "copies", "vectors", "lo", "hi", whole.alias("whole"))
-    met = cut(both.groupBy("dim", "lo", "hi").applyInPandas(_guard(threshold), "rep long, links long, root long"))
-    linked = met.groupBy("rep").agg(F.sum("links").alias("links"))
-    found = components(met.select(F.col("rep").alias("a"), F.col("root").alias("b")))
-    known = classes.select("vkey", "rep", "copies").join(linked, "rep", "left").join(found.withColumnRenamed("id", "rep"), "rep", "left")
-    known = known.select("vkey", "copies", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
-    out = join_groups(rows.filter("vkey IS NOT NULL").select("vec_id", "vkey"), known, "vkey", "copies", rows.count()).select("vec_id", "n_links", "component_id")
+    met = cut(tiles.drop("other").groupBy("dim", "lo", "hi").applyInPandas(_tile(threshold, kind), "cid long, links long, root long"))
+    linked = met.groupBy("cid").agg(F.sum("links").alias("links"))
+    found = components(met.select(F.col("cid").alias("a"), F.col("root").alias("b"))).withColumnRenamed("id", "cid")
+    known = cut(classes.select("vkey", "cid", "rep", "copies").join(linked, "cid", "left").join(found, "cid", "left").select("vkey", "rep", "copies", "links", F.coalesce("component", "cid").alias("component")))
+    least = known.groupBy("component").agg(F.min("rep").alias("component_id"), F.count("*").alias("classes"))
+    named = join_groups(known, least, "component", "classes", max(1, n)).select("vkey", "copies", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), "component_id")
+    out = join_groups(rows.filter("vkey IS NOT NULL").select("vec_id", "vkey"), named, "vkey", "copies", max(1, rows.count())).select("vec_id", "n_links", "component_id")
     alone = rows.filter("vkey IS NULL").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
-    return out.unionByName(alone).withColumn("kept", F.col("vec_id") == F.col("component_id"))
-
-
-def _guard(threshold: float):
-    tile = _tile(threshold)
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        if pdf["lo"].iloc[0] != pdf["hi"].iloc[0] and len(pdf) < 2:  # the other block has no vector of this length
-            return pd.DataFrame({"rep": [], "links": [], "root": []}).astype("int64")
-        return tile(pdf)
-
-    return run
+    return out.unionByName(alone).withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
