@@ -18,19 +18,22 @@ PIECES_PER_TASK = 20_000
 FAN_IN = 8
 #: A bin with less room than this is nearly full and leaves the tree.
 NEARLY = 8
-#: Texts that are encoded at once.
-BATCH = 64
+#: White space from which on a text is encoded by the tokenizers library.
+LONG_SPACE = 4096
 
 
 def encoder(tokenizer: str):
     """A function from texts to arrays of ids, those of the tokenizer's file (a byte-level BPE whose ids are its merges' ranks).
 
     The merges run in tiktoken, several times as fast; test_packing compares its ids with those of the tokenizers library.
-    Special tokens' strings in a text get the special ids, as that library gives them.
+    Special tokens' strings in a text get the special ids, as that library gives them. Its split pattern is the one that the
+    file's byte-level step stands for; texts with white space too long for that pattern's backtracking go to the library.
     """
     import json
+    import re
 
     import tiktoken
+    from tokenizers import Tokenizer
 
     with open(tokenizer, encoding="utf-8") as f:
         spec = json.load(f)
@@ -42,7 +45,14 @@ def encoder(tokenizer: str):
     ranks = {bytes(byte[c] for c in word): i for word, i in spec["model"]["vocab"].items() if word not in special}
     pattern = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
     own = tiktoken.Encoding("pieces", pat_str=pattern, mergeable_ranks=ranks, special_tokens=special)
-    return lambda text: own.encode_to_numpy(text, allowed_special="all").astype("<u4", copy=False)
+    library, long_space = Tokenizer.from_file(tokenizer), re.compile(r"\s{%d}" % LONG_SPACE)
+
+    def encode(text: str) -> np.ndarray:
+        if len(text) >= LONG_SPACE and long_space.search(text):
+            return np.array(library.encode(text, add_special_tokens=False).ids, "<u4")
+        return own.encode_to_numpy(text, allowed_special="all").astype("<u4", copy=False)
+
+    return encode
 
 
 def _pieces(tokenizer: str, capacity: int, end_id: int):
@@ -86,10 +96,11 @@ def best_fit(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _local(capacity: int, names: list[str]):
-    def pack(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["doc_id", "piece", "start", "length", "ids_crc32"], kind="stable").reset_index(drop=True)
-        where, offset = best_fit(pdf["length"].to_numpy(), capacity)
-        return pdf.assign(bin=pdf["bucket"] * 2**32 + where, offset=offset)[names]
+    def pack(rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by([(n, "ascending") for n in ("doc_id", "piece", "start", "length", "ids_crc32")])
+        where, offset = best_fit(rows["length"].to_numpy(), capacity)
+        bins = rows["bucket"].to_numpy() * 2**32 + where
+        return rows.append_column("bin", pa.array(bins)).append_column("offset", pa.array(offset)).select(names)
 
     return pack
 
@@ -110,13 +121,13 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int
 
     A document is its ids and end_id; null counts as empty and is one id. Only documents longer than capacity are cut,
     into pieces of capacity, the first of which may be shorter. Each row of docs has its own pieces, also where doc_ids
-    repeat. Sequences are full from offset 0 on without gaps.
+    repeat or are null. Sequences are full from offset 0 on without gaps. An empty table gives no row; other columns are not read.
     """
     pieces = cut(docs.select("doc_id", "text").mapInArrow(_pieces(tokenizer, capacity, end_id), "doc_id long, piece int, start long, length long, ids_crc32 long"))
     buckets = max(1, -(-pieces.count() // per_task))
     names = ["doc_id", "piece", "start", "length", "ids_crc32", "bin", "offset"]
     dealt = pieces.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(buckets)))
-    local = cut(dealt.groupBy("bucket").applyInPandas(_local(capacity, names), "doc_id long, piece int, start long, length long, ids_crc32 long, bin long, offset long"))
+    local = cut(dealt.groupBy("bucket").applyInArrow(_local(capacity, names), "doc_id long, piece int, start long, length long, ids_crc32 long, bin long, offset long"))
     bins = local.groupBy("bin").agg(F.sum("length").alias("fill")).withColumn("bucket", F.shiftright("bin", 32))
     way = None
     while buckets > 1:
