@@ -5,7 +5,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import WORD, cut, tasks, word_count
+from ..operators.ordering import number
+from .common import cut, tasks, word_count
 
 #: The weights of the sources in code-point order, repeating; the share of all words; the most epochs.
 WEIGHTS = (5, 2, 1)
@@ -18,22 +19,23 @@ def targets(sources: DataFrame, weights=WEIGHTS, share: float = SHARE, most: flo
     """sources (source, source_size), one row each, with `target`.
 
     The share of all words goes to the sources by weight; what exceeds `most` times a source's words is reshared among the
-    others until none exceeds it: every source gets min(most * size, weight * level) for one level, which lies after the
-    sources that are full first. The rows are as many as there are sources; the running sums over them take a level's
-    place among the ratios.
+    others until none exceeds it: every source gets min(most * size, weight * level) for one level. The level rises from
+    that of all sources, each time leaving out those that are full, until no more are; a round is one aggregation.
     """
-    cap = F.col("source_size") * F.lit(float(most))
-    order = W.orderBy(F.col("source").isNull(), "source")  # one row for each source
-    nth = F.row_number().over(order) - 1
+    numbered = number(sources.withColumn("last", F.col("source").isNull()), ["last", "source"], "nth")
     weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.pmod(F.col("nth"), F.lit(len(weights))) + 1).cast("int"))
-    known = sources.withColumn("nth", nth).withColumn("weight", weight).withColumn("cap", cap).withColumn("ratio", cap / F.col("weight"))
-    filled = W.orderBy("ratio", "nth").rowsBetween(W.unboundedPreceding, -1)
-    every = W.partitionBy()
-    level = (F.col("budget") - F.coalesce(F.sum("cap").over(filled), F.lit(0.0))) / (F.sum("weight").over(every) - F.coalesce(F.sum("weight").over(filled), F.lit(0.0)))
-    levels = known.withColumn("budget", F.sum("source_size").over(every) * F.lit(share)).withColumn("level", level)
-    # the level at which the sources before are full and this one is not; beyond the last, all are full
-    chosen = levels.withColumn("at", F.min(F.when(F.col("level") < F.col("ratio"), F.struct("ratio", "nth", "level"))).over(every)["level"])
-    return chosen.select("source", "source_size", F.least(F.col("cap"), F.coalesce(F.col("weight") * F.col("at"), F.col("cap"))).alias("target"))
+    known = cut(numbered.select("source", "source_size", weight.alias("weight"), (F.col("source_size") * F.lit(float(most))).alias("cap")))
+    budget = float(known.agg(F.sum("source_size")).first()[0] or 0) * share
+    level = -1.0
+    while True:
+        full = F.col("cap") <= F.lit(level) * F.col("weight")
+        held, open_ = known.agg(F.sum(F.when(full, F.col("cap"))), F.sum(F.when(~full, F.col("weight")))).first()
+        if not open_:  # all are full
+            return known.select("source", "source_size", F.col("cap").alias("target"))
+        higher = (budget - (held or 0.0)) / open_
+        if higher <= level:
+            return known.select("source", "source_size", F.least(F.col("cap"), F.col("weight") * F.lit(level)).alias("target"))
+        level = higher
 
 
 def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float = MOST_EPOCHS, seed: int = SEED) -> DataFrame:
@@ -66,14 +68,15 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float = MO
 
 
 def take(docs: DataFrame, **how) -> DataFrame:
-    """docs as the mix takes them, with the columns of docs: a row for each epoch, the last cut after as many words as are
-    taken. Documents without words are not taken. Rows that share doc_id, source and number of words share what is taken."""
-    taken = mix(docs, **how).filter("taken > 0").select(F.col("doc_id").alias("i"), F.col("source").alias("s"), F.col("size").alias("w"), "taken")
-    taken = taken.groupBy("i", "s", "w").agg(F.max("taken").alias("taken"))
+    """docs as the mix takes them, with the columns of docs, whatever their names: a row for each epoch, the last cut after as many
+    words as are taken. Documents without words are not taken. Rows that share doc_id, source and number of words share what
+    is taken; a null doc_id or source is a value like others. An empty table gives no row."""
+    keys = {"quire_doc": "doc_id", "quire_source": "source", "quire_size": "size"}
+    taken = mix(docs, **how).filter("taken > 0").groupBy(*(F.col(c).alias(n) for n, c in keys.items())).agg(F.max("taken").alias("quire_taken"))
     rows = docs.withColumn("quire_words", word_count(F.col("text")))
-    met = rows.join(taken, rows["doc_id"].eqNullSafe(F.col("i")) & rows["source"].eqNullSafe(F.col("s")) & (rows["quire_words"] == F.col("w")))
-    met = met.withColumn("quire_epoch", F.explode(F.sequence(F.lit(1), F.ceil(F.col("taken") / F.col("w")).cast("int"))))
-    left = F.col("taken") - (F.col("quire_epoch") - 1) * F.col("w")
+    met = rows.join(taken, F.col("doc_id").eqNullSafe(F.col("quire_doc")) & F.col("source").eqNullSafe(F.col("quire_source")) & (F.col("quire_words") == F.col("quire_size")))
+    met = met.withColumn("quire_epoch", F.explode(F.sequence(F.lit(1), F.ceil(F.col("quire_taken") / F.col("quire_words")).cast("int"))))
+    left = F.col("quire_taken") - (F.col("quire_epoch") - 1) * F.col("quire_words")
     words = F.split("text", r"(?<=[^\x20\x09-\x0D])(?=[\x20\x09-\x0D])", -1)  # each with the white space before it
-    text = F.when(left >= F.col("w"), F.col("text")).otherwise(F.array_join(F.slice(words, F.lit(1), left.cast("int")), ""))
+    text = F.when(left >= F.col("quire_words"), F.col("text")).otherwise(F.array_join(F.slice(words, F.lit(1), left.cast("int")), ""))
     return met.withColumn("text", text).select(*docs.columns)
