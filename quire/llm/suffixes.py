@@ -5,9 +5,14 @@ strings meet and a suffix array is only needed among strings that share an ancho
 in two stages: directly those that are smaller than their successors, and all others by scans over the buckets of the
 first byte, as each one's order follows from its successor's. Neighbours in the array with a common prefix of WIDTH
 bytes are repeats.
+
+Successive strings with one anchor make a region. Equal regions of a frequent anchor are counted by their bytes in a shuffle,
+and those that differ are cut into narrower regions, which are dealt by the bytes that all their strings have in common,
+until few enough meet for a suffix array.
 """
 
 import hashlib
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -20,8 +25,10 @@ from .words import _power, chunks, mix
 WIDTH, GRAM = 400, 64
 #: Strings that one suffix array sorts; successive small groups share one.
 STRINGS = 64_000
-#: An anchor with more regions than this leaves the suffix arrays: its strings are counted by 128-bit fingerprint in a shuffle.
-MOST_REGIONS = 16_384
+#: Regions of one anchor that a suffix array sorts; those of a more frequent one are cut into narrower ones first.
+MOST_REGIONS = 1024
+#: Strings of the narrower regions, one size after the other; the last need no sorting, as equal ones are counted.
+NARROWER = (48, 7, 1)
 #: Bytes of a long text that are looked at together, under 2 ** 24.
 PIECE = 1 << 22
 
@@ -202,29 +209,100 @@ def _anchor_rows(width: int, gram: int):
     return over
 
 
-def _region_rows(width: int):
-    """(anchor, tk, first, body) of each hit of a text; rows are tk, text and the list of hits."""
+def _region_rows(width: int, gram: int):
+    """(anchor, tk, first, off, body) of each hit of a text: off is how far its anchor lies behind the region's start. Rows are
+    tk, text and the list of hits."""
 
     def over(batches):
         for batch in batches:
-            out = ([], [], [], [])
+            out = ([], [], [], [], [])
             for tk, text, hits in zip(batch.column(0), batch.column(1), batch.column(2).to_pylist(), strict=True):
                 body, tk = (text.as_py() or "").encode(), tk.as_py()
                 for h in hits:
-                    for x, v in zip(out, (h["anchor"], tk, h["first"], body[h["first"] : h["last"] + width]), strict=True):
+                    part = body[h["first"] : h["last"] + width]
+                    for x, v in zip(out, (h["anchor"], tk, h["first"], _place(part, width, gram), part), strict=True):
                         x.append(v)
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, (pa.int64(), pa.binary(), pa.int32(), pa.binary()), strict=True)], names=["anchor", "tk", "first", "body"])
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, REGION_TYPES, strict=True)], names=REGION_NAMES)
 
     return over
 
 
+REGION_NAMES, REGION_TYPES = ["key", "tk", "first", "off", "body"], (pa.int64(), pa.binary(), pa.int32(), pa.int32(), pa.binary())
+REGION = "key long, tk binary, first int, off int, body binary"
+
+
+def _place(body: bytes, width: int, gram: int) -> int:
+    """Where the anchor of the first string of a region lies."""
+    hashed = _grams(np.frombuffer(body, np.uint8, width), gram)
+    return int(np.argmin((hashed & ~np.uint64(0xFFFFFF)) | np.arange(len(hashed), dtype=np.uint64)))
+
+
+def narrowed(key: int, first: int, off: int, body: bytes, width: int, block: int):
+    """The regions of at most `block` strings that a region is cut into: (key, first, off, body). Cuts lie at fixed distances from the
+    anchor, so equal strings of two regions come into regions with the same key, which is made of the bytes that all
+    their strings have."""
+    strings = len(body) - width + 1
+    for b in range((off - strings + 1) // block, off // block + 1):
+        high, low = min(off, b * block + block - 1), max(off - strings + 1, b * block)
+        core = body[off - b * block : off - (b * block + block - 1) + width]
+        made = hashlib.blake2b(core, digest_size=8, key=b"%d/%d" % (key, b)).digest()
+        yield int.from_bytes(made, "little", signed=True), first + off - high, high, body[off - high : off - low + width]
+
+
+def _narrowed_rows(width: int, block: int):
+    def over(batches):
+        for batch in batches:
+            out = ([], [], [], [], [])
+            for key, tk, first, off, body in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
+                for k, f, o, part in narrowed(key, first, off, body, width, block):
+                    for x, v in zip(out, (k, tk, f, o, part), strict=True):
+                        x.append(v)
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, REGION_TYPES, strict=True)], names=REGION_NAMES)
+
+    return over
+
+
+def _sorted(regions: DataFrame, width: int) -> DataFrame:
+    """The spans (tk, lo, hi) of repeated bytes among regions whose keys are not frequent. Those without tk are compared only."""
+    dealt = regions.select("key", "tk", "first", "body").repartition("key").sortWithinPartitions("key")
+    return dealt.mapInArrow(_sorted_groups(width), "tk binary, lo long, hi long")
+
+
+def _frequent(regions: DataFrame, width: int, most: int, narrower=NARROWER) -> DataFrame:
+    """The spans (tk, lo, hi) of repeated bytes among the regions of frequent anchors.
+
+    Regions that are equal in key, place of the anchor and bytes are repeated whole; they are counted, partially first,
+    and one of them goes on to be compared. Keys with few different regions go to suffix arrays, others are narrowed.
+    """
+    now, spans = cut(regions), []
+    for block in (*narrower, None):
+        piece = now.select(F.struct("key", "off", "body").alias("piece"), "tk", "first")
+        total = max(1, now.count())
+        kinds = cut(piece.groupBy("piece").agg(F.count("*").alias("n"), F.min(F.struct("tk", "first")).alias("one")))
+        twice = join_groups(piece.filter("tk IS NOT NULL"), kinds.filter("n > 1").select("piece", "n"), "piece", "n", total)
+        spans.append(cut(twice.select("tk", F.col("first").cast("long").alias("lo"), (F.col("first") + F.octet_length("piece.body")).cast("long").alias("hi"))))
+        single = (F.col("n") == 1) & F.col("one.tk").isNotNull()
+        open_ = kinds.groupBy(F.col("piece.key").alias("key")).agg(F.count("*").alias("kinds"), F.count_if(single).alias("single")).filter("kinds > 1 AND single > 0")
+        left = join_groups(kinds.withColumn("key", F.col("piece.key")), open_, "key", "kinds", total)
+        left = cut(left.select("key", F.when(single, F.col("one.tk")).alias("tk"), F.col("one.first").alias("first"), F.col("piece.off").alias("off"), F.col("piece.body").alias("body"), "kinds"))
+        if block is None:
+            spans.append(_sorted(left, width))
+            break
+        spans.append(_sorted(left.filter(F.col("kinds") <= most), width))
+        large = left.filter(F.col("kinds") > most).select(*REGION_NAMES)
+        if large.isEmpty():
+            break
+        now = cut(large.mapInArrow(_narrowed_rows(width, block), REGION))
+    return reduce(DataFrame.unionByName, spans)
+
+
 def _sorted_groups(width: int):
-    """Regions sorted by anchor in, spans (tk, lo, hi) of repeated bytes out."""
+    """Regions (key, tk, first, body) sorted by key in, spans (tk, lo, hi) of repeated bytes out."""
 
     def made(held):
         if not held:
             return None
-        spans = [(tk, a, b) for (_, tk, at, _), m in zip(held, repeats([h[3] for h in held], width), strict=True) for a, b in covered(m, at, width)]
+        spans = [(tk, a, b) for (_, tk, at, _), m in zip(held, repeats([h[3] for h in held], width), strict=True) if tk is not None for a, b in covered(m, at, width)]
         return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*spans, strict=True), (pa.binary(), pa.int64(), pa.int64()), strict=True)], names=["tk", "lo", "hi"]) if spans else None
 
     def over(batches):
@@ -243,19 +321,6 @@ def _sorted_groups(width: int):
     return over
 
 
-def _strings(width: int):
-    """Every string of a region by fingerprint: (f, h, tk, at)."""
-
-    def over(batches):
-        for batch in batches:
-            for tk, at, body in zip(*(batch.column(i).to_pylist() for i in (1, 2, 3)), strict=True):
-                data = np.frombuffer(body, np.uint8)
-                f, h = _grams(data, width), _grams(data ^ np.uint8(0x5A), width) ^ _grams(data // 3, width)
-                yield pa.RecordBatch.from_arrays([pa.array(f.view(np.int64)), pa.array(h.view(np.int64)), pa.array([tk] * len(f), pa.binary()), pa.array(np.arange(at, at + len(f), dtype=np.int64))], names=["f", "h", "tk", "at"])
-
-    return over
-
-
 def _removed():
     """What is left of each text (tk, text, spans): (tk, n_removed, n_spans, kept_sha256, spans)."""
 
@@ -286,11 +351,12 @@ def merged(spans) -> list[tuple[int, int]]:
 
 
 def repeated_spans(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, most_regions: int = MOST_REGIONS) -> DataFrame:
-    """Every document with its repeated bytes: (doc_id, n_bytes, n_removed, n_spans, kept_sha256, runs).
+    """Every document with its repeated bytes: (doc_id, n_bytes, n_removed, n_spans, kept_sha256, has_repeats, runs).
 
     A byte is repeated if a string of `width` bytes that covers it starts anywhere else too, in another or the same
     document; strings are judged on the input. Null counts as empty; texts under `width` bytes keep all. A text that
-    stands in two rows, also of one doc_id, is repeated as a whole. runs are the removed spans (lo, hi) in bytes.
+    stands in two rows, also of one doc_id, is repeated as a whole. runs are the removed spans (lo, hi) in bytes; has_repeats
+    tells whether there are any, so whether anything of the document goes.
     """
     body = F.coalesce(F.col("text"), F.lit(""))
     keyed = docs.select("doc_id", F.unhex(F.sha2(body.cast("binary"), 256)).alias("sha"), body.alias("text"))
@@ -304,13 +370,10 @@ def repeated_spans(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, most_r
     hits = cut(join_groups(runs, met, "anchor", "regions", max(1, total)).groupBy("tk").agg(F.collect_list(F.struct("anchor", "first", "last", "regions")).alias("hits")))
     texts = having(keyed, hits.select("tk"), "tk")
     found = texts.join(hits, "tk").dropDuplicates(["tk"])
-    kind = "anchor long, tk binary, first int, body binary"
-    plain = found.select("tk", "text", F.filter("hits", lambda h: h["regions"] <= most_regions).alias("hits")).mapInArrow(_region_rows(width), kind)
-    spans = plain.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_sorted_groups(width), "tk binary, lo long, hi long")
+    some = lambda which: found.select("tk", "text", F.filter("hits", which).alias("hits")).mapInArrow(_region_rows(width, gram), REGION)
+    spans = _sorted(some(lambda h: h["regions"] <= most_regions), width)
     if not met.filter(F.col("regions") > most_regions).isEmpty():
-        strings = found.select("tk", "text", F.filter("hits", lambda h: h["regions"] > most_regions).alias("hits")).mapInArrow(_region_rows(width), kind).mapInArrow(_strings(width), "f long, h long, tk binary, at long")
-        twice = strings.groupBy("f", "h").agg(F.count("*").alias("times")).filter("times > 1").select("f", "h")
-        spans = spans.unionByName(strings.join(twice, ["f", "h"]).select("tk", F.col("at").alias("lo"), (F.col("at") + width).alias("hi")))
+        spans = spans.unionByName(_frequent(some(lambda h: h["regions"] > most_regions), width, most_regions))
     each = cut(spans.groupBy("tk").agg(F.collect_list(F.struct("lo", "hi")).alias("spans")))
     again = having(keyed, each.select("tk"), "tk").join(each, "tk").dropDuplicates(["tk"])
     left = again.select("tk", "text", "spans").mapInArrow(_removed(), "tk binary, n_removed long, n_spans long, kept_sha256 string, runs array<struct<lo:long,hi:long>>")
@@ -324,4 +387,4 @@ def repeated_spans(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, most_r
         F.when(whole, F.array(F.struct(zero.alias("lo"), F.col("n_bytes").alias("hi")))).otherwise(F.coalesce("runs", F.array().cast("array<struct<lo:long,hi:long>>"))).alias("runs"),
     )
     out = join_groups(rows.select("doc_id", "n_bytes", "sha", "tk"), known, "tk", "copies", max(1, total))
-    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.coalesce("some", F.lower(F.hex("sha"))).alias("kept_sha256"), "runs")
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.coalesce("some", F.lower(F.hex("sha"))).alias("kept_sha256"), (F.col("n_removed") > 0).alias("has_repeats"), "runs")

@@ -1,6 +1,7 @@
 """The operators on small tables with nulls, empty texts, ties, repeated rows, and against brute force."""
 
 import collections
+import hashlib
 import random
 import zlib
 
@@ -248,23 +249,55 @@ def test_two_stage_sorting_finds_repeats():
             assert list(marks) == [seen[r[i : i + width]] > 1 for i in range(len(r) - width + 1)]
 
 
-@pytest.mark.parametrize("most", [16_384, 1])
-def test_repeated_bytes_against_brute_force(docs, none, most):
-    data = docs.collect()
-    bodies = [(r.text or "").encode() for r in data]
-    seen = collections.Counter(b[i : i + 400] for b in bodies for i in range(len(b) - 399))
-    want = []
+def _repeated(bodies, width=400):
+    """(n_bytes, n_removed, n_spans, kept_sha256) of each body by brute force."""
+    seen = collections.Counter(b[i : i + width] for b in bodies for i in range(len(b) - width + 1))
     for b in bodies:
         mask = np.zeros(len(b), bool)
-        for i in range(len(b) - 399):
-            if seen[b[i : i + 400]] > 1:
-                mask[i : i + 400] = True
-        want.append((len(b), int(mask.sum()), int((np.diff(np.r_[0, mask]) == 1).sum())))
+        for i in range(len(b) - width + 1):
+            if seen[b[i : i + width]] > 1:
+                mask[i : i + width] = True
+        yield len(b), int(mask.sum()), int((np.diff(np.r_[0, mask]) == 1).sum()), hashlib.sha256(np.frombuffer(b, np.uint8)[~mask].tobytes()).hexdigest()
+
+
+@pytest.mark.parametrize("most", [suffixes.MOST_REGIONS, 1, 0])
+def test_repeated_bytes_against_brute_force(docs, none, most):
+    data = docs.collect()
+    want = list(_repeated([(r.text or "").encode() for r in data]))
     got = suffixes.repeated_spans(docs, most_regions=most).collect()
-    assert sorted((str(r.doc_id), r.n_bytes, r.n_removed, r.n_spans) for r in got) == sorted((str(r.doc_id), *w) for r, w in zip(data, want))
+    key = lambda x: tuple(map(str, x))
+    assert sorted((key((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256)) for r in got)) == sorted(key((r.doc_id, *w)) for r, w in zip(data, want))
+    assert all(r.has_repeats == (r.n_removed > 0) for r in got)
     assert not suffixes.repeated_spans(none).collect()
 
 
+@pytest.mark.parametrize("most", [1024, 4, 0])
+def test_frequent_passages_in_other_surroundings(spark, most):
+    dice = random.Random(3)
+    fresh = lambda n: "".join(dice.choice("abcdefgh ") for _ in range(n))
+    p, q, near = fresh(600), fresh(420), [fresh(30) for _ in range(4)]
+    texts = [None, "", "\u00e9" * 500]
+    for i in range(60):
+        texts.append((fresh(dice.randint(0, 300)) + p + fresh(dice.randint(0, 300)), dice.choice(near) + p[: dice.randint(380, 600)] + dice.choice(near), fresh(50) + dice.choice(near) + q + dice.choice(near) + fresh(50), "x" * dice.randint(300, 900) + p[100:])[i % 4])
+    texts.append(texts[4])
+    want = list(_repeated([(t or "").encode() for t in texts]))
+    got = suffixes.repeated_spans(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), most_regions=most).collect()
+    assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got} == dict(enumerate(want))
+
+
+def test_narrower_regions_keep_equal_strings_together():
+    dice = random.Random(9)
+    body = bytes(dice.choice(b"ab") for _ in range(60))
+    for block in (7, 3, 1):
+        for first, off in ((0, 20), (5, 15)):
+            parts = list(suffixes.narrowed(1, first, off, body[first:], 30, block))
+            strings = {(f - first + i, b[i : i + 30]) for _, f, _, b in parts for i in range(len(b) - 29)}
+            assert strings == {(i, body[first + i : first + i + 30]) for i in range(len(body) - first - 29)}
+    keys = lambda first, off: {(o - i, b[i : i + 30]): k for k, _, o, b in suffixes.narrowed(1, first, off, body[first:], 30, 7) for i in range(len(b) - 29)}
+    a, b = keys(0, 20), keys(5, 15)
+    assert b and all(a[x] == k for x, k in b.items())
+
+
 def test_jaccard_against_brute_force(spark, none):
     base = [random.choice(WORDS) for _ in range(120)]
     texts = [None, "", "a b", "A b", "a b c d"]
