@@ -6,9 +6,9 @@ in two stages: directly those that are smaller than their successors, and all ot
 first byte, as each one's order follows from its successor's. Neighbours in the array with a common prefix of WIDTH
 bytes are repeats.
 
-Successive strings with one anchor make a region. Equal regions of a frequent anchor are counted by their bytes in a shuffle,
-and those that differ are cut into narrower regions, which are dealt by the bytes that all their strings have in common,
-until few enough meet for a suffix array.
+Successive strings with one anchor make a region. Regions of a frequent anchor are compared with one of them, byte by byte from
+the anchor on: strings inside what both have in common are repeats. The others are dealt by where and with which byte
+they depart from it, until few enough meet for a suffix array.
 """
 
 import hashlib
@@ -25,10 +25,8 @@ from .words import _power, chunks, mix
 WIDTH, GRAM = 400, 64
 #: Strings that one suffix array sorts; successive small groups share one.
 STRINGS = 64_000
-#: Regions of one anchor that a suffix array sorts; those of a more frequent one are cut into narrower ones first.
+#: Regions of one anchor that a suffix array sorts; those of a more frequent one are dealt more finely first.
 MOST_REGIONS = 1024
-#: Strings of the narrower regions, one size after the other; the last need no sorting, as equal ones are counted.
-NARROWER = (48, 7, 1)
 #: Bytes of a long text that are looked at together, under 2 ** 24.
 PIECE = 1 << 22
 
@@ -209,9 +207,13 @@ def _anchor_rows(width: int, gram: int):
     return over
 
 
-def _region_rows(width: int, gram: int):
-    """(anchor, tk, first, off, body) of each hit of a text: off is how far its anchor lies behind the region's start. Rows are
-    tk, text and the list of hits."""
+REGION_NAMES, REGION_TYPES = ["key", "tk", "first", "off", "body"], (pa.int64(), pa.binary(), pa.int32(), pa.int32(), pa.binary())
+REGION = "key long, tk binary, first int, off int, body binary"
+
+
+def _region_rows(width: int, gram: int = 0):
+    """(anchor, tk, first, off, body) of each hit of a text; rows are tk, text and the list of hits. off, for which gram is needed, is
+    how far the anchor lies behind the region's start."""
 
     def over(batches):
         for batch in batches:
@@ -220,80 +222,97 @@ def _region_rows(width: int, gram: int):
                 body, tk = (text.as_py() or "").encode(), tk.as_py()
                 for h in hits:
                     part = body[h["first"] : h["last"] + width]
-                    for x, v in zip(out, (h["anchor"], tk, h["first"], _place(part, width, gram), part), strict=True):
+                    for x, v in zip(out, (h["anchor"], tk, h["first"], _place(part, width, gram) if gram else 0, part), strict=True):
                         x.append(v)
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, REGION_TYPES, strict=True)], names=REGION_NAMES)
 
     return over
 
 
-REGION_NAMES, REGION_TYPES = ["key", "tk", "first", "off", "body"], (pa.int64(), pa.binary(), pa.int32(), pa.int32(), pa.binary())
-REGION = "key long, tk binary, first int, off int, body binary"
-
-
 def _place(body: bytes, width: int, gram: int) -> int:
     """Where the anchor of the first string of a region lies."""
     hashed = _grams(np.frombuffer(body, np.uint8, width), gram)
     return int(np.argmin((hashed & ~np.uint64(0xFFFFFF)) | np.arange(len(hashed), dtype=np.uint64)))
 
 
-def narrowed(key: int, first: int, off: int, body: bytes, width: int, block: int):
-    """The regions of at most `block` strings that a region is cut into: (key, first, off, body). Cuts lie at fixed distances from the
-    anchor, so equal strings of two regions come into regions with the same key, which is made of the bytes that all
-    their strings have."""
+def _common(a: bytes, b: bytes) -> int:
+    """How many bytes a and b begin with alike."""
+    n = min(len(a), len(b))
+    differ = np.flatnonzero(np.frombuffer(a, np.uint8, n) != np.frombuffer(b, np.uint8, n)) if a[:n] != b[:n] else ()
+    return int(differ[0]) if len(differ) else n
+
+
+def compared(key: int, off: int, body: bytes, other_off: int, other: bytes, width: int):
+    """What a region's comparison with another one of its key settles and leaves: ((first, end) of the strings that both have or None,
+    [(key, first, end) of the others that depart before the anchor, and behind it]). Strings count from the region's start.
+
+    A string lies o bytes before the anchor. Equal strings of two regions depart from the third at the same place with the
+    same byte, so they get the same key.
+    """
     strings = len(body) - width + 1
-    for b in range((off - strings + 1) // block, off // block + 1):
-        high, low = min(off, b * block + block - 1), max(off - strings + 1, b * block)
-        core = body[off - b * block : off - (b * block + block - 1) + width]
-        made = hashlib.blake2b(core, digest_size=8, key=b"%d/%d" % (key, b)).digest()
-        yield int.from_bytes(made, "little", signed=True), first + off - high, high, body[off - high : off - low + width]
+    left, right = _common(body[:off][::-1], other[:other_off][::-1]), _common(body[off:], other[other_off:])
+    # by o: from off - strings + 1 to off
+    low, high = off - strings + 1, off
+    both = max(low, width - right), min(high, left)
+    parts = []
+    for kind, a, b, at in (("before", max(low, left + 1), high, off - left - 1), ("behind", low, min(high, left, width - right - 1), off + right)):
+        if a <= b:
+            made = hashlib.blake2b(b"%d %s %d %d" % (key, kind.encode(), at - off, body[at]), digest_size=8).digest()
+            parts.append((int.from_bytes(made, "little", signed=True), off - b, off - a + 1))
+    return ((off - both[1], off - both[0] + 1) if both[0] <= both[1] else None), parts
+
 
+def _compared_rows(width: int):
+    """Rows (key, tk, first, off, body, other) against the region `other` of their key: what is left of them as regions, and
+    spans (tk, lo, hi) of repeated bytes, also of the other's text."""
+    names, types = [*REGION_NAMES, "lo", "hi"], (*REGION_TYPES, pa.int64(), pa.int64())
 
-def _narrowed_rows(width: int, block: int):
     def over(batches):
         for batch in batches:
-            out = ([], [], [], [], [])
-            for key, tk, first, off, body in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
-                for k, f, o, part in narrowed(key, first, off, body, width, block):
-                    for x, v in zip(out, (k, tk, f, o, part), strict=True):
+            out = tuple([] for _ in names)
+            for key, tk, first, off, body, other in zip(*(batch.column(i).to_pylist() for i in range(6)), strict=True):
+                if (tk, first) == (other["tk"], other["first"]):
+                    continue  # whatever it has in common with another one is found there
+                both, parts = compared(key, off, body, other["off"], other["body"], width)
+                rows = [(k, tk, first + a, off - a, body[a : b + width - 1], None, None) for k, a, b in parts]
+                if both:
+                    a, b = both
+                    there = other["first"] + a - off + other["off"]
+                    rows += [(None, tk, None, None, None, first + a, first + b + width - 1), (None, other["tk"], None, None, None, there, there + b - a + width - 1)]
+                for row in rows:
+                    for x, v in zip(out, row, strict=True):
                         x.append(v)
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, REGION_TYPES, strict=True)], names=REGION_NAMES)
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, types, strict=True)], names=names)
 
     return over
 
 
 def _sorted(regions: DataFrame, width: int) -> DataFrame:
-    """The spans (tk, lo, hi) of repeated bytes among regions whose keys are not frequent. Those without tk are compared only."""
+    """The spans (tk, lo, hi) of repeated bytes among regions whose keys are not frequent."""
     dealt = regions.select("key", "tk", "first", "body").repartition("key").sortWithinPartitions("key")
     return dealt.mapInArrow(_sorted_groups(width), "tk binary, lo long, hi long")
 
 
-def _frequent(regions: DataFrame, width: int, most: int, narrower=NARROWER) -> DataFrame:
+def _frequent(regions: DataFrame, width: int, most: int) -> DataFrame:
     """The spans (tk, lo, hi) of repeated bytes among the regions of frequent anchors.
 
-    Regions that are equal in key, place of the anchor and bytes are repeated whole; they are counted, partially first,
-    and one of them goes on to be compared. Keys with few different regions go to suffix arrays, others are narrowed.
+    In each round a key's regions are compared with one of them, taken by hash, which is settled by that; keys of what is
+    left that have no more than `most` regions go to suffix arrays. Strings of a key have one more byte in common after
+    each round, so rounds end.
     """
     now, spans = cut(regions), []
-    for block in (*narrower, None):
-        piece = now.select(F.struct("key", "off", "body").alias("piece"), "tk", "first")
-        total = max(1, now.count())
-        kinds = cut(piece.groupBy("piece").agg(F.count("*").alias("n"), F.min(F.struct("tk", "first")).alias("one")))
-        twice = join_groups(piece.filter("tk IS NOT NULL"), kinds.filter("n > 1").select("piece", "n"), "piece", "n", total)
-        spans.append(cut(twice.select("tk", F.col("first").cast("long").alias("lo"), (F.col("first") + F.octet_length("piece.body")).cast("long").alias("hi"))))
-        single = (F.col("n") == 1) & F.col("one.tk").isNotNull()
-        open_ = kinds.groupBy(F.col("piece.key").alias("key")).agg(F.count("*").alias("kinds"), F.count_if(single).alias("single")).filter("kinds > 1 AND single > 0")
-        left = join_groups(kinds.withColumn("key", F.col("piece.key")), open_, "key", "kinds", total)
-        left = cut(left.select("key", F.when(single, F.col("one.tk")).alias("tk"), F.col("one.first").alias("first"), F.col("piece.off").alias("off"), F.col("piece.body").alias("body"), "kinds"))
-        if block is None:
-            spans.append(_sorted(left, width))
-            break
-        spans.append(_sorted(left.filter(F.col("kinds") <= most), width))
-        large = left.filter(F.col("kinds") > most).select(*REGION_NAMES)
+    while True:
+        sizes = now.groupBy("key").agg(F.count("*").alias("regions"))
+        counted = cut(join_groups(now, sizes.filter("regions > 1"), "key", "regions", max(1, now.count())))
+        spans.append(_sorted(counted.filter(F.col("regions") <= most), width))
+        large = counted.filter(F.col("regions") > most)
         if large.isEmpty():
-            break
-        now = cut(large.mapInArrow(_narrowed_rows(width, block), REGION))
-    return reduce(DataFrame.unionByName, spans)
+            return reduce(DataFrame.unionByName, spans)
+        other = large.groupBy("key", "regions").agg(F.min_by(F.struct("tk", "first", "off", "body"), F.xxhash64("tk", "first")).alias("other"))
+        met = join_groups(large.drop("regions"), other, "key", "regions", max(1, large.count())).select(*REGION_NAMES, "other")
+        made = cut(met.mapInArrow(_compared_rows(width), f"{REGION}, lo long, hi long"))
+        spans.append(made.filter("lo IS NOT NULL").select("tk", "lo", "hi").distinct())
+        now = made.filter("lo IS NULL").select(*REGION_NAMES)
 
 
 def _sorted_groups(width: int):
@@ -302,7 +321,7 @@ def _sorted_groups(width: int):
     def made(held):
         if not held:
             return None
-        spans = [(tk, a, b) for (_, tk, at, _), m in zip(held, repeats([h[3] for h in held], width), strict=True) if tk is not None for a, b in covered(m, at, width)]
+        spans = [(tk, a, b) for (_, tk, at, _), m in zip(held, repeats([h[3] for h in held], width), strict=True) for a, b in covered(m, at, width)]
         return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*spans, strict=True), (pa.binary(), pa.int64(), pa.int64()), strict=True)], names=["tk", "lo", "hi"]) if spans else None
 
     def over(batches):
@@ -369,13 +388,13 @@ def repeated_spans(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, most_r
     met = runs.groupBy("anchor").agg(F.count("*").alias("regions")).filter("regions > 1")
     hits = cut(join_groups(runs, met, "anchor", "regions", max(1, total)).groupBy("tk").agg(F.collect_list(F.struct("anchor", "first", "last", "regions")).alias("hits")))
     texts = having(keyed, hits.select("tk"), "tk")
-    found = texts.join(hits, "tk").dropDuplicates(["tk"])
-    some = lambda which: found.select("tk", "text", F.filter("hits", which).alias("hits")).mapInArrow(_region_rows(width, gram), REGION)
+    found = texts.select("tk", "text").dropDuplicates(["tk"]).join(hits, "tk")  # copies meet where they are read
+    some = lambda which, *how: found.select("tk", "text", F.filter("hits", which).alias("hits")).filter(F.size("hits") > 0).mapInArrow(_region_rows(width, *how), REGION)
     spans = _sorted(some(lambda h: h["regions"] <= most_regions), width)
     if not met.filter(F.col("regions") > most_regions).isEmpty():
-        spans = spans.unionByName(_frequent(some(lambda h: h["regions"] > most_regions), width, most_regions))
+        spans = spans.unionByName(_frequent(some(lambda h: h["regions"] > most_regions, gram), width, most_regions))
     each = cut(spans.groupBy("tk").agg(F.collect_list(F.struct("lo", "hi")).alias("spans")))
-    again = having(keyed, each.select("tk"), "tk").join(each, "tk").dropDuplicates(["tk"])
+    again = having(keyed, each.select("tk"), "tk").select("tk", "text").dropDuplicates(["tk"]).join(each, "tk")
     left = again.select("tk", "text", "spans").mapInArrow(_removed(), "tk binary, n_removed long, n_spans long, kept_sha256 string, runs array<struct<lo:long,hi:long>>")
     whole = (F.col("copies") > 1) & (F.col("n_bytes") >= width)
     zero = F.lit(0).cast("long")

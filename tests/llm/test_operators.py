@@ -285,17 +285,32 @@ def test_frequent_passages_in_other_surroundings(spark, most):
     assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got} == dict(enumerate(want))
 
 
-def test_narrower_regions_keep_equal_strings_together():
-    dice = random.Random(9)
-    body = bytes(dice.choice(b"ab") for _ in range(60))
-    for block in (7, 3, 1):
-        for first, off in ((0, 20), (5, 15)):
-            parts = list(suffixes.narrowed(1, first, off, body[first:], 30, block))
-            strings = {(f - first + i, b[i : i + 30]) for _, f, _, b in parts for i in range(len(b) - 29)}
-            assert strings == {(i, body[first + i : first + i + 30]) for i in range(len(body) - first - 29)}
-    keys = lambda first, off: {(o - i, b[i : i + 30]): k for k, _, o, b in suffixes.narrowed(1, first, off, body[first:], 30, 7) for i in range(len(b) - 29)}
-    a, b = keys(0, 20), keys(5, 15)
-    assert b and all(a[x] == k for x, k in b.items())
+def test_compared_regions_keep_equal_strings_together():
+    dice, width = random.Random(9), 30
+    for _ in range(300):
+        anchor = "GRAM"
+        side = lambda n: "".join(dice.choice("ab") for _ in range(n))
+        left, right = side(26), side(40)
+        regions = []
+        for _ in range(4):  # strings of 30 that hold the anchor
+            own = (side(dice.randint(0, 10)) + left)[-26:] if dice.random() < 0.5 else side(20) + left[-6:]
+            off = dice.randint(0, 26)
+            tail = right[: dice.randint(0, 40)] + side(40)
+            strings = dice.randint(1, off + 1)
+            regions.append((off, (own[len(own) - off :] + anchor + tail)[: strings + width - 1].encode()))
+        other_off, other = regions[0]
+        string = lambda off, body, i: (off - i, body[i : i + width])
+        has = {string(other_off, other, i) for i in range(len(other) - width + 1)}
+        keys = {}
+        for off, body in regions[1:]:
+            both, parts = suffixes.compared(7, off, body, other_off, other, width)
+            settled = set(range(*both)) if both else set()
+            assert settled == {i for i in range(len(body) - width + 1) if string(off, body, i) in has}
+            left_over = [i for _, a, b in parts for i in range(a, b)]
+            assert sorted([*left_over, *settled]) == list(range(len(body) - width + 1))
+            for key, a, b in parts:
+                for i in range(a, b):
+                    assert keys.setdefault(string(off, body, i), key) == key
 
 
 def test_jaccard_against_brute_force(spark, none):
