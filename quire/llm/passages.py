@@ -1,17 +1,22 @@
 """Near-duplicate passages by compact windows.
 
 Tokens are 5-word shingles. Under each of several hash functions, a text's Cartesian tree by token hash has a node for each
-token that is the smallest of its surroundings; a node that spans at least WIDTH tokens is a compact window: every
-subsequence inside it that holds the node has that signature. Windows of different texts with the same signature are
-joined at the list's first text, and the passages around them are verified on the words themselves.
+token that is the smallest of its surroundings; a node that spans at least WIDTH tokens is a compact window (l, c, r):
+every subsequence inside l to r that holds c has c's hash as its min-hash. Windows of different texts with the same hash
+are joined, and what both spans hold on the same side of c is compared token by token. What agrees are intervals of two
+texts; those that overlap, across windows and hash functions, are joined to passages.
+
+Each window is compared with the first of its list. Windows that do not agree with it are compared with all others of the
+list, in blocks, unless they lie in a passage and in a component with it already.
 """
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import NAMELESS, cut, grouped, having, join_groups, list_arrays, nameless
+from .common import NAMELESS, cut, grouped, having, join_groups, nameless
 from .graph import components
 from .suffixes import _minima
 from .words import chunks, mix, shingles, words
@@ -20,30 +25,50 @@ SHINGLE, PASSAGE_WORDS, PERCENT = 5, 50, 80
 #: Tokens of the shortest passage.
 WIDTH = PASSAGE_WORDS - SHINGLE + 1
 SEEDS = tuple(np.uint64(x) for x in (0x243F6A8885A308D3, 0x13198A2E03707344, 0xA4093822299F31D0))
-#: Words by which a passage may shift against its copy, one way or the other.
+#: Words by which tokens may shift between c and their place in the other window.
 SHIFT = 8
-#: Tokens on both sides of a shared signature that are compared at first; more where the passage goes on.
-REACH = 128
-#: Rounds in which a list's texts are compared with one of them, before those that are left are compared with each other.
-ROUNDS = 2
-#: Tokens that a passage has in common with its copy, at least, and how far from a shared one they are counted.
-NEED, AROUND = -(-2 * PERCENT * WIDTH // (100 + PERCENT)), 2 * WIDTH
-#: Windows of a list whose surroundings one task compares with those of as many others.
-BLOCK = 512
-#: Texts that one task compares with a list's first.
-MEMBERS = 256
-
-
-def nodes(tokens: np.ndarray, whole: np.ndarray, seed: np.uint64, width: int) -> np.ndarray:
-    """Places of the tokens whose node in the Cartesian tree by hash spans `width` tokens or more: those that are the (first)
-    smallest of some `width` successive tokens. whole: tokens that lie in one text; windows never cross texts."""
+#: Tokens that WIDTH successive ones must have in common with the other window.
+NEED = -(-2 * PERCENT * WIDTH // (100 + PERCENT))
+#: Tokens of a window that are compared: passages of WIDTH that hold c lie within REACH of it.
+REACH = WIDTH - 1
+SPAN = 2 * REACH + 1
+#: Windows of a list that one task compares with as many others.
+BLOCK = 256
+#: Pairs of windows that are compared at once.
+PAIRS = 4096
+
+
+def tree_nodes(tokens: np.ndarray, whole: np.ndarray, row: np.ndarray, seed: np.uint64, width: int = WIDTH):
+    """(c, l, r) of the nodes of the Cartesian trees by hash that span `width` tokens or more. row: each token's text; whole: tokens
+    that lie in one text. Windows never cross texts. Of a run of one token, only the first and the last node stay."""
+    none = np.zeros(0, np.int64)
     if len(tokens) < width:
-        return np.zeros(0, np.int64)
+        return none, none, none
     low = np.uint64(0xFFFFFF)
     ranked = (mix(tokens ^ seed) & ~low) | np.arange(len(tokens), dtype=np.uint64)
     inside = np.cumsum(np.r_[0, whole])
     at = (_minima(ranked, width) & low).astype(np.int64)[inside[width:] - inside[:-width] == width]
-    return at[np.r_[True, at[1:] != at[:-1]]] if len(at) else at
+    if not len(at):
+        return none, none, none
+    at = at[np.r_[True, at[1:] != at[:-1]]]
+    # the next smaller token of such a node is such a node itself, so the others need not be looked at
+    first = np.searchsorted(row, row[at], "left")
+    last = first + inside[np.searchsorted(row, row[at], "right")] - inside[first]  # whole tokens come first in a text
+    left, right = first.tolist(), (last - 1).tolist()
+    places, ranks, texts = at.tolist(), ranked[at].tolist(), row[at].tolist()
+    stack: list[int] = []
+    for i, c in enumerate(places):
+        if stack and texts[stack[-1]] != texts[i]:
+            stack = []
+        while stack and ranks[stack[-1]] > ranks[i]:
+            right[stack.pop()] = c - 1
+        if stack:
+            left[i] = places[stack[-1]] + 1
+        stack.append(i)
+    c, left, right = at, np.array(left), np.array(right)
+    run = np.r_[False, (c[1:] == c[:-1] + 1) & (tokens[c[1:]] == tokens[c[:-1]])]
+    ends = ~(run & np.r_[run[1:], False])
+    return c[ends], left[ends], right[ends]
 
 
 def _signature(tokens: np.ndarray, i: int) -> np.ndarray:
@@ -51,272 +76,223 @@ def _signature(tokens: np.ndarray, i: int) -> np.ndarray:
     return ((mix(tokens ^ SEEDS[i]) & ~np.uint64(3)) | np.uint64(i)).view(np.int64)
 
 
-def _windows(width: int):
-    def over(batches):
-        for batch in batches:
-            n, lists = [], ([], [])
-            for i, j, data, bounds in chunks(batch.column(2)):
-                hashed, _, _, wb = words(data, bounds)
-                tokens, whole = shingles(hashed, wb, SHINGLE)
-                found = [nodes(tokens, whole, s, width) for s in SEEDS]
-                at = np.concatenate(found)
-                value = np.concatenate([_signature(tokens[x], i) for i, x in enumerate(found)])
-                order = np.argsort(at, kind="stable")
-                at, value = at[order], value[order]
-                part = np.searchsorted(at, wb)
-                n.extend(np.diff(wb).tolist())
-                lists[0].extend(np.unique(value[a:b]) for a, b in zip(part, part[1:]))
-            values = lists[0]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, values)]), pa.int32()), pa.array(np.concatenate(values) if values else np.zeros(0, np.int64)))], names=["doc_id", "cid", "n_words", "signatures"])
-
-    return over
-
-
-def _tokens(text: str) -> np.ndarray:
-    for _, _, data, bounds in chunks(pa.array([text])):
-        hashed, _, _, wb = words(data, bounds)
-        return shingles(hashed, wb, SHINGLE)[0][: max(0, len(hashed) - SHINGLE + 1)]
-    return np.zeros(0, np.uint64)
-
-
-def _surroundings(tokens: np.ndarray, at: np.ndarray, width: int) -> list[bytes]:
-    """What decides whether a passage lies around each place: the tokens near it, and the text's ends."""
-    r = width + SHIFT
-    padded = np.concatenate([np.zeros(r, np.uint64), tokens, np.ones(r, np.uint64)])
-    return [padded[x : x + 2 * r + 1].tobytes() for x in at.tolist()]
-
-
-def _places(tokens: np.ndarray, i: int, own: np.ndarray, width: int) -> tuple:
-    """(place, signature, surroundings) of nodes under hash i whose signature is among `own`, and for each signature
-    one place of each of its surroundings."""
-    at = nodes(tokens, np.ones(len(tokens), bool), SEEDS[i], width)
-    # of a run of one token its ends stand for it, and its middle where a passage may lie inside it
-    first = np.flatnonzero(np.r_[True, tokens[1:] != tokens[:-1]])
-    last = np.r_[first[1:], len(tokens)] - 1
-    run = np.unique(np.searchsorted(first, at, "right") - 1)
-    long = run[last[run] - first[run] + 1 >= width]
-    at = np.unique(np.concatenate([first[run], last[run], (first[long] + last[long]) // 2]))
-    value = _signature(tokens[at], i)
-    at, value = at[np.isin(value, own)], value[np.isin(value, own)]
-    near = _surroundings(tokens, at, width)
-    kinds: dict[int, dict[bytes, int]] = {}
-    for x, v, n in zip(at.tolist(), value.tolist(), near, strict=True):
-        kinds.setdefault(v, {}).setdefault(n, x)
-    return list(zip(at.tolist(), value.tolist(), near, strict=True)), kinds
-
-
-def passages(a: np.ndarray, b: np.ndarray, signatures: np.ndarray, width: int = WIDTH, percent: int = PERCENT) -> list[tuple]:
-    """(start in a, end, start in b, end, similarity) of near-duplicate passages of tokens around shared signatures.
-
-    Every such node of either text that lies in no passage yet is held against the other text's nodes until one agrees;
-    places with equal surroundings are tried once."""
-    found: list[tuple] = []
-    if min(len(a), len(b)) < width:
-        return found
-    need = -(-2 * percent * width // (100 + percent))
-    done = np.zeros(len(a), bool), np.zeros(len(b), bool)
-    for i in range(len(SEEDS)):
-        own = signatures[signatures & 3 == i]
-        sides = _places(a, i, own, width), _places(b, i, own, width)
-        for side in (0, 1):
-            partner: dict[bytes, int | None] = {}
-            for x, v, near in sides[side][0]:
-                if done[side][x]:
-                    continue
-                tried = [partner[near]] if near in partner else sides[1 - side][1].get(v, {}).values()
-                passage = partner[near] = None
-                for y in tried:
-                    if y is not None:
-                        p, q = (y, x) if side else (x, y)
-                        passage = _around(a, b, q - p, p, REACH, width, need, percent)
-                    if passage:
-                        partner[near] = y
-                        found.append(passage)
-                        done[0][passage[0] : passage[1]] = True
-                        done[1][passage[2] : passage[3]] = True
-                        break
-    return found
-
-
-def _hits(a: np.ndarray, b: np.ndarray, d: int, lo: int, hi: int) -> np.ndarray:
-    """Which of a's tokens from lo to hi b has SHIFT or fewer tokens from the place d further on."""
-    first, last = lo + d - SHIFT, hi + d + SHIFT
-    there = b[max(0, first) : max(0, min(len(b), last))]
-    inside = np.zeros(last - first, bool)
-    inside[max(0, -first) : max(0, -first) + len(there)] = True
-    padded = np.zeros(last - first, np.uint64)
-    padded[inside] = there
-    views = np.lib.stride_tricks.sliding_window_view
-    span = 2 * SHIFT + 1
-    return ((views(padded, span) == a[lo:hi, None]) & views(inside, span)).any(axis=1)
-
-
-def _around(a, b, d: int, anchor: int, reach: int, width: int, need: int, percent: int) -> tuple | None:
-    """The passage around a's token `anchor`, which is b's token anchor + d."""
-    close = _hits(a, b, d, max(0, anchor - width + 1), min(len(a), anchor + width))
-    total = np.cumsum(np.r_[0, close])
-    if len(close) < width or (total[width:] - total[:-width]).max() < need:
-        return None
-    while True:
-        lo, hi = max(0, anchor - reach), min(len(a), anchor + reach)
-        hit = _hits(a, b, d, lo, hi)
-        total = np.cumsum(np.r_[0, hit])
-        good = np.flatnonzero(total[width:] - total[:-width] >= need)
-        near = good[(good + lo <= anchor) & (good + lo + width > anchor)]
-        # on from there through windows that follow each other
-        breaks = np.flatnonzero(np.diff(good) > 1)
-        k = np.searchsorted(good, near[0])
-        first = good[breaks[breaks < k][-1] + 1] if (breaks < k).any() else good[0]
-        last = good[breaks[breaks >= k][0]] if (breaks >= k).any() else good[-1]
-        x0, x1 = int(first + lo), int(last + lo + width)
-        if (x0 == lo and lo > 0) or (x1 == hi and hi < len(a)):
-            reach *= 4  # it goes on
-            continue
-        break
-    best = int(near[np.argmax((total[width:] - total[:-width])[near])]) + lo
-    return _trimmed(a, b, d, lo, hit, x0, x1, percent) or _trimmed(a, b, d, lo, hit, best, best + width, percent)
-
-
-def _trimmed(a, b, d: int, lo: int, hit: np.ndarray, x0: int, x1: int, percent: int) -> tuple | None:
-    """The passage of a from x0 to x1 without its ends that b lacks, if it and what b has there are similar enough."""
-    there = np.flatnonzero(hit[x0 - lo : x1 - lo])
-    x0, x1 = x0 + int(there[0]), x0 + int(there[-1]) + 1
-    y = [(max(0, x0 + d), min(len(b), x1 + d))]
-    if not np.array_equal(a[x0:x1], b[y[0][0] : y[0][1]]):
-        y += [(max(0, x0 + d + e), min(len(b), x1 + d + f)) for e in range(-SHIFT, SHIFT + 1, 2) for f in (0, e)]
-    own = set(a[x0:x1].tolist())
-    like, (y0, y1) = max((_jaccard(own, set(b[p:q].tolist())), (p, q)) for p, q in y if q > p)
-    return (x0, x1, y0, y1, like) if like * 100 >= percent else None
-
-
-def _jaccard(a: set, b: set) -> float:
-    both = len(a & b)
-    return both / max(1, len(a) + len(b) - both)
-
-
-def _settled(tokens: np.ndarray, signatures: np.ndarray, found: list[tuple]) -> list[int]:
-    """Those of the signatures whose every place in a pair's second text lies in one of the passages found."""
-    done = np.zeros(len(tokens), bool)
-    for p in found:
-        done[p[2] : p[3]] = True
-    out = []
-    for i in range(len(SEEDS)):
-        at = nodes(tokens, np.ones(len(tokens), bool), SEEDS[i], WIDTH)
-        value = _signature(tokens[at], i)
-        out.extend(np.setdiff1d(np.intersect1d(signatures[signatures & 3 == i], value), value[~done[at]]).tolist())
-    return out
-
-
-def _verify(g):
-    """A leader against others: (leader, cid, spans of both, similarity, 0) for each passage, and (leader, cid, zeros, value) for
-    each signature of cid that needs no other partner."""
-    texts, cids, signatures = g["text"].to_pylist(), g["cid"].to_pylist(), g["signatures"].to_pylist()
-    leader = g["leader"][0].as_py()
-    if leader not in cids:
-        return None
-    base, out = _tokens(texts[cids.index(leader)]), []
-    for text, cid, s in zip(texts, cids, signatures, strict=True):
-        if cid != leader:
-            own, s = _tokens(text), np.array(s, np.int64)
-            found = passages(base, own, s)
-            out.extend((leader, cid, *p, 0) for p in found)
-            if found:
-                out.extend((leader, cid, 0, 0, 0, 0, 0.0, v) for v in _settled(own, s, found))
-    return tuple(np.array(c) for c in zip(*out, strict=True)) if out else None
-
-
-def _near_rows(batches):
-    """(value, label, cid, tokens near it) of each different place of a text's signatures; rows are cid, text and (value, label)s."""
+def _windows(batches):
+    """doc_id, cid, text in; doc_id, cid, number of words and the windows out: signature, c, and how far l and r lie from c, REACH at most."""
+    for batch in batches:
+        n, lists = [], ([], [], [], [])
+        for i, j, data, bounds in chunks(batch.column(2)):
+            hashed, _, _, wb = words(data, bounds)
+            tokens, whole = shingles(hashed, wb, SHINGLE)
+            row = np.repeat(np.arange(j - i), np.diff(wb))
+            found = [tree_nodes(tokens, whole, row, s) for s in SEEDS]
+            c, left, right = (np.concatenate(x) for x in zip(*found, strict=True))
+            value = np.concatenate([_signature(tokens[x[0]], i) for i, x in enumerate(found)])
+            order = np.argsort(c, kind="stable")
+            c, value, left, right = c[order], value[order], left[order], right[order]
+            part = np.searchsorted(c, wb)
+            n.extend(np.diff(wb).tolist())
+            made = value, (c - np.repeat(wb[:-1], np.diff(part))).astype(np.int32), np.minimum(c - left, REACH).astype(np.int32), np.minimum(right - c, REACH).astype(np.int32)
+            for out, x in zip(lists, made, strict=True):
+                out.extend(x[a:b] for a, b in zip(part, part[1:]))
+        columns = [pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, x)]), pa.int32()), pa.array(np.concatenate(x) if x else np.zeros(0, t))) for x, t in zip(lists, (np.int64, np.int32, np.int32, np.int32), strict=True)]
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64()), *columns], names=["doc_id", "cid", "n_words", "value", "c", "before", "behind"])
+
+
+def near_tokens(tokens: np.ndarray, c: np.ndarray, before: np.ndarray, behind: np.ndarray) -> np.ndarray:
+    """The tokens of windows as rows of SPAN 32-bit hashes, c in the middle; 0 outside of the window."""
+    short = (tokens >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
+    place = np.arange(-REACH, REACH + 1)
+    inside = (place >= -before[:, None]) & (place <= behind[:, None])
+    return np.where(inside, short[np.clip(c[:, None] + place, 0, len(short) - 1)], np.uint32(0))
+
+
+def _entries(batches):
+    """cid, text and a list of windows in; (value, cid, c, before, behind, near) out, near being the window's tokens."""
     for batch in batches:
-        out = ([], [], [], [])
-        for cid, text, own in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-            tokens, label = _tokens(text), {x["value"]: x["label"] for x in own}
-            for i in range(len(SEEDS)):
-                at = nodes(tokens, np.ones(len(tokens), bool), SEEDS[i], WIDTH)
-                seen = set()
-                for x, v in zip(at.tolist(), _signature(tokens[at], i).tolist(), strict=True):
-                    near = tokens[max(0, x - AROUND) : x + AROUND + 1].view(np.int64)
-                    if v in label and (v, near.tobytes()) not in seen:
-                        seen.add((v, near.tobytes()))
-                        for column, y in zip(out, (v, label[v], cid, near), strict=True):
-                            column.append(y)
-        if out[0]:
-            ends = pa.array(np.cumsum([0, *map(len, out[3])]), pa.int32())
-            yield pa.RecordBatch.from_arrays([*(pa.array(x, pa.int64()) for x in out[:3]), pa.ListArray.from_arrays(ends, pa.array(np.concatenate(out[3])))], names=["value", "label", "cid", "near"])
-
-
-def _alike(g):
-    """(cid, cid, value) of the windows of a list that have NEED tokens in common at least and different labels."""
-    near, label, cid = list_arrays(g["near"]), g["label"].to_numpy(), g["cid"].to_numpy()
-    names, at = np.unique(np.concatenate(near), return_inverse=True)
-    both, times = np.unique(np.repeat(np.arange(len(near)), [len(x) for x in near]) * len(names) + at, return_counts=True)
-    row, token = np.divmod(both, len(names))
-    shared = np.bincount(token)[token] > 1
-    kept, token = np.unique(token[shared], return_inverse=True)
-    count = np.zeros((len(near), len(kept)), np.float32)
-    count[row[shared], token] = times[shared]
-    hits = count @ (count > 0).astype(np.float32).T
-    i, j = np.nonzero((np.maximum(hits, hits.T) >= NEED) & (label[:, None] != label) & (cid[:, None] < cid))
-    return (cid[i], cid[j], np.repeat(g["value"][0].as_py(), len(i))) if len(i) else None
-
-
-def _compared(keyed: DataFrame, met: DataFrame, total: int) -> DataFrame:
-    """What _verify finds between the pairs (leader, cid, signatures)."""
-    sizes = met.groupBy("leader").agg(F.count("*").alias("members")).withColumn("parts", F.ceil(F.col("members") / MEMBERS).cast("int"))
-    part = join_groups(met, sizes, "leader", "members", total).select("leader", F.pmod(F.xxhash64("cid"), F.col("parts")).cast("int").alias("part"), "cid", "signatures")
-    first = sizes.select("leader", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("leader").alias("cid"), F.array().cast("array<long>").alias("signatures"))
-    every = part.unionByName(first)
-    texts = having(keyed, every.select("cid").distinct(), "cid").select("cid", "text").dropDuplicates(["cid"])
-    return cut(grouped(every.join(texts, "cid"), ["leader", "part"], _verify, "leader long, cid long, a0 long, a1 long, b0 long, b1 long, similarity double, value long"))
-
-
-def _left(keyed: DataFrame, met: DataFrame, verified: DataFrame, total: int) -> DataFrame:
-    """Pairs (leader, cid, signatures) that the rounds left open: those of a list whose surroundings have enough tokens in
-    common for a passage, other than two that are settled and connected already. A list's first leader was compared with all."""
-    linked = components(verified.filter("a1 > 0").select(F.col("leader").alias("a"), F.col("cid").alias("b"))).select(F.col("id").alias("cid"), "component")
-    settled = verified.filter("a1 = 0").select("value", "cid").distinct().join(linked, "cid")
-    entries = met.select("cid", F.explode("signatures").alias("value"))
-    named = cut(entries.join(settled, ["value", "cid"], "left").select("value", "cid", F.coalesce("component", F.xxhash64("cid", F.lit(1))).alias("label")))
-    lists = named.groupBy("value").agg(F.min("label").alias("least"), F.max("label").alias("most"), F.count("*").alias("df")).filter("least <> most").select("value", "df")
-    wanted = cut(join_groups(named, lists, "value", "df", total).groupBy("cid").agg(F.collect_list(F.struct("value", "label")).alias("own")))
-    texts = having(keyed, wanted.select("cid"), "cid").select("cid", "text").dropDuplicates(["cid"])
-    places = cut(texts.join(wanted, "cid").select("cid", "text", "own").mapInArrow(_near_rows, "value long, label long, cid long, near array<long>"))
-    sizes = places.groupBy("value").agg(F.count("*").alias("df"))
-    dealt = join_groups(places, sizes, "value", "df", total).withColumn("blocks", F.ceil(F.col("df") / BLOCK).cast("int"))
-    dealt = dealt.withColumn("block", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("value", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "label", "cid", "near")
-    pairs = grouped(dealt, ["value", "lo", "hi"], _alike, "leader long, cid long, value long")
-    return cut(pairs.groupBy("leader", "cid").agg(F.collect_set("value").alias("signatures")))
+        out = ([], [], [], [], [], [])
+        own = batch.column(2)
+        fields = [own.flatten().field(k).to_numpy() for k in range(4)]
+        ends = own.value_lengths().to_numpy().cumsum()
+        cids = batch.column(0).to_numpy()
+        row = 0
+        for i, j, data, bounds in chunks(batch.column(1)):
+            hashed, _, _, wb = words(data, bounds)
+            tokens, _ = shingles(hashed, wb, SHINGLE)
+            for k in range(i, j):
+                a, b = (ends[k - 1] if k else 0), ends[k]
+                value, c, before, behind = (f[a:b] for f in fields)
+                near = near_tokens(tokens[wb[k - i] : wb[k - i + 1]], c, before, behind)
+                for x, v in zip(out, (value, np.full(b - a, cids[k]), c, before, behind, near), strict=True):
+                    x.append(v)
+                row += b - a
+        if row:
+            value, cid, c, before, behind, near = (np.concatenate(x) for x in out)
+            size = 4 * SPAN
+            packed = pa.Array.from_buffers(pa.binary(), len(near), [None, pa.py_buffer((np.arange(len(near) + 1) * size).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(near))])
+            yield pa.RecordBatch.from_arrays([*(pa.array(x) for x in (value, cid, c, before, behind)), packed], names=["value", "cid", "c", "before", "behind", "near"])
+
+
+ENTRY = "value long, cid long, c int, before int, behind int, near binary"
+
+
+def _near(column) -> np.ndarray:
+    column = column.combine_chunks() if hasattr(column, "combine_chunks") else column
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint32).reshape(-1, SPAN)
+
+
+def agreement(a: np.ndarray, b: np.ndarray, a_before, a_behind, b_before, b_behind):
+    """For pairs of windows, row by row: (whether they agree, first and end of what agrees in a and in b, where the best WIDTH tokens of a
+    and of b begin, similarity). Places count from c.
+
+    They agree if WIDTH successive tokens of each that hold c have NEED or more in common with the other's, SHIFT or fewer places
+    from where they would stand. Similarity is the Jaccard index of what agrees, or of the best WIDTH tokens where it is more.
+    """
+    hit = [np.zeros(a.shape, bool), np.zeros(b.shape, bool)]
+    for s in range(-SHIFT, SHIFT + 1):
+        x, y = slice(max(0, -s), SPAN - max(0, s)), slice(max(0, s), SPAN - max(0, -s))
+        same = (a[:, x] == b[:, y]) & (a[:, x] != 0)
+        hit[0][:, x] |= same
+        hit[1][:, y] |= same
+    start, place = np.arange(REACH + 1), np.arange(SPAN)
+    ok, found, best, most, held, long = np.ones(len(a), bool), [], [], np.full(len(a), WIDTH), np.full(len(a), SPAN), 0
+    for h, before, behind in ((hit[0], a_before, a_behind), (hit[1], b_before, b_behind)):
+        total = np.concatenate([np.zeros((len(a), 1), np.int16), np.cumsum(h, axis=1, dtype=np.int16)], axis=1)
+        count = total[:, WIDTH:] - total[:, :-WIDTH]
+        count = np.where((start >= REACH - before[:, None]) & (start <= behind[:, None]), count, 0)
+        good = count >= NEED
+        ok &= good.any(axis=1)
+        first, end = good.argmax(axis=1), REACH - good[:, ::-1].argmax(axis=1) + WIDTH
+        inside = h & (place >= first[:, None]) & (place < end[:, None])
+        first, end = inside.argmax(axis=1), SPAN - inside[:, ::-1].argmax(axis=1)
+        found += [first - REACH, end - REACH]
+        best.append(count.argmax(axis=1) - REACH)
+        most, held, long = np.minimum(most, count.max(axis=1)), np.minimum(held, inside.sum(axis=1)), long + end - first
+    return ok, *found, *best, np.maximum(most / (2 * WIDTH - most), held / np.maximum(1, long - held))
+
+
+SPAN_NAMES = ["a0", "a1", "b0", "b1", "a_best", "b_best", "similarity"]
+SPANS = "leader long, cid long, a0 long, a1 long, b0 long, b1 long, a_best long, b_best long, similarity double"
+
+
+def _placed(found, a, b) -> list:
+    """What agreement() finds, counted from the texts' first tokens; a and b are the places of c."""
+    return [x + y for x, y in zip(found[:6], (a, a, b, b, a, b), strict=True)] + [found[6]]
+
+
+def _against_leader(batches):
+    """Windows beside the leading window of their list in: spans of those that agree out, and (value, cid, c) of those that do not."""
+    for batch in batches:
+        g = {n: batch.column(i) for i, n in enumerate(batch.schema.names)}
+        n = {k: g[k].to_numpy() for k in ("value", "cid", "c", "before", "behind", "l_cid", "l_c", "l_before", "l_behind")}
+        ok, *found = agreement(_near(g["l_near"]), _near(g["near"]), n["l_before"], n["l_behind"], n["before"], n["behind"])
+        columns = [n["value"], n["c"].astype(np.int64), n["l_cid"], n["cid"], *_placed(found, n["l_c"], n["c"])]
+        yield pa.RecordBatch.from_arrays([*(pa.array(x) for x in columns), pa.array(ok)], names=["value", "c", "leader", "cid", *SPAN_NAMES, "ok"])
+
+
+def _in_blocks(g):
+    """Open windows of a list (side 0) against a block of all its windows (side 1): spans of a forest of those that agree."""
+    side, cid, label, c = (g[k].to_numpy() for k in ("side", "cid", "label", "c"))
+    before, behind, near = g["before"].to_numpy(), g["behind"].to_numpy(), _near(g["near"])
+    x, y = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+    if not len(x) or not len(y):
+        return None
+    i, j = np.nonzero((label[x][:, None] != label[y]) & (cid[x][:, None] != cid[y]))
+    i, j = x[i], y[j]
+    root, out = list(range(len(side))), []
+
+    def top(k):
+        while root[k] != k:
+            root[k] = root[root[k]]
+            k = root[k]
+        return k
+
+    for k in range(0, len(i), PAIRS):
+        p, q = j[k : k + PAIRS], i[k : k + PAIRS]
+        ok, *found = agreement(near[p], near[q], before[p], behind[p], before[q], behind[q])
+        found = _placed(found, c[p], c[q])
+        for m in np.flatnonzero(ok).tolist():
+            s, t = top(int(p[m])), top(int(q[m]))
+            if s != t:
+                root[max(s, t)] = min(s, t)
+                out.append((cid[p[m]], cid[q[m]], *(x[m] for x in found)))
+    return tuple(np.array(v) for v in zip(*out, strict=True)) if out else None
+
+
+def merged(spans: DataFrame, keys: list[str], near: int = SHIFT) -> DataFrame:
+    """Spans of the same keys that overlap in a, and in b about one diagonal, joined to one (a0, a1, b0, b1, similarity): its similarity is
+    the least of its parts'. What is shorter than WIDTH begins or ends with tokens that the other lacks; it is its best WIDTH tokens."""
+    own = W.partitionBy(*keys).orderBy("shelf", "a0", "a1")
+    spans = spans.distinct().withColumn("shelf", F.floor((F.col("b0") - F.col("a0")) / (2 * near + 1)))
+    reached = F.max(F.struct("shelf", "a1")).over(own.rowsBetween(W.unboundedPreceding, -1))
+    new = reached.isNull() | (reached["shelf"] != F.col("shelf")) | (F.col("a0") > reached["a1"])
+    marked = spans.withColumn("new", new.cast("int")).withColumn("island", F.sum("new").over(own.rowsBetween(W.unboundedPreceding, 0)))
+    least = [F.min(x).alias(x) for x in ("a0", "b0", "a_best", "b_best", "similarity")]
+    whole = marked.groupBy(*keys, "island").agg(*least, F.max("a1").alias("a1"), F.max("b1").alias("b1"))
+    side = lambda x: (F.when(F.col(f"{x}1") - F.col(f"{x}0") < WIDTH, F.col(f"{x}_best")).otherwise(F.col(f"{x}0")).alias(f"{x}0"), F.when(F.col(f"{x}1") - F.col(f"{x}0") < WIDTH, F.col(f"{x}_best") + WIDTH).otherwise(F.col(f"{x}1")).alias(f"{x}1"))
+    return whole.select(*keys, *side("a"), *side("b"), "similarity")
+
+
+def _left(entries: DataFrame, open_: DataFrame, verified: DataFrame, total: int) -> DataFrame:
+    """Spans of the open windows (value, cid, c, leader) with others of their lists. Those that lie in a passage and in a component
+    with the list's leader are settled."""
+    linked = cut(components(verified.select(F.col("leader").alias("a"), F.col("cid").alias("b"))).select(F.col("id").alias("cid"), "component"))
+    sides = verified.select("cid", F.col("b0").alias("lo"), F.col("b1").alias("hi")).unionByName(verified.select(F.col("leader").alias("cid"), F.col("a0").alias("lo"), F.col("a1").alias("hi"))).distinct()
+    own = W.partitionBy("cid").orderBy("lo", "hi")
+    islands = sides.withColumn("new", (F.coalesce(F.max("hi").over(own.rowsBetween(W.unboundedPreceding, -1)), F.lit(-1)) < F.col("lo")).cast("int")).withColumn("island", F.sum("new").over(own))
+    islands = islands.groupBy("cid", "island").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).groupBy("cid").agg(F.collect_list(F.struct("lo", "hi")).alias("inside"))
+    inside = F.coalesce(F.exists("inside", lambda x: (x["lo"] <= F.col("c")) & (F.col("c") < x["hi"])), F.lit(False))
+    # a window in no passage has a label of its own
+    known = entries.select("value", "cid", "c").join(open_.select("value").distinct(), "value", "left_semi").join(islands, "cid", "left").join(linked, "cid", "left")
+    known = cut(known.select("value", "cid", "c", F.when(inside, F.col("component")).otherwise(F.xxhash64("cid", "c", F.lit(7))).alias("label")))
+    led = open_.join(linked.toDF("leader", "led"), "leader", "left").select("value", "cid", "c", "led")
+    still = led.join(known, ["value", "cid", "c"]).filter("led IS NULL OR label <> led").select("value", "cid", "c", "label")
+    opened = still.groupBy("value").agg(F.count("*").alias("opened"))
+    lists = known.groupBy("value").agg(F.count("*").alias("df")).join(opened, "value")
+    lists = cut(lists.withColumn("opens", F.ceil(F.col("opened") / BLOCK).cast("int")).withColumn("blocks", F.ceil(F.col("df") / BLOCK).cast("int")))
+    body = entries.select("value", "cid", "c", "before", "behind", "near")
+    every = join_groups(known, lists.select("value", "df", "opens", "blocks"), "value", "df", total)
+    mark = F.xxhash64("cid", "c")
+    every = every.select("value", "cid", "c", "label", F.lit(1).alias("side"), F.pmod(mark, "blocks").cast("int").alias("block"), F.explode(F.sequence(F.lit(0), F.col("opens") - 1)).alias("opening"))
+    some = join_groups(still, lists.select("value", "opened", "opens", "blocks"), "value", "opened", total)
+    some = some.select("value", "cid", "c", "label", F.lit(0).alias("side"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.pmod(mark, "opens").cast("int").alias("opening"))
+    dealt = every.unionByName(some).join(body, ["value", "cid", "c"])
+    return cut(grouped(dealt, ["value", "opening", "block"], _in_blocks, SPANS))
 
 
 def near_passages(docs: DataFrame) -> DataFrame:
     """The near-duplicate passages of all documents: (doc_id, first_word, n_words, near_doc_id, near_first_word, near_n_words,
     similarity, component_id).
 
-    A row is a passage of at least PASSAGE_WORDS words of a document that another document has too, with a Jaccard
-    similarity of at least PERCENT percent of their 5-word shingles, and where that one has it. A document without such
-    a passage has no row; one whose whole text, of that length, stands in other rows too has a row for it. component_id is the
-    smallest doc_id that passages connect. Null and short texts have none; texts are told apart by a 64-bit digest. Rows
-    with the same doc_id are one document. A text without doc_id takes part and links others; doc_ids lie under NAMELESS.
+    A row is a passage of at least PASSAGE_WORDS words of a document that another document has too: around each
+    shared signature, PASSAGE_WORDS words of it agree with the other's in PERCENT percent of their 5-word shingles or more, as a
+    Jaccard index, and similarity is the least of these. A document without such a passage has no row; one whose whole text, of
+    that length, stands in other rows too has a row for it. component_id is the smallest doc_id that passages connect. Null and
+    short texts have none; texts are told apart by a 64-bit digest. Rows with the same doc_id are one document. A text without
+    doc_id takes part and links others; doc_ids lie under NAMELESS. An empty table gives no row; other columns are not read.
     """
     body = F.coalesce(F.col("text"), F.lit(""))
     keyed = docs.select("doc_id", F.xxhash64(F.sha2(body.cast("binary"), 256)).alias("cid"), body.alias("text"))
-    rows = cut(keyed.mapInArrow(_windows(WIDTH), "doc_id long, cid long, n_words long, signatures array<long>"))
-    total = max(1, rows.count())
-    classes = cut(rows.groupBy("cid").agg(F.min("doc_id").alias("rep"), F.min(F.coalesce("doc_id", nameless(F.col("cid")))).alias("vertex"), F.max("doc_id").alias("other"), F.count("*").alias("copies"), F.first("n_words").alias("n_words"), F.first("signatures").alias("signatures")))
-    windows = classes.select("cid", F.explode("signatures").alias("value"))
-    verified = first_met = None
-    for n in range(ROUNDS):
-        leader = F.min("cid") if n == 0 else F.min_by("cid", F.xxhash64("cid", F.lit(n)))
-        leaders = windows.groupBy("value").agg(leader.alias("leader"), F.count("*").alias("df")).filter("df > 1")
-        met = cut(join_groups(windows, leaders, "value", "df", total).filter("cid <> leader").groupBy("leader", "cid").agg(F.collect_list("value").alias("signatures")))
-        first_met = first_met or met
-        found = _compared(keyed, met, total)
-        verified = found if verified is None else verified.unionByName(found)
-        open_ = met.select("leader", "cid", F.explode("signatures").alias("value"))
-        windows = cut(open_.join(found.filter("a1 = 0").select("leader", "cid", "value"), ["leader", "cid", "value"], "left_anti").select("cid", "value"))
-    verified = verified.unionByName(_compared(keyed, _left(keyed, first_met, verified, total), total))
-    verified = verified.filter("a1 > 0")
+    listed = cut(keyed.mapInArrow(_windows, "doc_id long, cid long, n_words long, value array<long>, c array<int>, before array<int>, behind array<int>"))
+    total = max(1, listed.count())
+    rows = listed.select("doc_id", "cid", "n_words")
+    classes = cut(rows.groupBy("cid").agg(F.min("doc_id").alias("rep"), F.min(F.coalesce("doc_id", nameless(F.col("cid")))).alias("vertex"), F.max("doc_id").alias("other"), F.count("*").alias("copies"), F.first("n_words").alias("n_words")))
+    one = listed.filter(F.size("value") > 0).groupBy("cid").agg(F.first(F.arrays_zip("value", "c", "before", "behind")).alias("own"))
+    windows = cut(one.select("cid", F.explode("own").alias("w")).select("cid", "w.*"))
+    n_windows = max(1, windows.count())
+    leaders = cut(windows.groupBy("value").agg(F.min(F.struct("cid", "c")).alias("first"), F.max("cid").alias("most"), F.count("*").alias("df")).filter("first.cid <> most").select("value", F.col("first.cid").alias("l_cid"), F.col("first.c").alias("l_c"), "df"))
+    met = join_groups(windows, leaders.select("value", "df"), "value", "df", n_windows)
+    wanted = cut(met.groupBy("cid").agg(F.collect_list(F.struct("value", "c", "before", "behind")).alias("own")))
+    texts = having(keyed, wanted.select("cid"), "cid").select("cid", "text").dropDuplicates(["cid"])  # copies meet where they are read
+    entries = cut(texts.join(wanted, "cid").select("cid", "text", "own").mapInArrow(_entries, ENTRY))
+    first = entries.join(leaders, (entries["value"] == leaders["value"]) & (entries["cid"] == leaders["l_cid"]) & (entries["c"] == leaders["l_c"]), "left_semi")
+    first = first.groupBy("value").agg(*(F.first(x).alias(f"l_{x}") for x in ("cid", "c", "before", "behind", "near"))).join(leaders.select("value", "df"), "value")
+    beside = join_groups(entries, first, "value", "df", n_windows).filter("cid <> l_cid").drop("df")
+    said = cut(beside.mapInArrow(_against_leader, f"value long, c long, {SPANS}, ok boolean"))
+    verified = said.filter("ok").select("leader", "cid", *SPAN_NAMES)
+    open_ = said.filter("NOT ok").select("value", "cid", F.col("c").cast("int").alias("c"), "leader")
+    if not open_.isEmpty():
+        verified = verified.unionByName(_left(entries, open_, verified, n_windows))
+    verified = cut(merged(verified, ["leader", "cid"]))
     plus = SHINGLE - 1
     name = classes.select("cid", "rep")
     there = verified.select("cid", F.col("b0").alias("first_word"), (F.col("b1") - F.col("b0") + plus).alias("n_words"), F.col("leader").alias("near"), F.col("a0").alias("near_first_word"), (F.col("a1") - F.col("a0") + plus).alias("near_n_words"), "similarity")
