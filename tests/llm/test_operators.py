@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from quire.llm import exact_dedup, jaccard, mixing, near_vectors, packing, passages, quality, sharding, suffixes, url_filter
+from quire.llm import exact_dedup, graph, jaccard, mixing, near_vectors, packing, passages, quality, sharding, suffixes, url_filter
 from quire.llm.queries import tokenizer_path
 from quire.llm.words import chunks, shingles, words
 
@@ -99,6 +99,33 @@ def test_quality_learns(spark, none):
     assert quality.classify(none, labels).count() == 0 and {r.score for r in quality.classify(docs, labels.limit(0)).collect()} == {0.5}
 
 
+@pytest.mark.parametrize("most", [500_000, 0])
+def test_components_of_hubs_and_chains(spark, most):
+    dice = random.Random(6)
+    edges = [(500, x) for x in range(600, 900)] + [(x, x + 1) for x in range(100, 160)] + [(dice.randrange(1000, 1100), dice.randrange(1000, 1100)) for _ in range(60)] + [(7, 7), (600, 500)]
+    low = {x: x for e in edges for x in e}
+    for _ in low:
+        changed = False
+        for a, b in edges:
+            if low[a] != low[b]:
+                low[a] = low[b] = min(low[a], low[b])
+                changed = True
+        if not changed:
+            break
+    got = {r.id: r.component for r in graph.components(spark.createDataFrame(edges, "a long, b long"), most).collect()}
+    assert got == {x: v for x, v in low.items() if any(x in e and e[0] != e[1] for e in edges)}
+    assert not graph.components(spark.createDataFrame([], "a long, b long"), most).collect()
+
+
+def test_vectors_without_id_and_in_double_precision(spark, none):
+    df = spark.createDataFrame([(None, [1.0, 0.0]), (2, [1.0, 0.01]), (3, [0.0, 1.0]), (None, [0.0, -1.0])], "vec_id long, embedding array<float>")
+    got = sorted((str(r.vec_id), r.n_links, str(r.component_id), r.kept) for r in near_vectors.near_vectors(df.selectExpr("*", "1 AS cid", "2 AS copies", "3 AS block")).collect())
+    assert got == [("2", 1, "2", True), ("3", 0, "3", True), ("None", 0, "None", True), ("None", 1, "2", False)]
+    wide = spark.createDataFrame([(1, [1e300, 0.0]), (2, [1e300, 1e299]), (3, [0.0, 1.0])], "vec_id long, embedding array<double>")
+    assert {r.vec_id: (r.n_links, r.component_id) for r in near_vectors.near_vectors(wide).collect()} == {1: (1, 1), 2: (1, 1), 3: (0, 3)}
+    assert not near_vectors.near_vectors(df.limit(0)).collect()
+
+
 def test_near_vectors_against_brute_force(spark):
     g = np.random.default_rng(2)
     base = g.normal(size=(40, 16))
@@ -136,6 +163,40 @@ def test_packing(docs, none):
     assert not packing.pack(none, tokenizer_path()).collect()
 
 
+def test_packing_of_null_ids_and_long_white_space(spark):
+    from tokenizers import Tokenizer
+
+    big = 1152921504606846977
+    df = spark.createDataFrame([(big, "a b"), (None, "a b"), (7, " " * 1_000_000), (8, " ".join(["tail"] * 5000))], "doc_id long, text string").selectExpr("*", "1 AS bucket", "2 AS bin", "3 AS offset")
+    rows = packing.pack(df, tokenizer_path()).collect()
+    t = Tokenizer.from_file(tokenizer_path())
+    want = {i: np.array([*t.encode(x, add_special_tokens=False).ids, 2], "<u4") for i, x in ((r.doc_id, r.text) for r in df.collect())}
+    for i, ids in want.items():
+        own = sorted((r.piece, r.start, r.length, r.ids_crc32) for r in rows if r.doc_id == i)
+        assert [x[0] for x in own] == list(range(len(own))) and sum(x[2] for x in own) == len(ids)
+        assert all(zlib.crc32(ids[a : a + n].tobytes()) == crc for _, a, n, crc in own) and all(n == 1024 for _, _, n, _ in own[1:])
+
+
+def _best_fit_by_search(sizes, capacity):
+    room = []
+    for size in sorted(sizes, reverse=True):
+        fits = [i for i, r in enumerate(room) if r >= size]
+        at = min(fits, key=lambda i: (room[i], i)) if fits else len(room)
+        room[at : at + 1] = [(room[at] if fits else capacity) - size]
+    return len(room)
+
+
+def test_best_fit_against_search_and_merged_bins(spark):
+    dice = random.Random(8)
+    for _ in range(20):
+        sizes = [dice.randint(1, 64) for _ in range(dice.randint(0, 150))]
+        where, offset = packing.best_fit(np.array(sizes, np.int64), 64)
+        assert len(set(where.tolist())) == _best_fit_by_search(sizes, 64)
+    df = spark.createDataFrame([(i, "a " * dice.randint(0, 40)) for i in range(400)], "doc_id long, text string")
+    whole, split = ({r.sequence_id for r in packing.pack(df, tokenizer_path(), capacity=64, per_task=n).collect()} for n in (20_000, 25))
+    assert len(split) <= 1.05 * len(whole) + 1
+
+
 def test_passages(spark, none):
     words = lambda n: " ".join(random.choice(WORDS) + str(random.randint(0, 99)) for _ in range(n))
     shared = words(70)
