@@ -31,3 +31,15 @@ def sampled(x, domain, samples: list[float]):
     known = F.array(*map(F.lit, samples))
     low, high = F.element_at(known, i + 1), F.element_at(known, F.least(i + 2, F.lit(len(samples))))
     return low + (high - low) * (e - i)
+
+
+def sampled_2d(x, y, domains, samples: list[list[float]]):
+    """A table of samples of two inputs (a row for each x) with interpolation between the four nearest."""
+    place = lambda v, domain, n: (clip(v, *domain) - domain[0]) / (domain[1] - domain[0]) * (n - 1)
+    known, rows, columns = F.lit(samples), len(samples), len(samples[0])
+    ex, ey = place(x, domains[0], rows), place(y, domains[1], columns)
+    i, j = F.floor(ex).cast("int"), F.floor(ey).cast("int")
+    at = lambda p, q: F.element_at(F.element_at(known, F.least(i + p, F.lit(rows))), F.least(j + q, F.lit(columns)))
+    low = at(1, 1) + (at(1, 2) - at(1, 1)) * (ey - j)
+    high = at(2, 1) + (at(2, 2) - at(2, 1)) * (ey - j)
+    return low + (high - low) * (ex - i)

@@ -12,7 +12,14 @@ def to_pdf_date(ts):
 
 def parse_pdf_date(text):
     """struct(ts, precision, offset_min); null where the text is no date. Missing parts are the smallest, no offset is UTC."""
-    part = lambda i: F.regexp_extract(text, PATTERN, i)
+    # the pattern runs once; every part is cut from its fixed place
+    shape = F.regexp_extract(text, PATTERN, 0)
+    sign = F.substring(F.translate(shape, "D:0123456789'", ""), 1, 1)
+    marked = F.translate(shape, "Zz+-D:'", "~~~~")
+    zone = F.when(sign == "", "").otherwise(F.substring_index(marked, "~", -1))
+    own = F.substring_index(marked, "~", 1)
+    spans = {1: (own, 1, 4), **{i: (own, 2 * i + 1, 2) for i in range(2, 7)}, 8: (zone, 1, 2), 9: (zone, 3, 2)}
+    part = lambda i: sign if i == 7 else F.substring(*spans[i])
     number = lambda i, least: F.when(part(i) == "", F.lit(least)).otherwise(part(i)).cast("int")
     minutes = F.when(part(7) == "-", -1).otherwise(1) * (number(8, 0) * 60 + number(9, 0))
     ts = F.try_make_timestamp(number(1, 1), number(2, 1), number(3, 1), number(4, 0), number(5, 0), number(6, 0).cast("double"), F.lit("UTC")) - F.make_interval(mins=minutes)

@@ -3,6 +3,8 @@
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..scratch import cut
+
 
 def ref_counts(nodes: DataFrame, edges: DataFrame, node: str, target: str) -> DataFrame:
     """How many edges lead to each node, 0 included; edges are counted before they meet the nodes."""
@@ -10,14 +12,36 @@ def ref_counts(nodes: DataFrame, edges: DataFrame, node: str, target: str) -> Da
     return nodes.join(counted, node, "left").select(node, F.coalesce("refs", F.lit(0)).cast("long").alias("refs"))
 
 
-def reachable(edges: DataFrame, roots: DataFrame, most_steps: int = 100) -> DataFrame:
+def reachable(edges: DataFrame, roots: DataFrame) -> DataFrame:
     """Nodes that the roots (node) reach over edges (src, dst), with the fewest steps: (node, depth). Each round joins the newest
-    nodes only; cycles end where nothing new is found."""
-    known = roots.select("node", F.lit(0).alias("depth"))
-    front = known
-    for depth in range(1, most_steps + 1):
-        front = edges.join(front, F.col("src") == F.col("node")).select(F.col("dst").alias("node")).distinct().join(known.select("node"), "node", "left_anti").withColumn("depth", F.lit(depth)).persist()
+    nodes only and is written; it ends where nothing new is found, so cycles end and chains of any length are followed."""
+    known = cut(roots.select("node", F.lit(0).alias("depth")).distinct())
+    front, depth = known, 0
+    while True:
+        depth += 1
+        found = edges.join(front, F.col("src") == F.col("node")).select(F.col("dst").alias("node")).distinct()
+        front = cut(found.join(known.select("node"), "node", "left_anti").withColumn("depth", F.lit(depth)))
         if front.isEmpty():
-            break
+            return known
         known = known.unionByName(front)
-    return known
+
+
+def prune(nodes: DataFrame, edges: DataFrame, roots: DataFrame, node: str) -> DataFrame:
+    """The nodes that the roots reach, with the references that reached nodes have to them: nodes, refs. All others go."""
+    alive = cut(reachable(edges, roots).select("node"))
+    counted = edges.join(alive, F.col("src") == F.col("node"), "left_semi").groupBy(F.col("dst").alias("node")).agg(F.count("*").alias("refs"))
+    kept = nodes.join(alive.withColumnRenamed("node", node), node, "left_semi")
+    return kept.join(counted.withColumnRenamed("node", node), node, "left").withColumn("refs", F.coalesce("refs", F.lit(0)).cast("long"))
+
+
+def list_places(rows: DataFrame, node: str, following: str) -> DataFrame:
+    """rows (node, following, or null at a list's end) with `to_end`, the steps from each node to its list's end, null in a loop. Steps
+    double in each round, so a list of n nodes takes log n rounds."""
+    now = cut(rows.select(F.col(node).alias("a"), F.col(following).alias("b"), F.when(F.col(following).isNull(), 0).otherwise(1).cast("long").alias("steps")))
+    rounds = max(1, int(now.count())).bit_length()
+    for _ in range(rounds):
+        if now.filter("b IS NOT NULL").isEmpty():
+            break
+        onward = now.select(F.col("a").alias("b"), F.col("b").alias("c"), F.col("steps").alias("more"))
+        now = cut(now.join(onward, "b", "left").select("a", F.col("c").alias("b"), (F.col("steps") + F.coalesce("more", F.lit(0))).alias("steps")))
+    return rows.join(now.select(F.col("a").alias(node), F.when(F.col("b").isNull(), F.col("steps")).alias("to_end")), node)

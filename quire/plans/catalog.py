@@ -14,12 +14,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 
-def query(sql: str):
-    """Registers a query under its function's name, with the SQL that gives the same rows."""
+def query(sql: str | None):
+    """Registers a query under its function's name, with the SQL that gives the same rows, or None where SQL cannot."""
 
     def add(f):
         QUERIES[f.__name__] = f
-        ORACLES[f.__name__] = sql
+        if sql is not None:
+            ORACLES[f.__name__] = sql
         return f
 
     return add
@@ -42,8 +43,7 @@ def word_runs_by_type(spark, sf_dir):
     return runs.groupBy(kind.alias("kind")).agg(F.count("*").alias("runs"), F.sum(F.length("run")).alias("chars"))
 
 
-@query(r"""SELECT doc_id, CAST(p - 1 AS BIGINT) AS paragraph, length(parts[p]) AS chars FROM (SELECT doc_id, string_split(text, chr(10)) AS parts FROM documents), range(1, 100000) r(p)
-    WHERE p <= len(parts)""")
+@query(r"""SELECT doc_id, CAST(p - 1 AS BIGINT) AS paragraph, length(part) AS chars FROM (SELECT doc_id, unnest(parts) AS part, generate_subscripts(parts, 1) AS p FROM (SELECT doc_id, string_split(text, chr(10)) AS parts FROM documents))""")
 def paragraph_split(spark, sf_dir):
     """The paragraphs of each document in order."""
     return table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("paragraph", "part")).select("doc_id", F.col("paragraph").cast("long").alias("paragraph"), F.length("part").alias("chars"))
@@ -78,7 +78,7 @@ def sampled_function_1d(spark, sf_dir):
 
 
 @query("""SELECT l_orderkey, l_linenumber, round(1 - least(1.0, l_tax + k), 9) AS r, round(1 - least(1.0, l_discount + k), 9) AS g, round(1 - least(1.0, l_quantity / 50 + k), 9) AS b,
-    round(0.3 * (1 - least(1.0, l_tax + k)) + 0.59 * (1 - least(1.0, l_discount + k)) + 0.11 * (1 - least(1.0, l_quantity / 50 + k)), 9) AS gray FROM (SELECT *, 0.1 AS k FROM lineitem)""")
+    round(0.299 * (1 - least(1.0, l_tax + k)) + 0.587 * (1 - least(1.0, l_discount + k)) + 0.114 * (1 - least(1.0, l_quantity / 50 + k)), 9) AS gray FROM (SELECT *, 0.1 AS k FROM lineitem)""")
 def cmyk_to_rgb_gray(spark, sf_dir):
     """Device CMYK to RGB by the plain formula, and RGB to gray by the usual weights."""
     rgb = colour.cmyk_to_rgb(F.col("l_tax"), F.col("l_discount"), F.col("l_quantity") / 50, F.lit(0.1))
@@ -127,10 +127,10 @@ def xref_offsets(spark, sf_dir):
     return ordering.offsets(docs, ["source"], ["doc_id"], "size", "byte_offset").select("source", "doc_id", "byte_offset")
 
 
-@query("SELECT o_orderkey, (row_number() OVER (ORDER BY o_orderkey) - 1) // 100 AS stream, (row_number() OVER (ORDER BY o_orderkey) - 1) % 100 AS place FROM orders")
+@query("SELECT o_orderkey, (row_number() OVER (ORDER BY o_orderkey) - 1) // 255 AS stream, (row_number() OVER (ORDER BY o_orderkey) - 1) % 255 AS place FROM orders")
 def objstm_bucket(spark, sf_dir):
-    """Objects put into object streams of a hundred, in order."""
-    return ordering.number(table(spark, sf_dir, "orders").select("o_orderkey"), ["o_orderkey"], "nth").select("o_orderkey", F.floor(F.col("nth") / 100).alias("stream"), (F.col("nth") % 100).alias("place"))
+    """Objects put into object streams of 255, in order."""
+    return ordering.number(table(spark, sf_dir, "orders").select("o_orderkey"), ["o_orderkey"], "nth").select("o_orderkey", F.floor(F.col("nth") / 255).alias("stream"), (F.col("nth") % 255).alias("place"))
 
 
 @query("SELECT p_partkey, row_number() OVER (ORDER BY p_partkey) AS new_id FROM part")
@@ -145,9 +145,10 @@ def ref_counts(spark, sf_dir):
     return graphs.ref_counts(table(spark, sf_dir, "part").select("p_partkey"), table(spark, sf_dir, "lineitem").select("l_partkey"), "p_partkey", "l_partkey")
 
 
-@query("SELECT c_custkey, c_name FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+@query("SELECT c_custkey, c_name FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT' OR o_totalprice > 300000)")
 def prune_unreferenced(spark, sf_dir):
-    orders = table(spark, sf_dir, "orders")
+    """Objects that no reference of some kind leads to."""
+    orders = table(spark, sf_dir, "orders").filter("o_orderpriority = '1-URGENT' OR o_totalprice > 300000")
     return table(spark, sf_dir, "customer").join(orders, F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey", "c_name")
 
 
@@ -206,11 +207,12 @@ def name_tree_lookup(spark, sf_dir):
     return table(spark, sf_dir, "customer").join(inside, F.col("c_nationkey") == F.col("n_nationkey")).select("c_custkey", "n_name")
 
 
-@query("SELECT doc_id, min(doc_id) OVER (PARTITION BY md5(text)) AS kept_id FROM documents")
+@query("SELECT doc_id, min(doc_id) OVER (PARTITION BY text) AS kept_id FROM documents")
 def dedup_equivalent(spark, sf_dir):
-    """Equal objects are replaced by the first of them."""
-    keyed = table(spark, sf_dir, "documents").select("doc_id", F.md5("text").alias("k"))
-    return keyed.join(keyed.groupBy("k").agg(F.min("doc_id").alias("kept_id")), "k").select("doc_id", "kept_id")
+    """Equal objects are replaced by the first of them; texts are compared whole, and equal ones meet where they are read."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("k"))
+    first = docs.groupBy("k").agg(F.min("doc_id").alias("kept_id")).withColumnRenamed("k", "k0")
+    return docs.join(first, F.col("k").eqNullSafe(F.col("k0"))).select("doc_id", "kept_id")
 
 
 @query("SELECT DISTINCT l_suppkey, l_partkey FROM lineitem")
@@ -226,12 +228,12 @@ def adjacent_equal_runs(spark, sf_dir):
     return ordering.runs(table(spark, sf_dir, "events"), ["user_id"], ["ts", "event_id"], "event_type")
 
 
-@query(r"""SELECT a, b, count(*) AS n FROM (SELECT w[i] AS a, w[i + 1] AS b FROM (SELECT regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS w FROM documents), range(1, 30000) r(i) WHERE i < len(w)) GROUP BY a, b HAVING count(*) >= 20""")
+@query(r"""SELECT a, b, count(*) AS n FROM (SELECT unnest(w[:-2]) AS a, unnest(w[2:]) AS b FROM (SELECT regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS w FROM documents)) WHERE b IS NOT NULL GROUP BY a, b""")
 def kerning_pairs(spark, sf_dir):
     """Pairs of neighbours and how often they occur."""
     words = F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))
     pairs = table(spark, sf_dir, "documents").select(words.alias("w")).select(F.explode(F.arrays_zip(F.slice("w", F.lit(1), F.greatest(F.size("w") - 1, F.lit(0))).alias("a"), F.slice("w", 2, 1 << 30).alias("b"))).alias("p"))
-    return pairs.groupBy("p.a", "p.b").agg(F.count("*").alias("n")).filter("n >= 20")
+    return pairs.groupBy("p.a", "p.b").agg(F.count("*").alias("n"))
 
 
 @query("SELECT user_id, event_id, round(sum(value) OVER (PARTITION BY user_id ORDER BY ts, event_id), 6) AS x FROM events")
@@ -259,11 +261,11 @@ def hex_encode(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.hex(F.col("text").cast("binary")).alias("hex_text"))
 
 
-@query("SELECT doc_id, encode(text) = encode(text) AS same FROM documents")
+@query("SELECT doc_id, base64(encode(text)) AS coded, text AS decoded FROM documents")
 def base64_roundtrip(spark, sf_dir):
-    """Encoding and decoding give the bytes back."""
-    body = F.col("text").cast("binary")
-    return table(spark, sf_dir, "documents").select("doc_id", (F.unbase64(F.base64(body)) == body).alias("same"))
+    """Encoding, without line ends, and decoding, which gives the bytes back."""
+    coded = F.regexp_replace(F.base64(F.col("text").cast("binary")), r"\s", "")
+    return table(spark, sf_dir, "documents").select("doc_id", coded.alias("coded"), F.unbase64(coded).cast("string").alias("decoded"))
 
 
 @query("SELECT page_id, regexp_extract(html, '<title>([^<]*)</title>', 1) AS title FROM pages")

@@ -1,7 +1,7 @@
 from pyspark.sql import functions as F
 
 from quire.functions.dates import parse_pdf_date
-from quire.operators import graphs, ordering
+from quire.operators import graphs, intervals, lookups, ordering
 
 
 def test_dates_with_missing_parts_and_offsets(spark):
@@ -19,3 +19,33 @@ def test_reachable_ends_on_cycles(spark):
 def test_number_is_gapless(spark):
     got = ordering.number(spark.range(500).select((F.col("id") * 7919 % 1009).alias("k")), ["k"], "nth").orderBy("k").collect()
     assert [r.nth for r in got] == list(range(500))
+
+
+def test_long_range_lists_and_chains(spark):
+    known = [(i * 3, i * 3 + 10, 1000 * i) for i in range(100)]
+    got = lookups.ranges(spark.range(400).toDF("code"), "code", known).collect()
+    for r in got:
+        assert r.cid == next((first + r.code - lo for lo, hi, first in reversed(known) if lo <= r.code <= hi), 0)
+    chain = spark.createDataFrame([(i, i + 1 if i < 149 else None) for i in range(150)] + [(500, 501), (501, 500)], "node long, following long")
+    assert {r.node: r.to_end for r in graphs.list_places(chain, "node", "following").collect()} == {i: 149 - i for i in range(150)} | {500: None, 501: None}
+    edges = spark.createDataFrame([(i, i + 1) for i in range(110)], "src long, dst long")
+    assert max(r.depth for r in graphs.reachable(edges.filter("src >= 98"), spark.createDataFrame([(98,)], "node long")).collect()) == 12
+
+
+def test_overlapping_intervals(spark):
+    import random
+
+    dice = random.Random(2)
+    rows = [(i, dice.randrange(2), lo, lo + dice.randrange(0, 40)) for i in range(80) for lo in [dice.randrange(200)]]
+    df = spark.createDataFrame(rows, "i int, k int, lo long, hi long")
+    got = sorted((r.i, r.r_i) for r in intervals.overlapping(df, df, ["k"], 25).collect())
+    assert got == sorted((a[0], b[0]) for a in rows for b in rows if a[1] == b[1] and a[2] < b[3] and b[2] < a[3] and a[2] < a[3] and b[2] < b[3])
+
+
+def test_offsets_of_a_frequent_key(spark):
+    rows = spark.range(1000).select((F.col("id") % 10 > 0).alias("k"), "id", (F.col("id") % 7).alias("size"))
+    got = {r.id: r.at for r in ordering.offsets(rows, ["k"], ["id"], "size", "at").collect()}
+    sums = {True: 0, False: 0}
+    for i in range(1000):
+        assert got[i] == sums[i % 10 > 0]
+        sums[i % 10 > 0] += i % 7
