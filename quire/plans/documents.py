@@ -222,10 +222,10 @@ def partial_xref(spark, sf_dir):
     return ordering.number(left, ["o_orderkey"], "nth").select("o_orderkey", (F.col("nth") + 1).alias("id"))
 
 
-@query("SELECT key, section, CAST(row_number() OVER (ORDER BY key) - 1 AS BIGINT) AS place FROM (SELECT p_partkey AS key, 'part' AS section FROM part UNION ALL SELECT -s_suppkey, 'supplier' FROM supplier)")
+@query("SELECT key, section, CAST(row_number() OVER (ORDER BY key) - 1 AS BIGINT) AS place FROM (SELECT p_partkey AS key, 'part' AS section FROM part UNION ALL SELECT -1 - s_suppkey, 'supplier' FROM supplier)")
 def chunked_xref_merge(spark, sf_dir):
     """Tables of several sections merged into one, sorted by id and numbered."""
-    both = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("key"), F.lit("part").alias("section")).unionByName(table(spark, sf_dir, "supplier").select((-F.col("s_suppkey")).alias("key"), F.lit("supplier").alias("section")))
+    both = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("key"), F.lit("part").alias("section")).unionByName(table(spark, sf_dir, "supplier").select((-1 - F.col("s_suppkey")).alias("key"), F.lit("supplier").alias("section")))
     return ordering.number(both, ["key"], "place").select("key", "section", "place")
 
 
