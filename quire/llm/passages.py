@@ -107,11 +107,11 @@ def near_tokens(tokens: np.ndarray, c: np.ndarray, before: np.ndarray, behind: n
 
 
 def _entries(batches):
-    """cid, text and a list of windows in; (value, cid, c, before, behind, near) out, near being the window's tokens."""
+    """cid, text and a list of windows (value, c, before, behind, df, leads) in; a row for each, with its tokens, out."""
     for batch in batches:
-        out = ([], [], [], [], [], [])
+        out = tuple([] for _ in ENTRY_NAMES)
         own = batch.column(2)
-        fields = [own.flatten().field(k).to_numpy() for k in range(4)]
+        fields = [own.flatten().field(k).to_numpy(zero_copy_only=False) for k in range(6)]
         ends = own.value_lengths().to_numpy().cumsum()
         cids = batch.column(0).to_numpy()
         row = 0
@@ -120,19 +120,20 @@ def _entries(batches):
             tokens, _ = shingles(hashed, wb, SHINGLE)
             for k in range(i, j):
                 a, b = (ends[k - 1] if k else 0), ends[k]
-                value, c, before, behind = (f[a:b] for f in fields)
+                value, c, before, behind, df, leads = (f[a:b] for f in fields)
                 near = near_tokens(tokens[wb[k - i] : wb[k - i + 1]], c, before, behind)
-                for x, v in zip(out, (value, np.full(b - a, cids[k]), c, before, behind, near), strict=True):
+                for x, v in zip(out, (value, np.full(b - a, cids[k]), c, before, behind, df, leads, near), strict=True):
                     x.append(v)
                 row += b - a
         if row:
-            value, cid, c, before, behind, near = (np.concatenate(x) for x in out)
+            *plain, near = (np.concatenate(x) for x in out)
             size = 4 * SPAN
             packed = pa.Array.from_buffers(pa.binary(), len(near), [None, pa.py_buffer((np.arange(len(near) + 1) * size).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(near))])
-            yield pa.RecordBatch.from_arrays([*(pa.array(x) for x in (value, cid, c, before, behind)), packed], names=["value", "cid", "c", "before", "behind", "near"])
+            yield pa.RecordBatch.from_arrays([*(pa.array(x) for x in plain), packed], names=ENTRY_NAMES)
 
 
-ENTRY = "value long, cid long, c int, before int, behind int, near binary"
+ENTRY_NAMES = ["value", "cid", "c", "before", "behind", "df", "leads", "near"]
+ENTRY = "value long, cid long, c int, before int, behind int, df long, leads boolean, near binary"
 
 
 def _near(column) -> np.ndarray:
@@ -249,7 +250,7 @@ def _left(entries: DataFrame, open_: DataFrame, verified: DataFrame, total: int)
     opened = still.groupBy("value").agg(F.count("*").alias("opened"))
     lists = known.groupBy("value").agg(F.count("*").alias("df")).join(opened, "value")
     lists = cut(lists.withColumn("opens", F.ceil(F.col("opened") / BLOCK).cast("int")).withColumn("blocks", F.ceil(F.col("df") / BLOCK).cast("int")))
-    body = entries.select("value", "cid", "c", "before", "behind", "near")
+    body = having(entries, lists.select("value"), "value").select("value", "cid", "c", "before", "behind", "near")
     every = join_groups(known, lists.select("value", "df", "opens", "blocks"), "value", "df", total)
     mark = F.xxhash64("cid", "c")
     every = every.select("value", "cid", "c", "label", F.lit(1).alias("side"), F.pmod(mark, "blocks").cast("int").alias("block"), F.explode(F.sequence(F.lit(0), F.col("opens") - 1)).alias("opening"))
@@ -280,13 +281,13 @@ def near_passages(docs: DataFrame) -> DataFrame:
     windows = cut(one.select("cid", F.explode("own").alias("w")).select("cid", "w.*"))
     n_windows = max(1, windows.count())
     leaders = cut(windows.groupBy("value").agg(F.min(F.struct("cid", "c")).alias("first"), F.max("cid").alias("most"), F.count("*").alias("df")).filter("first.cid <> most").select("value", F.col("first.cid").alias("l_cid"), F.col("first.c").alias("l_c"), "df"))
-    met = join_groups(windows, leaders.select("value", "df"), "value", "df", n_windows)
-    wanted = cut(met.groupBy("cid").agg(F.collect_list(F.struct("value", "c", "before", "behind")).alias("own")))
+    leads = (F.col("cid") == F.col("l_cid")) & (F.col("c") == F.col("l_c"))
+    met = join_groups(windows, leaders, "value", "df", n_windows).withColumn("leads", leads)
+    wanted = cut(met.groupBy("cid").agg(F.collect_list(F.struct("value", "c", "before", "behind", "df", "leads")).alias("own")))
     texts = having(keyed, wanted.select("cid"), "cid").select("cid", "text").dropDuplicates(["cid"])  # copies meet where they are read
     entries = cut(texts.join(wanted, "cid").select("cid", "text", "own").mapInArrow(_entries, ENTRY))
-    first = entries.join(leaders, (entries["value"] == leaders["value"]) & (entries["cid"] == leaders["l_cid"]) & (entries["c"] == leaders["l_c"]), "left_semi")
-    first = first.groupBy("value").agg(*(F.first(x).alias(f"l_{x}") for x in ("cid", "c", "before", "behind", "near"))).join(leaders.select("value", "df"), "value")
-    beside = join_groups(entries, first, "value", "df", n_windows).filter("cid <> l_cid").drop("df")
+    first = entries.filter("leads").select("value", "df", *(F.col(x).alias(f"l_{x}") for x in ("cid", "c", "before", "behind", "near")))
+    beside = join_groups(entries.filter("NOT leads").drop("df", "leads"), first, "value", "df", n_windows).filter("cid <> l_cid").drop("df")
     said = cut(beside.mapInArrow(_against_leader, f"value long, c long, {SPANS}, ok boolean"))
     verified = said.filter("ok").select("leader", "cid", *SPAN_NAMES)
     open_ = said.filter("NOT ok").select("value", "cid", F.col("c").cast("int").alias("c"), "leader")
