@@ -27,6 +27,8 @@ WIDTH, GRAM = 400, 64
 STRINGS = 64_000
 #: Regions of one anchor that a suffix array sorts; those of a more frequent one are dealt more finely first.
 MOST_REGIONS = 1024
+#: Texts whose spans a task holds before it gives them out.
+MARKED_TEXTS = 50_000
 #: Bytes of a long text that are looked at together, under 2 ** 24.
 PIECE = 1 << 22
 
@@ -267,7 +269,16 @@ def _compared_rows(width: int):
     spans (tk, lo, hi) of repeated bytes, also of the other's text."""
     names, types = [*REGION_NAMES, "lo", "hi"], (*REGION_TYPES, pa.int64(), pa.int64())
 
+    def given(columns):
+        return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, types, strict=True)], names=names)
+
+    def joined(marks):
+        spans = [(tk, a, b) for tk, own in marks.items() for a, b in merged(own)]
+        none = [None] * len(spans)
+        return given([none, [x[0] for x in spans], none, none, none, [x[1] for x in spans], [x[2] for x in spans]])
+
     def over(batches):
+        marks: dict[bytes, set] = {}  # spans of a text are joined as far as they come to this task
         for batch in batches:
             out = tuple([] for _ in names)
             for key, tk, first, off, body, other in zip(*(batch.column(i).to_pylist() for i in range(6)), strict=True):
@@ -278,11 +289,16 @@ def _compared_rows(width: int):
                 if both:
                     a, b = both
                     there = other["first"] + a - off + other["off"]
-                    rows += [(None, tk, None, None, None, first + a, first + b + width - 1), (None, other["tk"], None, None, None, there, there + b - a + width - 1)]
+                    marks.setdefault(tk, set()).add((first + a, first + b + width - 1))
+                    marks.setdefault(other["tk"], set()).add((there, there + b - a + width - 1))
                 for row in rows:
                     for x, v in zip(out, row, strict=True):
                         x.append(v)
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, types, strict=True)], names=names)
+            yield given(out)
+            if len(marks) > MARKED_TEXTS:
+                yield joined(marks)
+                marks = {}
+        yield joined(marks)
 
     return over
 
