@@ -318,14 +318,14 @@ def _frequent(regions: DataFrame, width: int, most: int) -> DataFrame:
     """
     now, spans = cut(regions), []
     while True:
-        sizes = now.groupBy("key").agg(F.count("*").alias("regions"))
-        counted = cut(join_groups(now, sizes.filter("regions > 1"), "key", "regions", max(1, now.count())))
-        spans.append(_sorted(counted.filter(F.col("regions") <= most), width))
-        large = counted.filter(F.col("regions") > most)
-        if large.isEmpty():
+        total = max(1, now.count())
+        other = F.min_by(F.struct("tk", "first", "off", "body"), F.xxhash64("tk", "first")).alias("other")
+        keys = cut(now.groupBy("key").agg(F.count("*").alias("regions"), other).filter("regions > 1"))
+        few, many = keys.filter(F.col("regions") <= most).drop("other"), keys.filter(F.col("regions") > most)
+        spans.append(_sorted(join_groups(now, few, "key", "regions", total), width))
+        if many.isEmpty():
             return reduce(DataFrame.unionByName, spans)
-        other = large.groupBy("key", "regions").agg(F.min_by(F.struct("tk", "first", "off", "body"), F.xxhash64("tk", "first")).alias("other"))
-        met = join_groups(large.drop("regions"), other, "key", "regions", max(1, large.count())).select(*REGION_NAMES, "other")
+        met = join_groups(now, many, "key", "regions", total).select(*REGION_NAMES, "other")
         made = cut(met.mapInArrow(_compared_rows(width), f"{REGION}, lo long, hi long"))
         spans.append(made.filter("lo IS NOT NULL").select("tk", "lo", "hi").distinct())
         now = made.filter("lo IS NULL").select(*REGION_NAMES)
