@@ -6,9 +6,10 @@ in two stages: directly those that are smaller than their successors, and all ot
 first byte, as each one's order follows from its successor's. Neighbours in the array with a common prefix of WIDTH
 bytes are repeats.
 
-Successive strings with one anchor make a region. Regions of a frequent anchor are compared with one of them, byte by byte from
-the anchor on: strings inside what both have in common are repeats. The others are dealt by where and with which byte
-they depart from it, until few enough meet for a suffix array.
+Successive strings with one anchor make a region. Equal regions of a frequent anchor are settled by the task that reads them.
+What is left of its regions is compared with one of them, byte by byte from the anchor on: strings inside what both have in
+common are repeats. The others are dealt by where and with which byte they depart from it, until few enough meet for a
+suffix array.
 """
 
 import hashlib
@@ -29,6 +30,8 @@ STRINGS = 64_000
 MOST_REGIONS = 1024
 #: Texts whose spans a task holds before it gives them out.
 MARKED_TEXTS = 50_000
+#: Different regions of frequent anchors that a task holds, to settle equal ones where they are read.
+HELD_REGIONS = 20_000
 #: Bytes of a long text that are looked at together, under 2 ** 24.
 PIECE = 1 << 22
 
@@ -213,9 +216,8 @@ REGION_NAMES, REGION_TYPES = ["key", "tk", "first", "off", "body"], (pa.int64(),
 REGION = "key long, tk binary, first int, off int, body binary"
 
 
-def _region_rows(width: int, gram: int = 0):
-    """(anchor, tk, first, off, body) of each hit of a text; rows are tk, text and the list of hits. off, for which gram is needed, is
-    how far the anchor lies behind the region's start."""
+def _region_rows(width: int):
+    """(anchor, tk, first, 0, body) of each hit of a text; rows are tk, text and the list of hits."""
 
     def over(batches):
         for batch in batches:
@@ -224,13 +226,61 @@ def _region_rows(width: int, gram: int = 0):
                 body, tk = (text.as_py() or "").encode(), tk.as_py()
                 for h in hits:
                     part = body[h["first"] : h["last"] + width]
-                    for x, v in zip(out, (h["anchor"], tk, h["first"], _place(part, width, gram) if gram else 0, part), strict=True):
+                    for x, v in zip(out, (h["anchor"], tk, h["first"], 0, part), strict=True):
                         x.append(v)
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, REGION_TYPES, strict=True)], names=REGION_NAMES)
 
     return over
 
 
+MARKED_NAMES, MARKED_TYPES = [*REGION_NAMES, "lo", "hi"], (*REGION_TYPES, pa.int64(), pa.int64())
+MARKED = f"{REGION}, lo long, hi long"
+
+
+def _given(columns):
+    return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, MARKED_TYPES, strict=True)], names=MARKED_NAMES)
+
+
+def _given_marks(marks: dict):
+    """Rows of the repeated spans of each text, joined as far as they came to this task."""
+    spans = [(tk, a, b) for tk, own in marks.items() for a, b in merged(own)]
+    none = [None] * len(spans)
+    return _given([none, [x[0] for x in spans], none, none, none, [x[1] for x in spans], [x[2] for x in spans]])
+
+
+def _distinct_region_rows(width: int, gram: int):
+    """Like _region_rows, but regions of a task that are equal byte by byte are settled there: each one's bytes are a span (tk, lo, hi),
+    and only the first goes on as a region, to be compared with those of other tasks. off is how far the anchor lies
+    behind the region's start."""
+
+    def over(batches):
+        seen: dict[tuple[int, bytes], tuple] = {}
+        marks: dict[bytes, set] = {}
+        for batch in batches:
+            out = tuple([] for _ in MARKED_NAMES)
+            for tk, text, hits in zip(batch.column(0), batch.column(1), batch.column(2).to_pylist(), strict=True):
+                body, tk = (text.as_py() or "").encode(), tk.as_py()
+                for h in hits:
+                    at = (tk, h["first"], h["last"] + width)
+                    part = body[at[1] : at[2]]
+                    other = seen.setdefault((h["anchor"], part), at)
+                    if other is not at:
+                        for there, a, b in (other, at):
+                            marks.setdefault(there, set()).add((a, b))
+                        continue
+                    for x, v in zip(out, (h["anchor"], tk, h["first"], _place(part, width, gram), part, None, None), strict=True):
+                        x.append(v)
+                    if len(seen) >= HELD_REGIONS:
+                        seen = {}
+                if len(marks) > MARKED_TEXTS:
+                    yield _given_marks(marks)
+                    marks = {}
+            yield _given(out)
+        yield _given_marks(marks)
+
+    return over
+
+
 def _place(body: bytes, width: int, gram: int) -> int:
     """Where the anchor of the first string of a region lies."""
     hashed = _grams(np.frombuffer(body, np.uint8, width), gram)
@@ -267,20 +317,11 @@ def compared(key: int, off: int, body: bytes, other_off: int, other: bytes, widt
 def _compared_rows(width: int):
     """Rows (key, tk, first, off, body, other) against the region `other` of their key: what is left of them as regions, and
     spans (tk, lo, hi) of repeated bytes, also of the other's text."""
-    names, types = [*REGION_NAMES, "lo", "hi"], (*REGION_TYPES, pa.int64(), pa.int64())
-
-    def given(columns):
-        return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, types, strict=True)], names=names)
-
-    def joined(marks):
-        spans = [(tk, a, b) for tk, own in marks.items() for a, b in merged(own)]
-        none = [None] * len(spans)
-        return given([none, [x[0] for x in spans], none, none, none, [x[1] for x in spans], [x[2] for x in spans]])
 
     def over(batches):
-        marks: dict[bytes, set] = {}  # spans of a text are joined as far as they come to this task
+        marks: dict[bytes, set] = {}
         for batch in batches:
-            out = tuple([] for _ in names)
+            out = tuple([] for _ in MARKED_NAMES)
             for key, tk, first, off, body, other in zip(*(batch.column(i).to_pylist() for i in range(6)), strict=True):
                 if (tk, first) == (other["tk"], other["first"]):
                     continue  # whatever it has in common with another one is found there
@@ -294,11 +335,11 @@ def _compared_rows(width: int):
                 for row in rows:
                     for x, v in zip(out, row, strict=True):
                         x.append(v)
-            yield given(out)
+            yield _given(out)
             if len(marks) > MARKED_TEXTS:
-                yield joined(marks)
+                yield _given_marks(marks)
                 marks = {}
-        yield joined(marks)
+        yield _given_marks(marks)
 
     return over
 
@@ -309,15 +350,17 @@ def _sorted(regions: DataFrame, width: int) -> DataFrame:
     return dealt.mapInArrow(_sorted_groups(width), "tk binary, lo long, hi long")
 
 
-def _frequent(regions: DataFrame, width: int, most: int) -> DataFrame:
-    """The spans (tk, lo, hi) of repeated bytes among the regions of frequent anchors.
+def _frequent(found: DataFrame, width: int, gram: int, most: int) -> DataFrame:
+    """The spans (tk, lo, hi) of repeated bytes among the regions of frequent anchors; rows are tk, text and the list of hits.
 
-    In each round a key's regions are compared with one of them, taken by hash, which is settled by that; keys of what is
+    Equal regions are settled where they are read, so of a line that a text repeats many times few are shuffled. In each round a key's regions are compared with one of them, taken by hash, which is settled by that; keys of what is
     left that have no more than `most` regions go to suffix arrays. Strings of a key have one more byte in common after
     each round, so rounds end.
     """
-    now, spans = cut(regions), []
+    made, spans = cut(found.mapInArrow(_distinct_region_rows(width, gram), MARKED)), []
     while True:
+        spans.append(made.filter("lo IS NOT NULL").select("tk", "lo", "hi").distinct())
+        now = made.filter("lo IS NULL").select(*REGION_NAMES)
         total = max(1, now.count())
         other = F.min_by(F.struct("tk", "first", "off", "body"), F.xxhash64("tk", "first")).alias("other")
         keys = cut(now.groupBy("key").agg(F.count("*").alias("regions"), other).filter("regions > 1"))
@@ -326,9 +369,7 @@ def _frequent(regions: DataFrame, width: int, most: int) -> DataFrame:
         if many.isEmpty():
             return reduce(DataFrame.unionByName, spans)
         met = join_groups(now, many, "key", "regions", total).select(*REGION_NAMES, "other")
-        made = cut(met.mapInArrow(_compared_rows(width), f"{REGION}, lo long, hi long"))
-        spans.append(made.filter("lo IS NOT NULL").select("tk", "lo", "hi").distinct())
-        now = made.filter("lo IS NULL").select(*REGION_NAMES)
+        made = cut(met.mapInArrow(_compared_rows(width), MARKED))
 
 
 def _sorted_groups(width: int):
@@ -405,10 +446,10 @@ def repeated_spans(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, most_r
     hits = cut(join_groups(runs, met, "anchor", "regions", max(1, total)).groupBy("tk").agg(F.collect_list(F.struct("anchor", "first", "last", "regions")).alias("hits")))
     texts = having(keyed, hits.select("tk"), "tk")
     found = texts.select("tk", "text").dropDuplicates(["tk"]).join(hits, "tk")  # copies meet where they are read
-    some = lambda which, *how: found.select("tk", "text", F.filter("hits", which).alias("hits")).filter(F.size("hits") > 0).mapInArrow(_region_rows(width, *how), REGION)
-    spans = _sorted(some(lambda h: h["regions"] <= most_regions), width)
+    some = lambda which: found.select("tk", "text", F.filter("hits", which).alias("hits")).filter(F.size("hits") > 0)
+    spans = _sorted(some(lambda h: h["regions"] <= most_regions).mapInArrow(_region_rows(width), REGION), width)
     if not met.filter(F.col("regions") > most_regions).isEmpty():
-        spans = spans.unionByName(_frequent(some(lambda h: h["regions"] > most_regions, gram), width, most_regions))
+        spans = spans.unionByName(_frequent(some(lambda h: h["regions"] > most_regions), width, gram, most_regions))
     each = cut(spans.groupBy("tk").agg(F.collect_list(F.struct("lo", "hi")).alias("spans")))
     again = having(keyed, each.select("tk"), "tk").select("tk", "text").dropDuplicates(["tk"]).join(each, "tk")
     left = again.select("tk", "text", "spans").mapInArrow(_removed(), "tk binary, n_removed long, n_spans long, kept_sha256 string, runs array<struct<lo:long,hi:long>>")

@@ -379,6 +379,19 @@ def test_frequent_passages_in_other_surroundings(spark, most):
     assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got} == dict(enumerate(want))
 
 
+@pytest.mark.parametrize("most", [8, 0])
+def test_a_line_that_texts_repeat_many_times(spark, most):
+    dice = random.Random(5)
+    fresh = lambda n: "".join(dice.choice("abcdefgh ") for _ in range(n))
+    line = fresh(90) + "\n"
+    texts = [fresh(dice.randint(0, 200)) + line * dice.randint(0, 40) + fresh(dice.randint(0, 200)) for _ in range(40)]
+    texts += [line * 30, line * 30, fresh(1000), None]
+    want = list(_repeated([(t or "").encode() for t in texts]))
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = suffixes.repeated_spans(rows.repartition(3), most_regions=most).collect()
+    assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got} == dict(enumerate(want))
+
+
 def test_compared_regions_keep_equal_strings_together():
     dice, width = random.Random(9), 30
     for _ in range(300):
