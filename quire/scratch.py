@@ -39,5 +39,5 @@ def _remove(spark: SparkSession, path: str) -> None:
 def cut(df: DataFrame) -> DataFrame:
     """df written to the shared folder and read back: its lineage ends there, and a lost executor costs no recomputation."""
     path = scratch_path(df.sparkSession)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
