@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from . import exact_dedup, jaccard, mixing, near_vectors, packing, passages, quality, sharding, suffixes, url_filter
+from . import arc, collocations, exact_dedup, jaccard, mixing, near_vectors, packing, passages, quality, sharding, suffixes, url_filter, whitening
 from .common import table
 
 SHARDS = 24
@@ -58,4 +58,16 @@ def op10_jaccard_join(spark, sf_dir):
     return jaccard.jaccard_components(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_kk_sharding, op2_exact_dedup, op3_url_filter, op4_source_mixing, op5_quality_gam, op6_near_vectors, op7_packing, op8_near_passages, op9_suffix_array, op10_jaccard_join)}
+def op11_phrase_mining(spark, sf_dir):
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
+def op12_whitening(spark, sf_dir):
+    return whitening.whitened(table(spark, sf_dir, "embeddings"))
+
+
+def op13_arc_to_warc(spark, sf_dir):
+    return arc.archive(table(spark, sf_dir, "pages")).drop("intact")
+
+
+QUERIES = {f.__name__: f for f in (op1_kk_sharding, op2_exact_dedup, op3_url_filter, op4_source_mixing, op5_quality_gam, op6_near_vectors, op7_packing, op8_near_passages, op9_suffix_array, op10_jaccard_join, op11_phrase_mining, op12_whitening, op13_arc_to_warc)}
