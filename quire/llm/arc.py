@@ -39,7 +39,7 @@ def base32_sha1(data: bytes) -> str:
 
 def _plain(url: str | None) -> str:
     """A URL as one field of a line: white space and control characters are percent-encoded; none is `unknown:`."""
-    return re.sub(r"[\x00-\x20\x7f-\xa0  　]", lambda m: "".join(f"%{b:02X}" for b in m[0].encode()), url or "") or "unknown:"
+    return re.sub(r"[\x00-\x20\x7f-\xa0\u2028\u2029\u3000]", lambda m: "".join(f"%{b:02X}" for b in m[0].encode()), url or "") or "unknown:"
 
 
 def _version_block(version: int, name: str) -> bytes:

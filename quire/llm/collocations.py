@@ -7,6 +7,7 @@ not by hashes, and added up by Spark by the phrases' text. Scores come from join
 """
 
 import hashlib
+from math import ceil, sqrt
 
 import numpy as np
 import pyarrow as pa
@@ -201,8 +202,9 @@ def collocations(docs: DataFrame, least: int = 30, longest: int = 4, top: int =
     longer = candidates.filter(size > 2).select("lang", "f", F.explode(inner).alias("phrase")).groupBy("lang", "phrase").agg(F.max("f").alias("longer"))
     wide = lambda c: F.col(c).cast("decimal(20,0)")
     kept = scored.join(longer, ["lang", "phrase"], "left").filter(F.col("longer").isNull() | (wide("longer") * 100 < wide("a") * cover))
-    kept = kept.select("lang", "phrase", "a", "best.l", "best.r", "best.score", F.pmod(F.xxhash64("phrase"), F.lit(tasks(docs))).alias("salt"))
-    order = [F.desc("score"), F.desc("a"), F.asc("phrase")]
-    some = kept.withColumn("rank", F.row_number().over(W.partitionBy("lang", "salt").orderBy(*order))).filter(F.col("rank") <= top)
-    first = some.withColumn("rank", F.row_number().over(W.partitionBy("lang").orderBy(*order)).cast("long")).filter(F.col("rank") <= top)
+    first = kept.select("lang", "phrase", "a", "best.l", "best.r", "best.score")
+    # a lang's best of many parts, of fewer parts, and of all: no task sees more of a lang than a root of the parts has
+    for parts in (tasks(docs), ceil(sqrt(tasks(docs))), 1):
+        own = W.partitionBy("lang", *([F.pmod(F.xxhash64("phrase"), F.lit(parts))] if parts > 1 else [])).orderBy(F.desc("score"), F.desc("a"), F.asc("phrase"))
+        first = first.withColumn("rank", F.row_number().over(own).cast("long")).filter(F.col("rank") <= top)
     return first.join(total, "lang").select("lang", "rank", "phrase", "a", "l", "r", "n", "score")

@@ -140,9 +140,9 @@ def components(n: int, scatter: np.ndarray, most: int) -> list[tuple[float, np.n
         q = q * (1 if q[np.abs(q).argmax()] > 0 else -1)
         whole = np.array([int(v) for v in np.rint(q * 2.0**60).tolist()], object)
         size = int(whole @ whole)
-        share = int(whole @ scatter @ whole)
-        if share <= 0 or out and share / (size * n * n) < NOTHING * out[0][0]:
+        if int(whole @ left @ whole) / (size * scale) <= (NOTHING * out[0][0] if out else 0):
             break
+        share = int(whole @ scatter @ whole)
         out.append((share / (size * n * n), q, share / (size * trace)))
         image = left @ whole
         left = size * size * left - size * (np.outer(whole, image) + np.outer(image, whole)) + int(whole @ image) * np.outer(whole, whole)
