@@ -143,10 +143,10 @@ def _near(column) -> np.ndarray:
 
 def agreement(a: np.ndarray, b: np.ndarray, a_before, a_behind, b_before, b_behind):
     """For pairs of windows, row by row: (whether they agree, first and end of what agrees in a and in b, where the best WIDTH tokens of a
-    and of b begin, similarity). Places count from c.
+    and of b begin, whether what agrees is the same on both sides). Places count from c.
 
     They agree if WIDTH successive tokens of each that hold c have NEED or more in common with the other's, SHIFT or fewer places
-    from where they would stand. Similarity is the Jaccard index of what agrees, or of the best WIDTH tokens where it is more.
+    from where they would stand. What agrees begins and ends with tokens in common.
     """
     hit = [np.zeros(a.shape, bool), np.zeros(b.shape, bool)]
     for s in range(-SHIFT, SHIFT + 1):
@@ -155,7 +155,7 @@ def agreement(a: np.ndarray, b: np.ndarray, a_before, a_behind, b_before, b_behi
         hit[0][:, x] |= same
         hit[1][:, y] |= same
     start, place = np.arange(REACH + 1), np.arange(SPAN)
-    ok, found, best, most, held, long = np.ones(len(a), bool), [], [], np.full(len(a), WIDTH), np.full(len(a), SPAN), 0
+    ok, found, best = np.ones(len(a), bool), [], []
     for h, before, behind in ((hit[0], a_before, a_behind), (hit[1], b_before, b_behind)):
         total = np.concatenate([np.zeros((len(a), 1), np.int16), np.cumsum(h, axis=1, dtype=np.int16)], axis=1)
         count = total[:, WIDTH:] - total[:, :-WIDTH]
@@ -167,12 +167,14 @@ def agreement(a: np.ndarray, b: np.ndarray, a_before, a_behind, b_before, b_behi
         first, end = inside.argmax(axis=1), SPAN - inside[:, ::-1].argmax(axis=1)
         found += [first - REACH, end - REACH]
         best.append(count.argmax(axis=1) - REACH)
-        most, held, long = np.minimum(most, count.max(axis=1)), np.minimum(held, inside.sum(axis=1)), long + end - first
-    return ok, *found, *best, np.maximum(most / (2 * WIDTH - most), held / np.maximum(1, long - held))
+    a0, a1, b0, b1 = found
+    there = np.clip(place + (b0 - a0)[:, None], 0, SPAN - 1)
+    apart = (a != np.take_along_axis(b, there, axis=1)) & (place >= (a0 + REACH)[:, None]) & (place < (a1 + REACH)[:, None])
+    return ok, *found, *best, (a1 - a0 == b1 - b0) & ~apart.any(axis=1)
 
 
-SPAN_NAMES = ["a0", "a1", "b0", "b1", "a_best", "b_best", "similarity"]
-SPANS = "leader long, cid long, a0 long, a1 long, b0 long, b1 long, a_best long, b_best long, similarity double"
+SPAN_NAMES = ["a0", "a1", "b0", "b1", "a_best", "b_best", "same"]
+SPANS = "leader long, cid long, a0 long, a1 long, b0 long, b1 long, a_best long, b_best long, same boolean"
 
 
 def _placed(found, a, b) -> list:
@@ -219,18 +221,121 @@ def _in_blocks(g):
     return tuple(np.array(v) for v in zip(*out, strict=True)) if out else None
 
 
-def merged(spans: DataFrame, keys: list[str], near: int = SHIFT) -> DataFrame:
-    """Spans of the same keys that overlap in a, and in b about one diagonal, joined to one (a0, a1, b0, b1, similarity): its similarity is
-    the least of its parts'. What is shorter than WIDTH begins or ends with tokens that the other lacks; it is its best WIDTH tokens."""
-    own = W.partitionBy(*keys).orderBy("shelf", "a0", "a1")
-    spans = spans.distinct().withColumn("shelf", F.floor((F.col("b0") - F.col("a0")) / (2 * near + 1)))
-    reached = F.max(F.struct("shelf", "a1")).over(own.rowsBetween(W.unboundedPreceding, -1))
-    new = reached.isNull() | (reached["shelf"] != F.col("shelf")) | (F.col("a0") > reached["a1"])
-    marked = spans.withColumn("new", new.cast("int")).withColumn("island", F.sum("new").over(own.rowsBetween(W.unboundedPreceding, 0)))
-    least = [F.min(x).alias(x) for x in ("a0", "b0", "a_best", "b_best", "similarity")]
-    whole = marked.groupBy(*keys, "island").agg(*least, F.max("a1").alias("a1"), F.max("b1").alias("b1"))
-    side = lambda x: (F.when(F.col(f"{x}1") - F.col(f"{x}0") < WIDTH, F.col(f"{x}_best")).otherwise(F.col(f"{x}0")).alias(f"{x}0"), F.when(F.col(f"{x}1") - F.col(f"{x}0") < WIDTH, F.col(f"{x}_best") + WIDTH).otherwise(F.col(f"{x}1")).alias(f"{x}1"))
-    return whole.select(*keys, *side("a"), *side("b"), "similarity")
+def islands(spans: DataFrame) -> DataFrame:
+    """Spans of the same two texts (leader, cid) that lie within 2 * WIDTH tokens of each other in the leader's, as one row: (leader, cid, island,
+    a0, a1, b0, b1, same, spans). same: all of them are the same on both sides, lie on one diagonal and leave no gap."""
+    own = W.partitionBy("leader", "cid").orderBy("a0", "a1", "b0", "b1")
+    reached = F.max("a1").over(own.rowsBetween(W.unboundedPreceding, -1))
+    marked = spans.distinct().withColumn("reached", reached).withColumn("new", (F.coalesce("reached", F.lit(-3 * WIDTH)) + 2 * WIDTH < F.col("a0")).cast("int"))
+    marked = marked.withColumn("whole", (F.col("new") == 1) | (F.col("a0") <= F.col("reached")))
+    marked = marked.withColumn("island", F.sum("new").over(own.rowsBetween(W.unboundedPreceding, 0)))
+    slope = F.col("b0") - F.col("a0")
+    return marked.groupBy("leader", "cid", "island").agg(
+        *(F.min(x).alias(x) for x in ("a0", "b0")), *(F.max(x).alias(x) for x in ("a1", "b1")),
+        (F.min("same") & F.min("whole") & (F.min(slope) == F.max(slope))).alias("same"), F.collect_list(F.struct("a0", "a1", "b0", "b1", "a_best", "b_best")).alias("spans"),
+    )
+
+
+def jaccard(a: np.ndarray, b: np.ndarray) -> float:
+    a, b = np.unique(a), np.unique(b)
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both / max(1, len(a) + len(b) - both)
+
+
+def _grown(first: int, end: int, best: int, size: int) -> tuple[int, int]:
+    """A span of WIDTH tokens or more: a shorter one becomes its best WIDTH tokens."""
+    if end - first >= WIDTH:
+        return first, end
+    first = max(0, min(best, size - WIDTH))
+    return first, min(size, first + WIDTH)
+
+
+def passages_of(spans: list[tuple], a: np.ndarray, b: np.ndarray) -> list[tuple]:
+    """(a0, a1, b0, b1, similarity) of the passages that spans (a0, a1, b0, b1, a_best, b_best) make up: those that overlap on both sides
+    are one passage if its Jaccard index is PERCENT or more; else each of them is one. The longest comes first, and none overlaps another on
+    both sides.
+    a and b: the tokens of both texts, as far as they are known; places count from their first."""
+    made: list[tuple[list, list[tuple]]] = []
+    for span in sorted(spans):
+        for box, parts in reversed(made):
+            if span[0] <= box[1] and box[0] <= span[1] and span[2] <= box[3] + SHIFT and box[2] <= span[3] + SHIFT:
+                box[:] = [min(box[0], span[0]), max(box[1], span[1]), min(box[2], span[2]), max(box[3], span[3])]
+                parts.append(span)
+                break
+        else:
+            made.append((list(span[:4]), [span]))
+    done: list[tuple] = []
+    for box, parts in sorted(made, key=lambda m: (m[0][0] - m[0][1], m)):
+        best = max(parts, key=lambda p: (min(p[1] - p[0], p[3] - p[2]), p))
+        for span in [(*box, *best[4:]), *sorted(parts, key=lambda p: (p[0] - p[1], p))]:
+            (a0, a1), (b0, b1) = _grown(span[0], span[1], span[4], len(a)), _grown(span[2], span[3], span[5], len(b))
+            if any(a0 < q[1] and q[0] < a1 and b0 < q[3] and q[2] < b1 for q in done):
+                continue
+            like = jaccard(a[a0:a1], b[b0:b1])
+            if 100 * like >= PERCENT:
+                done.append((a0, a1, b0, b1, like))
+    return done
+
+
+#: Tokens that are fetched together for the spans that are not the same on both sides.
+PIECE = 64
+
+
+def _pieces(batches):
+    """cid, text and the numbers of pieces of PIECE tokens in; a row for each piece that is not empty out."""
+    for batch in batches:
+        cids, wanted = batch.column(0).to_numpy(), batch.column(2).to_pylist()
+        rows = ([], [], [])
+        for i, j, data, bounds in chunks(batch.column(1)):
+            hashed, _, _, wb = words(data, bounds)
+            tokens, whole = shingles(hashed, wb, SHINGLE)
+            for k in range(i, j):
+                own = (tokens[wb[k - i] : wb[k - i + 1]][whole[wb[k - i] : wb[k - i + 1]]] >> np.uint64(32)).astype(np.uint32)
+                for x in wanted[k]:
+                    if len(part := own[PIECE * x : PIECE * x + PIECE]):
+                        for out, v in zip(rows, (cids[k], x, part.tobytes()), strict=True):
+                            out.append(v)
+        yield pa.RecordBatch.from_arrays([pa.array(rows[0], pa.int64()), pa.array(rows[1], pa.int64()), pa.array(rows[2], pa.binary())], names=["cid", "piece", "tokens"])
+
+
+def _judged(batches):
+    """leader, cid, spans and pieces (side, piece, tokens) of islands in; their passages out."""
+    for batch in batches:
+        rows = []
+        for leader, cid, spans, pieces in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            sides, starts = [], []
+            for side in (0, 1):
+                own = sorted((p["piece"], p["tokens"]) for p in pieces if p["side"] == side)
+                starts.append(PIECE * own[0][0] if own else 0)
+                sides.append(np.frombuffer(b"".join(t for _, t in own), np.uint32))
+            p, q = starts
+            for a0, a1, b0, b1, like in passages_of([(s["a0"] - p, s["a1"] - p, s["b0"] - q, s["b1"] - q, s["a_best"] - p, s["b_best"] - q) for s in spans], *sides):
+                rows.append((leader, cid, a0 + p, a1 + p, b0 + q, b1 + q, like))
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows, strict=True)], names=PASSAGE_NAMES)
+
+
+PASSAGE_NAMES = ["leader", "cid", "a0", "a1", "b0", "b1", "similarity"]
+
+
+def verified_passages(spans: DataFrame, texts: DataFrame) -> DataFrame:
+    """The passages (PASSAGE_NAMES) that the spans make up. What is the same on both sides needs no further look; of the others, the tokens
+    around them are fetched in pieces from the texts (cid, text), and similarity is the Jaccard index of what is reported."""
+    found = cut(islands(spans))
+    long = F.col("a1") - F.col("a0") >= WIDTH
+    sure = found.filter(F.col("same") & long).select("leader", "cid", "a0", "a1", "b0", "b1", F.lit(1.0).alias("similarity"))
+    odd = found.filter(~(F.col("same") & long))
+    piece = lambda lo, hi: F.sequence(F.floor(F.greatest(F.col(lo) - WIDTH, F.lit(0)) / PIECE), F.floor((F.col(hi) + WIDTH) / PIECE))
+    side = lambda n, cid, lo, hi: F.transform(piece(lo, hi), lambda p: F.struct(F.lit(n).alias("side"), F.struct(F.col(cid).alias("cid"), p.alias("piece")).alias("at")))
+    asked = cut(odd.select("leader", "cid", "island", F.explode(F.concat(side(0, "leader", "a0", "a1"), side(1, "cid", "b0", "b1"))).alias("w")).select("leader", "cid", "island", "w.*"))
+    used = cut(asked.groupBy("at").agg(F.count("*").alias("uses")))
+    wanted = used.groupBy("at.cid").agg(F.collect_list("at.piece").alias("pieces"))
+    body = having(texts, wanted.select("cid"), "cid").dropDuplicates(["cid"]).join(wanted, "cid").select("cid", "text", "pieces")
+    tokens = body.mapInArrow(_pieces, "cid long, piece long, tokens binary").select(F.struct("cid", "piece").alias("at"), "tokens").join(used, "at")
+    held = join_groups(asked, cut(tokens), "at", "uses", max(1, asked.count()))
+    held = held.groupBy("leader", "cid", "island").agg(F.collect_list(F.struct("side", F.col("at.piece").alias("piece"), "tokens")).alias("pieces"))
+    judged = odd.select("leader", "cid", "island", "spans").join(held, ["leader", "cid", "island"]).select("leader", "cid", "spans", "pieces")
+    return sure.unionByName(judged.mapInArrow(_judged, "leader long, cid long, a0 long, a1 long, b0 long, b1 long, similarity double"))
 
 
 def _left(entries: DataFrame, open_: DataFrame, verified: DataFrame, total: int) -> DataFrame:
@@ -264,9 +369,8 @@ def near_passages(docs: DataFrame) -> DataFrame:
     """The near-duplicate passages of all documents: (doc_id, first_word, n_words, near_doc_id, near_first_word, near_n_words,
     similarity, component_id).
 
-    A row is a passage of at least PASSAGE_WORDS words of a document that another document has too: around each
-    shared signature, PASSAGE_WORDS words of it agree with the other's in PERCENT percent of their 5-word shingles or more, as a
-    Jaccard index, and similarity is the least of these. A document without such a passage has no row; one whose whole text, of
+    A row is a passage of at least PASSAGE_WORDS words of a document that another document has too: the Jaccard index of the sets of
+    5-word shingles of both passages is PERCENT percent or more, and is their similarity. A document without such a passage has no row; one whose whole text, of
     that length, stands in other rows too has a row for it. component_id is the smallest doc_id that passages connect. Null and
     short texts have none; texts are told apart by a 64-bit digest. Rows with the same doc_id are one document. A text without
     doc_id takes part and links others; doc_ids lie under NAMELESS. An empty table gives no row; other columns are not read.
@@ -293,11 +397,16 @@ def near_passages(docs: DataFrame) -> DataFrame:
     open_ = said.filter("NOT ok").select("value", "cid", F.col("c").cast("int").alias("c"), "leader")
     if not open_.isEmpty():
         verified = verified.unionByName(_left(entries, open_, verified, n_windows))
-    verified = cut(merged(verified, ["leader", "cid"]))
+    verified = cut(verified_passages(verified, keyed.select("cid", "text")))
     plus = SHINGLE - 1
     name = classes.select("cid", "rep")
     there = verified.select("cid", F.col("b0").alias("first_word"), (F.col("b1") - F.col("b0") + plus).alias("n_words"), F.col("leader").alias("near"), F.col("a0").alias("near_first_word"), (F.col("a1") - F.col("a0") + plus).alias("near_n_words"), "similarity")
-    here = verified.groupBy(F.col("leader").alias("cid"), F.col("a0").alias("first_word"), (F.col("a1") - F.col("a0") + plus).alias("n_words")).agg(F.min(F.struct(F.col("cid").alias("near"), F.col("b0").alias("near_first_word"), (F.col("b1") - F.col("b0") + plus).alias("near_n_words"), "similarity")).alias("w")).select("cid", "first_word", "n_words", "w.*")
+    # of a leader's passages that overlap, the longest stands for all
+    ranges = verified.groupBy("leader", "a0", "a1").agg(F.min(F.struct(F.col("cid").alias("near"), F.col("b0").alias("near_first_word"), (F.col("b1") - F.col("b0") + plus).alias("near_n_words"), "similarity")).alias("w"))
+    own = W.partitionBy("leader").orderBy("a0", "a1")
+    ranges = ranges.withColumn("new", (F.coalesce(F.max("a1").over(own.rowsBetween(W.unboundedPreceding, -1)), F.lit(-1)) < F.col("a0")).cast("int")).withColumn("island", F.sum("new").over(own))
+    here = ranges.groupBy(F.col("leader").alias("cid"), "island").agg(F.max(F.struct((F.col("a1") - F.col("a0")).alias("size"), (-F.col("a0")).alias("at"), "a0", "a1", "w")).alias("r"))
+    here = here.select("cid", F.col("r.a0").alias("first_word"), (F.col("r.a1") - F.col("r.a0") + plus).alias("n_words"), "r.w.*")
     spans = there.unionByName(here).filter(F.col("n_words") >= PASSAGE_WORDS)
     spans = spans.join(name.toDF("near", "near_doc_id"), "near").select("cid", F.struct("first_word", "n_words", "near_doc_id", "near_first_word", "near_n_words", "similarity").alias("s"))
     zero = F.lit(0).cast("long")

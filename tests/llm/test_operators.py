@@ -198,14 +198,62 @@ def test_best_fit_against_search_and_merged_bins(spark):
 
 
 def test_passages(spark, none):
-    words = lambda n: " ".join(random.choice(WORDS) + str(random.randint(0, 99)) for _ in range(n))
-    shared = words(70)
-    docs = spark.createDataFrame([(1, words(100) + " " + shared + " " + words(90)), (2, shared + " " + words(200)), (3, words(300)), (4, None), (5, words(120) + " " + shared)], "doc_id long, text string")
+    shared = " ".join(_fresh(70, 90))
+    docs = spark.createDataFrame([(1, " ".join([*_fresh(100, 91), shared, *_fresh(90, 92)])), (2, " ".join([shared, *_fresh(200, 93)])), (3, " ".join(_fresh(300, 94))), (4, None), (5, " ".join([*_fresh(120, 95), shared]))], "doc_id long, text string")
     rows = passages.near_passages(docs).collect()
     assert {r.doc_id for r in rows} == {1, 2, 5} and len({r.component_id for r in rows}) == 1
     assert all(r.n_words >= 60 and r.similarity >= 0.8 for r in rows) and not passages.near_passages(none).collect()
 
 
+def _check_passages(rows, texts):
+    """Every row's similarity is the Jaccard index of what it reports, and no two rows of the same two documents report the same place twice."""
+    gram = lambda doc, first, n: {tuple(w[i : i + 5]) for w in [texts[doc].split()[first : first + n]] for i in range(n - 4)}
+    seen = collections.defaultdict(list)
+    for r in rows:
+        a, b = gram(r.doc_id, r.first_word, r.n_words), gram(r.near_doc_id, r.near_first_word, r.near_n_words)
+        assert r.similarity == pytest.approx(len(a & b) / len(a | b), abs=1e-6) and r.similarity >= 0.8 and min(r.n_words, r.near_n_words) >= 50
+        seen[r.doc_id, r.near_doc_id].append((r.first_word, r.first_word + r.n_words, r.near_first_word, r.near_first_word + r.near_n_words))
+    for own in seen.values():
+        assert not any(p is not q and p[0] < q[1] and q[0] < p[1] and p[2] < q[3] and q[2] < p[3] for p in own for q in own)
+    return seen
+
+
+@pytest.mark.parametrize("inserted", [0, 3, 6, 12])
+def test_rows_of_passages_against_sets_of_shingles(spark, inserted):
+    texts = {}
+    for i in range(40):
+        size = 50 + 12 * (i % 5)
+        own = _fresh(size, 7000 + i)
+        other = [*own[: size // 2], *_fresh(inserted, 7100 + i), *own[size // 2 :]]
+        if i % 3 == 0:
+            other[7] = "changed"
+        texts |= {2 * i: " ".join([*_fresh(30 + i, 7200 + i), *own, *_fresh(25, 7300 + i)]), 2 * i + 1: " ".join([*_fresh(11, 7400 + i), *other, *_fresh(47, 7500 + i)])}
+    texts |= {200: " ".join(_fresh(60, 1) * 4), 201: " ".join(_fresh(60, 1) * 2 + _fresh(30, 2)), 202: "x " * 400}
+    rows = passages.near_passages(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()
+    seen = _check_passages(rows, texts)
+    if not inserted:
+        assert all((2 * i, 2 * i + 1) in seen and (2 * i + 1, 2 * i) in seen for i in range(40)) and all(len(v) == 1 for (a, b), v in seen.items() if a < 200)
+
+
+def _test_tables():
+    import pyarrow.parquet as pq
+
+    return {i: t for i, t in zip(*(c.to_pylist() for c in pq.read_table("/root/testdata/sf0.001/documents.parquet", columns=["doc_id", "text"]).columns), strict=True)}
+
+
+def test_rows_of_passages_of_a_table(spark):
+    texts = {i: "".join(c.lower() if "A" <= c <= "Z" else c for c in t) for i, t in _test_tables().items()}
+    rows = passages.near_passages(spark.read.parquet("/root/testdata/sf0.001/documents.parquet")).collect()
+    _check_passages(rows, texts)
+    grams = collections.defaultdict(set)
+    for i, t in texts.items():
+        w = t.split()
+        for k in range(len(w) - 49):
+            grams[tuple(w[k : k + 50])].add(i)
+    repeated = {i for ids in grams.values() if len(ids) > 1 for i in ids}
+    assert repeated <= {r.doc_id for r in rows}
+
+
 def _found(spark, texts):
     rows = passages.near_passages(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()
     return {r.doc_id: r.component_id for r in rows}
@@ -258,10 +306,10 @@ def test_agreement_of_windows():
         a, b = np.concatenate([fresh(100), part[:46], fresh(100)]), np.concatenate([fresh(50), other, fresh(80)])
         c = 20
         sides = passages.near_tokens(a, *at(100 + c, 45, 45)), passages.near_tokens(b, *at(50 + c, 45, 45))
-        ok, a0, a1, b0, b1, _, _, like = passages.agreement(*sides, *at(45, 45, 45, 45))
+        ok, a0, a1, b0, b1, _, _, same = passages.agreement(*sides, *at(45, 45, 45, 45))
         assert bool(ok[0]) == found
         if found:
-            assert (a0[0] + 100 + c, a1[0] + 100 + c, b0[0] + 50 + c, b1[0] + 50 + c) == (100, 146, 50, 96) and like[0] == (46 - lost) / (46 + lost)
+            assert (a0[0] + 100 + c, a1[0] + 100 + c, b0[0] + 50 + c, b1[0] + 50 + c) == (100, 146, 50, 96) and bool(same[0]) == (not lost)
         if not lost:  # a passage has to lie inside both windows
             assert passages.agreement(*sides, *at(c - 5, 45, 45, 45))[0][0] and not passages.agreement(*sides, *at(c - 6, 45, 45, 45))[0][0]
 
@@ -314,17 +362,6 @@ def test_sets_without_doc_id_link_others(spark):
     assert {r.doc_id: r.component_id for r in jaccard.jaccard_components(sets).collect()} == {1: 1, None: None, 2: 1}
 
 
-def test_a_signature_outside_a_passage_stays_open():
-    token = np.random.default_rng(3).integers(1, 1 << 62, 400).astype(np.uint64)
-    ones = lambda t: np.concatenate([passages._signature(t[passages.nodes(t, np.ones(len(t), bool), s, passages.WIDTH)], i) for i, s in enumerate(passages.SEEDS)])
-    whole = ones(token)
-    inside = np.setdiff1d(ones(token[:150]), ones(token[150:]))
-    got = passages._settled(token, whole, [(0, 150, 0, 150, 1.0)])
-    at = {int(passages._signature(token[x : x + 1], i)[0]): x for x in range(400) for i in range(3)}
-    assert got and all(at[v] < 150 for v in got) and set(got) >= {v for v in inside.tolist() if v in whole and at[v] < 150}
-    assert any(at[v] >= 150 for v in whole.tolist())
-
-
 def test_direct_sorting():
     for trial in range(100):
         text = np.frombuffer(bytes(random.choice(b"\0a" if trial % 2 else b"ab\xff") for _ in range(random.randint(0, 200))), np.uint8)
