@@ -1,4 +1,4 @@
-"""Operators on ordered rows: newest wins, offsets, numbering without gaps, runs."""
+"""Operators on ordered rows: newest wins, offsets, numbering without gaps."""
 
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
@@ -34,11 +34,3 @@ def number(rows: DataFrame, order: list[str], name: str) -> DataFrame:
     start = counts.select("quire_part", (F.sum("n").over(W.orderBy("quire_part")) - F.col("n")).alias("quire_start"))
     inside = placed.withColumn("quire_nth", F.row_number().over(W.partitionBy("quire_part").orderBy(*order)) - 1)
     return inside.join(F.broadcast(start), "quire_part").withColumn(name, (F.col("quire_start") + F.col("quire_nth")).cast("long")).drop("quire_part", "quire_nth", "quire_start")
-
-
-def runs(rows: DataFrame, keys: list[str], order: list[str], value: str) -> DataFrame:
-    """Runs of equal values in order: (keys, run, value, n), run from 1."""
-    w = W.partitionBy(*keys).orderBy(*order)
-    new = (~F.col(value).eqNullSafe(F.lag(value).over(w)) | (F.row_number().over(w) == 1)).cast("int")
-    marked = rows.withColumn("new", new).withColumn("run", F.sum("new").over(w))
-    return marked.groupBy(*keys, "run").agg(F.min(value).alias(value), F.count("*").alias("n"))

@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions import colour, curves, dates, geometry
-from ..operators import graphs, images, lookups, ordering
+from ..functions import colour, curves, dates
+from ..operators import graphs, images, joins, lookups, ordering, scans
 from ..sources.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -174,24 +174,6 @@ def reachable_from_root(spark, sf_dir):
     return graphs.reachable(_edges(spark, sf_dir), spark.createDataFrame([("r1",)], "node string"))
 
 
-@query("""SELECT s_suppkey, CAST(row_number() OVER (ORDER BY r_regionkey, n_nationkey, s_suppkey) - 1 AS BIGINT) AS page FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey""")
-def page_tree_flatten(spark, sf_dir):
-    """The leaves of a tree in order."""
-    t = lambda n: table(spark, sf_dir, n)
-    leaves = t("supplier").join(t("nation"), F.col("s_nationkey") == F.col("n_nationkey")).select("n_regionkey", "n_nationkey", "s_suppkey")
-    return ordering.number(leaves, ["n_regionkey", "n_nationkey", "s_suppkey"], "page").select("s_suppkey", "page")
-
-
-@query("""SELECT s_suppkey, coalesce(CASE WHEN s_acctbal > 5000 THEN s_name END, CASE WHEN n_nationkey % 2 = 0 THEN n_name END, r_name) AS inherited
-    FROM supplier LEFT JOIN nation ON s_nationkey = n_nationkey LEFT JOIN region ON n_regionkey = r_regionkey""")
-def inherit_nearest(spark, sf_dir):
-    """An attribute of a node, or else of its nearest ancestor that has it."""
-    t = lambda n: table(spark, sf_dir, n)
-    own, mid = F.when(F.col("s_acctbal") > 5000, F.col("s_name")), F.when(F.col("n_nationkey") % 2 == 0, F.col("n_name"))
-    tree = t("supplier").join(t("nation"), F.col("s_nationkey") == F.col("n_nationkey"), "left").join(t("region"), F.col("n_regionkey") == F.col("r_regionkey"), "left")
-    return tree.select("s_suppkey", F.coalesce(own, mid, "r_name").alias("inherited"))
-
-
 @query("""SELECT p_partkey, coalesce((SELECT arg_max(r.cid + p_size - r.lo, r.n) FROM (VALUES (1, 1, 20, 100), (2, 15, 30, 500), (3, 40, 45, 900)) r(n, lo, hi, cid) WHERE p_size BETWEEN r.lo AND r.hi), 0) AS cid FROM part""")
 def cmap_range_lookup(spark, sf_dir):
     """Character codes through ranges of a map; a later range overrides an earlier one, no range gives 0."""
@@ -207,12 +189,18 @@ def name_tree_lookup(spark, sf_dir):
     return table(spark, sf_dir, "customer").join(inside, F.col("c_nationkey") == F.col("n_nationkey")).select("c_custkey", "n_name")
 
 
+def first_equal(docs, within: list[str]):
+    """(doc_id, kept_id): the smallest doc_id of those with an equal text, null equal to null, and equal columns `within`."""
+    key = F.struct(*(F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("")).alias(f"w{i}") for i, c in enumerate(within)), F.coalesce(F.sha2(F.col("text").cast("binary"), 256), F.lit("")).alias("digest"), F.coalesce(F.octet_length("text"), F.lit(-1)).alias("size"))
+    told = docs.select("doc_id", key.alias("key"))
+    first = told.groupBy("key").agg(F.min("doc_id").alias("kept_id"), F.count("*").alias("n"))
+    return joins.with_group(told, first, "key", "n").select("doc_id", "kept_id")
+
+
 @query("SELECT doc_id, min(doc_id) OVER (PARTITION BY text) AS kept_id FROM documents")
 def dedup_equivalent(spark, sf_dir):
-    """Equal objects are replaced by the first of them; texts are compared whole, and equal ones meet where they are read."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("k"))
-    first = docs.groupBy("k").agg(F.min("doc_id").alias("kept_id")).withColumnRenamed("k", "k0")
-    return docs.join(first, F.col("k").eqNullSafe(F.col("k0"))).select("doc_id", "kept_id")
+    """Equal objects are replaced by the first of them. Texts count as equal by SHA-256 and length, so no text is shuffled."""
+    return first_equal(table(spark, sf_dir, "documents").select("doc_id", "text"), [])
 
 
 @query("SELECT DISTINCT l_suppkey, l_partkey FROM lineitem")
@@ -225,7 +213,7 @@ def distinct_images(spark, sf_dir):
     (SELECT *, CASE WHEN event_type IS DISTINCT FROM lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) THEN 1 ELSE 0 END AS new FROM events)) GROUP BY user_id, run""")
 def adjacent_equal_runs(spark, sf_dir):
     """Runs of equal values that follow each other, as width arrays are written."""
-    return ordering.runs(table(spark, sf_dir, "events"), ["user_id"], ["ts", "event_id"], "event_type")
+    return scans.runs(table(spark, sf_dir, "events"), ["user_id"], ["ts", "event_id"], "event_type")
 
 
 @query(r"""SELECT a, b, count(*) AS n FROM (SELECT unnest(w[:-2]) AS a, unnest(w[2:]) AS b FROM (SELECT regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS w FROM documents)) WHERE b IS NOT NULL GROUP BY a, b""")
@@ -239,15 +227,7 @@ def kerning_pairs(spark, sf_dir):
 @query("SELECT user_id, event_id, round(sum(value) OVER (PARTITION BY user_id ORDER BY ts, event_id), 6) AS x FROM events")
 def text_position_running(spark, sf_dir):
     """The position after each relative move."""
-    return table(spark, sf_dir, "events").select("user_id", "event_id", F.round(F.sum("value").over(W.partitionBy("user_id").orderBy("ts", "event_id")), 6).alias("x"))
-
-
-@query("""SELECT x, y, (SELECT arg_max(p_partkey, p_partkey) FROM part WHERE x BETWEEN p_size AND p_size + 5 AND y BETWEEN p_retailprice AND p_retailprice + 50) AS p_partkey
-    FROM (VALUES (10, 1000.0), (25, 1200.0), (45, 1500.0), (99, 1.0)) t(x, y)""")
-def object_at_point(spark, sf_dir):
-    """The topmost object whose box holds a point."""
-    boxes = table(spark, sf_dir, "part").select("p_partkey", F.col("p_size").alias("x0"), (F.col("p_size") + 5).alias("x1"), F.col("p_retailprice").alias("y0"), (F.col("p_retailprice") + 50).alias("y1"))
-    return geometry.topmost(spark, boxes, [(10, 1000.0), (25, 1200.0), (45, 1500.0), (99, 1.0)], "p_partkey")
+    return scans.running(table(spark, sf_dir, "events"), ["user_id"], ["ts", "event_id"], "value", "x").select("user_id", "event_id", F.round("x", 6).alias("x"))
 
 
 @query("SELECT event_type, count(*) AS n, sum(CASE WHEN value > 50 THEN 1 ELSE 0 END) AS large, round(max(value), 6) AS top FROM events GROUP BY event_type")

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from ..functions import colour, curves, matrix, text
 from ..operators import graphs, intervals, lookups, ordering
 from ..sources.tables import table
-from .catalog import QUERIES, query
+from .catalog import first_equal, query
 
 _Q = "(SELECT *, l_quantity / 50 AS q FROM lineitem)"
 
@@ -135,37 +135,6 @@ def matrix_transform(spark, sf_dir):
     return _lineitem(spark, sf_dir).select("l_orderkey", "l_linenumber", F.round(x, 7).alias("x"), F.round(y, 7).alias("y"), back.alias("back"))
 
 
-@query("SELECT x, y, (x, y) IN ((2.5, 2.5), (5.0, 1.0)) AS inside FROM (VALUES (2.5, 2.5), (5.0, 1.0), (0.5, 5.0), (7.0, 7.0)) t(x, y)")
-def segment_containment(spark, sf_dir):
-    """Points in a polygon: an odd number of its sides lies to the right."""
-    points = spark.createDataFrame([(2.5, 2.5), (5.0, 1.0), (0.5, 5.0), (7.0, 7.0)], "x double, y double")
-    corners = [(0.0, 0.0), (6.0, 0.0), (6.0, 3.0), (1.0, 4.0)]
-    crossed = [((F.col("y") < y0) != (F.col("y") < y1)) & (F.col("x") < (F.col("y") - y0) * ((x1 - x0) / (y1 - y0) if y1 != y0 else 0.0) + x0) for (x0, y0), (x1, y1) in zip(corners, corners[1:] + corners[:1])]
-    return points.select("x", "y", (sum((c.cast("int") for c in crossed), F.lit(0)) % 2 == 1).alias("inside"))
-
-
-@query("SELECT s_suppkey FROM (SELECT s_suppkey, row_number() OVER (ORDER BY n_regionkey, n_nationkey, s_suppkey) - 1 AS page FROM supplier JOIN nation ON s_nationkey = n_nationkey) WHERE page = 7")
-def page_by_index(spark, sf_dir):
-    """The page at a place of the flattened tree."""
-    return QUERIES["page_tree_flatten"](spark, sf_dir).filter("page = 7").select("s_suppkey")
-
-
-@query("SELECT page FROM (SELECT s_suppkey, CAST(row_number() OVER (ORDER BY n_regionkey, n_nationkey, s_suppkey) - 1 AS BIGINT) AS page FROM supplier JOIN nation ON s_nationkey = n_nationkey) WHERE s_suppkey = 5")
-def page_index_of(spark, sf_dir):
-    """The place of a page in the flattened tree."""
-    return QUERIES["page_tree_flatten"](spark, sf_dir).filter("s_suppkey = 5").select("page")
-
-
-@query("""SELECT 'r' || n_regionkey AS node, count(s_suppkey) AS leaves FROM nation LEFT JOIN supplier ON s_nationkey = n_nationkey GROUP BY n_regionkey
-    UNION ALL SELECT 'n' || n_nationkey, count(s_suppkey) FROM nation LEFT JOIN supplier ON s_nationkey = n_nationkey GROUP BY n_nationkey""")
-def leaf_counts(spark, sf_dir):
-    """The leaves under each node: those of each lowest node, added up on the way to the root."""
-    counted = table(spark, sf_dir, "supplier").groupBy(F.col("s_nationkey").alias("n_nationkey")).agg(F.count("*").alias("leaves"))
-    low = table(spark, sf_dir, "nation").join(counted, "n_nationkey", "left").select("n_regionkey", "n_nationkey", F.coalesce("leaves", F.lit(0)).alias("leaves"))
-    up = low.groupBy("n_regionkey").agg(F.sum("leaves").alias("leaves"))
-    return up.select(F.concat(F.lit("r"), "n_regionkey").alias("node"), "leaves").unionByName(low.select(F.concat(F.lit("n"), "n_nationkey").alias("node"), "leaves"))
-
-
 @query("SELECT c_custkey, CAST(count(*) OVER (PARTITION BY c_nationkey ORDER BY c_custkey DESC) - 1 AS BIGINT) AS to_end FROM customer")
 def outline_siblings(spark, sf_dir):
     """Siblings of an outline are a linked list: how far each is from its end."""
@@ -174,15 +143,6 @@ def outline_siblings(spark, sf_dir):
     return graphs.list_places(linked, "c_custkey", "following").select("c_custkey", "to_end")
 
 
-@query("""SELECT n_regionkey, CAST(CASE WHEN n_regionkey % 2 = 0 THEN 1 ELSE -1 END * (count(DISTINCT n_nationkey) + count(CASE WHEN n_nationkey % 3 > 0 THEN s_suppkey END)) AS BIGINT) AS shown FROM nation LEFT JOIN supplier ON s_nationkey = n_nationkey GROUP BY n_regionkey""")
-def outline_counts(spark, sf_dir):
-    """The counts of an outline: open items count what their open items show too, closed ones store it negated."""
-    suppliers = table(spark, sf_dir, "supplier").groupBy(F.col("s_nationkey").alias("n_nationkey")).agg(F.count("*").alias("below"))
-    items = table(spark, sf_dir, "nation").join(suppliers, "n_nationkey", "left")
-    shown = F.count("*") + F.sum(F.when(F.col("n_nationkey") % 3 > 0, F.coalesce("below", F.lit(0))).otherwise(0))
-    return items.groupBy("n_regionkey").agg(shown.alias("s")).select("n_regionkey", (F.when(F.col("n_regionkey") % 2 == 0, F.col("s")).otherwise(-F.col("s"))).cast("long").alias("shown"))
-
-
 @query("""SELECT c_custkey, coalesce(n.n_name, r.r_name) AS destination FROM customer LEFT JOIN (SELECT * FROM nation WHERE n_nationkey % 3 = 0) n ON c_nationkey = n_nationkey LEFT JOIN region r ON c_nationkey = r_regionkey""")
 def destination_resolution(spark, sf_dir):
     """Names looked up in the name tree, else in the older table, else null."""
@@ -208,10 +168,8 @@ def nested_images(spark, sf_dir):
 
 @query("SELECT doc_id, min(doc_id) OVER (PARTITION BY source, text) AS kept_id FROM documents")
 def dedup_within_page(spark, sf_dir):
-    """Equal objects of one page are replaced by the first of them; texts are compared whole, and equal ones meet where they are read."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "source", F.struct("source", "text").alias("k"))
-    first = docs.groupBy("k").agg(F.min("doc_id").alias("kept_id"))
-    return docs.join(first, docs["k"].eqNullSafe(first["k"])).select("doc_id", "kept_id")
+    """Equal objects of one page are replaced by the first of them."""
+    return first_equal(table(spark, sf_dir, "documents").select("doc_id", "source", "text"), ["source"])
 
 
 @query("SELECT o_orderkey, CAST(row_number() OVER (ORDER BY o_orderkey) AS BIGINT) AS id FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_shipdate < TIMESTAMP '1996-01-01')")

@@ -10,7 +10,7 @@ import numpy as np
 import pandas as pd
 import pytest
 
-from quire.plans import documents  # noqa: F401  adds queries
+from quire.plans import documents, structures  # noqa: F401  they add queries
 from quire.plans.catalog import ORACLES, QUERIES
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
