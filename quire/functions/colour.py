@@ -80,7 +80,13 @@ def chroma_distance(a, b):
     return F.sqrt((u - s) * (u - s) + (v - t) * (v - t))
 
 
-def decode_table(lo: float, hi: float, bits: int):
-    """What each sample value of `bits` bits stands for."""
-    most = (1 << bits) - 1
-    return F.transform(F.sequence(F.lit(0), F.lit(most)), lambda i: F.lit(lo) + i * F.lit((hi - lo) / most))
+def cal_rgb(a, b, c, gamma: tuple[float, ...], matrix: tuple[float, ...]):
+    """Components through their gammas and a matrix, given by columns, to X, Y, Z, and from there to RGB as lab_to_rgb does."""
+    own = [F.pow(x, F.lit(g)) for x, g in zip((a, b, c), gamma, strict=True)]
+    xyz = [sum((own[k] * matrix[3 * k + i] for k in range(3)), F.lit(0.0)) for i in range(3)]
+    return tuple(F.sqrt(F.greatest(F.lit(0.0), sum(x * w for x, w in zip(xyz, row, strict=True)) / sum(row))) for row in XYZ_TO_RGB)
+
+
+def decoded(sample, lo, hi, bits: int):
+    """What a sample of `bits` bits stands for between two ends."""
+    return lo + sample * (hi - lo) / ((1 << bits) - 1)

@@ -12,16 +12,22 @@ def to_pdf_date(ts):
 
 def parse_pdf_date(text):
     """struct(ts, precision, offset_min); null where the text is no date. Missing parts are the smallest, no offset is UTC."""
-    # the pattern runs once; every part is cut from its fixed place
-    shape = F.regexp_extract(text, PATTERN, 0)
-    sign = F.substring(F.translate(shape, "D:0123456789'", ""), 1, 1)
-    marked = F.translate(shape, "Zz+-D:'", "~~~~")
-    zone = F.when(sign == "", "").otherwise(F.substring_index(marked, "~", -1))
-    own = F.substring_index(marked, "~", 1)
-    spans = {1: (own, 1, 4), **{i: (own, 2 * i + 1, 2) for i in range(2, 7)}, 8: (zone, 1, 2), 9: (zone, 3, 2)}
-    part = lambda i: sign if i == 7 else F.substring(*spans[i])
-    number = lambda i, least: F.when(part(i) == "", F.lit(least)).otherwise(part(i)).cast("int")
-    minutes = F.when(part(7) == "-", -1).otherwise(1) * (number(8, 0) * 60 + number(9, 0))
-    ts = F.try_make_timestamp(number(1, 1), number(2, 1), number(3, 1), number(4, 0), number(5, 0), number(6, 0).cast("double"), F.lit("UTC")) - F.make_interval(mins=minutes)
-    precision = F.coalesce(*[F.when(part(i) != "", F.lit(PRECISION[i - 1])) for i in range(6, 0, -1)])
-    return F.when(part(1) != "", F.struct(ts.alias("ts"), precision.alias("precision"), minutes.alias("offset_min")))
+    # what matches is an element of an array, which the optimiser does not copy into each use of it
+    matched = F.array(F.regexp_extract(text, PATTERN, 0))
+    marked = lambda shape: F.translate(shape, "Zz+-D:'", "~~~~")
+    sign = lambda shape: F.substring(F.translate(shape, "D:0123456789'", ""), 1, 1)
+    parted = F.transform(matched, lambda shape: F.struct(sign(shape).alias("sign"), F.substring_index(marked(shape), "~", 1).alias("own"), F.when(sign(shape) == "", "").otherwise(F.substring_index(marked(shape), "~", -1)).alias("zone")))
+    return F.transform(parted, _date)[0]
+
+
+def _date(p):
+    """The parts of a date from its digits, its sign and the digits of its offset, each at a fixed place."""
+    part = lambda i: F.substring(p["own"], 2 * i + 1 if i > 1 else 1, 2 if i > 1 else 4)
+    number = lambda digits, least: F.when(digits == "", F.lit(least)).otherwise(digits).cast("int")
+    minutes = F.when(p["sign"] == "-", -1).otherwise(1) * (number(F.substring(p["zone"], 1, 2), 0) * 60 + number(F.substring(p["zone"], 3, 2), 0))
+    ts = F.try_make_timestamp(number(part(1), 1), number(part(2), 1), number(part(3), 1), number(part(4), 0), number(part(5), 0), number(part(6), 0).cast("double"), F.lit("UTC")) - F.make_interval(mins=minutes)
+    digits = F.length(p["own"])
+    precision = F.when(digits < 4, None)
+    for i, name in enumerate(PRECISION):
+        precision = precision.when(digits < 6 + 2 * i, name)
+    return F.when(digits >= 4, F.struct(ts.alias("ts"), precision.otherwise(PRECISION[-1]).alias("precision"), minutes.alias("offset_min")))

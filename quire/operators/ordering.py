@@ -34,3 +34,16 @@ def number(rows: DataFrame, order: list[str], name: str) -> DataFrame:
     start = counts.select("quire_part", (F.sum("n").over(W.orderBy("quire_part")) - F.col("n")).alias("quire_start"))
     inside = placed.withColumn("quire_nth", F.row_number().over(W.partitionBy("quire_part").orderBy(*order)) - 1)
     return inside.join(F.broadcast(start), "quire_part").withColumn(name, (F.col("quire_start") + F.col("quire_nth")).cast("long")).drop("quire_part", "quire_nth", "quire_start")
+
+
+def inserted(rows: DataFrame, extra: DataFrame, keys: list[str], order: str, at: str, name: str) -> DataFrame:
+    """rows and extra together with `name`, their places from 0 for each key: each of extra stands before the row whose place was its `at`, in the order of extra's
+    own `order`; what stands beyond the end comes last. Columns that one of both lacks are null."""
+    placed = _numbered(rows, keys, [order], "quire_at").withColumn("quire_kind", F.lit(1)).withColumn("quire_order", F.col(order))
+    more = extra.withColumn("quire_at", F.col(at).cast("long")).withColumn("quire_kind", F.lit(0)).withColumn("quire_order", F.col(order)).drop(at)
+    both = placed.unionByName(more, allowMissingColumns=True)
+    return _numbered(both, keys, ["quire_at", "quire_kind", "quire_order"], name).drop("quire_at", "quire_kind", "quire_order")
+
+
+def _numbered(rows: DataFrame, keys: list[str], order: list[str], name: str) -> DataFrame:
+    return offsets(rows.withColumn("quire_one", F.lit(1)), keys, order, "quire_one", name).drop("quire_one")

@@ -81,10 +81,22 @@ def colours_alike(spark, sf_dir):
     return _lineitem(spark, sf_dir).select("l_orderkey", "l_linenumber", colour.close((t, d, q), (d, q, t)).alias("close"), (colour.chroma_distance((t, d, q), (F.lit(0.0),) * 3) < colour.SIMILAR).alias("similar"))
 
 
-@query("SELECT CAST(i AS BIGINT) AS sample, round(-1.0 + i * 3.0 / 15, 9) AS value FROM range(0, 16) r(i)")
+@query("SELECT p_partkey, round(-1 + (p_size % 16) * (p_retailprice / 1000 + 1) / 15, 9) + 0.0 AS low, round(CASE WHEN p_size % 2 = 0 THEN p_size % 16 ELSE 15 - p_size % 16 END / 15.0, 9) + 0.0 AS plain FROM part")
 def decode_table(spark, sf_dir):
-    """What the samples of four bits stand for between two ends."""
-    return spark.range(1).select(F.posexplode(colour.decode_table(-1.0, 2.0, 4)).alias("sample", "value")).select(F.col("sample").cast("long").alias("sample"), F.round("value", 9).alias("value"))
+    """What a sample of four bits stands for: between two ends of its own, and between 0 and 1 or, turned round, 1 and 0."""
+    sample, even = F.col("p_size") % 16, F.col("p_size") % 2 == 0
+    low = colour.decoded(sample, F.lit(-1.0), F.col("p_retailprice") / 1000, 4)
+    plain = colour.decoded(sample, F.when(even, 0.0).otherwise(1.0), F.when(even, 1.0).otherwise(0.0), 4)
+    return table(spark, sf_dir, "part").select("p_partkey", (F.round(low, 9) + F.lit(0.0)).alias("low"), (F.round(plain, 9) + F.lit(0.0)).alias("plain"))
+
+
+@query(f"""WITH g AS (SELECT *, pow(l_tax, 1.8) AS a, pow(l_discount, 2.0) AS b, pow(q, 2.2) AS c FROM {_Q}),
+    x AS (SELECT *, 0.4497 * a + 0.3163 * b + 0.1845 * c AS x, 0.2446 * a + 0.672 * b + 0.0833 * c AS y, 0.0252 * a + 0.1412 * b + 0.9227 * c AS z FROM g)
+    SELECT l_orderkey, l_linenumber, round(sqrt(greatest(0, (x * 3.2404542 - y * 1.5371385 - z * 0.4985314) / (3.2404542 - 1.5371385 - 0.4985314))), 7) + 0.0 AS r,
+    round(sqrt(greatest(0, (-x * 0.9692660 + y * 1.8760108 + z * 0.0415560) / (-0.9692660 + 1.8760108 + 0.0415560))), 7) + 0.0 AS g, round(sqrt(greatest(0, (x * 0.0556434 - y * 0.2040259 + z * 1.0572252) / (0.0556434 - 0.2040259 + 1.0572252))), 7) + 0.0 AS b FROM x""")
+def cal_rgb(spark, sf_dir):
+    """Calibrated RGB by its gammas and its matrix."""
+    return _rounded(spark, sf_dir, colour.cal_rgb(*rgb(), (1.8, 2.0, 2.2), (0.4497, 0.2446, 0.0252, 0.3163, 0.672, 0.1412, 0.1845, 0.0833, 0.9227)), "rgb")
 
 
 @query("SELECT label, count(*) AS n, sum(CASE WHEN list_max(embedding) - list_min(embedding) > 0.5 THEN 1 ELSE 0 END) <= count(*) * 900 // 1000 AS gray FROM embeddings GROUP BY label")
@@ -226,13 +238,13 @@ def log_messages(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", F.format_string("%d: %s by user %d", "event_id", "event_type", "user_id").alias("message"))
 
 
-@query("SELECT doc_id, text AS decoded FROM documents")
+@query("SELECT doc_id, upper(substr(md5(text), 1, 31)) || '0' AS decoded, CAST('0x' || substr(md5(text), 5, 2) AS INT) AS third, CAST(16 AS INT) AS size FROM documents")
 def ascii_hex_decode(spark, sf_dir):
-    """Hexadecimal text with line ends in it and an end mark, decoded; an odd last digit counts as followed by 0."""
-    written = F.concat(F.regexp_replace(F.hex(F.col("text").cast("binary")), r"(.{64})", "$1\n"), F.lit(">"))
-    digits = F.regexp_replace(F.substring_index(written, ">", 1), r"\s", "")
-    even = F.when(F.length(digits) % 2 == 1, F.concat(digits, F.lit("0"))).otherwise(digits)
-    return table(spark, sf_dir, "documents").select("doc_id", F.unhex(even).cast("string").alias("decoded"))
+    """Hexadecimal digits with line ends in them, an end mark and what follows it, decoded; an odd last digit counts as followed by 0."""
+    digest = F.md5(F.col("text").cast("binary"))
+    written = F.concat(F.substring(digest, 1, 9), F.lit("\n \t"), F.upper(F.substring(digest, 10, 22)), F.lit("> ff"))
+    decoded = text.ascii_hex_decoded(written)
+    return table(spark, sf_dir, "documents").select("doc_id", F.hex(decoded).alias("decoded"), F.conv(F.hex(F.substring(decoded, 3, 1)), 16, 10).cast("int").alias("third"), F.octet_length(decoded).alias("size"))
 
 
 @query(None)
@@ -241,11 +253,16 @@ def crc(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.crc32(F.col("text").cast("binary")).alias("crc32"))
 
 
-@query("SELECT p_partkey, p_size & 1 > 0 AS hidden, p_size & 4 > 0 AS printed, p_size & 32 > 0 AS locked, (p_size & 4 > 0) AND NOT (p_size & 1 > 0) AS shown_in_print FROM part")
+_ANNOTATION = ("invisible", "hidden", "print", "no_zoom", "no_rotate", "no_view", "read_only", "locked", "toggle_no_view", "locked_contents")
+#: The bits of permissions, from 1.
+_PERMISSION = {"may_print": 3, "may_modify": 4, "may_copy": 5, "may_annotate": 6, "may_fill": 9, "may_extract": 10, "may_assemble": 11, "may_print_well": 12}
+
+
+@query("SELECT o_orderkey, " + ", ".join(f"(o_orderkey & {1 << i}) > 0 AS {n}" for i, n in enumerate(_ANNOTATION)) + ", " + ", ".join(f"(o_custkey & {1 << (b - 1)}) > 0 AS {n}" for n, b in _PERMISSION.items()) + " FROM orders")
 def flag_bits(spark, sf_dir):
-    """Flags of annotations and permissions from their bits."""
-    bit = lambda n: F.col("p_size").bitwiseAND(F.lit(n)) > 0
-    return table(spark, sf_dir, "part").select("p_partkey", bit(1).alias("hidden"), bit(4).alias("printed"), bit(32).alias("locked"), (bit(4) & ~bit(1)).alias("shown_in_print"))
+    """The ten flags of annotations and the eight permissions from their bits."""
+    bit = lambda c, n: F.col(c).bitwiseAND(F.lit(1 << n)) > 0
+    return table(spark, sf_dir, "orders").select("o_orderkey", *(bit("o_orderkey", i).alias(n) for i, n in enumerate(_ANNOTATION)), *(bit("o_custkey", b - 1).alias(n) for n, b in _PERMISSION.items()))
 
 
 @query("SELECT p_size AS code, coalesce((SELECT max(s.p_name) FROM part s WHERE s.p_size = t.p_size AND s.p_partkey % 7 = 0), 'base' || p_size) AS name FROM (SELECT DISTINCT p_size FROM part) t")
@@ -264,11 +281,10 @@ def encoding_cross_reference(spark, sf_dir):
     return table(spark, sf_dir, "nation").join(there, "n_nationkey", "left").select(F.col("n_nationkey").alias("from_code"), "to_code")
 
 
-@query("SELECT c_custkey, [ord(c_name[1]) * 256 + ord(c_name[2]), ord(c_name[3]) * 256 + ord(c_name[4])] AS codes FROM customer")
+@query("SELECT c_custkey, [ord(c_name[2 * i - 1]) * 256 + ord(c_name[2 * i]) FOR i IN range(1, length(c_name) // 2 + 1)] AS codes FROM customer")
 def identity_codes(spark, sf_dir):
-    """Two bytes make one code."""
-    byte = lambda i: F.conv(F.hex(F.substring(F.col("c_name").cast("binary"), i, 1)), 16, 10).cast("int")
-    return table(spark, sf_dir, "customer").select("c_custkey", F.array(byte(1) * 256 + byte(2), byte(3) * 256 + byte(4)).alias("codes"))
+    """Two bytes make one code; a single last byte makes none."""
+    return table(spark, sf_dir, "customer").select("c_custkey", text.two_byte_codes(F.col("c_name")).alias("codes"))
 
 
 @query("SELECT p_partkey, CASE WHEN p_size BETWEEN 10 AND 14 THEN [500, 510, 520, 530, 540][p_size - 9] WHEN p_size BETWEEN 20 AND 30 THEN 750 ELSE 1000 END AS width FROM part")
@@ -279,11 +295,14 @@ def cid_widths(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", F.when(code.between(10, 14), listed).when(code.between(20, 30), 750).otherwise(1000).alias("width"))
 
 
-@query("""SELECT p_partkey, round(list_sum([((CASE WHEN c = 'i' THEN 222 WHEN c = 'm' THEN 833 WHEN c = ' ' THEN 278 ELSE 556 END) / 1000.0 * 12 + 0.1 + (CASE WHEN c = ' ' THEN 0.5 ELSE 0 END)) * 0.9 FOR c IN string_split(p_name, '')]), 6) AS advance FROM part""")
+@query("""WITH c AS (SELECT p_partkey, string_split(p_name, '') AS s FROM part),
+    w AS (SELECT p_partkey, [(CASE s[i] WHEN 'i' THEN 222 WHEN 'm' THEN 833 WHEN ' ' THEN 278 ELSE 556 END + CASE s[i - 1] || s[i] WHEN 're' THEN -30 WHEN 'd ' THEN 15 ELSE 0 END) * 0.0108 + 0.09 + (CASE WHEN s[i] = ' ' THEN 0.45 ELSE 0 END) FOR i IN range(1, len(s) + 1)] AS a FROM c),
+    t AS (SELECT p_partkey, a, [round(list_sum(a[1 : i]), 6) FOR i IN range(1, len(a) + 1)] AS upto FROM w)
+    SELECT p_partkey, round(list_sum(a), 6) AS advance, CAST(len(list_filter(upto, lambda x: x <= 50)) AS INT) AS fits FROM t""")
 def measure_line(spark, sf_dir):
-    """The advance of a line of text."""
-    widths = {"i": 0.222, "m": 0.833, " ": 0.278}
-    return table(spark, sf_dir, "part").select("p_partkey", F.round(text.measured(F.col("p_name"), {k: v + 1e-9 for k, v in widths.items()}, 0.556 + 1e-9, 12.0, 0.1, 0.5, 0.9), 6).alias("advance"))
+    """The advance of a line of text with kerned pairs, and how many signs fit into a length."""
+    m = text.measured(F.col("p_name"), {"i": 222, "m": 833, " ": 278}, 556, 12.0, 0.1, 0.5, 0.9, {"re": -30, "d ": 15}, 50.0)
+    return table(spark, sf_dir, "part").select("p_partkey", m.alias("m")).select("p_partkey", F.round("m.advance", 6).alias("advance"), "m.fits")
 
 
 @query(None)
@@ -306,5 +325,5 @@ def style_overlap(spark, sf_dir):
     """Where ranges of one style overlap those of another, and the part that both cover."""
     own = W.partitionBy("user_id").orderBy("ts", "event_id")
     ranges = lambda kind: table(spark, sf_dir, "events").filter(F.col("event_type") == kind).select("user_id", "event_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("lo"), F.unix_micros(F.lead("ts").over(own).cast("timestamp")).alias("hi"))
-    met = intervals.overlapping(ranges("view"), ranges("click"), ["user_id"], 86_400e6)
+    met = intervals.overlapping(ranges("view"), ranges("click"), ["user_id"])
     return met.select("event_id", F.col("r_event_id").alias("other"), F.greatest("lo", "r_lo").alias("lo"), F.least("hi", "r_hi").alias("hi"))

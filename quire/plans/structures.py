@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from ..operators import equality, ranges, scans, spatial, trees
+from ..operators import equality, graphs, layout, ordering, patterns, ranges, scans, spatial, trees
 from ..scratch import scratch_path
 from ..sources.tables import table
 from ..streaming import writer
@@ -187,3 +187,84 @@ def segment_containment(spark, sf_dir):
     sides = s.select(F.col("s_suppkey").alias("polygon"), F.explode(F.array(*(side(a, b) for a, b in zip(corners, corners[1:] + corners[:1], strict=True)))).alias("e")).select("polygon", "e.*")
     points = table(spark, sf_dir, "customer").select("c_custkey", F.col("c_acctbal").alias("x"), (F.col("c_nationkey") * 10.0 + F.col("c_custkey") % 9 - 4).alias("y"))
     return spatial.in_polygons(points, sides, ["c_custkey"]).select("c_custkey", F.col("polygon").alias("s_suppkey"))
+
+
+#: view, then perhaps signup, then clicks, then purchase.
+FUNNEL = {(0, "view"): (1, True), (1, "view"): (1, True), (2, "view"): (1, True), (3, "view"): (1, True), (4, "view"): (1, True), (1, "signup"): (2, False), (1, "click"): (3, False), (2, "click"): (3, False), (3, "click"): (3, False), (3, "purchase"): (4, False)}
+
+
+@query("""WITH s AS (SELECT user_id, event_id, event_type, row_number() OVER w AS i, string_agg(CASE event_type WHEN 'signup' THEN 's' ELSE event_type[1] END, '') OVER w AS seen FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
+    m AS (SELECT *, length(regexp_extract(seen, 'vs?c+p$')) AS n FROM s) SELECT e.user_id, b.event_id AS begin_id, e.event_id AS end_id, e.n FROM m e JOIN s b ON b.user_id = e.user_id AND b.i = e.i - e.n + 1 WHERE e.n > 0""")
+def block_pattern(spark, sf_dir):
+    """Successive events of a user that follow a pattern."""
+    found = patterns.matches(table(spark, sf_dir, "events"), ["user_id"], ["ts", "event_id"], "event_type", FUNNEL, {4})
+    return found.select("user_id", F.col("begin.event_id").alias("begin_id"), F.col("end.event_id").alias("end_id"), "n")
+
+
+_CELLS = """(SELECT l_orderkey % 500 AS tab, l_orderkey // 500 AS "row", CAST(l_linenumber AS BIGINT) AS "col", max(l_quantity) AS up, max(l_tax) AS down, max(l_discount * 10) AS left_, max(l_quantity / 50) AS right_ FROM lineitem GROUP BY ALL)"""
+
+
+@query(f"""WITH c AS {_CELLS}, e AS (SELECT tab, 'h' AS side, "row" + 1 AS "row", "col", down AS width, 0 AS rank, "row" AS own_row, "col" AS own_col FROM c UNION ALL SELECT tab, 'h', "row", "col", up, 1, "row", "col" FROM c
+    UNION ALL SELECT tab, 'v', "row", "col" + 1, right_, 0, "row", "col" FROM c UNION ALL SELECT tab, 'v', "row", "col", left_, 1, "row", "col" FROM c)
+    SELECT tab, side, "row", "col", width, own_row, own_col FROM (SELECT *, row_number() OVER (PARTITION BY tab, side, "row", "col" ORDER BY width DESC, rank) AS n FROM e) WHERE n = 1""")
+def border_collapse(spark, sf_dir):
+    """Lines as cells of tables: of the two strokes at an edge the wider one, the first of equal ones."""
+    lines = table(spark, sf_dir, "lineitem").groupBy((F.col("l_orderkey") % 500).alias("tab"), F.floor(F.col("l_orderkey") / 500).alias("row"), F.col("l_linenumber").cast("long").alias("col"))
+    cells = lines.agg(F.max("l_quantity").alias("top"), F.max("l_tax").alias("bottom"), F.max(F.col("l_discount") * 10).alias("left"), F.max(F.col("l_quantity") / 50).alias("right"))
+    return layout.collapsed_borders(cells.withColumn("row_span", F.lit(1)).withColumn("col_span", F.lit(1)), ["tab"])
+
+
+@query("""WITH RECURSIVE c AS (SELECT l_orderkey % 200 AS tab, l_linenumber - 1 AS a, least(l_linenumber - 1 + 1 + l_suppkey % 3, 9) AS b, max(l_quantity) AS least FROM lineitem GROUP BY ALL),
+    n AS (SELECT DISTINCT tab, unnest(range(a, b + 1)) AS pos FROM c), d AS (SELECT * FROM c UNION ALL SELECT n.tab, n.pos, n.pos + 1, 0 FROM n JOIN n m ON m.tab = n.tab AND m.pos = n.pos + 1),
+    p(tab, pos, place) AS (SELECT tab, pos, 0.0::DOUBLE FROM n UNION SELECT * FROM (SELECT d.tab, d.b, max(p.place + d.least) FROM p JOIN d ON d.tab = p.tab AND d.a = p.pos GROUP BY d.tab, d.b))
+    SELECT tab, pos - 1 AS col, max(place) AS place FROM p WHERE pos > 0 GROUP BY tab, pos""")
+def column_widths(spark, sf_dir):
+    """The smallest places of columns that leave all cells their widths, those that span several columns too."""
+    line = table(spark, sf_dir, "lineitem")
+    span = F.least(1 + F.col("l_suppkey") % 3, 10 - F.col("l_linenumber")).cast("int")
+    cells = line.select((F.col("l_orderkey") % 200).alias("tab"), (F.col("l_linenumber") - 1).alias("col"), span.alias("col_span"), F.col("l_quantity").alias("least"))
+    return layout.column_ends(cells, ["tab"])
+
+
+@query("""SELECT s_suppkey, coalesce(CASE WHEN s_suppkey % 4 = 0 THEN 's' || s_suppkey END, CASE WHEN n_nationkey % 5 = 0 THEN 'n' || n_nationkey END, 'black') AS colour,
+    coalesce(CASE WHEN s_suppkey % 3 = 0 THEN s_suppkey END, CASE WHEN n_nationkey % 2 = 0 THEN n_nationkey END, CASE WHEN n_regionkey % 2 = 0 THEN n_regionkey END, 12) AS size,
+    coalesce(CASE WHEN s_suppkey % 2 = 0 THEN s_acctbal END, 0) AS margin FROM supplier LEFT JOIN nation ON s_nationkey = n_nationkey""")
+def style_cascade(spark, sf_dir):
+    """Properties of a box: its own, else the nearest ancestor's if they are inherited, else their default."""
+    key, kind = F.col("ord"), F.substring("node", 1, 1)
+    boxes = _tree(spark, sf_dir).join(table(spark, sf_dir, "supplier").select(F.concat(F.lit("s"), "s_suppkey").alias("node"), "s_acctbal"), "node", "left")
+    own_colour = F.when((kind == "s") & (key % 4 == 0) | (kind == "n") & (key % 5 == 0), F.col("node"))
+    own_size = F.when((kind == "s") & (key % 3 == 0) | (kind != "s") & (key % 2 == 0), key)
+    styled = boxes.withColumn("colour", own_colour).withColumn("size", own_size).withColumn("margin", F.when(key % 2 == 0, F.col("s_acctbal")))
+    found = trees.upward(styled, [], ["colour", "size"]).filter("leaf = 1")
+    return found.select(F.col("ord").alias("s_suppkey"), F.coalesce("near_colour", F.lit("black")).alias("colour"), F.coalesce("near_size", F.lit(12)).cast("long").alias("size"), F.coalesce("margin", F.lit(0.0)).alias("margin"))
+
+
+@query("""WITH t AS (SELECT user_id, event_id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS BIGINT) AS pos, 1 AS kind FROM events
+    UNION ALL SELECT c_custkey, -1 - c_custkey, c_custkey % 40, 0 FROM customer UNION ALL SELECT c_custkey, -100000000 - c_custkey, c_custkey % 7, 0 FROM customer)
+    SELECT user_id, event_id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY pos, kind, event_id) - 1 AS BIGINT) AS place FROM t""")
+def inject_commands(spark, sf_dir):
+    """Rows put in at given places of a sequence, and all numbered anew."""
+    extra = lambda start, every: table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("user_id"), (F.lit(start) - F.col("c_custkey")).alias("event_id"), (F.col("c_custkey") % every).alias("at"))
+    rows = table(spark, sf_dir, "events").select("user_id", "event_id")
+    return ordering.inserted(rows, extra(-1, 40).unionByName(extra(-100000000, 7)), ["user_id"], "event_id", "at", "place").select("user_id", "event_id", "place")
+
+
+@query("""WITH RECURSIVE n AS (SELECT 'c' || c_custkey AS node FROM customer WHERE c_custkey % 10 > 0 UNION ALL SELECT 'o' || o_orderkey FROM orders UNION ALL SELECT 'p' || p_partkey FROM part),
+    e AS (SELECT 'c' || o_custkey AS src, 'order' AS label, 'o' || o_orderkey AS dst FROM orders UNION ALL SELECT 'o' || o_orderkey, 'owner', 'c' || o_custkey FROM orders UNION ALL SELECT 'o' || l_orderkey, 'part', 'p' || l_partkey FROM lineitem),
+    roots AS (SELECT 'c' || c_custkey AS node FROM customer WHERE c_custkey % 10 > 0 AND c_custkey % 37 = 1), old AS (SELECT 'p' || p_partkey AS node, p_partkey AS new_id FROM part WHERE p_partkey % 3 = 0),
+    r(node) AS (SELECT node FROM roots UNION SELECT dst FROM r JOIN e ON src = node WHERE dst IN (SELECT node FROM n) AND dst NOT IN (SELECT node FROM old)),
+    ids AS (SELECT node, row_number() OVER (ORDER BY node) + 1000000 AS new_id FROM r)
+    SELECT s.new_id AS src, label, coalesce(d.new_id, o.new_id) AS dst FROM e JOIN ids s ON s.node = e.src LEFT JOIN ids d ON d.node = e.dst LEFT JOIN old o ON o.node = e.dst""")
+def import_graph(spark, sf_dir):
+    """Customers copied with all that they refer to: ids anew, parts that are there already kept, and references to what is not there emptied."""
+    t = lambda n: table(spark, sf_dir, n)
+    name = lambda p, c: F.concat(F.lit(p), c)
+    customers = t("customer").filter("c_custkey % 10 > 0")
+    nodes = customers.select(name("c", "c_custkey").alias("node")).unionAll(t("orders").select(name("o", "o_orderkey"))).unionAll(t("part").select(name("p", "p_partkey")))
+    edge = lambda df, src, label, dst: df.select(src.alias("src"), F.lit(label).alias("label"), dst.alias("dst"))
+    c, o = name("c", "o_custkey"), name("o", "o_orderkey")
+    edges = edge(t("orders"), c, "order", o).unionAll(edge(t("orders"), o, "owner", c)).unionAll(edge(t("lineitem"), name("o", "l_orderkey"), "part", name("p", "l_partkey")))
+    roots = customers.filter("c_custkey % 37 = 1").select(name("c", "c_custkey").alias("node"))
+    there = t("part").filter("p_partkey % 3 = 0").select(name("p", "p_partkey").alias("node"), F.col("p_partkey").alias("new_id"))
+    return graphs.imported(nodes, edges, roots, 1_000_000, there)[1]

@@ -38,7 +38,7 @@ def test_overlapping_intervals(spark):
     dice = random.Random(2)
     rows = [(i, dice.randrange(2), lo, lo + dice.randrange(0, 40)) for i in range(80) for lo in [dice.randrange(200)]]
     df = spark.createDataFrame(rows, "i int, k int, lo long, hi long")
-    got = sorted((r.i, r.r_i) for r in intervals.overlapping(df, df, ["k"], 25).collect())
+    got = sorted((r.i, r.r_i) for r in intervals.overlapping(df, df, ["k"]).collect())
     assert got == sorted((a[0], b[0]) for a in rows for b in rows if a[1] == b[1] and a[2] < b[3] and b[2] < a[3] and a[2] < a[3] and b[2] < b[3])
 
 

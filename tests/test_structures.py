@@ -254,3 +254,58 @@ def test_a_hot_user_is_spread(spark):
     df = spark.range(4000).select(F.lit(1).alias("g"), F.col("id").alias("i"), (F.col("id") % 7).alias("s"))
     parts = scans.placed(df, ["g"], ["i"]).groupBy("quire_part").count().collect()
     assert len(parts) > 1 and max(r["count"] for r in parts) < 2500
+
+
+def test_patterns_across_partitions(spark):
+    import re
+
+    from quire.operators import patterns
+
+    dice = random.Random(9)
+    rows = [("hot", i, dice.choice("vvscccpe")) for i in range(1500)] + [("b", i, x) for i, x in enumerate("vvsccpp")] + [(None, 0, "v"), (None, 1, "c"), (None, 2, "p"), ("n", 0, None)]
+    automaton = {(s, "v"): (1, True) for s in range(5)} | {(1, "s"): (2, False), (1, "c"): (3, False), (2, "c"): (3, False), (3, "c"): (3, False), (3, "p"): (4, False)}
+    df = spark.createDataFrame(rows, "g string, i long, x string").repartition(8)
+    want = []
+    for g in ("hot", "b", None, "n"):
+        text = "".join(x or "-" for a, _, x in sorted((r for r in rows if r[0] == g), key=lambda r: r[1]))
+        want += [(g, m.start(), m.end() - 1, m.end() - m.start()) for m in re.finditer("vs?c+p", text)]
+    got = [(r.g, r.begin.i, r.end.i, r.n) for r in patterns.matches(df, ["g"], ["i"], "x", automaton, {4}).collect()]
+    assert sorted(got, key=str) == sorted(want, key=str) and len(got) > 20
+    assert not patterns.matches(df.limit(0), ["g"], ["i"], "x", automaton, {4}).collect()
+
+
+def test_tables_with_spans(spark):
+    from quire.operators import layout
+
+    cells = [("t", 0, 0, 1, 2, 3.0, 1.0, 2.0, 5.0), ("t", 1, 0, 1, 1, 1.0, None, 1.0, 4.0), ("t", 1, 1, 1, 1, 2.0, 1.0, 4.0, 0.0)]
+    df = spark.createDataFrame(cells, "k string, row int, col int, row_span int, col_span int, top double, bottom double, left double, right double")
+    got = {(r.side, r.row, r.col): (r.width, r.own_row, r.own_col) for r in layout.collapsed_borders(df, ["k"]).collect()}
+    assert got[("h", 1, 0)] == (1.0, 0, 0) and got[("h", 1, 1)] == (2.0, 1, 1)  # of equal ones the cell above; the wider one
+    assert got[("v", 1, 1)] == (4.0, 1, 0) and ("v", 0, 1) not in got and got[("h", 2, 0)] == (0.0, 1, 0)
+    spans = [("t", 0, 1, 10.0), ("t", 0, 2, 50.0), ("t", 1, 2, 5.0), ("t", 2, 1, 7.0), ("t", 0, 1, None), ("u", 0, 3, 30.0), ("hot", 0, 1, 1.0)] + [("hot", 0, 1, float(i % 9)) for i in range(500)]
+    ends = {(r.k, r.col): r.place for r in layout.column_ends(spark.createDataFrame(spans, "k string, col int, col_span int, least double"), ["k"]).collect()}
+    assert ends == {("t", 0): 10.0, ("t", 1): 50.0, ("t", 2): 57.0, ("u", 0): 0.0, ("u", 1): 0.0, ("u", 2): 30.0, ("hot", 0): 8.0}
+
+
+def test_inserted_rows_and_imported_graphs(spark):
+    from quire.operators import graphs, ordering
+
+    rows = spark.createDataFrame([("a", i) for i in range(5)] + [(None, 0)], "k string, i long")
+    extra = spark.createDataFrame([("a", 100, 2), ("a", 90, 2), ("a", 80, 0), ("a", 70, 99), ("z", 60, 5)], "k string, i long, spot int")
+    got = sorted(((r.k or "", r.place, r.i) for r in ordering.inserted(rows, extra, ["k"], "i", "spot", "place").collect()))
+    assert got == [("", 0, 0), ("a", 0, 80), ("a", 1, 0), ("a", 2, 1), ("a", 3, 90), ("a", 4, 100), ("a", 5, 2), ("a", 6, 3), ("a", 7, 4), ("a", 8, 70), ("z", 0, 60)]
+    nodes = spark.createDataFrame([(i,) for i in (1, 2, 3, 4, 5, 9)], "node long")
+    edges = spark.createDataFrame([(1, "a", 2), (2, "a", 3), (3, "back", 1), (2, "gone", 77), (2, "old", 9), (9, "a", 5), (4, "a", 1)], "src long, label string, dst long")
+    ids, links = graphs.imported(nodes, edges, spark.createDataFrame([(1,), (88,)], "node long"), 10, spark.createDataFrame([(9, 4)], "node long, new_id long"))
+    assert {(r.node, r.new_id) for r in ids.collect()} == {(1, 11), (2, 12), (3, 13)}
+    assert sorted(map(tuple, links.collect()), key=str) == sorted([(11, "a", 12), (12, "a", 13), (13, "back", 11), (12, "gone", None), (12, "old", 4)], key=str)
+
+
+def test_intervals_of_very_unlike_lengths(spark):
+    from quire.operators import intervals
+
+    dice = random.Random(10)
+    rows = [(i, lo, lo + dice.choice([1, 2, 10, 100_000, 10_000_000])) for i in range(120) for lo in [dice.randrange(-500, 500)]] + [(900, None, 3), (901, 5, 5)]
+    df = spark.createDataFrame(rows, "i int, lo long, hi long").withColumn("k", F.lit(1))
+    got = sorted((r.i, r.r_i) for r in intervals.overlapping(df, df, ["k"]).collect())
+    assert got == sorted((a[0], b[0]) for a in rows for b in rows if None not in (a[1], b[1]) and a[1] < b[2] and b[1] < a[2] and a[1] < a[2] and b[1] < b[2])
