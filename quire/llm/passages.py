@@ -192,6 +192,30 @@ def _against_leader(batches):
         yield pa.RecordBatch.from_arrays([*(pa.array(x) for x in columns), pa.array(ok)], names=["value", "c", "leader", "cid", *SPAN_NAMES, "ok"])
 
 
+#: Tokens next to c on one side that lie in any WIDTH successive ones that hold c and reach at least as far to that side as to the other.
+BESIDE = (WIDTH - 1) // 2
+
+
+def may_agree(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Whether each row of a and each of b may agree: of the BESIDE tokens on one side of a's c all but WIDTH - NEED are among b's on that side, SHIFT places around."""
+    out = np.zeros((len(a), len(b)), bool)
+    for lo, hi in ((REACH - BESIDE, REACH), (REACH + 1, REACH + 1 + BESIDE)):
+        own, there = a[:, lo:hi], b[:, lo - SHIFT : hi + SHIFT]
+        known = np.unique(own)
+        known = known[known != 0]
+        if not len(known):
+            continue
+        sides = []
+        for part in (own, there):
+            at = np.minimum(np.searchsorted(known, part), len(known) - 1)
+            r, c = np.nonzero(known[at] == part)
+            held = np.zeros((len(part), len(known)), np.float32)
+            np.add.at(held, (r, at[r, c]), 1)
+            sides.append(held)
+        out |= sides[0] @ np.minimum(sides[1], 1).T >= BESIDE - (WIDTH - NEED)
+    return out
+
+
 def _in_blocks(g):
     """Open windows of a list (side 0) against a block of all its windows (side 1): spans of a forest of those that agree."""
     side, cid, label, c = (g[k].to_numpy() for k in ("side", "cid", "label", "c"))
@@ -199,7 +223,7 @@ def _in_blocks(g):
     x, y = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
     if not len(x) or not len(y):
         return None
-    i, j = np.nonzero((label[x][:, None] != label[y]) & (cid[x][:, None] != cid[y]))
+    i, j = np.nonzero((label[x][:, None] != label[y]) & (cid[x][:, None] != cid[y]) & may_agree(near[x], near[y]))
     i, j = x[i], y[j]
     root, out = list(range(len(side))), []
 

@@ -314,6 +314,30 @@ def test_agreement_of_windows():
             assert passages.agreement(*sides, *at(c - 5, 45, 45, 45))[0][0] and not passages.agreement(*sides, *at(c - 6, 45, 45, 45))[0][0]
 
 
+def test_windows_that_agree_may_agree():
+    g = np.random.default_rng(9)
+    base = g.integers(1, 1 << 62, 400).astype(np.uint64)
+    rows, ends = [], []
+    for _ in range(300):
+        own, c = base.copy(), int(g.integers(60, 340))
+        for _ in range(int(g.integers(0, 7))):
+            at = int(g.integers(c - 50, c + 50))
+            own = np.concatenate([own[:at], g.integers(1, 1 << 62, int(g.integers(0, 4))).astype(np.uint64), own[at + int(g.integers(0, 3)) :]])
+        before, behind = int(g.integers(0, 46)), int(g.integers(0, 46))
+        rows.append(passages.near_tokens(own, np.array([200]), np.array([before]), np.array([behind]))[0])
+        ends.append((before, behind))
+    near, (before, behind) = np.stack(rows), np.array(ends).T
+    may, i = passages.may_agree(near, near), np.arange(300)
+    found = 0
+    for shift in range(1, 40):
+        j = np.roll(i, shift)
+        ok = passages.agreement(near, near[j], before, behind, before[j], behind[j])[0]
+        found += ok.sum()
+        assert may[i, j][ok].all()
+    strange = passages.near_tokens(g.integers(1, 1 << 62, 400).astype(np.uint64), np.array([200]), np.array([45]), np.array([45]))
+    assert found > 50 and not passages.may_agree(near, strange).any()
+
+
 def test_near_passages_with_a_changed_word_are_found(spark):
     texts = {}
     for i in range(100):
