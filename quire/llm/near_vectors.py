@@ -1,8 +1,9 @@
 """Near-duplicate vectors by quantised tiles.
 
-Vectors are dealt to blocks, and each pair of blocks is one tile. In a tile all products of the int8 vectors are taken;
-with each vector's own quantisation error they bound every cosine, and only pairs that may reach the threshold are
-computed again in double precision. A tile returns counts of links and a forest of them, not the pairs. Vectors keep their precision, float or double.
+Vectors are quantised once and dealt to blocks, and each pair of blocks is one tile, to which only the int8 vectors go. All their
+products are taken there; with each vector's own quantisation error they bound every cosine from both sides. Pairs that surely reach
+the threshold are counted; of pairs that may reach it, the tile names the vectors, which are fetched in full precision, float or double, and
+only such pairs are computed again in double precision. Tiles return counts of links and forests of them, not the pairs.
 """
 
 import numpy as np
@@ -35,23 +36,23 @@ def _product(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return parts[0] if len(parts) == 1 else sum(p.astype(np.float64) for p in parts)
 
 
-def links(a: np.ndarray, b: np.ndarray, threshold: float):
-    """For strips of rows of a: (rows of a, rows of b) of all pairs of unit vectors whose dot product reaches the threshold."""
-    (qa, sa, ea), (qb, sb, eb) = quantise(a), quantise(b)
-    widest = 1 + ea.max() if len(ea) else 1
-    for i in range(0, len(a), STRIP):
+def bounded(a: tuple, b: tuple, threshold: float):
+    """For strips of rows of a: (first row, pairs that surely reach the threshold, pairs that may), as Boolean matrices. a and b: codes, scales and errors of unit vectors."""
+    (qa, sa, ea), (qb, sb, eb) = a, b
+    for i in range(0, len(qa), STRIP):
         near = _product(qa[i : i + STRIP], qb)
         near *= sa[i : i + STRIP, None].astype(near.dtype)
         near *= sb[None, :].astype(near.dtype)
-        near += (eb * widest).astype(near.dtype)[None, :]  # |u.v - u'.v'| <= |u'| * error of v + error of u, with u' at most as long as `widest`
-        maybe = near >= (threshold - SLACK - ea[i : i + STRIP, None]).astype(near.dtype)
-        r, c = np.nonzero(maybe)
-        if len(r) * 8 > maybe.size:
-            r, c = np.nonzero(maybe & (a[i : i + STRIP] @ b.T >= threshold))
-        else:
-            sure = np.concatenate([np.einsum("ij,ij->i", a[i + r[k : k + 65536]], b[c[k : k + 65536]]) >= threshold for k in range(0, len(r), 65536)] or [np.zeros(0, bool)])
-            r, c = r[sure], c[sure]
-        yield r + i, c
+        # |u.v - u'.v'| <= |u'| * error of v + error of u, and u' is at most 1 + error of u long
+        error = ((1 + ea[i : i + STRIP, None]) * eb[None, :] + ea[i : i + STRIP, None] + SLACK).astype(near.dtype)
+        sure = near - error >= threshold
+        yield i, sure, (near + error >= threshold) & ~sure
+
+
+def units(vectors: np.ndarray) -> np.ndarray:
+    v = vectors.astype(np.float64)
+    v = v / np.abs(v).max(axis=1, keepdims=True)  # so that squares neither overflow nor vanish
+    return v / np.linalg.norm(v, axis=1, keepdims=True)
 
 
 class Forest:
@@ -72,43 +73,86 @@ class Forest:
                 self.root = up
 
 
-def _pack(kind: str):
-    def pack(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("cid")
-        return pd.DataFrame({"dim": pdf["dim"].iloc[:1], "block": pdf["block"].iloc[:1], "cids": [pdf["cid"].to_numpy(np.int64).tobytes()], "copies": [pdf["copies"].to_numpy(np.int64).tobytes()], "vectors": [np.stack(pdf["embedding"].to_numpy()).astype(kind).tobytes()]})
+def _pack(pdf: pd.DataFrame) -> pd.DataFrame:
+    pdf = pdf.sort_values("cid")
+    codes, scale, error = quantise(units(np.stack(pdf["embedding"].to_numpy())))
+    return pd.DataFrame({"dim": pdf["dim"].iloc[:1], "block": pdf["block"].iloc[:1], "cids": [pdf["cid"].to_numpy(np.int64).tobytes()], "copies": [pdf["copies"].to_numpy(np.int64).tobytes()], "codes": [codes.tobytes()], "scale": [scale.tobytes()], "error": [error.tobytes()]})
+
+
+class _Links:
+    """Counts of links and their forest, of the vectors of one or two blocks."""
+
+    def __init__(self, ids: np.ndarray, copies: np.ndarray, shift: int):
+        self.ids, self.copies, self.shift = ids, copies, shift
+        self.count, self.forest = np.zeros(len(ids), np.int64), Forest(len(ids))
+
+    def add(self, r: np.ndarray, c: np.ndarray) -> None:
+        """r: rows of the first block; c: rows of the second or, within one block, of the same, where each pair comes twice."""
+        c = c + self.shift
+        self.count += np.bincount(r, self.copies[c], len(self.ids)).astype(np.int64)
+        if self.shift:
+            self.count += np.bincount(c, self.copies[r], len(self.ids)).astype(np.int64)
+        self.forest.add(r, c)
 
-    return pack
+    def found(self, open_: np.ndarray) -> pd.DataFrame:
+        has = (self.count > 0) | open_
+        return pd.DataFrame({"cid": self.ids[has], "links": self.count[has], "root": self.ids[self.forest.root][has], "open": open_[has]})
 
 
-def _tile(threshold: float, kind: str):
+def _tile(threshold: float):
     def tile(pdf: pd.DataFrame) -> pd.DataFrame:
-        if pdf["lo"].iloc[0] != pdf["hi"].iloc[0] and len(pdf) < 2:  # the other block has no vector of this length
-            return pd.DataFrame({"cid": [], "links": [], "root": []}).astype("int64")
+        lo, hi = pdf["lo"].iloc[0], pdf["hi"].iloc[0]
         pdf = pdf.sort_values("block")
+        sides = [(np.frombuffer(c, np.int8).reshape(-1, int(pdf["dim"].iloc[0])), np.frombuffer(s, np.float64), np.frombuffer(e, np.float64)) for c, s, e in zip(pdf["codes"], pdf["scale"], pdf["error"], strict=True)]
         cids = [np.frombuffer(x, np.int64) for x in pdf["cids"]]
-        copies = np.concatenate([np.frombuffer(x, np.int64) for x in pdf["copies"]])
-        units = []
-        for x in pdf["vectors"]:
-            v = np.frombuffer(x, kind).reshape(-1, int(pdf["dim"].iloc[0])).astype(np.float64)
-            v = v / np.abs(v).max(axis=1, keepdims=True)  # so that squares neither overflow nor vanish
-            units.append(v / np.linalg.norm(v, axis=1, keepdims=True))
         shift = len(cids[0]) if len(cids) == 2 else 0
-        ids = np.concatenate(cids)
-        count, forest = np.zeros(len(ids), np.int64), Forest(len(ids))
-        for r, c in links(units[0], units[-1], threshold):
-            c = c + shift
-            if not shift:
-                r, c = r[r != c], c[r != c]
-            count += np.bincount(r, copies[c], len(ids)).astype(np.int64)
-            if shift:
-                count += np.bincount(c, copies[r], len(ids)).astype(np.int64)
-            forest.add(r, c)
-        has = count > 0
-        return pd.DataFrame({"cid": ids[has], "links": count[has], "root": ids[forest.root][has]})
+        links = _Links(np.concatenate(cids), np.concatenate([np.frombuffer(x, np.int64) for x in pdf["copies"]]), shift)
+        open_ = np.zeros(len(links.ids), bool)
+        if lo == hi or shift:  # else the other block has no vector of this length
+            for i, sure, maybe in bounded(sides[0], sides[-1], threshold):
+                if not shift:
+                    at = np.arange(len(sure))
+                    sure[at, at + i] = maybe[at, at + i] = False
+                r, c = np.nonzero(sure)
+                links.add(r + i, c)
+                open_[np.flatnonzero(maybe.any(axis=1)) + i] = True
+                open_[np.flatnonzero(maybe.any(axis=0)) + shift] = True
+        return links.found(open_).assign(dim=pdf["dim"].iloc[0], lo=lo, hi=hi)[TILE_NAMES]
 
     return tile
 
 
+TILE_NAMES = ["dim", "lo", "hi", "cid", "links", "root", "open"]
+TILE = "dim int, lo int, hi int, cid long, links long, root long, open boolean"
+
+
+def _exact(threshold: float):
+    """The vectors of a tile that stayed open, in full precision: the links among their pairs that may reach the threshold."""
+
+    def exact(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["block", "cid"])
+        one = pdf["lo"].iloc[0] == pdf["hi"].iloc[0]
+        full, first = units(np.stack(pdf["embedding"].to_numpy())), (pdf["block"] == pdf["lo"]).to_numpy()
+        shift = 0 if one else int(first.sum())
+        a, b = (full, full) if one else (full[:shift], full[shift:])
+        links = _Links(pdf["cid"].to_numpy(np.int64), pdf["copies"].to_numpy(np.int64), shift)
+        if len(a) and len(b):
+            for i, _, maybe in bounded(quantise(a), quantise(b), threshold):
+                if one:
+                    at = np.arange(len(maybe))
+                    maybe[at, at + i] = False
+                r, c = np.nonzero(maybe)
+                if len(r) * 8 > maybe.size:
+                    r, c = np.nonzero(maybe & (a[i : i + STRIP] @ b.T >= threshold))
+                else:
+                    sure = np.concatenate([np.einsum("ij,ij->i", a[i + r[k : k + 65536]], b[c[k : k + 65536]]) >= threshold for k in range(0, len(r), 65536)] or [np.zeros(0, bool)])
+                    r, c = r[sure], c[sure]
+                links.add(r + i, c)
+        return links.found(np.zeros(len(links.ids), bool))[["cid", "links", "root"]]
+
+    return exact
+
+
 def near_vectors(vectors: DataFrame, threshold: float = 0.9, block: int = BLOCK) -> DataFrame:
     """Every vector's links and component: (vec_id, n_links, component_id, kept).
 
@@ -121,16 +165,18 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.9, block: int = BLOCK)
     value = F.col("embedding").cast("array<double>")
     odd = F.exists(value, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     fit = F.col("embedding").isNotNull() & ~F.coalesce(odd, F.lit(True)) & F.coalesce(F.exists(value, lambda x: x != 0), F.lit(False))
-    kind, stored = ("<f4", "array<float>") if "float" in vectors.schema["embedding"].dataType.simpleString() else ("<f8", "array<double>")
+    stored = "array<float>" if "float" in vectors.schema["embedding"].dataType.simpleString() else "array<double>"
     rows = cut(vectors.select("vec_id", F.when(fit, F.col("embedding").cast(stored)).alias("embedding")).withColumn("vkey", F.when(F.col("embedding").isNotNull(), F.sha2(F.to_json(F.struct("embedding")).cast("binary"), 256))))
     classes = rows.filter("vkey IS NOT NULL").groupBy("vkey").agg(F.min("vec_id").alias("rep"), F.first("embedding").alias("embedding"), F.count("*").alias("copies"))
     classes = cut(classes.withColumn("cid", F.monotonically_increasing_id()))  # the numbers hold once they are written
     n = classes.count()
     blocks = max(1, -(-n // block))
     dealt = classes.select("cid", "embedding", "copies", F.size("embedding").alias("dim"), F.pmod(F.xxhash64("vkey"), F.lit(blocks)).cast("int").alias("block"))
-    packed = cut(dealt.groupBy("dim", "block").applyInPandas(_pack(kind), "dim int, block int, cids binary, copies binary, vectors binary"))
+    packed = cut(dealt.groupBy("dim", "block").applyInPandas(_pack, "dim int, block int, cids binary, copies binary, codes binary, scale binary, error binary"))
     tiles = packed.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).withColumn("lo", F.least("block", "other")).withColumn("hi", F.greatest("block", "other"))
-    met = cut(tiles.drop("other").groupBy("dim", "lo", "hi").applyInPandas(_tile(threshold, kind), "cid long, links long, root long"))
+    seen = cut(tiles.drop("other").groupBy("dim", "lo", "hi").applyInPandas(_tile(threshold), TILE))
+    again = seen.filter("open").select("lo", "hi", "cid").join(dealt, "cid")
+    met = cut(seen.filter("links > 0").select("cid", "links", "root").unionByName(again.groupBy("dim", "lo", "hi").applyInPandas(_exact(threshold), "cid long, links long, root long")))
     linked = met.groupBy("cid").agg(F.sum("links").alias("links"))
     found = components(met.select(F.col("cid").alias("a"), F.col("root").alias("b"))).withColumnRenamed("id", "cid")
     known = cut(classes.select("vkey", "cid", "rep", "copies").join(linked, "cid", "left").join(found, "cid", "left").select("vkey", "rep", "copies", "links", F.coalesce("component", "cid").alias("component")))

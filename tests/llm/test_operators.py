@@ -51,6 +51,27 @@ def test_sharding(docs, none):
     assert {r.doc_id: r["size"] for r in rows}[0] == 8
 
 
+def test_sharding_of_many_buckets(spark, monkeypatch):
+    """Every column of the whole result, with a tree of partial partitions three levels high."""
+    monkeypatch.setattr(sharding, "GROUPS_PER_TASK", 40)
+    monkeypatch.setattr(sharding, "FAN_IN", 4)
+    dice = random.Random(12)
+    texts = ["é" * dice.randint(0, 900) + str(i % 700) for i in range(1400)] + ["hot text " * 5] * 20 + [None] * 30 + [""] * 20
+    data = [(i, t) for i, t in enumerate(texts)] + [(3, "again"), (None, "no id")]
+    rows = sharding.shard(spark.createDataFrame(data, "doc_id long, text string"), 5).collect()
+    size, crc = (lambda t: len((t or "").encode()) + 8), (lambda t: zlib.crc32((t or "").encode()))
+    assert sorted(((r.doc_id, r["size"], r.text_crc32) for r in rows), key=str) == sorted(((i, size(t), crc(t)) for i, t in data), key=str)
+    own, text, load, slots = collections.defaultdict(set), dict(data), collections.Counter(), collections.defaultdict(list)
+    for r in rows:
+        if r.doc_id not in (3, None):
+            own[text[r.doc_id]].add(r.shard)
+        load[r.shard] += r["size"]
+        slots[r.shard].append(r.slot)
+    assert all(len(v) == 1 for v in own.values()) and set(load) == set(range(5))
+    assert all(sorted(v) == list(range(len(v))) for v in slots.values())
+    assert max(load.values()) - min(load.values()) < 2000  # the sizes of one or two groups, of 1.3 million bytes; no group is larger than a share of its bucket
+
+
 @pytest.mark.parametrize("digest", [exact_dedup.sha256, lambda t: exact_dedup.F.unhex(exact_dedup.F.hex(exact_dedup.F.crc32(t.cast("binary")) % 2))])
 def test_exact_dedup_also_with_colliding_digests(docs, digest):
     lower = lambda t: "".join(c.lower() if "A" <= c <= "Z" else c for c in t or "")
@@ -144,6 +165,21 @@ def test_near_vectors_against_brute_force(spark):
         assert all(got[i] == (0, i) for i in range(900, 906))
 
 
+@pytest.mark.parametrize("block", [4096, 3])
+def test_pairs_that_the_bounds_leave_open(spark, block):
+    at = lambda cos: [float(cos), float(np.sqrt(1 - cos * cos)), 0.0]
+    rows = [(0, [2.0, 0.0, 0.0]), *((i + 1, at(0.9 + d)) for i, d in enumerate((1e-9, -1e-9, 1e-4, -1e-4, 1e-3, -1e-3)))]
+    rows += [(100 + i, [0.0, 0.0, 1.0]) for i in range(40)]  # copies beside them
+    v = np.array([x for _, x in rows])
+    u = v / np.linalg.norm(v, axis=1, keepdims=True)
+    near = u @ u.T >= 0.9
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {r.vec_id: r.n_links for r in near_vectors.near_vectors(df, block=block).collect()}
+    assert got == {i: int(near[k].sum()) - 1 for k, (i, _) in enumerate(rows)} and got[0] == 3
+    codes = near_vectors.quantise(near_vectors.units(v))
+    assert any(maybe[0].any() for _, _, maybe in near_vectors.bounded(codes, codes, 0.9))
+
+
 def test_packing(docs, none):
     from tokenizers import Tokenizer
 
