@@ -36,17 +36,23 @@ def _product(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return parts[0] if len(parts) == 1 else sum(p.astype(np.float64) for p in parts)
 
 
-def bounded(a: tuple, b: tuple, threshold: float):
-    """For strips of rows of a: (first row, pairs that surely reach the threshold, pairs that may), as Boolean matrices. a and b: codes, scales and errors of unit vectors."""
+def bounded(a: tuple, b: tuple, threshold: float, one: bool):
+    """For strips of rows of a: (rows of a, rows of b) of the pairs that surely reach the threshold, and of those that may. a and b: codes, scales and errors
+    of unit vectors. one: they are the same vectors, and none is a pair with itself."""
     (qa, sa, ea), (qb, sb, eb) = a, b
+    widest = 1 + ea.max() if len(ea) else 1
     for i in range(0, len(qa), STRIP):
         near = _product(qa[i : i + STRIP], qb)
         near *= sa[i : i + STRIP, None].astype(near.dtype)
         near *= sb[None, :].astype(near.dtype)
-        # |u.v - u'.v'| <= |u'| * error of v + error of u, and u' is at most 1 + error of u long
-        error = ((1 + ea[i : i + STRIP, None]) * eb[None, :] + ea[i : i + STRIP, None] + SLACK).astype(near.dtype)
-        sure = near - error >= threshold
-        yield i, sure, (near + error >= threshold) & ~sure
+        # |u.v - u'.v'| <= |u'| * error of v + error of u, and u' is at most 1 + error of u long; first with the widest u', so that few pairs are looked at one by one
+        r, c = np.nonzero(near >= (threshold - 2 * SLACK - ea[i : i + STRIP, None]).astype(near.dtype) - (eb * widest).astype(near.dtype)[None, :])
+        cos, r = near[r, c].astype(np.float64), r + i
+        if one:
+            r, c, cos = r[r != c], c[r != c], cos[r != c]
+        error = (1 + ea[r]) * eb[c] + ea[r] + SLACK
+        sure, maybe = cos - error >= threshold, (cos - error < threshold) & (cos + error >= threshold)
+        yield r[sure], c[sure], r[maybe], c[maybe]
 
 
 def units(vectors: np.ndarray) -> np.ndarray:
@@ -109,14 +115,10 @@ def _tile(threshold: float):
         links = _Links(np.concatenate(cids), np.concatenate([np.frombuffer(x, np.int64) for x in pdf["copies"]]), shift)
         open_ = np.zeros(len(links.ids), bool)
         if lo == hi or shift:  # else the other block has no vector of this length
-            for i, sure, maybe in bounded(sides[0], sides[-1], threshold):
-                if not shift:
-                    at = np.arange(len(sure))
-                    sure[at, at + i] = maybe[at, at + i] = False
-                r, c = np.nonzero(sure)
-                links.add(r + i, c)
-                open_[np.flatnonzero(maybe.any(axis=1)) + i] = True
-                open_[np.flatnonzero(maybe.any(axis=0)) + shift] = True
+            for r, c, maybe, with_ in bounded(sides[0], sides[-1], threshold, not shift):
+                links.add(r, c)
+                open_[maybe] = True
+                open_[with_ + shift] = True
         return links.found(open_).assign(dim=pdf["dim"].iloc[0], lo=lo, hi=hi)[TILE_NAMES]
 
     return tile
@@ -137,17 +139,9 @@ def _exact(threshold: float):
         a, b = (full, full) if one else (full[:shift], full[shift:])
         links = _Links(pdf["cid"].to_numpy(np.int64), pdf["copies"].to_numpy(np.int64), shift)
         if len(a) and len(b):
-            for i, _, maybe in bounded(quantise(a), quantise(b), threshold):
-                if one:
-                    at = np.arange(len(maybe))
-                    maybe[at, at + i] = False
-                r, c = np.nonzero(maybe)
-                if len(r) * 8 > maybe.size:
-                    r, c = np.nonzero(maybe & (a[i : i + STRIP] @ b.T >= threshold))
-                else:
-                    sure = np.concatenate([np.einsum("ij,ij->i", a[i + r[k : k + 65536]], b[c[k : k + 65536]]) >= threshold for k in range(0, len(r), 65536)] or [np.zeros(0, bool)])
-                    r, c = r[sure], c[sure]
-                links.add(r + i, c)
+            for _, _, r, c in bounded(quantise(a), quantise(b), threshold, one):
+                reached = np.concatenate([np.einsum("ij,ij->i", a[r[k : k + 65536]], b[c[k : k + 65536]]) >= threshold for k in range(0, len(r), 65536)] or [np.zeros(0, bool)])
+                links.add(r[reached], c[reached])
         return links.found(np.zeros(len(links.ids), bool))[["cid", "links", "root"]]
 
     return exact

@@ -177,7 +177,7 @@ def test_pairs_that_the_bounds_leave_open(spark, block):
     got = {r.vec_id: r.n_links for r in near_vectors.near_vectors(df, block=block).collect()}
     assert got == {i: int(near[k].sum()) - 1 for k, (i, _) in enumerate(rows)} and got[0] == 3
     codes = near_vectors.quantise(near_vectors.units(v))
-    assert any(maybe[0].any() for _, _, maybe in near_vectors.bounded(codes, codes, 0.9))
+    assert any(len(r) for _, _, r, _ in near_vectors.bounded(codes, codes, 0.9, True))
 
 
 def test_packing(docs, none):
