@@ -220,6 +220,8 @@ def _in_blocks(g):
     """Open windows of a list (side 0) against a block of all its windows (side 1): spans of a forest of those that agree."""
     side, cid, label, c = (g[k].to_numpy() for k in ("side", "cid", "label", "c"))
     before, behind, near = g["before"].to_numpy(), g["behind"].to_numpy(), _near(g["near"])
+    order = np.lexsort((c, cid, side))  # whatever the order in which rows arrive, the forest is the same
+    side, cid, label, c, before, behind, near = (v[order] for v in (side, cid, label, c, before, behind, near))
     x, y = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
     if not len(x) or not len(y):
         return None
