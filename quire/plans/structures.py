@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from ..operators import equality, graphs, layout, ordering, patterns, ranges, scans, spatial, trees
+from ..operators import equality, flow, graphs, layout, ordering, patterns, ranges, scans, spatial, trees
 from ..scratch import scratch_path
 from ..sources.tables import table
 from ..streaming import writer
@@ -268,3 +268,20 @@ def import_graph(spark, sf_dir):
     roots = customers.filter("c_custkey % 37 = 1").select(name("c", "c_custkey").alias("node"))
     there = t("part").filter("p_partkey % 3 = 0").select(name("p", "p_partkey").alias("node"), F.col("p_partkey").alias("new_id"))
     return graphs.imported(nodes, edges, roots, 1_000_000, there)[1]
+
+
+@query("""WITH RECURSIVE w AS (SELECT p_partkey % 5 AS flow, p_partkey, unnest(range(1, len(l) + 1)) AS i, unnest(l) AS word FROM (SELECT *, regexp_extract_all(p_name, '[^ ]+') AS l FROM part)),
+    n AS (SELECT flow, row_number() OVER v - 1 AS pos, sum(length(word) + 1) OVER v - length(word) - 1 AS start FROM w WINDOW v AS (PARTITION BY flow ORDER BY p_partkey, i)),
+    e AS (SELECT flow, pos, start FROM n UNION ALL SELECT flow, count(*), sum(length(word) + 1) FROM w GROUP BY flow),
+    nxt AS (SELECT flow, pos, width, CASE width WHEN 12 THEN a WHEN 14 THEN b ELSE c END AS next FROM (SELECT flow, pos, greatest(pos + 1, max(pos) OVER (PARTITION BY flow ORDER BY start RANGE BETWEEN UNBOUNDED PRECEDING AND 13 FOLLOWING)) AS a,
+        greatest(pos + 1, max(pos) OVER (PARTITION BY flow ORDER BY start RANGE BETWEEN UNBOUNDED PRECEDING AND 15 FOLLOWING)) AS b, greatest(pos + 1, max(pos) OVER (PARTITION BY flow ORDER BY start RANGE BETWEEN UNBOUNDED PRECEDING AND 17 FOLLOWING)) AS c FROM e), (VALUES (12), (14), (16)) t(width)),
+    slots AS (SELECT *, row_number() OVER (ORDER BY box, line) - 1 AS slot FROM (SELECT s_nationkey * 10000000 + s_suppkey AS box, 12 + s_nationkey // 9 * 2 AS width, unnest(range(2 + s_suppkey % 4)) AS line FROM supplier)),
+    r AS (SELECT flow, 0::BIGINT AS slot, 0::BIGINT AS pos FROM (SELECT DISTINCT flow FROM w) UNION ALL SELECT r.flow, r.slot + 1, nxt.next FROM r JOIN slots ON slots.slot = r.slot JOIN nxt ON nxt.flow = r.flow AND nxt.width = slots.width AND nxt.pos = r.pos)
+    SELECT r.flow, box, line, r.pos AS first, nxt.next - r.pos AS words FROM r JOIN slots ON slots.slot = r.slot JOIN nxt ON nxt.flow = r.flow AND nxt.width = slots.width AND nxt.pos = r.pos WHERE r.pos < (SELECT count(*) FROM w WHERE w.flow = r.flow)""")
+def linked_boxes(spark, sf_dir):
+    """The names of the parts as five texts, each of which flows through a box of every supplier."""
+    words = table(spark, sf_dir, "part").select((F.col("p_partkey") % 5).alias("flow"), "p_partkey", F.posexplode(F.regexp_extract_all("p_name", F.lit("[^ ]+"), 0)).alias("i", "word"))
+    key = F.col("s_nationkey")
+    box = table(spark, sf_dir, "supplier").select((key.cast("long") * 10_000_000 + F.col("s_suppkey")).alias("box"), (12 + F.floor(key / 9) * 2).alias("box_width"), (2 + F.col("s_suppkey") % 4).alias("lines"))
+    boxes = box.withColumn("flow", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(4).cast("long"))))
+    return flow.linked_boxes(words.withColumn("size", F.length("word")), boxes, ["flow"], ["p_partkey", "i"], "size", 1)

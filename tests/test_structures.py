@@ -309,3 +309,31 @@ def test_intervals_of_very_unlike_lengths(spark):
     df = spark.createDataFrame(rows, "i int, lo long, hi long").withColumn("k", F.lit(1))
     got = sorted((r.i, r.r_i) for r in intervals.overlapping(df, df, ["k"]).collect())
     assert got == sorted((a[0], b[0]) for a in rows for b in rows if None not in (a[1], b[1]) and a[1] < b[2] and b[1] < a[2] and a[1] < a[2] and b[1] < b[2])
+
+
+def test_linked_boxes(spark):
+    from quire.operators import flow
+
+    dice = random.Random(5)
+    # one text holds nearly all words; one is shorter than its boxes, one longer, one has no box and one chain no text
+    texts = {"hot": [dice.choice([1, 2, 3, 5, 8, 40, None, -3]) for _ in range(1500)], "short": [4, 4, 4], "long": [3] * 100, "lost": [1, 2]}
+    chains = {"hot": [(b, 10 if b < 30 else 17 if b < 45 else 10, dice.choice([0, 1, 2, 9])) for b in range(60)] + [(60, 13, 1000)], "short": [(1, 9, 1), (2, 9, 5), (3, 2, 5)], "long": [(5, 7, 2), (7, 15, 1), (9, None, 4), (11, 7, 1)], "empty": [(1, 5, 5)]}
+    words = [(k, i, w, "x") for k, t in texts.items() for i, w in enumerate(t)]
+    dice.shuffle(words)
+    want = []
+    for k, chain in chains.items():
+        at, sizes = 0, [max(0, w or 0) for w in texts.get(k, [])]
+        for box, width, lines in chain:
+            for line in range(lines if width is not None else 0):
+                if at >= len(sizes):
+                    break
+                n, room = 1, sizes[at]
+                while at + n < len(sizes) and room + 1 + sizes[at + n] <= width:
+                    room, n = room + 1 + sizes[at + n], n + 1
+                want.append((k, box, line, at, n))
+                at += n
+    df = spark.createDataFrame(words, "k string, i long, size long, line string").repartition(7)
+    boxes = spark.createDataFrame([(k, *b) for k, c in chains.items() for b in c], "k string, box long, box_width long, lines long")
+    got = [tuple(r) for r in flow.linked_boxes(df, boxes, ["k"], ["i"], "size", 1).select("k", "box", "line", "first", "words").collect()]
+    assert sorted(got) == sorted(want) and len({r[1] for r in want if r[0] == "hot"}) > 40
+    assert flow.linked_boxes(df.limit(0), boxes, ["k"], ["i"], "size", 1).isEmpty() and flow.linked_boxes(df, boxes.limit(0), ["k"], ["i"], "size", 1).isEmpty()
