@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from ..operators import equality, flow, graphs, layout, ordering, patterns, ranges, scans, spatial, trees
+from ..operators import equality, flow, graphs, images, layout, ordering, patterns, ranges, scans, spatial, trees
 from ..scratch import scratch_path
 from ..sources.tables import table
 from ..streaming import writer
@@ -285,3 +285,22 @@ def linked_boxes(spark, sf_dir):
     box = table(spark, sf_dir, "supplier").select((key.cast("long") * 10_000_000 + F.col("s_suppkey")).alias("box"), (12 + F.floor(key / 9) * 2).alias("box_width"), (2 + F.col("s_suppkey") % 4).alias("lines"))
     boxes = box.withColumn("flow", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(4).cast("long"))))
     return flow.linked_boxes(words.withColumn("size", F.length("word")), boxes, ["flow"], ["p_partkey", "i"], "size", 1)
+
+
+_SPREAD = "({0}r::DOUBLE * {0}r + {0}g::DOUBLE * {0}g + {0}b::DOUBLE * {0}b) / {0}n"
+_HALVES = ", ".join(f"low_{c}, all_{c} - low_{c} AS high_{c}" for c in "nrgb")
+_RUNNING = ", ".join(f"sum({c}) OVER (PARTITION BY k, axis ORDER BY level) AS low_{c}, sum({c}) OVER (PARTITION BY k, axis) AS all_{c}" for c in "nrgb")
+_ROUND = f"""
+    x{{i}} AS MATERIALIZED (SELECT k, arg_max(box, (v, -box)) AS box FROM (SELECT k, box, sum(s) - (sum(r)::DOUBLE * sum(r) + sum(g)::DOUBLE * sum(g) + sum(b)::DOUBLE * sum(b)) / sum(n) AS v, count(*) AS cells FROM c{{h}} GROUP BY k, box) WHERE cells > 1 AND v > 0 GROUP BY k),
+    l{{i}} AS MATERIALIZED (SELECT k, box, axis, level, sum(n)::BIGINT AS n, sum(r)::BIGINT AS r, sum(g)::BIGINT AS g, sum(b)::BIGINT AS b FROM (SELECT c.*, unnest([0, 1, 2]) AS axis, unnest([cr, cg, cb]) AS level FROM c{{h}} c JOIN x{{i}} USING (k, box)) GROUP BY k, box, axis, level),
+    b{{i}} AS MATERIALIZED (SELECT k, arg_max((box, axis, level), ({_SPREAD.format("low_")} + {_SPREAD.format("high_")}, -axis, -level)) AS best FROM (SELECT k, box, axis, level, {_HALVES} FROM (SELECT *, {_RUNNING} FROM l{{i}}) WHERE low_n < all_n) GROUP BY k),
+    c{{i}} AS MATERIALIZED (SELECT c.* REPLACE (CASE WHEN box = best[1] AND [cr, cg, cb][best[2] + 1] > best[3] THEN {{i}} ELSE box END AS box) FROM c{{h}} c LEFT JOIN b{{i}} USING (k))"""
+
+
+@query("WITH c0 AS MATERIALIZED (SELECT l_returnflag AS k, x.r >> 1 AS cr, x.g >> 1 AS cg, x.b >> 1 AS cb, 0 AS box, count(*) AS n, sum(x.r)::BIGINT AS r, sum(x.g)::BIGINT AS g, sum(x.b)::BIGINT AS b, sum(x.r * x.r + x.g * x.g + x.b * x.b)::BIGINT AS s FROM (SELECT l_returnflag, CAST(floor(l_quantity * 5) AS BIGINT) % 256 AS r, CAST(floor(l_extendedprice / 400) AS BIGINT) % 256 AS g, CAST(l_partkey * l_linenumber % 256 AS BIGINT) AS b FROM lineitem) x GROUP BY ALL),"
+       + ",".join(_ROUND.format(i=i, h=i - 1) for i in range(1, 8)) + " SELECT k AS l_returnflag, box, CAST(sum(n) AS BIGINT) AS n, CAST(sum(r) // sum(n) AS BIGINT) AS r, CAST(sum(g) // sum(n) AS BIGINT) AS g, CAST(sum(b) // sum(n) AS BIGINT) AS b FROM c7 GROUP BY k, box")
+def quantised_palette(spark, sf_dir):
+    """The eight colours that stand for all colours of a picture: boxes of the least variance. Lines are the pixels of three pictures."""
+    whole = lambda c: F.floor(c).cast("long") % 256
+    pixels = table(spark, sf_dir, "lineitem").select("l_returnflag", whole(F.col("l_quantity") * 5).alias("r"), whole(F.col("l_extendedprice") / 400).alias("g"), (F.col("l_partkey") * F.col("l_linenumber") % 256).alias("b"))
+    return images.palette(images.coloured_boxes(pixels, ["l_returnflag"], 8), ["l_returnflag"])

@@ -337,3 +337,41 @@ def test_linked_boxes(spark):
     got = [tuple(r) for r in flow.linked_boxes(df, boxes, ["k"], ["i"], "size", 1).select("k", "box", "line", "first", "words").collect()]
     assert sorted(got) == sorted(want) and len({r[1] for r in want if r[0] == "hot"}) > 40
     assert flow.linked_boxes(df.limit(0), boxes, ["k"], ["i"], "size", 1).isEmpty() and flow.linked_boxes(df, boxes.limit(0), ["k"], ["i"], "size", 1).isEmpty()
+
+
+def plain_boxes(pixels, colours):
+    """Boxes as lists of cells: the one that varies most is cut where the halves vary least."""
+    cells = collections.defaultdict(list)
+    for p in pixels:
+        cells[tuple(c >> 1 for c in p)].append(p)
+    spread = lambda some: sum(float(sum(q[c] for q in some)) ** 2 for c in range(3)) / len(some)
+    within = lambda box: [q for cell in box for q in cells[cell]]
+    boxes = [sorted(cells)]
+    while len(boxes) < colours:
+        varied = [(sum(c * c for q in within(b) for c in q) - spread(within(b)), -i) for i, b in enumerate(boxes) if len(b) > 1]
+        if not varied or max(varied)[0] <= 0:
+            break
+        i = -max(varied)[1]
+        cuts = [(spread(within([c for c in boxes[i] if c[a] <= at])) + spread(within([c for c in boxes[i] if c[a] > at])), -a, -at) for a in range(3) for at in sorted({c[a] for c in boxes[i]})[:-1]]
+        _, a, at = max(cuts)
+        a, at = -a, -at
+        boxes.append([c for c in boxes[i] if c[a] > at])
+        boxes[i] = [c for c in boxes[i] if c[a] <= at]
+    return {cell: i for i, b in enumerate(boxes) for cell in b}
+
+
+def test_coloured_boxes(spark):
+    from quire.operators import images
+
+    dice = random.Random(8)
+    some = {"hot": [tuple(min(255, max(0, int(dice.gauss(m, 9)))) for m in dice.choice([(20, 200, 90), (120, 40, 240), (250, 250, 0)])) for _ in range(700)]}
+    # ties on all axes, two cells only, one cell, one colour many times
+    some |= {None: [(0, 0, 0), (0, 0, 200), (0, 200, 0), (200, 0, 0), (200, 200, 200)], "two": [(0, 0, 0), (9, 9, 9)] * 3, "one": [(4, 4, 4), (5, 5, 5)], "same": [(7, 8, 9)] * 20}
+    rows = [(k, *p) for k, ps in some.items() for p in ps] + [("hot", None, 1, 2), ("gone", 1, 2, None)]
+    df = spark.createDataFrame(rows, "k string, r int, g int, b int").repartition(5)
+    found = images.coloured_boxes(df, ["k"], 6).collect()
+    want = {(k, *cell): box for k, ps in some.items() for cell, box in plain_boxes(ps, 6).items()}
+    assert {(r.k, r.cell_r, r.cell_g, r.cell_b): r.box for r in found} == want and len(found) == len(want)
+    colours = {(r.k, r.box): (r.n, r.r, r.g, r.b) for r in images.palette(images.coloured_boxes(df, ["k"], 1), ["k"]).collect()}
+    assert colours[("one", 0)] == (2, 4, 4, 4) and colours[("same", 0)] == (20, 7, 8, 9) and len(colours) == 5
+    assert images.coloured_boxes(df.limit(0), ["k"], 4).isEmpty()
