@@ -43,15 +43,15 @@ def _dyadic(lo: str, hi: str):
     return F.flatten(F.transform(scales, fits))
 
 
-def lookup(rows: DataFrame, known: DataFrame, keys: list[str], code: str, name: str) -> DataFrame:
-    """rows with `name`: first + code - lo of the last range (nth largest) of known (keys, nth, lo, hi, first) that holds their code, else 0. Codes and the
+def lookup(rows: DataFrame, known: DataFrame, keys: list[str], code: str, name: str, fixed: bool = False) -> DataFrame:
+    """rows with `name`: first + code - lo (with fixed: first) of the last range (nth largest) of known (keys, nth, lo, hi, first) that holds their code, else 0. Codes and the
     starts of disjoint pieces are sorted together, and the last start before a code is carried to it over all partitions. A code of null gives 0."""
     starts = pieces(known, keys).select(*keys, F.col("at").alias("quire_code"), F.lit(0).alias("quire_kind"), F.lit(None).cast("long").alias("quire_id"), F.struct("lo", "first").alias("quire_start"))
     marked = rows.withColumn("quire_id", F.monotonically_increasing_id())
     asked = marked.select(*keys, F.col(code).cast("long").alias("quire_code"), F.lit(1).alias("quire_kind"), "quire_id", F.lit(None).cast("struct<lo:bigint,first:bigint>").alias("quire_start"), *(F.col(c).alias(f"quire_r_{c}") for c in rows.columns if c not in keys))
     both = starts.withColumn("quire_start", F.col("quire_start").cast("struct<lo:bigint,first:bigint>")).unionByName(asked, allowMissingColumns=True)
     found = last_known(both, keys, ["quire_code", "quire_kind", "quire_id"], "quire_start", "quire_found").filter("quire_kind = 1")
-    value = F.when(F.col("quire_code").isNotNull(), F.col("quire_found.first") + F.col("quire_code") - F.col("quire_found.lo"))
+    value = F.when(F.col("quire_code").isNotNull(), F.col("quire_found.first") + (F.lit(0) if fixed else F.col("quire_code") - F.col("quire_found.lo")))
     return found.select(*(F.col(c if c in keys else f"quire_r_{c}").alias(c) for c in rows.columns), F.coalesce(value, F.lit(0)).alias(name))
 
 
@@ -59,3 +59,12 @@ def reverse(known: DataFrame, keys: list[str]) -> DataFrame:
     """The ranges from values back to codes: (keys, nth, lo, hi, first) with lo and hi values and first the code of lo. Where several codes have a value, that of
     the earliest range is the one: ranges are numbered the other way round."""
     return known.select(*keys, (-F.col("nth")).alias("nth"), F.col("first").alias("lo"), (F.col("first") + F.col("hi") - F.col("lo")).alias("hi"), F.col("lo").alias("first"))
+
+
+def coded(rows: DataFrame, known: DataFrame, undefined: DataFrame, keys: list[str], code: str, name: str) -> DataFrame:
+    """rows with `name`: what the last range of known that holds their code makes of it, else the one value of the last such range of undefined, else 0; both
+    (keys, nth, lo, hi, first), with values from 0. With the length of codes among the keys, equal codes of other lengths are others. A code of null gives 0."""
+    # values moved by one, so that 0 tells that no range holds the code
+    found = lookup(rows, known.withColumn("first", F.col("first") + 1), keys, code, "quire_cid")
+    both = lookup(found, undefined, keys, code, "quire_undefined", fixed=True)
+    return both.select(*rows.columns, F.when(F.col("quire_cid") > 0, F.col("quire_cid") - 1).otherwise(F.col("quire_undefined")).alias(name))

@@ -304,3 +304,17 @@ def quantised_palette(spark, sf_dir):
     whole = lambda c: F.floor(c).cast("long") % 256
     pixels = table(spark, sf_dir, "lineitem").select("l_returnflag", whole(F.col("l_quantity") * 5).alias("r"), whole(F.col("l_extendedprice") / 400).alias("g"), (F.col("l_partkey") * F.col("l_linenumber") % 256).alias("b"))
     return images.palette(images.coloured_boxes(pixels, ["l_returnflag"], 8), ["l_returnflag"])
+
+
+@query("""WITH k AS (SELECT o_orderstatus AS map, 1 + o_orderkey % 2 AS len, o_orderkey AS nth, o_custkey * 2 AS lo, o_custkey * 2 + 3 AS hi, o_orderkey * 100 AS first FROM orders),
+    u AS (SELECT CASE c_custkey % 3 WHEN 0 THEN 'F' WHEN 1 THEN 'O' ELSE 'P' END AS map, 1 + c_custkey % 2 AS len, c_custkey AS nth, c_custkey AS lo, c_custkey + 9 AS hi, c_nationkey AS first FROM customer),
+    c AS (SELECT p_partkey, s.map, 1 + p_partkey % 2 AS len, p_partkey % 1000 AS code FROM part, (VALUES ('F'), ('O'), ('P')) s(map))
+    SELECT p_partkey, map, len, code, CAST(coalesce((SELECT arg_max(first + code - lo, nth) FROM k WHERE k.map = c.map AND k.len = c.len AND code BETWEEN lo AND hi), (SELECT arg_max(first, nth) FROM u WHERE u.map = c.map AND u.len = c.len AND code BETWEEN lo AND hi), 0) AS BIGINT) AS cid FROM c""")
+def code_map_lengths(spark, sf_dir):
+    """Codes of two lengths through the ranges of several maps; codes in none of them take the value of the last range for undefined codes."""
+    t = lambda n: table(spark, sf_dir, n)
+    known = t("orders").select(F.col("o_orderstatus").alias("map"), (1 + F.col("o_orderkey") % 2).alias("len"), F.col("o_orderkey").alias("nth"), (F.col("o_custkey") * 2).alias("lo"), (F.col("o_custkey") * 2 + 3).alias("hi"), (F.col("o_orderkey") * 100).alias("first"))
+    kind = F.element_at(F.array(F.lit("F"), F.lit("O"), F.lit("P")), (F.col("c_custkey") % 3 + 1).cast("int"))
+    undefined = t("customer").select(kind.alias("map"), (1 + F.col("c_custkey") % 2).alias("len"), F.col("c_custkey").alias("nth"), F.col("c_custkey").alias("lo"), (F.col("c_custkey") + 9).alias("hi"), F.col("c_nationkey").cast("long").alias("first"))
+    codes = t("part").select("p_partkey", F.explode(F.lit(["F", "O", "P"])).alias("map"), (1 + F.col("p_partkey") % 2).alias("len"), (F.col("p_partkey") % 1000).alias("code"))
+    return ranges.coded(codes, known, undefined, ["map", "len"], "code", "cid")

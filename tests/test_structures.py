@@ -375,3 +375,13 @@ def test_coloured_boxes(spark):
     colours = {(r.k, r.box): (r.n, r.r, r.g, r.b) for r in images.palette(images.coloured_boxes(df, ["k"], 1), ["k"]).collect()}
     assert colours[("one", 0)] == (2, 4, 4, 4) and colours[("same", 0)] == (20, 7, 8, 9) and len(colours) == 5
     assert images.coloured_boxes(df.limit(0), ["k"], 4).isEmpty()
+
+
+def test_codes_with_lengths_and_undefined_ranges(spark):
+    shape = "len int, nth long, lo long, hi long, first long"
+    known = spark.createDataFrame([(1, 1, 10, 20, 0), (1, 2, 15, 16, 500), (2, 3, 10, 10, 7)], shape)
+    undefined = spark.createDataFrame([(1, 1, 0, 99, 3), (1, 2, 30, 40, 9)], shape)
+    codes = spark.createDataFrame([(1, 10), (1, 12), (1, 15), (1, 16), (1, 21), (1, 35), (1, 100), (1, None), (2, 10), (2, 12), (3, 10)] + [(1, 35)] * 300, "len int, code long").repartition(6)
+    got = {tuple(r) for r in ranges.coded(codes, known, undefined, ["len"], "code", "cid").collect()}
+    assert got == {(1, 10, 0), (1, 12, 2), (1, 15, 500), (1, 16, 501), (1, 21, 3), (1, 35, 9), (1, 100, 0), (1, None, 0), (2, 10, 7), (2, 12, 0), (3, 10, 0)}
+    assert ranges.coded(codes, known.limit(0), undefined.limit(0), ["len"], "code", "cid").filter("cid <> 0").isEmpty()
