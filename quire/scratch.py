@@ -22,11 +22,12 @@ def shared_folder(spark: SparkSession) -> str:
 def scratch_path(spark: SparkSession) -> str:
     """A new folder's name in the shared folder; the folder goes when the application ends."""
     path = f"{shared_folder(spark)}/quire-{uuid.uuid4().hex}"
-    atexit.register(_remove, spark, path)
+    atexit.register(remove, spark, path)
     return path
 
 
-def _remove(spark: SparkSession, path: str) -> None:
+def remove(spark: SparkSession, path: str) -> None:
+    """The folder goes, if it is there and the session too."""
     try:
         if spark.sparkContext._jsc is not None:
             jvm = spark.sparkContext._jvm
