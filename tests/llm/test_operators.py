@@ -88,6 +88,30 @@ def test_exact_dedup_of_nothing(none):
     assert not exact_dedup.exact_dedup(none).collect()
 
 
+@pytest.mark.parametrize("digest", [exact_dedup.sha256, lambda t: exact_dedup.F.unhex(exact_dedup.F.hex(exact_dedup.F.octet_length(t) % 3))])
+def test_exact_dedup_goes_on_from_call_to_call(spark, tmp_path, digest):
+    chance, store = random.Random(5), str(tmp_path / "store")
+    calls = [[(chance.choice([None, *range(40)]), chance.choice(["a", "A", "bb", "BB", "\u00c9", "\u00e9", None, "", "x" * 5000, "hot", "hot", "hot"])) for _ in range(n)] for n in (50, 0, 70)]
+    lower, seen = (lambda t: "".join(c.lower() if "A" <= c <= "Z" else c for c in t or "")), collections.defaultdict(list)
+    for data in calls:
+        for i, t in data:
+            seen[lower(t)].append(i)
+        docs = spark.createDataFrame(data, "doc_id long, text string").withColumn("place", exact_dedup.F.lit("other")).withColumn("body", exact_dedup.F.lit(1))
+        rows = exact_dedup.exact_dedup(docs, digest, store).collect()
+        best = {t: max((i for i in ids if i is not None), default=None) for t, ids in seen.items()}
+        want = [(i, best[lower(t)], len(seen[lower(t)]), i == best[lower(t)], hashlib.sha256(lower(t).encode()).hexdigest()) for i, t in data]
+        assert sorted(map(str, map(tuple, rows))) == sorted(map(str, want))
+    places = [r.place for r in spark.read.parquet(store + "/texts").select("place").collect()]
+    assert len(set(places)) == len(places) == 120
+
+
+def test_a_locator_leads_to_a_text_of_its_digest(spark, docs, tmp_path):
+    texts, _ = exact_dedup.stored(docs, exact_dedup.sha256, str(tmp_path))
+    state = exact_dedup.keyed_state(texts, str(tmp_path))
+    found = state.join(texts.selectExpr("place", "digest AS there", "doc_id"), "place").collect()
+    assert len(found) == state.count() and all(r.digest == r.there and r.doc_id == r.keep_id for r in found)
+
+
 def test_url_rules(spark):
     rules = url_filter.make_rules(spark, [("com", "/a", "block"), ("x.com", "/ab", "allow")])
     urls = ["http://X.com/abc?q", "http://y.com/a#f", "http://com/b", None, "nothing", "http://xcom/a", "a://y.x.com/a"]
