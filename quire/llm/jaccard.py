@@ -2,9 +2,12 @@
 
 Documents with equal sets are one class. A class is listed under the tokens of its prefix, long enough that linked sets
 share not one of them but many. The first class of a token's list leads it, and all lists that a class leads form its
-cluster, so every pair that shares a prefix token meets in a cluster. There, classes are sorted by size; blocks of them are
-skipped by size and by the number of prefix tokens they share; what remains is compared by its difference from one set:
-the overlap of two sets follows from that set's size and the differences. Pairs that are connected already are skipped.
+cluster, so every pair that shares a prefix token meets in a cluster. There, classes are sorted by size and each list is cut
+into blocks, whose heads say how much of a set is left at most from that token's position on; pairs of blocks are skipped by
+size, by these positions and by the number of tokens they share. For what remains, the answers of one set, its overlaps with
+all others, are computed first. Another set's answers lie within its differences from that set of these: bounds that
+settle many pairs; the others' overlaps are derived from these answers by the differing tokens alone. Pairs that are
+connected already are skipped.
 """
 
 import numpy as np
@@ -22,6 +25,8 @@ from .words import chunks, mix, shingles, words
 FREQUENT, FREQUENT_SHARE = 32, 1 / 131_072
 #: Classes of a block of a cluster; larger clusters are dealt to pairs of blocks.
 BLOCK = 1024
+#: Classes of a block of lists, at most, that is skipped or compared at once.
+STEP = 128
 #: Cells of an incidence matrix that are held at once.
 CELLS = 1 << 22
 
@@ -128,7 +133,20 @@ def _near_prefixes(percent: int):
         last = np.where(sizes < n, [p[-1] if len(p) else -1 for p in places], len(names))  # a whole set has no end
         need = np.array([shared_length(int(x), percent) for x in n])
         forest = Forest(m)
-        for top, low, both in _products([_Sparse(rows, at, m)], n, percent, lambda top, low: len(np.unique(forest.root[np.r_[top, low]])) == 1):
+        parts = [_Sparse(rows, at, m)]
+        step = _step(parts)
+        heads = _heads(rows, at, np.repeat(n + np.cumsum(sizes) - sizes, sizes) - np.arange(len(rows)), m, step)
+
+        def skipped(top, low):
+            if len(np.unique(forest.root[np.r_[top, low]])) == 1:
+                return True
+            # with the first token that two sets share, they can share at most what is left of the shorter rest
+            (ours, mine), (theirs, other) = heads[top.start // step], heads[low.start // step]
+            common, i, j = np.intersect1d(ours, theirs, assume_unique=True, return_indices=True)
+            fewest = -(-percent * (n[top].min() + n[low].min()) // (100 + percent))
+            return len(common) + 1 < min(need[top].min(), need[low].min()) or not len(common) or np.minimum(mine[i], other[j]).max() < fewest
+
+        for top, low, both in _products(parts, n, percent, skipped):
             r, c = np.nonzero((both + 1 >= np.minimum(need[top, None], need[None, low])) & (np.arange(m)[top, None] < np.arange(m)[None, low]) & (n[top, None] * 100 >= percent * n[None, low]))
             shared, r, c = both[r, c], r + top.start, c + low.start
             within = np.empty(len(c), np.int64)  # tokens of c up to the end of r's prefix
@@ -149,10 +167,24 @@ def _near_prefixes(percent: int):
     return work
 
 
+def _step(parts) -> int:
+    return max(1, min(STEP, CELLS // max(1, sum(p.shape[1] for p in parts))))
+
+
+def _heads(rows, at, left, m: int, step: int):
+    """For each block of sets the tokens they hold and, of each token, the most that is left of a set from it on (left, of each entry)."""
+    block = rows // step
+    order = np.lexsort((at, block))
+    block, at, left = block[order], at[order], left[order]
+    first = np.flatnonzero(np.r_[True, (block[1:] != block[:-1]) | (at[1:] != at[:-1])][: len(at)])
+    most = np.maximum.reduceat(left, first) if len(first) else left
+    bounds = np.searchsorted(block[first], np.arange(-(-m // step) + 1))
+    return [(at[first[a:b]], most[a:b]) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+
+
 def _products(parts, n, percent: int, skip):
     """(rows, columns, summed products) of blocks of sets that are sorted by size; blocks too far apart in size are not visited."""
-    m = len(n)
-    step = max(1, min(512, CELLS // max(1, sum(p.shape[1] for p in parts))))
+    m, step = len(n), _step(parts)
     for i in range(0, m, step):
         top = slice(i, min(i + step, m))
         for j in range(i, m, step):
@@ -188,18 +220,30 @@ def _cluster(k: int, percent: int):
             held = np.bincount(rows[lead[at]], minlength=m)
             if held.sum() * 2 < len(base) * m:  # it tells little of them
                 base, lead, held = base[:0], np.zeros(len(names), bool), np.zeros(m, np.int64)
-            gone = len(base) - held
-
-            def connected(top, low):
-                return len(np.unique(forest.root[np.r_[top, low]])) == 1
-
-            for top, low, both in _products(_differences(rows, at, lead, m), n, percent, connected):
-                # |x & y| = |L| - |L - x| - |L - y| + |(L - x) & (L - y)| + |(x - L) & (y - L)|
-                both = both + len(base) - gone[top, None] - gone[None, low]
-                near = 100 * both >= percent * (n[top, None] + n[None, low] - both)
-                if cross:
-                    near &= part[top, None] != part[None, low]
-                r, c = np.nonzero(near & (np.arange(m)[top, None] < np.arange(m)[None, low]))
+            gone, extra = len(base) - held, n - held  # held: the answers of the leader L, |L & y| for every y
+
+            def link(top, low, both):
+                return 100 * both >= percent * (n[top, None] + n[None, low] - both)
+
+            def pairs(top, low):
+                of = np.arange(m)[top, None] < np.arange(m)[None, low]
+                return of & (part[top, None] != part[None, low]) if cross else of
+
+            def settled(top, low):
+                if len(np.unique(forest.root[np.r_[top, low]])) == 1:
+                    return True
+                # |L & y| - |L - x| <= |x & y|, and x and y share no more of L than either holds and no more beside it than either has
+                of = pairs(top, low)
+                sure = of & link(top, low, held[None, low] - gone[top, None])
+                r, c = np.nonzero(sure)
+                forest.add(r + top.start, c + low.start)
+                most = np.minimum(held[top, None], held[None, low]) + np.minimum(extra[top, None], extra[None, low])
+                return not (of & ~sure & link(top, low, most) & (forest.root[top, None] != forest.root[None, low])).any()
+
+            for top, low, both in _products(_differences(rows, at, lead, m), n, percent, settled):
+                # |x & y| = |L & y| - |(L - x) & y| + |(x - L) & y|, where |(L - x) & y| = |L - x| - |(L - x) & (L - y)| and (x - L) & y = (x - L) & (y - L)
+                both = held[None, low] - gone[top, None] + both
+                r, c = np.nonzero(link(top, low, both) & pairs(top, low))
                 forest.add(r + top.start, c + low.start)
         other = forest.root != np.arange(m)
         return (reps[other], reps[forest.root[other]]) if other.any() else None

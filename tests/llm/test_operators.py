@@ -563,3 +563,49 @@ def test_jaccard_against_brute_force(spark, none):
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.jaccard_components(df).collect()}
     assert {i: (len(s), low[i]) for i, s in sets.items()} == {i: v for i, v in got.items() if i is not None}
     assert not jaccard.jaccard_components(none).collect()
+
+
+@pytest.mark.parametrize("step", [1, 3, 128])
+@pytest.mark.parametrize("percent", [80, 90])
+def test_blocks_that_are_skipped_hold_no_links(monkeypatch, step, percent):
+    """Clusters of sets that differ little, at large and in size, in both steps: components are those of all pairs."""
+    monkeypatch.setattr(jaccard, "STEP", step)
+    made, visited = jaccard._products, []
+
+    def counted(parts, n, percent, skip):
+        for x in made(parts, n, percent, skip):
+            visited.append(1)
+            yield x
+
+    monkeypatch.setattr(jaccard, "_products", counted)
+    for seed in range(12):
+        chance = random.Random(seed)
+        base = [f"v{chance.random()}" for _ in range(chance.choice([12, 60, 200]))]
+        texts = set()
+        for _ in range(25):
+            own = list(base[: chance.choice([len(base), len(base), len(base) * 3 // 4])])
+            for _ in range(chance.choice([0, 1, 2, 8])):
+                own[chance.randrange(len(own))] = f"u{chance.randrange(40)}"
+            texts.add(" ".join(own))
+        texts = sorted(texts)
+        sets = [s for _, _, data, bounds in chunks(pa.array(texts, pa.large_string())) for s in jaccard.token_sets(data, bounds, 1)]
+        n, frequent = np.array([len(s) for s in sets]), np.sort(np.concatenate(sets).view(np.int64))[: seed * 9]
+        want = [(a, b) for a in range(len(sets)) for b in range(a) if 100 * (both := len(np.intersect1d(sets[a], sets[b]))) >= percent * (len(sets[a]) + len(sets[b]) - both)]
+
+        def roots(*edges):
+            forest = near_vectors.Forest(len(sets))
+            for a, b in edges:
+                forest.add(np.asarray(a, int), np.asarray(b, int))
+            return forest.root.tolist()
+
+        truth = roots(*(([a], [b]) for a, b in want))
+        block = np.zeros(len(sets), np.int64)
+        found = jaccard._cluster(1, percent)({"n": pa.array(n), "block": pa.array(block), "rep": pa.array(np.arange(len(sets))), "text": pa.array(texts)})
+        assert roots(*([found] if found else [])) == truth
+        batch = pa.RecordBatch.from_arrays([pa.array([b""] * len(sets)), pa.array(np.arange(len(sets))), pa.array(n), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], names=["digest", "rep", "n", "tokens"])
+        (out,) = jaccard._prefixes(frequent, percent, True)([batch])
+        upper = pa.array([(np.asarray(t, np.int64) >> 32).astype(np.int32) for t in out.column(3).to_pylist()], pa.list_(pa.int32()))
+        maybe = jaccard._near_prefixes(percent)({"n": pa.array(n), "block": pa.array(block), "rep": out.column(1), "tokens": upper, "light": out.column(4)})
+        near = roots(*([maybe] if maybe else []))
+        assert all(near[a] == near[b] for a, b in want)
+    assert visited
