@@ -3,30 +3,39 @@
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..scratch import cut
 from .scans import last_known, running
 
 
 def pieces(known: DataFrame, keys: list[str]) -> DataFrame:
-    """Ranges (keys, nth, lo, hi, first), of which a later one overrides earlier ones, as disjoint starts: (keys, at, lo, first), with nulls in lo and
+    """Ranges (keys, nth, lo, hi, first), of which a later one overrides earlier ones, as disjoint starts: (keys, at, nth, lo, first), with nulls in nth, lo and
     first where no range holds what follows.
 
     Ranges begin and end at events, which are numbered. A range is parted into blocks of a power of two of events, the last range of each
-    block is kept by an aggregation, and every event asks the blocks of all sizes that hold it; so ranges that lie inside each other
+    block is kept by an aggregation, and every event asks the blocks that hold it, of the sizes that occur; so ranges that lie inside each other
     cost a logarithm, and none is compared with all others.
     """
     ends = known.select(*keys, F.explode(F.array(F.col("lo"), F.col("hi") + 1)).alias("at")).distinct()
     nth = running(ends.withColumn("one", F.lit(1)), keys, ["at"], "one", "quire_nth")
     place = lambda name: nth.select(*keys, F.col("at").alias(name), F.col("quire_nth").alias(f"quire_{name}"))
-    scales = (2 * known.count()).bit_length()
     spans = known.withColumn("quire_end", F.col("hi") + 1).join(place("lo"), [*keys, "lo"]).join(place("quire_end").withColumnRenamed("quire_quire_end", "quire_hi"), [*keys, "quire_end"])
-    parts = spans.select(*keys, "nth", "lo", "first", F.explode(_dyadic("quire_lo", "quire_hi")).alias("b")).select(*keys, "nth", "lo", "first", "b.*")
+    parts = spans.select(*keys, "nth", "lo", "first", F.explode(dyadic("quire_lo", "quire_hi")).alias("b")).select(*keys, "nth", "lo", "first", "b.*")
     best = parts.groupBy(*keys, "scale", "block").agg(F.max(F.struct("nth", "lo", "first")).alias("best"))
-    asked = nth.select(*keys, "at", F.explode(F.transform(F.sequence(F.lit(0), F.lit(scales)), lambda s: F.struct(s.alias("scale"), F.floor(F.col("quire_nth") / F.pow(F.lit(2.0), s)).alias("block")))).alias("b")).select(*keys, "at", "b.*")
-    held = asked.join(best, [*keys, "scale", "block"], "left").groupBy(*keys, "at").agg(F.max("best").alias("best"))
-    return held.select(*keys, "at", "best.lo", "best.first")
+    best = cut(best)
+    used = sorted(r[0] for r in best.select("scale").distinct().collect())  # as many as the bits of a count
+    asked = nth.select(*keys, "at", F.explode(blocks_of("quire_nth", used)).alias("b")).select(*keys, "at", "b.*")
+    met = asked.join(best, [*keys, "scale", "block"]).select(*keys, "at", "best")
+    # an event that no block holds is there too, with nulls
+    held = met.unionByName(ends.withColumn("best", F.lit(None).cast(best.schema["best"].dataType))).groupBy(*keys, "at").agg(F.max("best").alias("best"))
+    return held.select(*keys, "at", "best.*")
 
 
-def _dyadic(lo: str, hi: str):
+def blocks_of(place: str, scales: list[int]):
+    """The blocks (scale, block) of these scales that hold a number."""
+    return F.transform(F.lit(scales).cast("array<int>"), lambda s: F.struct(s.alias("scale"), F.floor(F.col(place) / F.pow(F.lit(2.0), s)).cast("long").alias("block")))
+
+
+def dyadic(lo: str, hi: str):
     """The blocks (scale, block) that part the numbers from lo to hi - 1: of each scale at most the first and the last that fit and that no larger one covers."""
     size = lambda s: F.pow(F.lit(2.0), s)
     first, end = (lambda s: F.ceil(F.col(lo) / size(s))), (lambda s: F.floor(F.col(hi) / size(s)))
@@ -43,16 +52,20 @@ def _dyadic(lo: str, hi: str):
     return F.flatten(F.transform(scales, fits))
 
 
+def last_holding(rows: DataFrame, known: DataFrame, keys: list[str], code: str, name: str) -> DataFrame:
+    """rows with `name`, (nth, lo, first) of the last range (nth largest) of known (keys, nth, lo, hi, first) that holds their code, with nulls in it or null itself where none does. Codes
+    and the starts of disjoint pieces are sorted together, and the last start before a code is carried to it over all partitions."""
+    starts = pieces(known, keys).select(*keys, F.col("at").alias("quire_code"), F.lit(0).alias("quire_kind"), F.struct("nth", "lo", "first").alias("quire_start"))
+    asked = rows.select(*keys, F.col(code).cast("long").alias("quire_code"), F.lit(1).alias("quire_kind"), F.monotonically_increasing_id().alias("quire_id"), *(F.col(c).alias(f"quire_r_{c}") for c in rows.columns if c not in keys))
+    found = last_known(starts.unionByName(asked, allowMissingColumns=True), keys, ["quire_code", "quire_kind", "quire_id"], "quire_start", "quire_found").filter("quire_kind = 1")
+    return found.select(*(F.col(c if c in keys else f"quire_r_{c}").alias(c) for c in rows.columns), F.when(F.col("quire_code").isNotNull(), F.col("quire_found")).alias(name))
+
+
 def lookup(rows: DataFrame, known: DataFrame, keys: list[str], code: str, name: str, fixed: bool = False) -> DataFrame:
-    """rows with `name`: first + code - lo (with fixed: first) of the last range (nth largest) of known (keys, nth, lo, hi, first) that holds their code, else 0. Codes and the
-    starts of disjoint pieces are sorted together, and the last start before a code is carried to it over all partitions. A code of null gives 0."""
-    starts = pieces(known, keys).select(*keys, F.col("at").alias("quire_code"), F.lit(0).alias("quire_kind"), F.lit(None).cast("long").alias("quire_id"), F.struct("lo", "first").alias("quire_start"))
-    marked = rows.withColumn("quire_id", F.monotonically_increasing_id())
-    asked = marked.select(*keys, F.col(code).cast("long").alias("quire_code"), F.lit(1).alias("quire_kind"), "quire_id", F.lit(None).cast("struct<lo:bigint,first:bigint>").alias("quire_start"), *(F.col(c).alias(f"quire_r_{c}") for c in rows.columns if c not in keys))
-    both = starts.withColumn("quire_start", F.col("quire_start").cast("struct<lo:bigint,first:bigint>")).unionByName(asked, allowMissingColumns=True)
-    found = last_known(both, keys, ["quire_code", "quire_kind", "quire_id"], "quire_start", "quire_found").filter("quire_kind = 1")
-    value = F.when(F.col("quire_code").isNotNull(), F.col("quire_found.first") + (F.lit(0) if fixed else F.col("quire_code") - F.col("quire_found.lo")))
-    return found.select(*(F.col(c if c in keys else f"quire_r_{c}").alias(c) for c in rows.columns), F.coalesce(value, F.lit(0)).alias(name))
+    """rows with `name`: first + code - lo (with fixed: first) of the last range (nth largest) of known (keys, nth, lo, hi, first) that holds their code, else 0. A code of null gives 0."""
+    found = last_holding(rows, known, keys, code, "quire_held")
+    value = F.col("quire_held.first") + (F.lit(0) if fixed else F.col(code).cast("long") - F.col("quire_held.lo"))
+    return found.select(*rows.columns, F.coalesce(value, F.lit(0)).alias(name))
 
 
 def reverse(known: DataFrame, keys: list[str]) -> DataFrame:

@@ -3,6 +3,11 @@
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..scratch import cut
+from . import ranges
+from .ordering import number
+from .scans import last_known
+
 #: Sizes of tiles: 2 ** -LEVELS to 2 ** LEVELS times the boxes' mean extent.
 LEVELS = 20
 
@@ -31,10 +36,42 @@ def boxes_at(points: DataFrame, boxes: DataFrame) -> DataFrame:
     return met.filter(inside).drop("quire_level", "quire_x", "quire_y")
 
 
+def _ranked(rows: DataFrame, marks: DataFrame, axes: dict[str, str]) -> DataFrame:
+    """rows with, for each (column, name) of axes, the column's place among the numbered marks (at, nth): 2 * nth on a mark, one more behind it, -1 before all. Marks and
+    rows are sorted together."""
+    for column, name in axes.items():
+        heads = marks.select(F.col("at").alias("quire_at"), F.lit(0).alias("quire_kind"), F.struct("at", "nth").alias("quire_mark"))
+        asked = rows.withColumn("quire_at", F.col(column)).withColumn("quire_kind", F.lit(1))
+        held = last_known(heads.unionByName(asked, allowMissingColumns=True), [], ["quire_at", "quire_kind"], "quire_mark", "quire_last").filter("quire_kind = 1")
+        place = F.col("quire_last.nth") * 2 + F.when(F.col("quire_last.at") == F.col(column), 0).otherwise(1)
+        rows = held.select(*rows.columns, F.coalesce(place, F.lit(-1)).alias(name))
+    return rows
+
+
 def topmost(points: DataFrame, boxes: DataFrame, key: list[str], order: str) -> DataFrame:
-    """(key, order) of all points: the largest `order` among the boxes that hold it, null if none does. Rows with one key count as one point."""
-    found = boxes_at(points, boxes).groupBy(*key).agg(F.max(f"b_{order}").alias(order))
-    return points.select(*key).distinct().join(found, key, "left")
+    """(key, order) of all points: the largest `order` among the boxes that hold it, null if none does. Rows with one key count as one point.
+
+    No pair of a point and a box is made: boxes are parted into stretches of a power of two of the places between the boxes' borders on one axis, and in each stretch
+    points are looked up on the other axis as in a map of ranges, of which the one with the largest order counts. Points at one place and boxes of one shape are one,
+    so n points and m boxes cost some n log m + m log(m) ** 2 rows at most, however many boxes lie on each other.
+    """
+    sound = boxes.filter((F.col("x0") <= F.col("x1")) & (F.col("y0") <= F.col("y1"))).groupBy("x0", "x1", "y0", "y1").agg(F.max(order).alias("nth"))
+    places = points.filter("x IS NOT NULL AND y IS NOT NULL").select("x", "y").distinct()
+    shapes, sizes = cut(sound), {}
+    for a in "xy":
+        marks = cut(number(shapes.select(F.explode(F.array(f"{a}0", f"{a}1")).alias("at")).distinct(), ["at"], "nth"))
+        shapes = _ranked(shapes, marks, {f"{a}0": f"quire_{a}0", f"{a}1": f"quire_{a}1"})
+        places, sizes[a] = _ranked(places, marks, {a: f"quire_{a}"}), marks.count()
+    places = cut(places)
+    a, b = sorted("xy", key=sizes.get)
+    parts = shapes.withColumn("quire_end", F.col(f"quire_{a}1") + 1).select("nth", F.col(f"quire_{b}0").alias("lo"), F.col(f"quire_{b}1").alias("hi"), F.explode(ranges.dyadic(f"quire_{a}0", "quire_end")).alias("p"))
+    known = cut(parts.groupBy(F.col("p.scale").alias("quire_s"), F.col("p.block").alias("quire_k"), "lo", "hi").agg(F.max("nth").alias("nth")).withColumn("first", F.lit(0).cast("long")))
+    used = sorted(r[0] for r in known.select("quire_s").distinct().collect())  # as many as the bits of a count
+    cells = places.select("quire_x", "quire_y").distinct()
+    asked = cells.select("quire_x", "quire_y", F.col(f"quire_{b}").alias("code"), F.explode(ranges.blocks_of(f"quire_{a}", used)).alias("p")).select("quire_x", "quire_y", "code", F.col("p.scale").alias("quire_s"), F.col("p.block").alias("quire_k"))
+    held = ranges.last_holding(asked, known, ["quire_s", "quire_k"], "code", "found").groupBy("quire_x", "quire_y").agg(F.max("found.nth").alias(order))
+    found = places.join(held, ["quire_x", "quire_y"]).select("x", "y", order)
+    return points.select(*key, "x", "y").join(found, ["x", "y"], "left").groupBy(*key).agg(F.max(order).alias(order))
 
 
 def in_polygons(points: DataFrame, sides: DataFrame, key: list[str]) -> DataFrame:

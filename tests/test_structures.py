@@ -385,3 +385,14 @@ def test_codes_with_lengths_and_undefined_ranges(spark):
     got = {tuple(r) for r in ranges.coded(codes, known, undefined, ["len"], "code", "cid").collect()}
     assert got == {(1, 10, 0), (1, 12, 2), (1, 15, 500), (1, 16, 501), (1, 21, 3), (1, 35, 9), (1, 100, 0), (1, None, 0), (2, 10, 7), (2, 12, 0), (3, 10, 0)}
     assert ranges.coded(codes, known.limit(0), undefined.limit(0), ["len"], "code", "cid").filter("cid <> 0").isEmpty()
+
+
+def test_topmost_makes_no_pairs(spark, monkeypatch):
+    """Boxes that all lie on each other, some of one shape, and points that stand on borders: none of the pairs is made."""
+    dice = random.Random(11)
+    boxes = [(i, -dice.randint(1, 40) * 0.5, dice.randint(1, 40) * 0.5, -dice.randint(1, 9) * 1.0, dice.randint(1, 9) * 1.0) for i in range(400)] + [(900, 1.0, -1.0, 0.0, 1.0), (901, None, 1.0, 0.0, 1.0)]
+    points = [(i, dice.choice([0.0, -0.0, 0.5, 3.0, -7.5, 19.9, 20.0, 20.1]), dice.choice([0.0, 9.0, -9.0, 8.5, 9.5])) for i in range(300)] + [(300, None, 1.0), (301, 1.0, None)]
+    monkeypatch.setattr(spatial, "boxes_at", None)
+    got = spatial.topmost(spark.createDataFrame(points, "id long, x double, y double"), spark.createDataFrame(boxes, "o long, x0 double, x1 double, y0 double, y1 double"), ["id"], "o")
+    holds = lambda x, y: [o for o, x0, x1, y0, y1 in boxes if None not in (x, y, x0) and x0 <= x <= x1 and y0 <= y <= y1]
+    assert {r.id: r.o for r in got.collect()} == {i: max(holds(x, y), default=None) for i, x, y in points}
