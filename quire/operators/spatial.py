@@ -12,19 +12,20 @@ from .scans import last_known
 LEVELS = 20
 
 
-def boxes_at(points: DataFrame, boxes: DataFrame) -> DataFrame:
+def boxes_at(points: DataFrame, boxes: DataFrame, fine: int = 1) -> DataFrame:
     """Every pair of a point (x, y, ...) and a box (x0, x1, y0, y1, ...), borders included, that holds it: the points' columns, and the boxes' as b_*.
 
     Boxes lie in tiles at least as wide as they are, so in at most four; each size of tiles that a box has is a level, and points are looked
     up once in each level that occurs. A pair meets in one tile only, the point's. Boxes with x0 > x1, y0 > y1 or a null hold nothing; those wider
-    than the widest tile or thinner than the thinnest are in the last level and spread over the tiles they touch.
+    than the widest tile or thinner than the thinnest are in the last level and spread over the tiles they touch. With `fine` a tile is so many times smaller, so
+    fewer points meet boxes that do not hold them, and a box has up to (fine + 1) ** 2 tiles.
     """
     sound = boxes.filter((F.col("x0") <= F.col("x1")) & (F.col("y0") <= F.col("y1")))
     mean = sound.agg(F.avg(F.col("x1") - F.col("x0")).alias("x"), F.avg(F.col("y1") - F.col("y0")).alias("y")).first()
     unit = {"x": mean["x"] or 1.0, "y": mean["y"] or 1.0}
     extent = F.greatest(*((F.col(f"{a}1") - F.col(f"{a}0")).cast("double") / unit[a] for a in "xy"))
     level = F.when(extent <= 0, F.lit(-LEVELS)).otherwise(F.least(F.greatest(F.ceil(F.log2(extent)), F.lit(-LEVELS)), F.lit(LEVELS))).cast("int")
-    tile = lambda value, axis, at: F.floor(value.cast("double") / (F.pow(F.lit(2.0), at) * unit[axis])).cast("long")
+    tile = lambda value, axis, at: F.floor(value.cast("double") / (F.pow(F.lit(2.0), at) * (unit[axis] / fine))).cast("long")
     named = sound.select(*(F.col(c).alias(f"b_{c}") for c in boxes.columns), level.alias("quire_level"))
     for a in "xy":
         named = named.withColumn(f"quire_{a}", F.explode(F.sequence(tile(F.col(f"b_{a}0"), a, F.col("quire_level")), tile(F.col(f"b_{a}1"), a, F.col("quire_level")))))
@@ -74,13 +75,26 @@ def topmost(points: DataFrame, boxes: DataFrame, key: list[str], order: str) ->
     return points.select(*key, "x", "y").join(found, ["x", "y"], "left").groupBy(*key).agg(F.max(order).alias(order))
 
 
+#: Polygons of more sides than this are looked up side by side.
+SIDES = 1000
+#: Tiles of a polygon's size on each axis: with 4, a polygon meets some 1.5 times the points in the box around it.
+FINE = 4
+
+
 def in_polygons(points: DataFrame, sides: DataFrame, key: list[str]) -> DataFrame:
     """(key, polygon) of the points (key, x, y) that lie in a polygon, of which sides (polygon, ax, ay, bx, by) are the sides: an odd number of them is
-    crossed by the ray from the point to larger x. Each side is looked up by the boxes of its height and all that lies left of it."""
-    high = sides.filter("ay <> by").select("*", F.least("ay", "by").alias("y0"), F.greatest("ay", "by").alias("y1"))
-    left = high.groupBy("polygon").agg(F.min(F.least("ax", "bx")).alias("x0"))  # no point left of its polygon lies in it
-    boxes = high.join(left, "polygon").withColumn("x1", F.greatest("ax", "bx"))
-    met = boxes_at(points, boxes)
-    crossed = ((F.col("y") < F.col("b_ay")) != (F.col("y") < F.col("b_by"))) & (F.col("x") < F.col("b_ax") + (F.col("y") - F.col("b_ay")) * (F.col("b_bx") - F.col("b_ax")) / (F.col("b_by") - F.col("b_ay")))
-    odd = met.filter(crossed).groupBy(*key, F.col("b_polygon").alias("polygon")).agg(F.count("*").alias("n"))
-    return odd.filter("n % 2 = 1").drop("n")
+    crossed by the ray from the point to larger x. A point meets a polygon once, in the box around it, and counts its sides there, so of the rows that arise all but those
+    in the box and not in the polygon are results. Polygons of more than SIDES sides are looked up by their sides."""
+    high = sides.filter("ay <> by")
+    around = cut(high.groupBy("polygon").agg(F.count("*").alias("quire_n"), F.min(F.least("ax", "bx")).alias("x0"), F.max(F.greatest("ax", "bx")).alias("x1"), F.min(F.least("ay", "by")).alias("y0"), F.max(F.greatest("ay", "by")).alias("y1")))
+    crossed = lambda c: ((F.col("y") < c("ay")) != (F.col("y") < c("by"))) & (F.col("x") < c("ax") + (F.col("y") - c("ay")) * (c("bx") - c("ax")) / (c("by") - c("ay")))
+    spots = points.select(*key, "x", "y").distinct()
+    listed = high.join(around.filter(F.col("quire_n") <= SIDES), "polygon").groupBy("polygon", "x0", "x1", "y0", "y1").agg(F.collect_list(F.struct("ax", "ay", "bx", "by")).alias("sides"))
+    inside = F.size(F.filter("b_sides", lambda e: crossed(lambda c: e[c]))) % 2 == 1
+    found = boxes_at(spots, cut(listed), FINE).filter(inside).select(*key, F.col("b_polygon").alias("polygon"))
+    long = around.filter(F.col("quire_n") > SIDES)
+    if long.isEmpty():
+        return found
+    boxes = high.join(long.select("polygon", "x0"), "polygon").select("*", F.least("ay", "by").alias("y0"), F.greatest("ay", "by").alias("y1"), F.greatest("ax", "bx").alias("x1"))
+    odd = boxes_at(spots, boxes).filter(crossed(lambda c: F.col(f"b_{c}"))).groupBy(*key, F.col("b_polygon").alias("polygon")).agg(F.count("*").alias("n"))
+    return found.unionByName(odd.filter("n % 2 = 1").drop("n"))

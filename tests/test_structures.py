@@ -396,3 +396,16 @@ def test_topmost_makes_no_pairs(spark, monkeypatch):
     got = spatial.topmost(spark.createDataFrame(points, "id long, x double, y double"), spark.createDataFrame(boxes, "o long, x0 double, x1 double, y0 double, y1 double"), ["id"], "o")
     holds = lambda x, y: [o for o, x0, x1, y0, y1 in boxes if None not in (x, y, x0) and x0 <= x <= x1 and y0 <= y <= y1]
     assert {r.id: r.o for r in got.collect()} == {i: max(holds(x, y), default=None) for i, x, y in points}
+
+
+@pytest.mark.parametrize("most", [4, 1000])
+def test_polygons_meet_points_once(spark, monkeypatch, most):
+    """A point that comes twice is one; polygons of many sides are found too. Sides make no pairs with points where a polygon is small."""
+    dice = random.Random(12)
+    corners = {n: [(dice.uniform(-60, 60), dice.uniform(-60, 60)) for _ in range(3 + n % 4)] for n in range(12)}
+    sides = [(n, *a, *c) for n, v in corners.items() for a, c in zip(v, v[1:] + v[:1], strict=True)]
+    points = [(i, dice.uniform(-60, 60), dice.uniform(-60, 60)) for i in range(120)] * 2 + [(1000, None, 1.0)]
+    monkeypatch.setattr(spatial, "SIDES", most)
+    got = spatial.in_polygons(spark.createDataFrame(points, "id long, x double, y double"), spark.createDataFrame(sides, "polygon long, ax double, ay double, bx double, by double"), ["id"])
+    inside = lambda x, y, v: sum(((y < a[1]) != (y < c[1])) and x < a[0] + (y - a[1]) * (c[0] - a[0]) / (c[1] - a[1]) for a, c in zip(v, v[1:] + v[:1], strict=True)) % 2 == 1
+    assert sorted((r.id, r.polygon) for r in got.collect()) == sorted({(i, n) for i, x, y in points if x is not None for n, v in corners.items() if inside(x, y, v)})
