@@ -5,6 +5,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..scratch import cut
+from .parts import sums_before
 
 
 def newest(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
@@ -17,14 +18,8 @@ def newest(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
 def offsets(rows: DataFrame, keys: list[str], order: list[str], size: str, name: str) -> DataFrame:
     """The sum of the sizes before each row of its key. Rows are sorted over all partitions by key and order; a partition sums what it has
     of a key, and what the partitions before have of it is added, so a frequent key is spread over many."""
-    placed = cut(rows.repartitionByRange(*keys, *order).withColumn("quire_part", F.spark_partition_id()))
-    sums = placed.groupBy(*keys, "quire_part").agg(F.sum(size).alias("quire_sum"))
-    before = sums.select(*(F.col(k).alias(f"quire_{k}") for k in keys), F.col("quire_part").alias("quire_p"), F.coalesce(F.sum("quire_sum").over(W.partitionBy(*keys).orderBy("quire_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("quire_before"))
-    own = F.coalesce(F.sum(size).over(W.partitionBy(*keys, "quire_part").orderBy(*order).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    same = F.col("quire_part") == F.col("quire_p")
-    for k in keys:
-        same &= F.col(k).eqNullSafe(F.col(f"quire_{k}"))
-    return placed.withColumn("quire_own", own).join(before, same).withColumn(name, (F.col("quire_before") + F.col("quire_own")).cast("long")).select(*rows.columns, name)
+    met = sums_before(rows, keys, order, size, "quire_own", "quire_base")
+    return met.withColumn(name, (F.col("quire_base") + F.col("quire_own") - F.coalesce(F.col(size), F.lit(0))).cast("long")).select(*rows.columns, name)
 
 
 def number(rows: DataFrame, order: list[str], name: str) -> DataFrame:

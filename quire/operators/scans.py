@@ -1,25 +1,19 @@
 """Scans over ordered rows that go on from partition to partition, so that a frequent key is spread over many tasks.
 
-Rows are sorted over all partitions by key and order and written. Each partition is summed up by a row for each of its keys;
-windows over these rows, one a partition at most for a key, tell what comes before, and each partition goes on from there.
+Rows are sorted over all partitions by key and order and written. Of each partition only the last key goes on in the next, so one row a partition
+tells what comes before, and each partition goes on from there.
 """
 
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..scratch import cut
 from .ordering import number
-
-PART = "quire_part"
-
-
-def placed(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
-    return cut(rows.repartitionByRange(*keys, *order).withColumn(PART, F.spark_partition_id()))
+from .parts import PART, carried, inside, placed, sums_before
 
 
 def _inside(keys, order):
-    return W.partitionBy(*keys, PART).orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
+    return inside(keys, order).rowsBetween(W.unboundedPreceding, 0)
 
 
 def _before(keys):
@@ -37,27 +31,22 @@ def _with_parts(rows: DataFrame, parts: DataFrame, keys: list[str]) -> DataFrame
 
 def running(rows: DataFrame, keys: list[str], order: list[str], value: str, name: str) -> DataFrame:
     """rows with the sum of the values of their key up to and with each. The order must be one of distinct rows; null counts as nothing."""
-    here = placed(rows, keys, order).withColumn("quire_own", F.coalesce(F.sum(value).over(_inside(keys, order)), F.lit(0)))
-    parts = here.groupBy(*keys, PART).agg(F.sum(value).alias("quire_sum"))
-    parts = parts.select(*keys, PART, F.coalesce(F.sum("quire_sum").over(_before(keys)), F.lit(0)).alias("quire_base"))
-    return _with_parts(here, parts, keys).withColumn(name, F.col("quire_base") + F.col("quire_own")).select(*rows.columns, name)
+    return sums_before(rows, keys, order, value, "quire_own", "quire_base").withColumn(name, F.col("quire_base") + F.col("quire_own")).select(*rows.columns, name)
 
 
 def last_known(rows: DataFrame, keys: list[str], order: list[str], value: str, name: str) -> DataFrame:
     """rows with the last value of their key, up to and with each, that is not null."""
     here = placed(rows, keys, order).withColumn("quire_own", F.last(value, ignorenulls=True).over(_inside(keys, order)))
-    parts = here.groupBy(*keys, PART).agg(F.max_by("quire_own", F.struct(F.col("quire_own").isNotNull(), *order)).alias("quire_last"))
-    parts = parts.select(*keys, PART, F.last("quire_last", ignorenulls=True).over(_before(keys)).alias("quire_base"))
-    return _with_parts(here, parts, keys).withColumn(name, F.coalesce("quire_own", "quire_base")).select(*rows.columns, name)
+    met = carried(here, keys, order, "quire_own", "quire_base", lambda v: F.last(v, ignorenulls=True))
+    return met.withColumn(name, F.coalesce("quire_own", "quire_base")).select(*rows.columns, name)
 
 
 def shifted(rows: DataFrame, keys: list[str], order: list[str], value: str, name: str) -> DataFrame:
     """rows with the value of the row before each of its key, null for the first."""
-    seen = W.partitionBy(*keys, PART).orderBy(*order)
+    seen = inside(keys, order)
     here = placed(rows, keys, order).withColumn("quire_first", F.row_number().over(seen) == 1).withColumn("quire_prev", F.lag(value).over(seen))
-    parts = here.groupBy(*keys, PART).agg(F.max_by(F.struct(F.col(value).alias("v")), F.struct(*order)).alias("quire_end"))
-    parts = parts.select(*keys, PART, F.last("quire_end").over(_before(keys)).alias("quire_end"))
-    return _with_parts(here, parts, keys).withColumn(name, F.when(F.col("quire_first"), F.col("quire_end.v")).otherwise(F.col("quire_prev"))).select(*rows.columns, name)
+    met = carried(here.withColumn("quire_end", F.struct(F.col(value).alias("v"))), keys, order, "quire_end", "quire_base", F.last)
+    return met.withColumn(name, F.when(F.col("quire_first"), F.col("quire_base.v")).otherwise(F.col("quire_prev"))).select(*rows.columns, name)
 
 
 def runs(rows: DataFrame, keys: list[str], order: list[str], value: str) -> DataFrame:

@@ -409,3 +409,20 @@ def test_polygons_meet_points_once(spark, monkeypatch, most):
     got = spatial.in_polygons(spark.createDataFrame(points, "id long, x double, y double"), spark.createDataFrame(sides, "polygon long, ax double, ay double, bx double, by double"), ["id"])
     inside = lambda x, y, v: sum(((y < a[1]) != (y < c[1])) and x < a[0] + (y - a[1]) * (c[0] - a[0]) / (c[1] - a[1]) for a, c in zip(v, v[1:] + v[:1], strict=True)) % 2 == 1
     assert sorted((r.id, r.polygon) for r in got.collect()) == sorted({(i, n) for i, x, y in points if x is not None for n, v in corners.items() if inside(x, y, v)})
+
+
+def test_partitions_grow_with_the_rows(spark, monkeypatch):
+    """A partition of a scan holds a bounded number of rows, whatever the session's number of partitions; a key that spans many of them is carried on, and short ones between are not."""
+    from quire.operators import parts
+
+    monkeypatch.setattr(parts, "ROWS", 100)
+    df = spark.range(3000).select(F.when(F.col("id") % 3 > 0, 1).when(F.col("id") % 2 > 0, None).otherwise(F.col("id")).alias("g"), F.col("id").alias("i"), F.when(F.col("id") % 50 < 3, F.col("id")).alias("v"))
+    assert scans.placed(df, ["g"], ["i"]).groupBy("quire_part").count().filter("count < 400").count() >= 25
+    rows, want, total, last, before = sorted(((r.g, r.i, r.v) for r in df.collect()), key=lambda r: (r[0] or -1, r[1])), {}, collections.Counter(), {}, {}
+    for g, i, v in rows:
+        total[g] += v or 0
+        last[g] = v if v is not None else last.get(g)
+        want[i] = (total[g], last[g], before.get(g))
+        before[g] = i
+    found = scans.shifted(scans.last_known(scans.running(df, ["g"], ["i"], "v", "t"), ["g"], ["i"], "v", "l"), ["g"], ["i"], "i", "b")
+    assert {r.i: (r.t, r.l, r.b) for r in found.collect()} == want
