@@ -56,12 +56,12 @@ def imported(nodes: DataFrame, edges: DataFrame, roots: DataFrame, taken: int, r
 
 def list_places(rows: DataFrame, node: str, following: str) -> DataFrame:
     """rows (node, following, or null at a list's end) with `to_end`, the steps from each node to its list's end, null in a loop. Steps
-    double in each round, so a list of n nodes takes log n rounds."""
+    double in each round, so a list of n nodes takes log n rounds. No round passes the nodes through the driver for a broadcast."""
     now = cut(rows.select(F.col(node).alias("a"), F.col(following).alias("b"), F.when(F.col(following).isNull(), 0).otherwise(1).cast("long").alias("steps")))
     rounds = max(1, int(now.count())).bit_length()
     for _ in range(rounds):
         if now.filter("b IS NOT NULL").isEmpty():
             break
         onward = now.select(F.col("a").alias("b"), F.col("b").alias("c"), F.col("steps").alias("more"))
-        now = cut(now.join(onward, "b", "left").select("a", F.col("c").alias("b"), (F.col("steps") + F.coalesce("more", F.lit(0))).alias("steps")))
+        now = cut(now.join(onward.hint("merge"), "b", "left").select("a", F.col("c").alias("b"), (F.col("steps") + F.coalesce("more", F.lit(0))).alias("steps")))
     return rows.join(now.select(F.col("a").alias(node), F.when(F.col("b").isNull(), F.col("steps")).alias("to_end")), node)

@@ -426,3 +426,13 @@ def test_partitions_grow_with_the_rows(spark, monkeypatch):
         before[g] = i
     found = scans.shifted(scans.last_known(scans.running(df, ["g"], ["i"], "v", "t"), ["g"], ["i"], "v", "l"), ["g"], ["i"], "i", "b")
     assert {r.i: (r.t, r.l, r.b) for r in found.collect()} == want
+
+
+def test_lists_are_not_broadcast(spark, monkeypatch):
+    from quire.operators import graphs
+
+    plans, own = [], graphs.cut
+    monkeypatch.setattr(graphs, "cut", lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString()) or own(df))
+    rows = spark.createDataFrame([(i, i + 1 if i % 40 < 39 else None) for i in range(200)], "node long, following long")
+    assert {r.node: r.to_end for r in graphs.list_places(rows, "node", "following").collect()} == {i: 39 - i % 40 for i in range(200)}
+    assert len(plans) > 5 and not any("Broadcast" in p for p in plans)
