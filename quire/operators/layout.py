@@ -4,6 +4,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..scratch import cut
+from .parts import LEAST, ROWS
 
 
 def collapsed_borders(cells: DataFrame, keys: list[str]) -> DataFrame:
@@ -14,7 +15,10 @@ def collapsed_borders(cells: DataFrame, keys: list[str]) -> DataFrame:
     edge = lambda side, row, col, width, rank: F.struct(F.lit(side).alias("side"), row.alias("row"), col.alias("col"), F.col(width).alias("width"), F.lit(rank).alias("rank"))
     across = F.flatten(F.transform(many("col", "col_span"), lambda c: F.array(edge("h", F.col("row"), c, "top", 1), edge("h", F.col("row") + F.col("row_span"), c, "bottom", 0))))
     down = F.flatten(F.transform(many("row", "row_span"), lambda r: F.array(edge("v", r, F.col("col"), "left", 1), edge("v", r, F.col("col") + F.col("col_span"), "right", 0))))
-    edges = cells.select(*keys, F.col("row").alias("own_row"), F.col("col").alias("own_col"), F.explode(F.concat(across, down)).alias("e")).select(*keys, "own_row", "own_col", "e.*")
+    cells = cut(cells)
+    # as many partitions as keep what a task sorts bounded
+    parts = max(LEAST, -(-cells.count() // ROWS))
+    edges = cells.select(*keys, F.col("row").alias("own_row"), F.col("col").alias("own_col"), F.explode(F.concat(across, down)).alias("e")).select(*keys, "own_row", "own_col", "e.*").repartition(parts, *keys, "side", "row", "col")
     order = F.struct(F.coalesce("width", F.lit(0.0)).alias("w"), (-F.col("rank")).alias("r"), (-F.col("own_row")).alias("y"), (-F.col("own_col")).alias("x"))
     best = edges.groupBy(*keys, "side", "row", "col").agg(F.max_by(F.struct("width", "own_row", "own_col"), order).alias("best"))
     return best.select(*keys, "side", "row", "col", F.coalesce("best.width", F.lit(0.0)).alias("width"), "best.own_row", "best.own_col")

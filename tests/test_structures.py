@@ -436,3 +436,12 @@ def test_lists_are_not_broadcast(spark, monkeypatch):
     rows = spark.createDataFrame([(i, i + 1 if i % 40 < 39 else None) for i in range(200)], "node long, following long")
     assert {r.node: r.to_end for r in graphs.list_places(rows, "node", "following").collect()} == {i: 39 - i % 40 for i in range(200)}
     assert len(plans) > 5 and not any("Broadcast" in p for p in plans)
+
+
+def test_borders_in_partitions_that_grow_with_the_cells(spark, monkeypatch):
+    from quire.operators import layout
+
+    monkeypatch.setattr(layout, "ROWS", 2)
+    df = spark.createDataFrame([("t", i, 0, 1, 1, 1.0 * i, 0.5, 2.0, 3.0) for i in range(40)], "k string, row int, col int, row_span int, col_span int, top double, bottom double, left double, right double")
+    got = layout.collapsed_borders(df, ["k"])
+    assert got.rdd.getNumPartitions() == 20 and got.count() == 41 + 80
