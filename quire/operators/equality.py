@@ -26,11 +26,15 @@ def structural_classes(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """
     named = nodes.groupBy("content").agg(F.min("node").alias("class"), F.count("*").alias("quire_n"))
     content = nodes.join(named, nodes["content"].eqNullSafe(named["content"])).select("node", "class")
-    now, links = cut(content), cut(edges.select("src", "label", "dst"))
+    now, links = cut(content), cut(edges.groupBy("src", "label", "dst").agg(F.count("*").alias("n")))
+    # what very many refer to is broadcast, so that no task sorts all its references
+    degree = cut(links.groupBy("dst").agg(F.count("*").alias("quire_d")))
+    astray = cut(links.join(nodes.select(F.col("node").alias("dst")), "dst", "left_anti").select("src", "label", F.lit(None).cast(now.schema["class"].dataType).alias("to"), "n"))
     total = now.select("class").distinct().count()
     while True:
-        told = links.join(now.select(F.col("node").alias("dst"), F.col("class").alias("to")), "dst", "left")
-        refs = cut(told.groupBy("src", "label", "to").agg(F.count("*").alias("n")))
+        targets = now.select(F.col("node").alias("dst"), F.col("class").alias("to")).join(degree, "dst")
+        told = with_group(links, targets, "dst", "quire_d").select("src", "label", "to", "n").unionByName(astray)
+        refs = cut(told.groupBy("src", "label", "to").agg(F.sum("n").alias("n")))
         sums = refs.groupBy(F.col("src").alias("node")).agg(F.count("*").alias("kinds"), *(F.sum(_hash(s, "label", "to", "n")).alias(f"s{i}") for i, s in enumerate(SEEDS)))
         signed = now.join(sums, "node", "left").select("node", F.struct("class", "kinds", "s0", "s1").alias("sign"))
         signed = signed.select("node", F.struct("sign.class", F.coalesce("sign.kinds", F.lit(0)).alias("kinds"), *(F.coalesce(f"sign.s{i}", F.lit(0).cast("decimal(38,0)")).alias(f"s{i}") for i in range(2))).alias("sign"))

@@ -445,3 +445,13 @@ def test_borders_in_partitions_that_grow_with_the_cells(spark, monkeypatch):
     df = spark.createDataFrame([("t", i, 0, 1, 1, 1.0 * i, 0.5, 2.0, 3.0) for i in range(40)], "k string, row int, col int, row_span int, col_span int, top double, bottom double, left double, right double")
     got = layout.collapsed_borders(df, ["k"])
     assert got.rdd.getNumPartitions() == 20 and got.count() == 41 + 80
+
+
+def test_what_all_refer_to_is_broadcast(spark, monkeypatch):
+    """References that repeat are counted before the rounds; targets meet them as heavy keys do. A reference to nothing or to null is one to nothing."""
+    met, own = [], equality.with_group
+    monkeypatch.setattr(equality, "with_group", lambda rows, groups, key, count: met.append(key) or own(rows, groups, key, count))
+    nodes = [(i, "leaf" if i < 3 else "node") for i in range(60)]
+    edges = [(i, "x", i % 3) for i in range(3, 60) for _ in range(1 + i % 2)] + [(3, "y", None), (6, "y", 999), (9, "y", None), (9, "y", 998)]
+    got = equality.structural_classes(spark.createDataFrame(nodes, "node long, content string"), spark.createDataFrame(edges, "src long, label string, dst long"))
+    assert {r.node: r["class"] for r in got.collect()} == plain_classes(nodes, edges) and "dst" in met
