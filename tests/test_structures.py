@@ -339,6 +339,42 @@ def test_linked_boxes(spark):
     assert flow.linked_boxes(df.limit(0), boxes, ["k"], ["i"], "size", 1).isEmpty() and flow.linked_boxes(df, boxes.limit(0), ["k"], ["i"], "size", 1).isEmpty()
 
 
+def test_rounds_over_linked_boxes_hold_few_rows(spark, monkeypatch):
+    from quire.operators import flow
+
+    dice = random.Random(6)
+    texts = {k: [dice.choice([1, 2, 3, 9]) for _ in range(n)] for k, n in ((1, 4000), (2, 64), (3, 65))}
+    # lines of many words, also of more than a block, and stretches that end within a block and at its end
+    chains = {1: [(1, 12, 300), (2, 30, 1), (3, 500, 2), (4, 3, 40), (5, 12, 900)], 2: [(1, 2, 100)], 3: [(1, 1, 64), (2, 20, 3)]}
+    want = []
+    for k, chain in chains.items():
+        at, sizes = 0, texts[k]
+        for box, width, lines in chain:
+            for line in range(lines):
+                if at >= len(sizes):
+                    break
+                n, room = 1, sizes[at]
+                while at + n < len(sizes) and room + 1 + sizes[at + n] <= width:
+                    room, n = room + 1 + sizes[at + n], n + 1
+                want.append((k, box, line, at, n))
+                at += n
+    words = spark.createDataFrame([(k, i, w) for k, t in texts.items() for i, w in enumerate(t)], "k long, i long, size long").repartition(3)
+    boxes = spark.createDataFrame([(k, *b) for k, c in chains.items() for b in c], "k long, box long, box_width long, lines long")
+    monkeypatch.setattr(flow, "BLOCK", 64, raising=False)
+    written, cut = [], flow.cut
+
+    def counted(df):
+        out = cut(df)
+        written.append(out.count())
+        return out
+
+    monkeypatch.setattr(flow, "cut", counted)
+    got = [tuple(r) for r in flow.linked_boxes(words, boxes, ["k"], ["i"], "size", 1).select("k", "box", "line", "first", "words").collect()]
+    assert sorted(got) == sorted(want)
+    # the words, and the next line of each of them: no round writes them again
+    assert sum(n >= 4000 for n in written) == 2
+
+
 def plain_boxes(pixels, colours):
     """Boxes as lists of cells: the one that varies most is cut where the halves vary least."""
     cells = collections.defaultdict(list)
