@@ -7,7 +7,8 @@ are joined, and what both spans hold on the same side of c is compared token by
 texts; those that overlap, across windows and hash functions, are joined to passages.
 
 Each window is compared with the first of its list. Windows that do not agree with it are compared with all others of the
-list, in blocks, unless they lie in a passage and in a component with it already.
+list that share enough tokens beside their centre, unless they lie in a passage and in a component with it already. These are found by the rarest
+of the tokens, so windows with nothing in common but the hash are not paired; only lists of more than BLOCK windows are cut into blocks.
 """
 
 import numpy as np
@@ -33,9 +34,13 @@ NEED = -(-2 * PERCENT * WIDTH // (100 + PERCENT))
 REACH = WIDTH - 1
 SPAN = 2 * REACH + 1
 #: Windows of a list that one task compares with as many others.
-BLOCK = 256
+BLOCK = 4096
 #: Pairs of windows that are compared at once.
 PAIRS = 4096
+#: Pairs of windows that a rare token may bring together at once.
+MET = 1 << 19
+#: Pairs up to which windows are compared without looking for rare tokens.
+FEW = 128
 
 
 def tree_nodes(tokens: np.ndarray, whole: np.ndarray, row: np.ndarray, seed: np.uint64, width: int = WIDTH):
@@ -196,54 +201,103 @@ def _against_leader(batches):
 BESIDE = (WIDTH - 1) // 2
 
 
+#: Of these, how many must be among the other window's on that side, SHIFT places around.
+SHARED = BESIDE - (WIDTH - NEED)
+SIDES = ((REACH - BESIDE, REACH), (REACH + 1, REACH + 1 + BESIDE))
+
+
+def alike(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Whether each row of a may agree with the same row of b: of the BESIDE tokens on one side of a's c SHARED or more are among b's on that side, SHIFT places around."""
+    out = np.zeros(len(a), bool)
+    for lo, hi in SIDES:
+        own, there = a[:, lo:hi], b[:, lo - SHIFT : hi + SHIFT]
+        out |= ((own[:, :, None] == there[:, None, :]).any(axis=2) & (own != 0)).sum(axis=1) >= SHARED
+    return out
+
+
+def _rarest(own: np.ndarray, there: np.ndarray):
+    """For one side: (row of own, first, end) and rows of there, so that rows of there from first to end hold one of the rarest tokens of that row of own. Of the n tokens of a row
+    n - SHARED may be missing, so one of any n - SHARED + 1 is held by each row that may agree."""
+    r, c = np.nonzero(there)
+    token = there[r, c]
+    order = np.lexsort((r, token))
+    token, r = token[order], r[order]
+    keep = np.r_[True, (token[1:] != token[:-1]) | (r[1:] != r[:-1])][: len(r)]
+    token, r = token[keep], r[keep]
+    first, end = np.searchsorted(token, own, "left"), np.searchsorted(token, own, "right")
+    held = np.where(own != 0, end - first, np.iinfo(np.int64).max)
+    some = np.flatnonzero(((held > 0) & (own != 0)).sum(axis=1) >= SHARED)
+    by = np.argsort(held[some], axis=1, kind="stable")[:, : BESIDE - SHARED + 1]
+    used = np.arange(by.shape[1]) < ((own[some] != 0).sum(axis=1) - SHARED + 1)[:, None]
+    row, at = np.repeat(some, by.shape[1])[used.ravel()], by.ravel()[used.ravel()]
+    return row, first[row, at], end[row, at], r
+
+
+def met_windows(a: np.ndarray, b: np.ndarray):
+    """Pairs (rows of a, rows of b) in order, in parts of about MET: all that may agree, and others that share a rare token."""
+    if len(a) * len(b) <= FEW:
+        yield np.divmod(np.arange(len(a) * len(b)), len(b))
+        return
+    sides = [_rarest(a[:, lo:hi], b[:, lo - SHIFT : hi + SHIFT]) for lo, hi in SIDES]
+    cost = sum(np.bincount(row, end - first, len(a)) for row, first, end, _ in sides)
+    part = (np.cumsum(cost) // MET).astype(np.int64)
+    for k in np.unique(part[cost > 0]):
+        codes = []
+        for row, first, end, there in sides:
+            mine = part[row] == k
+            size = end[mine] - first[mine]
+            at = np.arange(size.sum()) + np.repeat(first[mine] - np.cumsum(size) + size, size)
+            codes.append(np.repeat(row[mine], size) * len(b) + there[at])
+        code = np.unique(np.concatenate(codes))
+        yield code // len(b), code % len(b)
+
+
 def may_agree(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Whether each row of a and each of b may agree: of the BESIDE tokens on one side of a's c all but WIDTH - NEED are among b's on that side, SHIFT places around."""
+    """Whether each row of a and each of b may agree."""
     out = np.zeros((len(a), len(b)), bool)
-    for lo, hi in ((REACH - BESIDE, REACH), (REACH + 1, REACH + 1 + BESIDE)):
-        own, there = a[:, lo:hi], b[:, lo - SHIFT : hi + SHIFT]
-        known = np.unique(own)
-        known = known[known != 0]
-        if not len(known):
-            continue
-        sides = []
-        for part in (own, there):
-            at = np.minimum(np.searchsorted(known, part), len(known) - 1)
-            r, c = np.nonzero(known[at] == part)
-            held = np.zeros((len(part), len(known)), np.float32)
-            np.add.at(held, (r, at[r, c]), 1)
-            sides.append(held)
-        out |= sides[0] @ np.minimum(sides[1], 1).T >= BESIDE - (WIDTH - NEED)
+    for i, j in met_windows(a, b):
+        out[i, j] = alike(a[i], b[j])
     return out
 
 
 def _in_blocks(g):
-    """Open windows of a list (side 0) against a block of all its windows (side 1): spans of a forest of those that agree."""
+    """Open windows of a list (side 0, or 2 for those of both sides) against a block of all its windows (side 1): spans of a forest of those that agree."""
     side, cid, label, c = (g[k].to_numpy() for k in ("side", "cid", "label", "c"))
-    before, behind, near = g["before"].to_numpy(), g["behind"].to_numpy(), _near(g["near"])
-    order = np.lexsort((c, cid, side))  # whatever the order in which rows arrive, the forest is the same
-    side, cid, label, c, before, behind, near = (v[order] for v in (side, cid, label, c, before, behind, near))
-    x, y = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+    before, behind = g["before"].to_numpy(), g["behind"].to_numpy()
+    order = np.lexsort((c, cid))  # whatever the order in which rows arrive, the forest is the same
+    x, y = order[side[order] != 1], order[side[order] != 0]
     if not len(x) or not len(y):
         return None
-    i, j = np.nonzero((label[x][:, None] != label[y]) & (cid[x][:, None] != cid[y]) & may_agree(near[x], near[y]))
-    i, j = x[i], y[j]
-    root, out = list(range(len(side))), []
+    near = _near(g["near"])
+    root, out = np.arange(len(x) + len(y)), []
 
     def top(k):
         while root[k] != k:
             root[k] = root[root[k]]
-            k = root[k]
+            k = int(root[k])
         return k
 
-    for k in range(0, len(i), PAIRS):
-        p, q = j[k : k + PAIRS], i[k : k + PAIRS]
-        ok, *found = agreement(near[p], near[q], before[p], behind[p], before[q], behind[q])
-        found = _placed(found, c[p], c[q])
-        for m in np.flatnonzero(ok).tolist():
-            s, t = top(int(p[m])), top(int(q[m]))
-            if s != t:
-                root[max(s, t)] = min(s, t)
-                out.append((cid[p[m]], cid[q[m]], *(x[m] for x in found)))
+    for i, j in met_windows(near[x], near[y]):
+        some = (label[x[i]] != label[y[j]]) & (cid[x[i]] != cid[y[j]])
+        i, j = i[some], j[some]
+        for k in range(0, len(i), PAIRS):
+            q, p = i[k : k + PAIRS], j[k : k + PAIRS]
+            while (root[root] != root).any():
+                root[:] = root[root]
+            apart = root[q] != root[p + len(x)]  # those that are connected add nothing to the forest
+            q, p = q[apart], p[apart]
+            may = alike(near[x[q]], near[y[p]])
+            q, p = q[may], p[may]
+            if not len(q):
+                continue
+            s, t = x[q], y[p]
+            ok, *found = agreement(near[t], near[s], before[t], behind[t], before[s], behind[s])
+            found = _placed(found, c[t], c[s])
+            for m in np.flatnonzero(ok).tolist():
+                a, b = top(int(p[m]) + len(x)), top(int(q[m]))
+                if a != b:
+                    root[max(a, b)] = min(a, b)
+                    out.append((cid[t[m]], cid[s[m]], *(v[m] for v in found)))
     return tuple(np.array(v) for v in zip(*out, strict=True)) if out else None
 
 
@@ -375,19 +429,21 @@ def _left(entries: DataFrame, open_: DataFrame, verified: DataFrame, total: int)
     inside = F.coalesce(F.exists("inside", lambda x: (x["lo"] <= F.col("c")) & (F.col("c") < x["hi"])), F.lit(False))
     # a window in no passage has a label of its own
     known = entries.select("value", "cid", "c").join(open_.select("value").distinct(), "value", "left_semi").join(islands, "cid", "left").join(linked, "cid", "left")
-    known = cut(known.select("value", "cid", "c", F.when(inside, F.col("component")).otherwise(F.xxhash64("cid", "c", F.lit(7))).alias("label")))
-    led = open_.join(linked.toDF("leader", "led"), "leader", "left").select("value", "cid", "c", "led")
-    still = led.join(known, ["value", "cid", "c"]).filter("led IS NULL OR label <> led").select("value", "cid", "c", "label")
-    opened = still.groupBy("value").agg(F.count("*").alias("opened"))
-    lists = known.groupBy("value").agg(F.count("*").alias("df")).join(opened, "value")
+    known = known.select("value", "cid", "c", F.when(inside, F.col("component")).otherwise(F.xxhash64("cid", "c", F.lit(7))).alias("label"))
+    led = open_.join(linked.toDF("leader", "led"), "leader", "left").select("value", "cid", "c", "led", F.lit(True).alias("asked"))
+    known = known.join(led, ["value", "cid", "c"], "left").withColumn("open", F.coalesce(F.col("asked") & (F.col("led").isNull() | (F.col("label") != F.col("led"))), F.lit(False)))
+    known = cut(known.select("value", "cid", "c", "label", "open"))
+    lists = known.groupBy("value").agg(F.count("*").alias("df"), F.count_if("open").alias("opened")).filter("opened > 0")
     lists = cut(lists.withColumn("opens", F.ceil(F.col("opened") / BLOCK).cast("int")).withColumn("blocks", F.ceil(F.col("df") / BLOCK).cast("int")))
     body = having(entries, lists.select("value"), "value").select("value", "cid", "c", "before", "behind", "near")
     every = join_groups(known, lists.select("value", "df", "opens", "blocks"), "value", "df", total)
-    mark = F.xxhash64("cid", "c")
-    every = every.select("value", "cid", "c", "label", F.lit(1).alias("side"), F.pmod(mark, "blocks").cast("int").alias("block"), F.explode(F.sequence(F.lit(0), F.col("opens") - 1)).alias("opening"))
-    some = join_groups(still, lists.select("value", "opened", "opens", "blocks"), "value", "opened", total)
-    some = some.select("value", "cid", "c", "label", F.lit(0).alias("side"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.pmod(mark, "opens").cast("int").alias("opening"))
-    dealt = every.unionByName(some).join(body, ["value", "cid", "c"])
+    mark, zero, each = F.xxhash64("cid", "c"), F.lit(0), lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    # a list of one block is dealt once; of others every window meets the blocks of open ones, and open ones those of all
+    beside = F.transform(each("opens"), lambda o: F.struct(F.lit(1).alias("side"), F.pmod(mark, "blocks").cast("int").alias("block"), o.alias("opening")))
+    own = F.transform(each("blocks"), lambda b: F.struct(zero.alias("side"), b.alias("block"), F.pmod(mark, "opens").cast("int").alias("opening")))
+    once = F.array(F.struct(F.when(F.col("open"), 2).otherwise(1).alias("side"), zero.alias("block"), zero.alias("opening")))
+    places = F.when(F.col("blocks") == 1, once).when(F.col("open"), F.concat(beside, own)).otherwise(beside)
+    dealt = every.select("value", "cid", "c", "label", F.explode(places).alias("at")).select("value", "cid", "c", "label", "at.*").join(body, ["value", "cid", "c"])
     return cut(grouped(dealt, ["value", "opening", "block"], _in_blocks, SPANS))
 
 

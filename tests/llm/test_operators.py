@@ -424,6 +424,36 @@ def test_passages_in_lists_led_by_strays(spark):
     assert _found(spark, docs) == {1000: 1000, 1001: 1000}
 
 
+def test_windows_of_a_list_are_dealt_once_and_met_by_rare_tokens(spark, monkeypatch):
+    # 400 texts share one shingle and nothing else: pairs and rows follow their number, not its square
+    share, dealt, grouped = _fresh(50, 1), [], passages.grouped
+    x = int(_nodes(_tokens(" ".join(share)), passages.SEEDS[0])[0])
+    docs = {i: " ".join([*(own := _fresh(300, 100 + i))[:100], *share[x : x + 5], *own[100:]]) for i in range(400)} | {1000: " ".join(share), 1001: " ".join([*share, *_fresh(60, 2)])}
+
+    def counted(rows, keys, work, schema):
+        dealt.append((rows.count(), rows.select("value", "cid", "c").distinct().count()))
+        return grouped(rows, keys, work, schema)
+
+    monkeypatch.setattr(passages, "grouped", counted)
+    assert _found(spark, docs) == {1000: 1000, 1001: 1000}
+    assert dealt[0][0] == dealt[0][1] > 300
+    # of the windows of a list that has some alike, those that may agree are all met, in parts of any size
+    g = np.random.default_rng(3)
+    near = g.integers(1, 1 << 32, (500, passages.SPAN), np.uint32)
+    near[:, passages.REACH] = 7
+    near[:, passages.REACH + 1 : passages.REACH + 9] = np.arange(1, 9)  # eight tokens are the list's
+    for i in range(0, 120, 2):  # a few of the others are changed, and places shift
+        near[i + 1] = np.roll(near[i], int(g.integers(-9, 10)))
+        near[i + 1, g.integers(0, passages.SPAN, int(g.integers(0, 12)))] = 5
+        near[i + 1, : int(g.integers(0, 40))] = 0
+    i, j = np.divmod(np.arange(500 * 500), 500)
+    want = {(a, b) for a, b, like in zip(i, j, passages.alike(near[i], near[j]), strict=True) if like}
+    for met in (1 << 19, 50):
+        monkeypatch.setattr(passages, "MET", met)
+        pairs = [(a, b) for r, c in passages.met_windows(near, near) for a, b in zip(r, c, strict=True)]
+        assert want <= set(pairs) and len(pairs) == len(set(pairs)) < 5000 and len(want) > 550
+
+
 def test_passages_joined_over_windows(spark):
     long = _fresh(700, 31)
     rows = passages.near_passages(spark.createDataFrame([(1, " ".join(long)), (2, " ".join([*_fresh(40, 32), *long[100:650], *_fresh(40, 33)])), (2, " ".join(long[:20])), (3, "JUNK!! " * 300), (4, "JUNK!! " * 200)], "doc_id long, text string")).collect()
