@@ -19,8 +19,7 @@ from pyspark.sql import functions as F
 
 from .common import NAMELESS, cut, grouped, having, join_groups, nameless
 from .graph import components
-from .suffixes import _minima
-from .words import chunks, mix, shingles, words
+from .words import chunks, minima, mix, shingles, words
 
 SHINGLE, PASSAGE_WORDS, PERCENT = 5, 50, 80
 #: Tokens of the shortest passage.
@@ -52,7 +51,7 @@ def tree_nodes(tokens: np.ndarray, whole: np.ndarray, row: np.ndarray, seed: np.
     low = np.uint64(0xFFFFFF)
     ranked = (mix(tokens ^ seed) & ~low) | np.arange(len(tokens), dtype=np.uint64)
     inside = np.cumsum(np.r_[0, whole])
-    at = (_minima(ranked, width) & low).astype(np.int64)[inside[width:] - inside[:-width] == width]
+    at = (minima(ranked, width) & low).astype(np.int64)[inside[width:] - inside[:-width] == width]
     if not len(at):
         return none, none, none
     at = at[np.r_[True, at[1:] != at[:-1]]]

@@ -21,7 +21,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut, having, join_groups
-from .words import _power, chunks, mix
+from .shared_words import shared_windows
+from .words import _power, chunks, minima, mix
 
 WIDTH, GRAM = 400, 64
 #: Strings that one suffix array sorts; successive small groups share one.
@@ -36,18 +37,6 @@ HELD_REGIONS = 20_000
 PIECE = 1 << 22
 
 
-def _minima(x: np.ndarray, w: int) -> np.ndarray:
-    """The minimum of each w successive values."""
-    n = len(x) - w + 1
-    blocks = -(-len(x) // w)
-    padded = np.full(blocks * w, np.iinfo(x.dtype).max, x.dtype)
-    padded[: len(x)] = x
-    padded = padded.reshape(blocks, w)
-    ahead = np.minimum.accumulate(padded, axis=1).ravel()
-    back = np.minimum.accumulate(padded[:, ::-1], axis=1)[:, ::-1].ravel()
-    return np.minimum(back[:n], ahead[w - 1 : w - 1 + n])
-
-
 def _grams(data: np.ndarray, size: int) -> np.ndarray:
     n = len(data)
     up, down = _power(n + 1)
@@ -65,7 +54,7 @@ def anchors(data: np.ndarray, bounds: np.ndarray, width: int = WIDTH, gram: int
         if len(part) < width:
             continue
         hashed = _grams(part, gram)
-        low = _minima((hashed & ~np.uint64(0xFFFFFF)) | np.arange(len(hashed), dtype=np.uint64), width - gram + 1)
+        low = minima((hashed & ~np.uint64(0xFFFFFF)) | np.arange(len(hashed), dtype=np.uint64), width - gram + 1)
         start = np.arange(len(low)) + at
         row = np.searchsorted(bounds, start, "right") - 1
         inside = start + width <= bounds[row + 1]
@@ -427,12 +416,13 @@ def merged(spans) -> list[tuple[int, int]]:
 
 
 def repeated_spans(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, most_regions: int = MOST_REGIONS) -> DataFrame:
-    """Every document with its repeated bytes: (doc_id, n_bytes, n_removed, n_spans, kept_sha256, has_repeats, runs).
+    """Every document with its repeated bytes: (doc_id, n_bytes, n_removed, n_spans, kept_sha256, has_repeats, n_shared, runs).
 
     A byte is repeated if a string of `width` bytes that covers it starts anywhere else too, in another or the same
     document; strings are judged on the input. Null counts as empty; texts under `width` bytes keep all. A text that
     stands in two rows, also of one doc_id, is repeated as a whole. runs are the removed spans (lo, hi) in bytes; has_repeats
-    tells whether there are any, so whether anything of the document goes.
+    tells whether there are any, so whether anything of the document goes. n_shared is the number of places from which on 51
+    successive words stand in the text of another row too: passages that may have too few bytes to be removed.
     """
     body = F.coalesce(F.col("text"), F.lit(""))
     keyed = docs.select("doc_id", F.unhex(F.sha2(body.cast("binary"), 256)).alias("sha"), body.alias("text"))
@@ -454,13 +444,15 @@ def repeated_spans(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, most_r
     again = having(keyed, each.select("tk"), "tk").select("tk", "text").dropDuplicates(["tk"]).join(each, "tk")
     left = again.select("tk", "text", "spans").mapInArrow(_removed(), "tk binary, n_removed long, n_spans long, kept_sha256 string, runs array<struct<lo:long,hi:long>>")
     whole = (F.col("copies") > 1) & (F.col("n_bytes") >= width)
-    zero = F.lit(0).cast("long")
-    known = classes.select("tk", "copies", "n_bytes").join(left, "tk", "left").select(
+    zero, number = F.lit(0).cast("long"), F.xxhash64("tk")
+    shared = shared_windows(keyed.select(number.alias("text"), F.col("text").alias("body")), classes.select(number.alias("text"), "copies"))
+    known = classes.select("tk", "copies", "n_bytes", number.alias("number")).join(left, "tk", "left").join(shared.withColumnRenamed("text", "number"), "number", "left").select(
         "tk", "copies",
         F.when(whole, F.col("n_bytes")).otherwise(F.coalesce("n_removed", zero)).alias("n_removed"),
         F.when(whole, F.lit(1).cast("long")).otherwise(F.coalesce("n_spans", zero)).alias("n_spans"),
         F.when(whole, F.sha2(F.lit("").cast("binary"), 256)).otherwise(F.col("kept_sha256")).alias("some"),
+        F.coalesce("n_shared", zero).alias("n_shared"),
         F.when(whole, F.array(F.struct(zero.alias("lo"), F.col("n_bytes").alias("hi")))).otherwise(F.coalesce("runs", F.array().cast("array<struct<lo:long,hi:long>>"))).alias("runs"),
     )
     out = join_groups(rows.select("doc_id", "n_bytes", "sha", "tk"), known, "tk", "copies", max(1, total))
-    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.coalesce("some", F.lower(F.hex("sha"))).alias("kept_sha256"), (F.col("n_removed") > 0).alias("has_repeats"), "runs")
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.coalesce("some", F.lower(F.hex("sha"))).alias("kept_sha256"), (F.col("n_removed") > 0).alias("has_repeats"), "n_shared", "runs")

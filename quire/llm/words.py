@@ -54,6 +54,18 @@ def chunks(column: pa.Array, limit: int = CHUNK_BYTES):
         i = j
 
 
+def minima(x: np.ndarray, w: int) -> np.ndarray:
+    """The minimum of each w successive values."""
+    n = len(x) - w + 1
+    blocks = -(-len(x) // w)
+    padded = np.full(blocks * w, np.iinfo(x.dtype).max, x.dtype)
+    padded[: len(x)] = x
+    padded = padded.reshape(blocks, w)
+    ahead = np.minimum.accumulate(padded, axis=1).ravel()
+    back = np.minimum.accumulate(padded[:, ::-1], axis=1)[:, ::-1].ravel()
+    return np.minimum(back[:n], ahead[w - 1 : w - 1 + n])
+
+
 def words(data: np.ndarray, bounds: np.ndarray, lower: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(hash, start, end, word bounds): row i's words are those from word bounds[i] to word bounds[i + 1]."""
     n = len(data)

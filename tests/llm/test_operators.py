@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from quire.llm import exact_dedup, graph, jaccard, mixing, near_vectors, packing, passages, quality, sharding, suffixes, url_filter
+from quire.llm import exact_dedup, graph, jaccard, mixing, near_vectors, packing, passages, quality, sharding, shared_words, suffixes, url_filter
 from quire.llm.queries import tokenizer_path
 from quire.llm.words import chunks, shingles, words
 
@@ -543,6 +543,58 @@ def test_a_line_that_texts_repeat_many_times(spark, most):
     assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got} == dict(enumerate(want))
 
 
+def _shared_places(texts, size=51):
+    """How many places of each text begin `size` words that another text of the list has too, by brute force."""
+    runs = [[tuple(w[i : i + size]) for i in range(len(w) - size + 1)] for w in ((t or "").split() for t in texts)]
+    held = collections.Counter(run for own in runs for run in set(own))
+    return [sum(held[run] > 1 for run in own) for own in runs]
+
+
+def test_passages_under_400_bytes_that_texts_share(spark):
+    passage = " ".join(f"p{i}" for i in range(51))
+    assert len(passage) < 400
+    own = [" ".join(_fresh(80, 40 + i)) for i in range(5)]
+    texts = [f"{own[0]} {passage} {own[1]}", passage.replace(" ", "\n"), f"{own[2]} {passage[:-4]}", f"{own[3]} {passage.upper()}", f"{own[4]} {own[4]}"]
+    got = {r.doc_id: r for r in suffixes.repeated_spans(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert [got[i].n_shared for i in range(5)] == [1, 1, 0, 0, 0] == _shared_places(texts)
+    assert [got[i].n_removed > 0 for i in range(5)] == [False, False, False, False, True]
+
+
+def test_shared_passages_against_brute_force(spark):
+    dice = random.Random(8)
+    fresh = lambda n: [dice.choice("abcdefghij") + dice.choice("klm") for _ in range(n)]
+    p, line = fresh(150), fresh(7)
+    texts = [None, "", " ".join(fresh(50)), " ".join(line * 20), " ".join(fresh(10) + line * 30), "x " * 90, "x " * 60 + "y"]
+    for i in range(60):
+        a, edited = dice.randint(0, 90), list(p)
+        for _ in range(dice.randint(0, 3)):
+            edited[dice.randrange(150)] = "edit"
+        texts.append(" ".join((fresh(dice.randint(0, 60)) + p[a : a + dice.randint(45, 60)] + fresh(20), edited, fresh(120))[i % 3]))
+    texts += [texts[9], texts[9], texts[8], " ".join(line * 20)]
+    ids = [*range(len(texts) - 2), 9, None]
+    got = suffixes.repeated_spans(spark.createDataFrame(list(zip(ids, texts, strict=True)), "doc_id long, text string").repartition(3)).collect()
+    key = lambda x: tuple(map(str, x))
+    assert sorted(key((r.doc_id, r.n_bytes, r.n_shared)) for r in got) == sorted(key((i, len(t or ""), n)) for i, t, n in zip(ids, texts, _shared_places(texts), strict=True))
+    assert 20 < sum(r.n_shared > 0 for r in got) < 60
+
+
+@pytest.mark.parametrize("piece", [1 << 22, 64])
+def test_regions_of_words(monkeypatch, piece):
+    monkeypatch.setattr(shared_words, "PIECE", piece)
+    dice = random.Random(2)
+    texts = [" ".join(dice.choice("abc") for _ in range(n)) for n in (0, 8, 9, 10, 300, 50, 0, 200)]
+    data, bounds = np.frombuffer("".join(f"{t} " for t in texts).encode(), np.uint8), np.cumsum([0, *(len(t) + 1 for t in texts)])
+    (row, anchor, region, first, many), windows = shared_words.regions(data, bounds, 9, 3)
+    assert np.bincount(row, many, 8).tolist() == [max(0, len(t.split()) - 8) for t in texts]
+    every = "".join(f"{t} " for t in texts).split()
+    of = {}  # equal windows have one anchor and one hash, equal regions one hash
+    for a, r, f, m in zip(anchor, region, first, many, strict=True):
+        assert of.setdefault(tuple(every[f : f + m + 8]), r) == r
+        for i in range(f, f + m):
+            assert of.setdefault(("window", *every[i : i + 9]), (a, windows[i])) == (a, windows[i])
+    assert len({x[1] for k, x in of.items() if k[0] == "window"}) == sum(k[0] == "window" for k in of)
+
+
 def test_compared_regions_keep_equal_strings_together():
     dice, width = random.Random(9), 30
     for _ in range(300):
