@@ -1,8 +1,8 @@
 """Passages of successive words that the text of another row holds too, whatever their length in bytes.
 
 A window is PASSAGE successive words. Successive windows of a text with one anchor, the smallest hash of the GRAM words inside
-them, make a region, so equal windows lie in regions of one anchor. A region that two rows hold is settled by that. Windows are only
-given out for anchors whose regions differ, once for each different region.
+them, make a region, so equal windows lie in regions of one anchor. Only anchors of two rows are looked at further. A region that two
+rows hold is settled by that. Windows are only given out for anchors whose regions differ, once for each different region.
 """
 
 import numpy as np
@@ -87,19 +87,22 @@ def shared_windows(docs: DataFrame, copies: DataFrame, size: int = PASSAGE, gram
     compared as they are written, white space between them is not. A window's places in one text count each.
     """
     made = cut(docs.select("text", "body").mapInArrow(_region_rows(size, gram), "text long, anchor long, region long, windows long"))
+    total = max(1, made.count())
     several = copies.filter("copies > 1").select("text", F.lit(COPY).alias("copy"))
-    each = made.join(several, "text", "left").groupBy("anchor", "region")
-    known = cut(each.agg(F.min("text").alias("text"), F.max(F.coalesce("copy", "text")).alias("other"), F.max("windows").alias("windows"), F.count("*").alias("places")))
-    total = max(1, known.count())
+    made = made.join(several, "text", "left").withColumn("other", F.coalesce("copy", "text")).drop("copy")
+    met = made.groupBy("anchor").agg(F.count("*").alias("places"), F.min("text").alias("low"), F.max("other").alias("high"))
+    met = met.filter("low < high").select("anchor", "places")
+    made = cut(join_groups(made, met, "anchor", "places", total).drop("places"))
+    each = made.groupBy("anchor", "region")
+    known = cut(each.agg(F.min("text").alias("text"), F.max("other").alias("other"), F.max("windows").alias("windows"), F.count("*").alias("places")))
     lone = F.col("text") == F.col("other")
-    mixed = known.groupBy("anchor").agg(F.count("*").alias("regions"), F.min("text").alias("low"), F.max("other").alias("high"), F.max(lone).alias("open"))
-    mixed = mixed.filter("regions > 1 AND low < high AND open").select("anchor", "regions")
-    wanted = cut(join_groups(known, mixed, "anchor", "regions", total).groupBy("text").agg(F.collect_list(F.struct("region", "other")).alias("wanted")))
+    mixed = known.groupBy("anchor").agg(F.count("*").alias("regions"), F.max(lone).alias("open")).filter("regions > 1 AND open").select("anchor", "regions")
+    wanted = cut(join_groups(known, mixed, "anchor", "regions", max(1, known.count())).groupBy("text").agg(F.collect_list(F.struct("region", "other")).alias("wanted")))
     bodies = having(docs, wanted.select("text"), "text").dropDuplicates(["text"]).join(wanted, "text")  # copies meet where they are read
     windows = cut(bodies.select("text", "body", "wanted").mapInArrow(_window_rows(size, gram), "window long, region long, text long, other long"))
-    met = windows.groupBy("window").agg(F.count("*").alias("places"), F.min("text").alias("low"), F.max("other").alias("high")).filter("low < high").select("window", "places")
-    found = join_groups(windows.filter(lone), met, "window", "places", max(1, windows.count())).groupBy("region").agg(F.count("*").alias("n"))
+    again = windows.groupBy("window").agg(F.count("*").alias("places"), F.min("text").alias("low"), F.max("other").alias("high")).filter("low < high").select("window", "places")
+    found = join_groups(windows.filter(lone), again, "window", "places", max(1, windows.count())).groupBy("region").agg(F.count("*").alias("n"))
     whole = known.filter(~lone).select("region", "places", F.col("windows").alias("n"))
     some = cut(whole.unionByName(known.select("region", "places").join(found, "region")))
-    shared = join_groups(made.select("text", "region"), some, "region", "places", max(1, made.count())).groupBy("text").agg(F.sum("n").alias("n"))
-    return shared.join(copies, "text").select("text", F.expr("n div copies").alias("n_shared"))
+    shared = join_groups(made.select("text", "region"), some, "region", "places", total).groupBy("text").agg(F.sum("n").alias("n"))
+    return cut(shared.join(copies, "text").select("text", F.expr("n div copies").alias("n_shared")))

@@ -442,7 +442,7 @@ def repeated_spans(docs: DataFrame, width: int = WIDTH, gram: int = GRAM, most_r
         spans = spans.unionByName(_frequent(some(lambda h: h["regions"] > most_regions), width, gram, most_regions))
     each = cut(spans.groupBy("tk").agg(F.collect_list(F.struct("lo", "hi")).alias("spans")))
     again = having(keyed, each.select("tk"), "tk").select("tk", "text").dropDuplicates(["tk"]).join(each, "tk")
-    left = again.select("tk", "text", "spans").mapInArrow(_removed(), "tk binary, n_removed long, n_spans long, kept_sha256 string, runs array<struct<lo:long,hi:long>>")
+    left = cut(again.select("tk", "text", "spans").mapInArrow(_removed(), "tk binary, n_removed long, n_spans long, kept_sha256 string, runs array<struct<lo:long,hi:long>>"))
     whole = (F.col("copies") > 1) & (F.col("n_bytes") >= width)
     zero, number = F.lit(0).cast("long"), F.xxhash64("tk")
     shared = shared_windows(keyed.select(number.alias("text"), F.col("text").alias("body")), classes.select(number.alias("text"), "copies"))
