@@ -491,3 +491,30 @@ def test_what_all_refer_to_is_broadcast(spark, monkeypatch):
     edges = [(i, "x", i % 3) for i in range(3, 60) for _ in range(1 + i % 2)] + [(3, "y", None), (6, "y", 999), (9, "y", None), (9, "y", 998)]
     got = equality.structural_classes(spark.createDataFrame(nodes, "node long, content string"), spark.createDataFrame(edges, "src long, label string, dst long"))
     assert {r.node: r["class"] for r in got.collect()} == plain_classes(nodes, edges) and "dst" in met
+
+
+def test_only_references_to_what_got_a_new_class_are_looked_at_again(spark, monkeypatch):
+    """The rounds by hashes end by themselves, over long chains and hubs too; a round leaves out references to what no longer changes."""
+    met, own = [], equality.with_group
+    monkeypatch.setattr(equality, "with_group", lambda rows, groups, key, count: (key == "dst" and met.append(groups.count())) or own(rows, groups, key, count))
+    monkeypatch.setattr(equality, "_compared", lambda nodes, links: pytest.fail("hashes met"), raising=False)
+    monkeypatch.setattr(equality, "SALTS", 4, raising=False)
+    nodes = [(i, "leaf" if i < 10 else "middle" if i < 50 else "top") for i in range(80)]
+    edges = [(i, "x", i % 7) for i in range(10, 50) for _ in range(1 + i % 2)] + [(i, "y", 10 + j) for i in range(50, 80) for j in range(i % 5, 40)]
+    made = lambda n, e: equality.structural_classes(spark.createDataFrame(n, "node long, content string"), spark.createDataFrame(e, "src long, label string, dst long"))
+    assert {r.node: r["class"] for r in made(nodes, edges).collect()} == plain_classes(nodes, edges)
+    assert met == [47, 40, 47]  # all that is referred to, then the middle alone, and all once more to compare
+    chains = [(i, "link") for i in range(24)]
+    follows = [(i, "n", i + 1) for i in range(23) if i != 11] + [(11, "n", None), (23, "n", 99)]
+    assert {r.node: r["class"] for r in made(chains, follows).collect()} == plain_classes(chains, follows) == {i: i % 12 for i in range(24)}
+
+
+def test_hashes_that_sometimes_meet_are_found_out(spark, monkeypatch):
+    taken, own = [], equality._compared
+    monkeypatch.setattr(equality, "_compared", lambda nodes, links: taken.append(1) or own(nodes, links))
+    monkeypatch.setattr(equality, "_hash", lambda seed, *c: F.when(F.xxhash64(*c) % 2 == 0, 1).otherwise(2).cast("long"))
+    nodes = [(i, "leaf" if i < 20 else "node") for i in range(120)]
+    edges = [(i, "x", i * i % 19 if i % 2 else i % 5) for i in range(20, 120)] + [(i, "y", i - 20) for i in range(40, 120)]
+    nodes = [(i, f"{c}{i}" if i < 20 else c) for i, c in nodes]
+    got = equality.structural_classes(spark.createDataFrame(nodes, "node long, content string"), spark.createDataFrame(edges, "src long, label string, dst long"))
+    assert {r.node: r["class"] for r in got.collect()} == plain_classes(nodes, edges) and taken == [1]
