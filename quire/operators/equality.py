@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from ..scratch import cut
 from .graphs import REWRITE
 from .joins import HEAVY_KEYS, with_group
+from .parts import LEAST, ROWS
 
 #: Three hash functions of a reference; their sums over an object's references are the same however these are ordered.
 SEEDS = (11, 29, 47)
@@ -78,11 +79,12 @@ def _differing(told: DataFrame, last: DataFrame, groups: DataFrame) -> DataFrame
     """What some nodes of a class refer to and others of it do not: references (label, to, n) that fewer nodes have than the class holds."""
     own = last.filter("quire_o > 0").select(F.col("node").alias("src"), "class", "quire_o")
     total = own.agg(F.sum("quire_o")).first()[0] or 0
+    parts = max(LEAST, -(-total // ROWS))
     heavy = own.filter(F.col("quire_o") > max(SALTS, total / HEAVY_KEYS)).select("src", F.lit(SALTS).alias("salts"))
     # a salt follows from label and target, so equal references of one node stay together
     dealt = told.join(F.broadcast(heavy), "src", "left").withColumn("salt", F.coalesce(F.pmod(F.hash("label", "to"), "salts"), F.lit(0))).drop("salts")
     own = own.join(F.broadcast(heavy), "src", "left").select("src", "class", F.explode(F.sequence(F.lit(0), F.coalesce("salts", F.lit(1)) - 1)).alias("salt"))
-    refs = dealt.join(own, ["src", "salt"]).groupBy("src", "salt", "class", "label", "to").agg(F.sum("n").alias("n"))
+    refs = dealt.repartition(parts, "src", "salt").join(own.repartition(parts, "src", "salt"), ["src", "salt"]).groupBy("src", "salt", "class", "label", "to").agg(F.sum("n").alias("n"))
     held = refs.groupBy("class", "label", "to", "n").agg(F.count("*").alias("nodes"))
     return held.join(groups.select("class", "size"), "class").filter("nodes < size")
 
